@@ -1,5 +1,5 @@
 """Change-data-capture analytics as Spark DataFrame transformations."""
 
-from tidelog.session import build_session, configure
+from tidelog.session import build_session, configure, small_table
 
-__all__ = ["build_session", "configure"]
+__all__ = ["build_session", "configure", "small_table"]

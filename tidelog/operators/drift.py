@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from tidelog.functions.cdc import CDC_COLUMNS
 from tidelog.functions.typemap import spark_type, type_signature
+from tidelog.session import small_table
 
 CHANGES = ("ADD", "DROP", "TYPE", "POSSIBLE_RENAME")
 
@@ -94,7 +95,7 @@ def declared_diff(metadata: DataFrame, stored: T.StructType) -> DataFrame:
     spark = metadata.sparkSession
     ignored = [c.upper() for c in CDC_COLUMNS]
     names = [(f.name.upper(),) for f in stored.fields if f.name.upper() not in ignored]
-    have = spark.createDataFrame(names, "column_name string").withColumn("__stored", F.lit(True))
+    have = small_table(spark, names, "column_name string").withColumn("__stored", F.lit(True))
     want = metadata.select(F.upper(F.trim("column_name")).alias("column_name")).distinct()
     want = want.where(~F.col("column_name").isin(*ignored)).withColumn("__declared", F.lit(True))
     both = want.join(have, "column_name", "full_outer").where("__stored IS NULL OR __declared IS NULL")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.operators.state import ORDER, current_state
+from tidelog.session import small_table
 
 TableName = tuple[str, str]
 TOTALS_SCHEMA = "schema string, table_name string, row_count bigint, error string"
@@ -35,7 +36,7 @@ def control_totals(spark: SparkSession, tables: Mapping[TableName, Callable[[],
             continue
         counts.append(_named(total, name).withColumn("error", F.lit(None).cast("string")))
     if failed:
-        counts.append(spark.createDataFrame(failed, TOTALS_SCHEMA))
+        counts.append(small_table(spark, failed, TOTALS_SCHEMA))
     return union_all(counts)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelog import small_table
 from tidelog.operators import changelog, recon, routes, state
 from tidelog.operators.ordered import SkewGuard
 from tidelog.plans.base import LOG_SQL, Registry, event_log, table
@@ -178,8 +179,8 @@ def dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def payload_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A multi-entity log with a map payload: the segment's route names what to hide."""
-    listed = spark.createDataFrame(
-        [("BUILDING", "name"), ("MACHINERY", " nation ")], "c_mktsegment string, excluded_columns string"
+    listed = small_table(
+        spark, [("BUILDING", "name"), ("MACHINERY", " nation ")], "c_mktsegment string, excluded_columns string"
     )
     excluded = listed.select("c_mktsegment", F.split(F.upper(F.trim("excluded_columns")), ",").alias("excluded"))
     payload = F.create_map(F.lit("name"), F.col("c_name"), F.lit("nation"), F.col("c_nationkey").cast("string"))
@@ -212,7 +213,7 @@ def route_table(spark: SparkSession) -> DataFrame:
         "schema string, table_name string, group_id int, target string, target_schema string, "
         "rds_target_schema string, enabled boolean"
     )
-    return routes.normalise_routes(spark.createDataFrame(ROUTES, columns))
+    return routes.normalise_routes(small_table(spark, ROUTES, columns))
 
 
 def routed_log(spark: SparkSession, sf_dir: str) -> DataFrame:

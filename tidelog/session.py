@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 # UTC makes NTZ <-> instant conversion (needed for watermarks) the identity.
 # AQE splits skewed sort-merge joins and picks broadcast joins from real sizes.
@@ -33,3 +36,14 @@ def build_session(app: str = "tidelog", master: str | None = None, **extra: str)
     for name, value in {**SETTINGS, **extra}.items():
         builder = builder.config(name, value)
     return builder.getOrCreate()
+
+
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A literal table the optimizer knows the size of (so it can be broadcast).
+
+    ``schema`` is a DDL text of primitive types; rows made from plain Python
+    lists would be planned as an RDD of unknown, hence huge, size.
+    """
+    struct = StructType.fromDDL(schema)
+    columns = [pa.array([r[i] for r in rows], to_arrow_type(f.dataType)) for i, f in enumerate(struct.fields)]
+    return spark.createDataFrame(pa.table(columns, names=struct.fieldNames()), struct)
