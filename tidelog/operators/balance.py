@@ -10,7 +10,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.operators.ordered import global_rank
+from tidelog.operators.ordered import global_rank, shared_checkpoint
 
 
 def round_robin_bucket(rank: Column, buckets: int, cap: int = 2) -> Column:
@@ -56,7 +56,8 @@ def deal_rounds(
 
     ``dealt`` comes from ``ranked``; rows beyond n * rounds are not assigned here
     (see ``assign_groups``). ``buckets`` has n rows (group_id, total_cost), so its
-    window is bounded by n.
+    window is bounded by n. These n totals are checkpointed after each round, as
+    every round reads them twice and the plan would double with each.
     """
     cheapest_first = Window.orderBy("total_cost", "group_id")
     heavy = dealt.where(F.col("rank") <= n * rounds)
@@ -69,6 +70,8 @@ def deal_rounds(
         parts.append(given)
         totals = totals.unionByName(given.select("group_id", F.col(cost).cast("double").alias("total_cost")))
         totals = totals.groupBy("group_id").agg(F.sum("total_cost").alias("total_cost"))
+        if r + 1 < rounds:
+            totals = shared_checkpoint(totals)
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

@@ -66,18 +66,19 @@ def activity_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Limits scaled down to the test tables, so that every class occurs.
-SMALL_LIMITS = ClassLimits(churn_high=4.0, churn_low=2.0, batch_changes=12, batch_bytes=5_000, busy_bytes=17_000, busy_changes=70)
-SCORE_SQL = PROFILE_SQL + """, costed AS (
+SMALL_LIMITS = ClassLimits(churn_high=9.0, churn_low=6.0, batch_changes=70, batch_bytes=20_000, busy_bytes=21_000, busy_changes=72)
+_L = SMALL_LIMITS
+SCORE_SQL = PROFILE_SQL + f""", costed AS (
   SELECT *, CAST(byte_throughput + lob_count * 50000 + partition_count * 5000 + greatest(col_count - 80, 0) * 200 AS BIGINT) AS extract_cost
   FROM prof),
 scored AS (
   SELECT *, round(extract_cost / CAST((SELECT max(extract_cost) FROM costed) AS DOUBLE) * 1000, 1) AS cost_normalized,
     upper(has_pk) = 'N' AS needs_keycols,
     CASE WHEN dml_total = 0 THEN 'REFERENCE'
-         WHEN churn_rate >= 4.0 THEN CASE WHEN byte_throughput > 0 THEN 'OLTP_HEAVY' ELSE 'OLTP_LIGHT' END
-         WHEN churn_rate <= 2.0 THEN CASE WHEN dml_total > 12 OR byte_throughput > 5000 THEN 'BATCH_HEAVY' ELSE 'BATCH_LIGHT' END
-         WHEN byte_throughput > 17000 OR dml_total > 70 THEN 'OLTP_HEAVY'
-         WHEN dml_total > 12 THEN 'OLTP_LIGHT' ELSE 'REFERENCE' END AS profile
+         WHEN churn_rate >= {_L.churn_high} THEN CASE WHEN byte_throughput > 0 THEN 'OLTP_HEAVY' ELSE 'OLTP_LIGHT' END
+         WHEN churn_rate <= {_L.churn_low} THEN CASE WHEN dml_total > {_L.batch_changes} OR byte_throughput > {_L.batch_bytes} THEN 'BATCH_HEAVY' ELSE 'BATCH_LIGHT' END
+         WHEN byte_throughput > {_L.busy_bytes} OR dml_total > {_L.busy_changes} THEN 'OLTP_HEAVY'
+         WHEN dml_total > {_L.batch_changes} THEN 'OLTP_LIGHT' ELSE 'REFERENCE' END AS profile
   FROM costed)
 """
 
