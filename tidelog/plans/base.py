@@ -32,12 +32,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``events`` read as a change log per user."""
+def event_log(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    """``events`` read as a change log per user (``events``: a stream of them)."""
     operation = (
         F.when(F.col("event_type") == "signup", "INSERT").when(F.col("event_type") == "error", "DELETE").otherwise("UPDATE")
     )
-    raw = table(spark, sf_dir, "events").select(
+    rows = events if events is not None else table(spark, sf_dir, "events")
+    raw = rows.select(
         F.col("event_id").alias("seq"),
         F.col("user_id").alias("k"),
         operation.alias("op_name"),
