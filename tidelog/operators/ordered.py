@@ -107,7 +107,7 @@ class OrderedRows:
                 F.max(where).alias("__hi"),
                 reduce(and_, same, F.lit(True)).alias("__same"),
             )
-            .where((F.col("__n") > guard.hot_rows) & (F.col("__hi") > F.col("__lo")) & F.col("__same"))
+            .where((F.col("__n") > guard.hot_rows) & F.col("__same"))
             .orderBy(F.desc("__n"), *groups)
             .limit(guard.max_hot)
             .withColumn("__parts", F.ceil(F.col("__n") * 2 / guard.hot_rows))

@@ -154,25 +154,17 @@ def reconcile(
     return result if show_all else result.where("status <> 'OK'")
 
 
-def reconcile_summary(result: DataFrame) -> DataFrame:
+def reconcile_summary(result: DataFrame, source_name: str = "ORACLE", target_name: str = "SNOWFLAKE") -> DataFrame:
     """One row; rows missing in the source do not fail the run."""
-    status = F.col("status")
-    n = lambda c: F.count_if(c)
-    mismatches = n(status == "MISMATCH")
-    errors = n(status.endswith("_ERROR"))
-    lost = n(status.startswith("MISSING_IN_") & F.col("target_count").isNull() & F.col("source_here"))
-    return (
-        result.withColumn("source_here", ~(status.startswith("MISSING_IN_") & F.col("source_count").isNull()))
-        .agg(
-            F.count(F.lit(1)).alias("tables_compared"),
-            n(status == "OK").alias("tables_ok"),
-            mismatches.alias("mismatches"),
-            lost.alias("missing_in_target"),
-            n(status.startswith("MISSING_IN_") & ~F.col("source_here")).alias("missing_in_source"),
-            errors.alias("errors"),
-        )
-        .withColumn("passed", F.expr("mismatches = 0 AND missing_in_target = 0 AND errors = 0"))
-    )
+    n = lambda *words: F.count_if(F.col("status").isin(*words))
+    return result.agg(
+        F.count(F.lit(1)).alias("tables_compared"),
+        n("OK").alias("tables_ok"),
+        n("MISMATCH").alias("mismatches"),
+        n(f"MISSING_IN_{target_name}").alias("missing_in_target"),
+        n(f"MISSING_IN_{source_name}").alias("missing_in_source"),
+        n(f"{source_name}_ERROR", f"{target_name}_ERROR").alias("errors"),
+    ).withColumn("passed", F.expr("mismatches = 0 AND missing_in_target = 0 AND errors = 0"))
 
 
 def reconcile_threshold(

@@ -31,13 +31,21 @@ def read_columns(spark: SparkSession, path: str, complete: bool = False) -> Data
 
 
 def read_profile(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(profile, malformed lines) from a profile export with any known columns."""
-    header = spark.read.csv(path, header=True).columns
-    schema = ", ".join(f"`{c}` string" for c in header) + f", {BAD_LINE} string"
-    rows = spark.read.csv(
-        path, schema=schema, header=True, enforceSchema=True, mode="PERMISSIVE", columnNameOfCorruptRecord=BAD_LINE,
-        ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True,
-    )
-    good = rows.where(F.col(BAD_LINE).isNull()).drop(BAD_LINE)
-    good = good.toDF(*[clean_header(c) for c in good.columns])
-    return fill_profile(good), rows.where(F.col(BAD_LINE).isNotNull()).select(BAD_LINE)
+    """(profile, malformed lines) from a profile export with any known columns.
+
+    Lines with too few or too many cells are malformed. Only the header line is
+    read on the driver.
+    """
+    lines = spark.read.text(path)
+    header = lines.first()[0]
+    names = [clean_header(c.strip('"')) for c in header.split(",")]
+    schema = ", ".join(f"`{c}` string" for c in names) + f", {BAD_LINE} string"
+    options = {
+        "mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD_LINE,
+        "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true",
+    }
+    body = lines.where((F.col("value") != header) & (F.trim("value") != ""))
+    rows = body.select("value", F.from_csv("value", F.lit(schema), options).alias("r"))
+    bad = F.col(f"r.{BAD_LINE}").isNotNull()
+    good = rows.where(~bad).select(*[F.col(f"r.`{c}`").alias(c) for c in names])
+    return fill_profile(good), rows.where(bad).select(F.col("value").alias("line"))
