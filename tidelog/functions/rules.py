@@ -79,16 +79,27 @@ def default_rules() -> list[Rule]:
     ]
 
 
+def first_rule(text: Column, rules: list[Rule]) -> Column:
+    """Position of the first rule that matches; the number of rules if none does."""
+    found = F
+    for i, rule in enumerate(rules):
+        found = found.when(rule.matches(text), i)
+    return F.lit(len(rules)) if found is F else found.otherwise(len(rules))
+
+
+def rule_result(position: Column, rules: list[Rule]) -> Column:
+    """struct(error_class, error_pattern) of a position given by ``first_rule``."""
+    results = [(r.error_class, r.label) for r in rules] + [("UNKNOWN", UNKNOWN_ERROR)]
+    named = [
+        F.struct(F.lit(kind).alias("error_class"), F.lit(label).alias("error_pattern")) for kind, label in results
+    ]
+    return F.element_at(F.array(*named), position + 1)
+
+
 def classify(text: Column, rules: list[Rule] | None = None) -> Column:
     """struct(error_class, error_pattern): the first matching rule in list order."""
-    chosen = F
-    for rule in rules if rules is not None else default_rules():
-        chosen = chosen.when(
-            rule.matches(text),
-            F.struct(F.lit(rule.error_class).alias("error_class"), F.lit(rule.label).alias("error_pattern")),
-        )
-    unknown = F.struct(F.lit("UNKNOWN").alias("error_class"), F.lit(UNKNOWN_ERROR).alias("error_pattern"))
-    return unknown if chosen is F else chosen.otherwise(unknown)
+    chosen = default_rules() if rules is None else rules
+    return rule_result(first_rule(text, chosen), chosen)
 
 
 def last_match(text: Column, pattern: str) -> Column:

@@ -90,7 +90,9 @@ def assign_groups(
     places that are left. ``max_per_group`` always holds; a group beyond the
     planned ones is opened when all places are taken."""
     ids, cost = ["owner", "table_name"], "extract_cost"
-    spark = scored.sparkSession
+    spark, everything = scored.sparkSession, scored
+    # Dealt in several passes, hence written once.
+    scored = shared_checkpoint(scored.select(*ids, cost, "profile"))
     n = target_groups or max(1, math.ceil(scored.count() / max_per_group))
     is_batch, is_oltp = F.col("profile") == "BATCH_HEAVY", F.col("profile") == "OLTP_HEAVY"
 
@@ -136,4 +138,4 @@ def assign_groups(
         .select(*ids, cost, "group_id")
     )
     groups = placed.unionByName(light).select(*ids, F.col("group_id").cast("bigint").alias("group_id"))
-    return scored.join(groups, ids)
+    return everything.join(groups, ids)

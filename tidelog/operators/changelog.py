@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.operators.ordered import OrderedRows, SkewGuard
+from tidelog.operators.ordered import OrderedRows, SkewGuard, checked_broadcast
 from tidelog.operators.state import ORDER
 
 
@@ -67,10 +67,9 @@ def replay_from(log: DataFrame, start: int | Column, seq: str = "seq") -> DataFr
 def replay_groups(log: DataFrame, starts: DataFrame, group: str, seq: str = "seq") -> DataFrame:
     """Per-group start positions; groups without one start after what exists now.
 
-    ``starts`` holds (group, start_seq), one row per group. It is joined without
-    a hint: Spark broadcasts it when its measured size allows.
+    ``starts`` holds (group, start_seq), one row per group.
     """
-    joined = log.join(starts, group, "left")
+    joined = log.join(checked_broadcast(starts.select(group, "start_seq")), group)
     return joined.where(F.col(seq) >= F.col("start_seq")).drop("start_seq")
 
 

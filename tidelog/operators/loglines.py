@@ -67,38 +67,41 @@ def named_events(events: DataFrame) -> DataFrame:
 def report_details(reports: DataFrame, n: int = EVENT_TAIL, by: str = "process_name", order: list[str] = LINE_ORDER) -> DataFrame:
     """From the last n report lines of each process: last error code, the message
     line, the failing table and the excerpt itself (at most n lines)."""
-    value = F.col("value")
-    at = F.struct(*order)
-    tail = tail_lines(reports, n, [by], order).select(
-        by,
-        value,
-        at.alias("__at"),
-        rules.last_match(value, rules.ERROR_CODE).alias("__code"),
-        F.upper(rules.last_match(value, rules.TABLE_NAME)).alias("__table"),
-    )
-    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("__at")))
-    found = tail.groupBy(by).agg(
-        last("__code").alias("error_code"),
-        last("__table").alias("failing_table"),
-        F.array_join(F.array_sort(F.collect_list(F.struct("__at", "value"))).getField("value"), "\n").alias("excerpt"),
+    kept = tail_lines(reports, n, [by], order).select(by, "value", *order)
+    # At most n lines per process are gathered.
+    tail = kept.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(*order, "value"))).getField("value").alias("__lines"))
+    lines = F.col("__lines")
+    last = lambda found: F.try_element_at(F.array_compact(found), F.lit(-1))
+    coded = tail.withColumns(
+        {
+            "error_code": last(F.transform(lines, lambda v: rules.last_match(v, rules.ERROR_CODE))),
+            "failing_table": F.upper(last(F.transform(lines, lambda v: rules.last_match(v, rules.TABLE_NAME)))),
+        }
     )
     # The message is the last line with the code or an error word, whichever is later.
-    wordy = F.upper("value").contains("ERROR") | F.upper("value").contains("ABEND")
-    holds_code = F.coalesce(F.contains("value", "error_code"), F.lit(False))
-    message = (
-        tail.join(found.select(by, "error_code"), by)
-        .where(holds_code | wordy)
-        .groupBy(by)
-        .agg(F.trim(F.max_by("value", "__at")).alias("error_message"))
+    telling = lambda v: (
+        F.coalesce(F.contains(v, "error_code"), F.lit(False)) | F.upper(v).contains("ERROR") | F.upper(v).contains("ABEND")
+    )
+    return coded.select(
+        by,
+        "error_code",
+        F.trim(last(F.filter(lines, telling))).alias("error_message"),
+        "failing_table",
+        F.array_join(lines, "\n").alias("excerpt"),
     )
-    return found.join(message, by, "left").select(by, "error_code", "error_message", "failing_table", "excerpt")
 
 
 def enrich_events(events: DataFrame, reports: DataFrame, n: int = RECOVERY_TAIL, rule_list: list[rules.Rule] | None = None) -> DataFrame:
-    """Events with report details and the failure class of line and report."""
-    joined = named_events(events).join(report_details(reports, n), "process_name", "left")
-    text = F.concat_ws("\n", F.col("value"), F.col("excerpt"), F.concat_ws(" ", "error_code", "error_message"))
-    return joined.withColumn("__c", rules.classify(text, rule_list)).select("*", "__c.*").drop("__c")
+    """Events with report details and the failure class of line and report.
+
+    A report is matched against the rules once per process, a line once per event;
+    the rule that comes first in the list wins.
+    """
+    chosen = rules.default_rules() if rule_list is None else rule_list
+    details = report_details(reports, n).withColumn("__in_report", rules.first_rule(F.col("excerpt"), chosen))
+    joined = named_events(events).join(details, "process_name", "left")
+    position = F.least(rules.first_rule(F.col("value"), chosen), F.col("__in_report"))
+    return joined.withColumn("__c", rules.rule_result(position, chosen)).select("*", "__c.*").drop("__c", "__in_report")
 
 
 def process_status(lines: DataFrame, order: list[str] = LINE_ORDER) -> DataFrame:

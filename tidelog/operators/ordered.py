@@ -34,7 +34,7 @@ class SkewGuard:
     cut points and about 2 N / hot_rows + max_hot rows per level for summaries.
     """
 
-    min_bytes: int = 1 << 30
+    min_bytes: int = 256 << 20
     hot_rows: int = 4_000_000
     max_hot: int = 4096
 
@@ -68,6 +68,15 @@ def _position(c: Column, t: T.DataType) -> Column | None:
     return None
 
 
+def checked_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """Broadcast a dimension if it has at most ``max_rows`` rows, else leave the
+    join to the planner. Nothing beyond that number is ever fetched."""
+    found = df.limit(max_rows + 1).toArrow()
+    if found.num_rows > max_rows:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(found, df.schema))
+
+
 class OrderedRows:
     """Rows of ``df`` ordered by ``order`` (ascending) within ``keys``.
 

@@ -125,48 +125,61 @@ def fill_profile(profile: DataFrame) -> DataFrame:
     return df.withColumns({**numbers, **texts})
 
 
-def rebuild_empty_measures(profile: DataFrame) -> DataFrame:
+def _rebuilt(empty: dict[str, Column], weights: score.CostWeights) -> dict[str, Column]:
+    i, u, d = F.col("inserts"), F.col("updates"), F.col("deletes")
+    fresh = {
+        "dml_total": i + u + d,
+        "byte_throughput": score.byte_throughput(i, u, d, F.col("avg_row_len"), weights),
+        "churn_rate": score.churn(i + u + d, F.col("num_rows")),
+    }
+    return {c: F.when(empty[c], value).otherwise(F.col(c)) for c, value in fresh.items()}
+
+
+def _is_empty(c: str) -> Column:
+    return F.coalesce(F.sum(c), F.lit(0)) == 0
+
+
+def rebuild_empty_measures(profile: DataFrame, weights: score.CostWeights = score.CostWeights()) -> DataFrame:
     """Throughput, churn and change totals that are 0 everywhere are recomputed
     (exports of older queries lack them). One scalar query decides for all rows."""
-    sums = profile.agg(
-        F.struct(*[(F.coalesce(F.sum(c), F.lit(0)) == 0).alias(c) for c in ("byte_throughput", "churn_rate", "dml_total")]).alias("empty")
-    ).scalar()
-    i, u, d = F.col("inserts"), F.col("updates"), F.col("deletes")
-    return (
-        profile.withColumn("__empty", sums)
-        .withColumns(
-            {
-                "dml_total": F.when(F.col("__empty.dml_total"), i + u + d).otherwise(F.col("dml_total")),
-                "byte_throughput": F.when(
-                    F.col("__empty.byte_throughput"), score.byte_throughput(i, u, d, F.col("avg_row_len"))
-                ).otherwise(F.col("byte_throughput")),
-                "churn_rate": F.when(
-                    F.col("__empty.churn_rate"), score.churn(i + u + d, F.col("num_rows"))
-                ).otherwise(F.col("churn_rate")),
-            }
-        )
-        .drop("__empty")
-    )
+    measures = ("byte_throughput", "churn_rate", "dml_total")
+    probe = profile.agg(F.struct(*[_is_empty(c).alias(c) for c in measures]).alias("empty")).scalar()
+    marked = profile.withColumn("__empty", probe)
+    empty = {c: F.col(f"__empty.{c}") for c in measures}
+    return marked.withColumns(_rebuilt(empty, weights)).drop("__empty")
 
 
 def score_profile(
     profile: DataFrame, weights: score.CostWeights = score.CostWeights(), limits: score.ClassLimits = score.ClassLimits()
 ) -> DataFrame:
-    """Composite cost, cost on a 0-1000 scale, class, and the missing-key flag."""
-    costed = rebuild_empty_measures(profile).withColumn(
-        "extract_cost",
-        score.composite_cost(
-            F.col("byte_throughput"), F.col("lob_count"), F.col("partition_count"), F.col("col_count"), weights
-        ),
-    )
-    highest = costed.agg(F.max("extract_cost").alias("m")).scalar()
+    """Composite cost, cost on a 0-1000 scale, class, and the missing-key flag.
+
+    ``profile`` is evaluated twice: once for three sums and the highest cost, once
+    for the rows. Pass a materialised one if that is expensive.
+    """
+    measures = ("byte_throughput", "churn_rate", "dml_total")
+    cost = lambda b: score.composite_cost(b, F.col("lob_count"), F.col("partition_count"), F.col("col_count"), weights)
+    always = {c: F.lit(True) for c in measures}
+    # The highest cost for both outcomes of the emptiness check, so that one pass suffices.
+    probe = profile.agg(
+        F.struct(
+            *[_is_empty(c).alias(c) for c in measures],
+            F.when(_is_empty("byte_throughput"), F.max(cost(_rebuilt(always, weights)["byte_throughput"])))
+            .otherwise(F.max(cost(F.col("byte_throughput"))))
+            .alias("highest"),
+        ).alias("probe")
+    ).scalar()
+    marked = profile.withColumn("__probe", probe)
+    rebuilt = marked.withColumns(_rebuilt({c: F.col(f"__probe.{c}") for c in measures}, weights))
+    highest = F.col("__probe.highest")
+    costed = rebuilt.withColumn("extract_cost", cost(F.col("byte_throughput")))
     return costed.withColumns(
         {
             "cost_normalized": F.when(highest > 0, F.round(F.col("extract_cost") / highest * 1000, 1)).otherwise(0.0),
             "profile": score.activity_class(F.col("churn_rate"), F.col("dml_total"), F.col("byte_throughput"), limits),
             "needs_keycols": F.upper("has_pk") == "N",
         }
-    )
+    ).drop("__probe")
 
 
 def class_distribution(scored: DataFrame) -> DataFrame:

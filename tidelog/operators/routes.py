@@ -145,10 +145,11 @@ def most_common(rows: DataFrame, keys: list[str], value: str, order: list[str])
     per_value = rows.groupBy(*keys, value).agg(
         F.count(F.lit(1)).alias("__n"), F.min(F.struct(*order)).alias("__first")
     )
-    best = Window.partitionBy(*keys).orderBy(F.desc("__n"), F.asc("__first"))
-    winners = per_value.withColumn("__rn", F.row_number().over(best)).where("__rn = 1")
-    spread = per_value.groupBy(*keys).agg(F.count(F.lit(1)).alias("values"))
-    return winners.select(*keys, value, F.col("__n").alias("occurrences")).join(spread, keys)
+    return per_value.groupBy(*keys).agg(
+        F.min_by(value, F.struct(-F.col("__n"), "__first")).alias(value),
+        F.max("__n").alias("occurrences"),
+        F.count(F.lit(1)).alias("values"),
+    )
 
 
 def oversized_groups(rows: DataFrame, group: str, limit: int = 75) -> DataFrame:

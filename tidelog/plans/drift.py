@@ -1,7 +1,7 @@
 """Schema and key-set drift plans.
 
-Metadata snapshots are derived from ``part``: a brand is an owner, a type a
-table, and each part one column.
+Metadata snapshots are derived from ``part``: a brand is an owner, a block of 400
+keys a table (so that tables keep their size at any scale), each part one column.
 """
 
 from __future__ import annotations
@@ -113,7 +113,7 @@ def _columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("p_partkey")
     return table(spark, sf_dir, "part").select(
         F.concat(F.lit(" "), F.lower("p_brand")).alias("owner"),
-        F.concat(F.col("p_type"), F.lit("_"), (F.col("p_size") % 4).cast("string")).alias("table_name"),
+        F.concat(F.lit("t_"), F.floor(key / 400).cast("string")).alias("table_name"),
         F.concat(F.lit("c"), key.cast("string")).alias("column_name"),
         F.element_at(F.array(*[F.lit(t) for t in TYPES]), (key % len(TYPES) + 1).cast("int")).alias("data_type"),
         F.col("p_size").alias("data_length"),
@@ -125,7 +125,7 @@ def _columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 COLUMNS_SQL = f"""WITH cols AS (
-  SELECT p_partkey AS id, upper(p_brand) AS owner, upper(p_type) || '_' || (p_size % 4) AS table_name, 'C' || p_partkey AS column_name,
+  SELECT p_partkey AS id, upper(p_brand) AS owner, 'T_' || (p_partkey // 400) AS table_name, 'C' || p_partkey AS column_name,
     upper(trim(({TYPE_LIST_SQL})[p_partkey % {len(TYPES)} + 1])) AS data_type, p_size AS len,
     CASE WHEN p_partkey % 48 = 0 THEN NULL WHEN p_partkey % 24 = 0 THEN CAST(p_partkey % 38 + 1 AS INTEGER) END AS prec,
     CASE WHEN p_partkey % 24 = 0 THEN CAST(p_partkey % 5 - 1 AS INTEGER) END AS scale FROM part)
@@ -291,7 +291,7 @@ def evolve_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     "columns_of_tables",
     COLUMNS_SQL
     + """SELECT owner, table_name, string_agg(column_name, ',' ORDER BY id) AS columns FROM cols
-    WHERE owner || '.' || table_name IN (SELECT upper(p_brand) || '.' || upper(p_type) || '_' || (p_size % 4) FROM part WHERE p_retailprice > 950)
+    WHERE owner || '.' || table_name IN (SELECT upper(p_brand) || '.T_' || (p_partkey // 400) FROM part WHERE p_size > 45)
     GROUP BY owner, table_name""",
 )
 def columns_of_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -300,9 +300,9 @@ def columns_of_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = _columns(spark, sf_dir).withColumns(
         {c: F.upper(F.trim(c)) for c in ("owner", "table_name", "column_name")}
     )
-    tables = table(spark, sf_dir, "part").where("p_retailprice > 950").select(
+    tables = table(spark, sf_dir, "part").where("p_size > 45").select(
         F.upper("p_brand").alias("owner"),
-        F.concat(F.upper("p_type"), F.lit("_"), (F.col("p_size") % 4).cast("string")).alias("table_name"),
+        F.concat(F.lit("T_"), F.floor(F.col("p_partkey") / 400).cast("string")).alias("table_name"),
         F.lit("N").alias("temporary"), F.lit(None).cast("string").alias("iot_type"), F.lit("NO").alias("nested"),
     ).distinct()
     joined = named.join(profile.user_tables(tables).select(*by), by)

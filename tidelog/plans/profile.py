@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidelog import small_table
 from tidelog.functions.score import ClassLimits
 from tidelog.operators import balance, profile, quality, routes
+from tidelog.operators.ordered import shared_checkpoint
 from tidelog.plans.base import LOG_SQL, Registry, event_log, table
 
 REGISTRY = Registry()
@@ -84,7 +85,9 @@ scored AS (
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.score_profile(_customer_profile(spark, sf_dir), limits=SMALL_LIMITS)
+    """The profile is one row per entity, and read several times: written once."""
+    entities = shared_checkpoint(_customer_profile(spark, sf_dir))
+    return profile.score_profile(entities, limits=SMALL_LIMITS)
 
 
 @query("score_classify", SCORE_SQL + "SELECT k, extract_cost, cost_normalized, profile, needs_keycols FROM scored")
