@@ -86,9 +86,10 @@ def test_history_of_cut_keys(skewed):
     same(scd2_history(log, ["k"]), scd2_history(log, ["k"], guard=ALWAYS))
 
 
-def test_input_of_unknown_size_is_cut(spark):
+def test_input_of_unknown_size_is_examined(spark):
     rows = spark.createDataFrame([(1, i) for i in range(9)], "k int, seq int")
-    assert OrderedRows(rows, ["k"], ["seq"]).pieces == ["__piece0", "__piece1"]
+    assert OrderedRows(rows, ["k"], ["seq"]).pieces == []
+    assert OrderedRows(rows, ["k"], ["seq"], SkewGuard(hot_rows=4)).pieces
 
 
 def test_global_rank_with_ties_on_the_first_column(spark):

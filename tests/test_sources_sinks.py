@@ -131,6 +131,22 @@ def test_listing_reads_no_content(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "scans")).count() == 6
 
 
+def test_growth_check_rates_scan_after_scan(spark, tmp_path):
+    folder, scans = tmp_path / "trails", str(tmp_path / "scans")
+    folder.mkdir()
+    where = f"file:{folder}"
+    disk = small_table(spark, [(where, 60.0, 50.0), ("file:/gone", 1.0, 50.0)], "dir string, free_mb double, disk_pct double")
+    check = lambda minute: {
+        r.dir: r for r in listing.growth_check(spark, str(folder), scans, disk, F.lit(T0 + datetime.timedelta(minutes=minute))).collect()
+    }
+    (folder / "e1000000001").write_bytes(b"x" * 1024 * 1024)
+    assert check(0)[where].growth_mb_min == 0
+    (folder / "e1000000002").write_bytes(b"x" * 2 * 1024 * 1024)
+    second = check(2)
+    assert (second[where].growth_mb_min, second[where].hours_to_fill, second[where].trend) == (1.0, 1.0, "GROWING")
+    assert second["file:/gone"].exists is False
+
+
 def test_tables_by_catalog_and_filters(spark, tmp_path):
     spark.sql("CREATE DATABASE IF NOT EXISTS tide_db LOCATION '" + str(tmp_path / "db") + "'")
     for name in ("b", "a", "c"):

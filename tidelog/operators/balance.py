@@ -55,27 +55,25 @@ def deal_rounds(
     of their cost so far.
 
     ``dealt`` comes from ``ranked``; rows beyond n * rounds are not assigned here
-    (see ``assign_groups``). ``buckets`` has n rows (group_id, total_cost), so its
-    window is bounded by n. These n totals are checkpointed after each round, as
-    every round reads them twice and the plan would double with each.
+    (see ``assign_groups``). ``buckets`` has n rows (group_id, total_cost). One row
+    per bucket goes through all rounds and collects what it gets, so the window
+    that orders buckets is bounded by n and the plan grows by one join a round.
     """
     cheapest_first = Window.orderBy("total_cost", "group_id")
-    heavy = dealt.where(F.col("rank") <= n * rounds)
-    parts, totals = [], buckets.select("group_id", F.col("total_cost").cast("double").alias("total_cost"))
-    for r in range(rounds):
-        turn = heavy.where((F.col("rank") > r * n) & (F.col("rank") <= (r + 1) * n))
-        places = totals.withColumn("__place", F.row_number().over(cheapest_first))
-        given = turn.withColumn("__place", (F.col("rank") - r * n).cast("int")).join(places.select("__place", "group_id"), "__place")
-        given = given.select(*ids, cost, "rank", "group_id")
-        parts.append(given)
-        totals = totals.unionByName(given.select("group_id", F.col(cost).cast("double").alias("total_cost")))
-        totals = totals.groupBy("group_id").agg(F.sum("total_cost").alias("total_cost"))
-        if r + 1 < rounds:
-            totals = shared_checkpoint(totals)
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    heavy = dealt.where(F.col("rank") <= n * rounds).select(
+        (F.floor((F.col("rank") - 1) / n)).alias("__round"),
+        ((F.col("rank") - 1) % n + 1).cast("int").alias("__place"),
+        F.struct(*ids, cost, "rank").alias("__row"),
+    )
+    held = buckets.select("group_id", F.col("total_cost").cast("double").alias("total_cost"))
+    taken = [f"__got{r}" for r in range(rounds)]
+    for r, got in enumerate(taken):
+        turn = heavy.where(F.col("__round") == r).select("__place", F.col("__row").alias(got))
+        placed = held.withColumn("__place", F.row_number().over(cheapest_first)).join(turn, "__place", "left")
+        grown = F.col("total_cost") + F.coalesce(F.col(got).getField(cost).cast("double"), F.lit(0.0))
+        held = placed.withColumn("total_cost", grown).drop("__place")
+    rows = held.select("group_id", F.explode(F.array_compact(F.array(*taken))).alias("__row"))
+    return rows.select("__row.*", "group_id")
 
 
 def assign_groups(

@@ -36,9 +36,6 @@ def schema_diff(current: DataFrame, previous: DataFrame, only: DataFrame | None
     cur, prev = _signed(current), _signed(previous)
     if only is not None:
         cur, prev = (side.join(only.select("fqn").distinct(), "fqn", "left_semi") for side in (cur, prev))
-    cur, prev = (
-        a.join(b.select("fqn").distinct(), "fqn", "left_semi") for a, b in ((cur, prev), (prev, cur))
-    )
     as_side = lambda df, p: df.select(
         "fqn", "column_name", F.col("data_type").alias(f"{p}_type"), F.col("signature").alias(f"{p}_signature")
     )
@@ -48,35 +45,37 @@ def schema_diff(current: DataFrame, previous: DataFrame, only: DataFrame | None
         .when(F.col("new_signature").isNull(), "DROP")
         .when(F.col("old_signature") != F.col("new_signature"), "TYPE")
     )
-    changed = both.withColumn("change", kind).where("change IS NOT NULL")
+    both = both.withColumn("change", kind)
 
-    one = lambda word, c: F.max(F.when(F.col("change") == word, F.col(c)))
-    renames = (
-        changed.where("change IN ('ADD', 'DROP')")
-        .groupBy("fqn")
+    count = lambda word: F.count_if(F.coalesce(F.col("change") == word, F.lit(False)))
+    only_one = lambda word, c: F.max(F.when(F.col("change") == word, F.col(c)))
+    tables = (
+        both.groupBy("fqn")
         .agg(
-            F.count_if(F.col("change") == "ADD").alias("added"),
-            F.count_if(F.col("change") == "DROP").alias("dropped"),
-            one("ADD", "column_name").alias("new_name"),
-            one("DROP", "column_name").alias("old_name"),
-            one("ADD", "new_signature").alias("new_sig"),
-            one("DROP", "old_signature").alias("old_sig"),
-            one("ADD", "new_type").alias("new_type"),
-            one("DROP", "old_type").alias("old_type"),
+            (F.count("old_signature") > 0).alias("__was"),
+            (F.count("new_signature") > 0).alias("__is"),
+            (
+                (count("ADD") == 1) & (count("DROP") == 1)
+                & (only_one("ADD", "new_signature") == only_one("DROP", "old_signature"))
+            ).alias("__renamed"),
+            only_one("ADD", "column_name").alias("__new_name"),
+            only_one("ADD", "new_type").alias("__new_type"),
         )
-        .where("added = 1 AND dropped = 1 AND new_sig = old_sig")
+        .where("__was AND __is")
     )
-    parts = renames.select("fqn", F.explode(F.array("new_name", "old_name")).alias("column_name"))
-    plain = changed.join(parts, ["fqn", "column_name"], "left_anti")
-    columns = ["fqn", "change", "column_name", "renamed_to", "old_type", "new_type"]
-    no_name = F.lit(None).cast("string")
-    out = plain.withColumn("renamed_to", no_name).select(*columns).unionByName(
-        renames.select(
-            "fqn", F.lit("POSSIBLE_RENAME").alias("change"), F.col("old_name").alias("column_name"),
-            F.col("new_name").alias("renamed_to"), "old_type", "new_type",
-        )
+    rows = both.where("change IS NOT NULL").join(tables, "fqn")
+    # Of a renamed pair the dropped column carries the row.
+    renamed = F.col("__renamed") & (F.col("change") == "DROP")
+    change = F.when(renamed, "POSSIBLE_RENAME").otherwise(F.col("change"))
+    return rows.where(~(F.col("__renamed") & (F.col("change") == "ADD"))).select(
+        "fqn",
+        change.alias("change"),
+        "column_name",
+        F.when(renamed, F.col("__new_name")).alias("renamed_to"),
+        "old_type",
+        F.when(renamed, F.col("__new_type")).otherwise(F.col("new_type")).alias("new_type"),
+        F.when(change == "ADD", "SAFE").otherwise("WARN").alias("severity"),
     )
-    return out.withColumn("severity", F.when(F.col("change") == "ADD", "SAFE").otherwise("WARN"))
 
 
 def schema_diff_summary(changes: DataFrame) -> DataFrame:

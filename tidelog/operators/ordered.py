@@ -95,20 +95,26 @@ class OrderedRows:
 
     def _cut(self, guard: SkewGuard) -> None:
         """Up to two passes over the leading order column (bursts are cut again),
-        then one per further column for rows that tie on all earlier ones."""
+        then one per further column for rows that tie on all earlier ones. Without
+        hot keys the first pass is the only one and nothing changes."""
         types = {f.name: f.dataType for f in self.df.schema.fields}
         for i, name in enumerate([self.order[0], *self.order]):
             where = _position(F.col(name), types[name])
-            if where is None:
-                break
             tied = [] if i < 2 else self.order[: i - 1]
-            self._cut_once(name, where, tied, guard)
+            if where is None or not self._cut_once(name, where, tied, guard):
+                break
+
+    def _cut_once(self, name: str, where: Column, tied: list[str], guard: SkewGuard) -> bool:
+        """Cut the groups that are too large; False if there are none.
 
-    def _cut_once(self, name: str, where: Column, tied: list[str], guard: SkewGuard) -> None:
+        Their at most ``max_hot`` cut points are fetched and put into the plan as a
+        literal table, so that every later use sees the same ones without another
+        pass over the data.
+        """
         groups = self.keys + self.pieces
         rows = self.df.where("__hot") if self.pieces else self.df
         same = [F.min(c).eqNullSafe(F.max(c)) for c in tied]
-        hot = (
+        large = (
             rows.groupBy(*groups)
             .agg(
                 F.count(F.lit(1)).alias("__n"),
@@ -123,15 +129,21 @@ class OrderedRows:
             .withColumn("__width", F.ceil((F.col("__hi") - F.col("__lo") + 1) / F.col("__parts")))
             .select(*groups, "__lo", "__width")
         )
+        found = large.toArrow()
+        if not found.num_rows:
+            return False
+        hot = self.df.sparkSession.createDataFrame(found, large.schema)
         piece = f"__piece{len(self.pieces)}"
         joined = join_null_safe(self.df, F.broadcast(hot), groups, "left")
+        is_hot = F.col("__width").isNotNull()
         # Null positions sort first, as nulls do in an ascending window.
         at = F.coalesce(F.floor((where - F.col("__lo")) / F.col("__width")), F.lit(-1))
-        df = joined.withColumn(piece, F.when(F.col("__lo").isNotNull(), at).otherwise(F.lit(0)).cast("bigint"))
+        df = joined.withColumn(piece, F.when(is_hot, at).otherwise(F.lit(0)).cast("bigint"))
         if not self.pieces:
-            df = df.withColumn("__hot", F.col("__lo").isNotNull())
+            df = df.withColumn("__hot", is_hot)
         self.df = df.drop("__lo", "__width")
         self.pieces.append(piece)
+        return True
 
     # -- building blocks ---------------------------------------------------
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.operators.profile import LOB_TYPES
+from tidelog.session import small_table
 
 
 def duplicate_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -74,20 +75,37 @@ def readiness(
     )
 
 
-def first_names(checks: DataFrame, flag: str, shown: int) -> DataFrame:
-    """The first ``shown`` names with a flag and how many more there are."""
-    rows = checks.where(flag)
-    top = rows.orderBy("fqn").limit(shown).agg(F.array_sort(F.collect_list("fqn")).alias("names"))
-    total = rows.agg(F.count(F.lit(1)).alias("c")).scalar()
-    return top.select(F.lit(flag).alias("check"), "names", F.greatest(total - shown, F.lit(0)).alias("more"))
-
-
 # How many names each list of the report shows.
 SHOWN = {"missing": 20, "no_pk": 20, "no_logging": 20, "has_lob": 10}
 
 
-def readiness_lists(checks: DataFrame) -> DataFrame:
-    return reduce(DataFrame.unionByName, [first_names(checks, flag, n) for flag, n in SHOWN.items()])
+def readiness_lists(checks: DataFrame, shown: dict[str, int] = SHOWN) -> DataFrame:
+    """Per check: the first failing names and how many more there are.
+
+    Names are cut to the shown number per task before they are gathered.
+    """
+    failing = F.array_compact(F.array(*[F.when(F.col(c), F.lit(c)) for c in shown]))
+    hits = checks.select("fqn", F.explode(failing).alias("check"))
+    limit = F.element_at(F.create_map(*[F.lit(x) for pair in shown.items() for x in pair]), F.col("check"))
+    first = Window.partitionBy("check").orderBy("fqn")
+    names = (
+        hits.withColumn("__rn", F.row_number().over(first))
+        .where(F.col("__rn") <= max(shown.values()))
+        .where(F.col("__rn") <= limit)
+        .groupBy("check")
+        .agg(F.array_sort(F.collect_list("fqn")).alias("names"))
+    )
+    totals = hits.groupBy("check").agg(F.count(F.lit(1)).alias("__total"))
+    listed = small_table(checks.sparkSession, list(shown.items()), "check string, __shown int")
+    return (
+        listed.join(totals, "check", "left")
+        .join(names, "check", "left")
+        .select(
+            "check",
+            F.coalesce("names", F.array().cast("array<string>")).alias("names"),
+            F.greatest(F.coalesce("__total", F.lit(0)) - F.col("__shown"), F.lit(0)).alias("more"),
+        )
+    )
 
 
 def readiness_summary(checks: DataFrame) -> DataFrame:

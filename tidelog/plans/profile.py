@@ -398,4 +398,4 @@ def readiness_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def readiness_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.readiness_lists(_checks(spark, sf_dir)).withColumn("names", F.array_join("names", ","))
+    return quality.readiness_lists(shared_checkpoint(_checks(spark, sf_dir))).withColumn("names", F.array_join("names", ","))

@@ -81,27 +81,22 @@ def throughput_1m(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "long_open",
-    """WITH spans AS (SELECT o_orderkey, min(least(o_orderdate, l_shipdate)) AS opened_at,
-      max(l_shipdate) FILTER (l_linestatus = 'F') AS closed_at, count(*) AS changes
-      FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey),
-    aged AS (SELECT *, epoch_us(coalesce(closed_at, TIMESTAMP '2003-01-01')) // 1000000 - epoch_us(opened_at) // 1000000 AS open_seconds FROM spans)
+    """WITH log AS (SELECT o_orderkey AS txn, o_orderdate AS moment, false AS closes FROM orders
+      UNION ALL SELECT l_orderkey, l_shipdate, l_linestatus = 'F' FROM lineitem),
+    spans AS (SELECT txn, min(moment) AS opened_at, max(moment) FILTER (WHERE closes) AS closed_at, count(*) AS changes FROM log GROUP BY txn),
+    aged AS (SELECT *, (epoch_us(coalesce(closed_at, TIMESTAMP '2003-01-01')) - epoch_us(opened_at)) // 1000000 AS open_seconds FROM spans)
     SELECT * FROM aged WHERE open_seconds > 31536000""",
 )
 def long_open(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as transactions: opened by their earliest date, closed by their last final line."""
-    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_shipdate", "l_linestatus")
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
-    log = lines.join(orders, "o_orderkey").withColumn("opened", F.least("o_orderdate", "l_shipdate"))
-    spans = telemetry.long_transactions(
-        log.select("o_orderkey", F.col("l_shipdate").alias("at"), "l_linestatus"),
-        ["o_orderkey"], "at", F.col("l_linestatus") == "F", F.to_timestamp_ntz(F.lit("2003-01-01 00:00:00")), -1,
-    ).select("o_orderkey", "closed_at", "changes")
-    first = log.groupBy("o_orderkey").agg(F.min("opened").alias("opened_at"))
-    aged = first.join(spans, "o_orderkey").withColumn(
-        "open_seconds",
-        F.timestamp_diff("SECOND", F.col("opened_at"), F.coalesce("closed_at", F.to_timestamp_ntz(F.lit("2003-01-01 00:00:00")))),
+    """Orders as transactions, lines as their changes; a final line closes one."""
+    opened = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("txn"), F.col("o_orderdate").alias("at"), F.lit(False).alias("closes")
     )
-    return aged.where("open_seconds > 31536000").select("o_orderkey", "opened_at", "closed_at", "changes", "open_seconds")
+    changed = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("txn"), F.col("l_shipdate").alias("at"), (F.col("l_linestatus") == "F").alias("closes")
+    )
+    now = F.to_timestamp_ntz(F.lit("2003-01-01 00:00:00"))
+    return telemetry.long_transactions(opened.unionByName(changed), ["txn"], "at", F.col("closes"), now, 365 * 86400)
 
 
 # -- files: events play trail files --------------------------------------------
