@@ -105,6 +105,7 @@ def assign_groups(
     placed = batch
     if rounds:
         placed = placed.unionByName(deal_rounds(oltp, so_far, ids, cost, n, rounds).select(*ids, cost, "group_id"))
+        placed = shared_checkpoint(placed)
     rest = (
         scored.where(~(is_batch | is_oltp)).select(*ids, cost)
         .unionByName(oltp.where(F.col("rank") > n * rounds).select(*ids, cost))
