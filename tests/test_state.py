@@ -96,6 +96,12 @@ def test_masking_and_dropping(log):
     assert "v" not in changelog.drop_columns(log, ["V"]).columns
 
 
+def test_target_decides_how_columns_are_hidden(spark):
+    people = spark.createDataFrame([(1, "123", "n", "I", 0)], "id int, ssn string, name string, op_type string, is_deleted int")
+    assert changelog.for_target(people, "snowflake", ["SSN"]).collect() == [(1, None, "n", "I", 0)]
+    assert changelog.for_target(people, "rds", ["SSN"]).collect() == [(1, "n")]
+
+
 def test_payload_exclusion(spark):
     rows = spark.createDataFrame([(1, {"ssn": "1", "name": "n"}, ["SSN"]), (2, {"ssn": "2"}, None)], "id int, p map<string,string>, x array<string>")
     out = rows.select(

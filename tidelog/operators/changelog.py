@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.operators.ordered import OrderedRows, SkewGuard, checked_broadcast
+from tidelog.operators.routes import WAREHOUSE
 from tidelog.operators.state import ORDER
 
 
@@ -25,6 +26,14 @@ def drop_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.upper() in hidden])
 
 
+def for_target(df: DataFrame, target: str, excluded: list[str]) -> DataFrame:
+    """A typed table's changes as one target gets them: the warehouse keeps excluded
+    columns as nulls, the mirror has no such columns and no operation columns."""
+    if target == WAREHOUSE:
+        return mask_columns(df, excluded)
+    return drop_columns(df, [*excluded, "op_type", "op_ts", "is_deleted"])
+
+
 def mask_payload(payload: Column, excluded: Column) -> Column:
     """Null the excluded entries of a map payload (multi-table logs)."""
     return F.transform_values(

@@ -22,7 +22,7 @@ query = REGISTRY.add
 
 KEYS_SQL = """WITH src AS (SELECT o_orderkey AS key, CASE WHEN o_orderkey % 17 = 0 THEN 1 ELSE 0 END AS gone FROM orders),
 tgt AS (SELECT DISTINCT l_orderkey AS key FROM lineitem WHERE l_orderkey % 19 <> 0
-        UNION SELECT o_orderkey + 100000000 FROM orders WHERE o_orderkey % 1000 = 0),
+        UNION SELECT -o_orderkey - 1 FROM orders WHERE o_orderkey % 1000 = 0),
 both_ AS (SELECT coalesce(s.key, t.key) AS key, coalesce(gone = 0, false) AS live, coalesce(gone = 1, false) AS dead, t.key IS NOT NULL AS there
           FROM src s FULL JOIN tgt t ON s.key = t.key),
 drift AS (SELECT key, live AND NOT there AS missing_in_target, there AND NOT live AS extra_in_target, there AND dead AS deleted_but_live FROM both_)
@@ -33,7 +33,7 @@ def _key_sets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     orders = table(spark, sf_dir, "orders")
     source = orders.select(F.col("o_orderkey").alias("key"), F.when(F.col("o_orderkey") % 17 == 0, 1).otherwise(0).alias("is_deleted"))
     lines = table(spark, sf_dir, "lineitem").where("l_orderkey % 19 <> 0").select(F.col("l_orderkey").alias("key"))
-    strays = orders.where("o_orderkey % 1000 = 0").select((F.col("o_orderkey") + 100_000_000).alias("key"))
+    strays = orders.where("o_orderkey % 1000 = 0").select((-F.col("o_orderkey") - 1).alias("key"))
     return source, lines.unionByName(strays)
 
 
@@ -56,19 +56,19 @@ def key_drift_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     "key_drift_by_bucket",
     """SELECT o_orderkey AS key, true AS missing_in_target, false AS extra_in_target, false AS deleted_but_live
     FROM orders WHERE o_orderkey % 4999 = 7
-    UNION ALL SELECT o_orderkey + 100000000, false, true, false FROM orders WHERE o_orderkey % 5001 = 9""",
+    UNION ALL SELECT -o_orderkey - 1, false, true, false FROM orders WHERE o_orderkey % 5001 = 9""",
 )
 def key_drift_by_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two nearly equal unique key sets: digests first, then only differing buckets."""
     keys = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"))
-    copy = keys.where("key % 4999 <> 7").unionByName(keys.where("key % 5001 = 9").select((F.col("key") + 100_000_000).alias("key")))
+    copy = keys.where("key % 4999 <> 7").unionByName(keys.where("key % 5001 = 9").select((-F.col("key") - 1).alias("key")))
     return drift.key_drift(keys, copy, ["key"], only_drifted=1024)
 
 
 @query(
     "bucket_drift",
-    """WITH s AS (SELECT o_orderkey % 64 AS bucket, count(*) AS n, CAST(sum(o_orderkey * o_orderkey % 2147483648) AS BIGINT) AS d FROM orders GROUP BY 1),
-    t AS (SELECT key % 64 AS bucket, count(*) AS n, CAST(sum(key * key % 2147483648) AS BIGINT) AS d
+    """WITH s AS (SELECT o_orderkey % 64 AS bucket, count(*) AS n, CAST(sum((o_orderkey % 2147483648) * (o_orderkey % 2147483648) % 2147483648) AS BIGINT) AS d FROM orders GROUP BY 1),
+    t AS (SELECT key % 64 AS bucket, count(*) AS n, CAST(sum((key % 2147483648) * (key % 2147483648) % 2147483648) AS BIGINT) AS d
           FROM (SELECT DISTINCT l_orderkey AS key FROM lineitem) GROUP BY 1)
     SELECT coalesce(s.bucket, t.bucket) AS bucket, s.n AS source_keys, s.d AS source_digest, t.n AS target_keys, t.d AS target_digest
     FROM s FULL JOIN t ON s.bucket = t.bucket WHERE s.n IS DISTINCT FROM t.n OR s.d IS DISTINCT FROM t.d""",
@@ -77,9 +77,8 @@ def bucket_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With a digest SQL can repeat (the default digest is xxhash64)."""
     source = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"))
     target = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key")).distinct()
-    return drift.drifted_buckets(
-        source, target, ["key"], hashed=lambda k: F.col(k[0]) * F.col(k[0]), bucket=lambda k: F.col(k[0]) % 64
-    )
+    squared = lambda k: (F.col(k[0]) % (1 << 31)) * (F.col(k[0]) % (1 << 31))
+    return drift.drifted_buckets(source, target, ["key"], hashed=squared, bucket=lambda k: F.col(k[0]) % 64)
 
 
 @query("keys_missing_downstream", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
@@ -120,7 +119,7 @@ def _columns(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(key % 48 == 0, F.lit(None)).when(key % 24 == 0, key % 38 + 1).cast("int").alias("data_precision"),
         F.when(key % 24 == 0, key % 5 - 1).cast("int").alias("data_scale"),
         F.when(key % 2 == 0, "Y").otherwise("N").alias("nullable"),
-        key.cast("int").alias("column_id"),
+        key.alias("column_id"),
     )
 
 
@@ -152,7 +151,7 @@ def _typed(f, df: DataFrame) -> Column:
 def type_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     cols = _columns(spark, sf_dir)
     return cols.select(
-        F.col("column_id").cast("bigint").alias("id"),
+        F.col("column_id").alias("id"),
         _typed(typemap.target_type, cols).alias("target_type"),
         typemap.is_unmapped(F.col("data_type")).alias("warned"),
     )
@@ -164,7 +163,7 @@ SIGNATURE_SQL = "concat_ws('|', data_type, CAST(prec AS VARCHAR), CAST(scale AS
 @query("type_signatures", COLUMNS_SQL + f"SELECT id, {SIGNATURE_SQL} AS signature FROM cols")
 def type_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     cols = _columns(spark, sf_dir)
-    return cols.select(F.col("column_id").cast("bigint").alias("id"), _typed(typemap.type_signature, cols).alias("signature"))
+    return cols.select(F.col("column_id").alias("id"), _typed(typemap.type_signature, cols).alias("signature"))
 
 
 def _snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

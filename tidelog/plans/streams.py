@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import datetime
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelog import small_table
 from tidelog.plans.base import LOG_SQL, Registry, event_log, table
-from tidelog.plans.cdc import LOG_COLUMNS, STATE_SQL
-from tidelog.plans.telemetry import RETRY_SQL, THROUGHPUT_SQL
+from tidelog.plans.cdc import LOG_COLUMNS, ROUTES_SQL, STATE_SQL, route_table
+from tidelog.plans.telemetry import EVENTS_SQL, LAG_SQL, NOW, RETRY_SQL, THROUGHPUT_SQL, _lines, _rule_sql
 from tidelog.sinks.mirror import Mirror
+from tidelog.sinks.reports import stream_alerts
 from tidelog.streaming import ingest, monitor, recovery
 
 REGISTRY = Registry()
@@ -58,16 +61,67 @@ def stream_mirror(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mirror.state().select(*LOG_COLUMNS)
 
 
+def whole_result(aggregated: DataFrame, home: str) -> DataFrame:
+    """Last complete state of an aggregating stream. Append mode would wait for
+    later events before it gives out the last windows."""
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{home}/out")
+
+    finish(aggregated.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{home}/checkpoint"))
+    return aggregated.sparkSession.read.schema(aggregated.schema).parquet(f"{home}/out")
+
+
 @query("stream_throughput", THROUGHPUT_SQL)
 def stream_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Complete mode, since the input ends: append mode waits for later events."""
-    name = f"throughput_{uuid.uuid4().hex}"
     out = monitor.throughput_stream(_event_stream(spark, sf_dir), ["event_type"], 30)
-    finish(
-        out.writeStream.outputMode("complete").format("memory").queryName(name)
-        .option("checkpointLocation", f"{workspace(spark)}/checkpoint")
+    rows = whole_result(out, workspace(spark))
+    return rows.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query("stream_heartbeat_lag", LAG_SQL)
+def stream_heartbeat_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    now = F.to_timestamp_ntz(F.lit(NOW)).cast("timestamp")
+    beats = _event_stream(spark, sf_dir).select("k", "op_ts")
+    lag = monitor.heartbeat_lag_stream(beats, ["k"], now, "op_ts", scale=(5000, 20000, "WARNING"))
+    return whole_result(lag, workspace(spark)).withColumn("op_ts", F.col("op_ts").cast("timestamp_ntz"))
+
+
+@query(
+    "stream_failures",
+    EVENTS_SQL
+    + f""", c AS (SELECT *, {_rule_sql('value')} AS hit FROM found WHERE process_name IS NOT NULL)
+    SELECT row, process_name, regexp_extract_all(value, '(OGG-[0-9]+)', 1)[-1] AS error_code,
+      upper(regexp_extract_all(value, '(?i)(?:TABLE|MAP)\\s+(\\w+\\.\\w+)', 1)[-1]) AS failing_table,
+      split_part(hit, '|', 1) AS error_class, split_part(hit, '|', 2) AS error_pattern FROM c""",
+)
+def stream_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    home = workspace(spark)
+    lines = _lines(spark, sf_dir, stream_of(spark, sf_dir, "events"))
+    columns = ["row", "process_name", "error_code", "failing_table", "error_class", "error_pattern"]
+    failures = recovery.failure_stream(lines).select(*columns)
+    finish(stream_alerts(failures, f"{home}/alerts", f"{home}/checkpoint"))
+    return spark.read.schema(failures.schema).json(f"{home}/alerts")
+
+
+@query(
+    "stream_routed",
+    LOG_SQL
+    + ROUTES_SQL
+    + """SELECT target, target_schema, table_name, count(*) AS changes FROM log JOIN routes ON upper(event_type) = table_name
+    WHERE table_name <> 'VIEW' GROUP BY ALL""",
+)
+def stream_routed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One table is quarantined by an override while the stream runs."""
+    home = workspace(spark)
+    changes = _event_stream(spark, sf_dir).select("seq", "k", F.concat(F.lit("APP."), F.upper("event_type")).alias("fqn"))
+    plain = route_table(spark).withColumns({"disabled_reason": F.lit(""), "disabled_at": F.lit("")})
+    off = small_table(
+        spark, [("APP.VIEW", False, "failing", datetime.datetime(2024, 1, 1))], "fqn string, enabled boolean, reason string, changed_at timestamp_ntz"
     )
-    return spark.table(name).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    finish(ingest.routed_stream(changes, lambda: plain, lambda: off, f"{home}/routed", f"{home}/checkpoint"))
+    routed = spark.read.parquet(f"{home}/routed")
+    return routed.groupBy("target", "target_schema", "table_name").agg(F.count(F.lit(1)).alias("changes"))
 
 
 @query("stream_retry", RETRY_SQL.replace("SELECT k, seq,", "SELECT CAST(k AS VARCHAR) AS k, seq,"))

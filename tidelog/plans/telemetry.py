@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidelog.functions import rules, status, text
 from tidelog.operators import loglines, retry, routes, telemetry
-from tidelog.operators.ordered import SkewGuard
+from tidelog.operators.ordered import SkewGuard, global_rank
 from tidelog.plans.base import LOG_SQL, Registry, event_log, table
 from tidelog.sinks.archive import due_for_archive
 from tidelog.sources.inventory import parse_inventory
@@ -29,13 +29,15 @@ LAG_WORDS = "CASE WHEN {s} > {c} THEN 'CRITICAL' WHEN {s} > {w} THEN '{word}' EL
 SECONDS = "(epoch_us({b}) - epoch_us({a})) // 1000000"
 
 
-@query(
-    "lag_status",
+LAG_SQL = (
     LOG_SQL
     + f""", last AS (SELECT k, max(op_ts) AS op_ts FROM log GROUP BY k),
     lag AS (SELECT *, {SECONDS.format(a='op_ts', b=f"TIMESTAMP '{NOW}'")} AS lag_seconds FROM last)
-    SELECT *, {LAG_WORDS.format(s='lag_seconds', c=20000, w=5000, word='WARNING')} AS lag_status FROM lag""",
+    SELECT *, {LAG_WORDS.format(s='lag_seconds', c=20000, w=5000, word='WARNING')} AS lag_status FROM lag"""
 )
+
+
+@query("lag_status", LAG_SQL)
 def lag_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telemetry.heartbeat_lag(event_log(spark, sf_dir), ["k"], _now(), "op_ts", (5000, 20000, "WARNING"))
 
@@ -104,7 +106,7 @@ def long_open(spark: SparkSession, sf_dir: str) -> DataFrame:
 # One file per event; the file stays listed on its day and the two days after.
 FILES_SQL = """WITH files AS (
   SELECT event_id, 'd' || user_id % 3 AS dir, CASE event_type WHEN 'click' THEN 'e1' WHEN 'view' THEN 'e2' WHEN 'purchase' THEN 'p1' ELSE 'r1' END AS prefix,
-    event_id AS sequence, CAST(round(value * 1048576) AS BIGINT) AS size_bytes, ts AS mtime, date_trunc('day', ts) AS day
+    event_id % 1000000000 AS sequence, CAST(round(value * 1048576) AS BIGINT) AS size_bytes, ts AS mtime, date_trunc('day', ts) AS day
   FROM events WHERE event_type <> 'error'),
 listing AS (SELECT *, day + CAST(d AS INTEGER) * INTERVAL 1 DAY AS snapshot_ts FROM files, range(0, 3) r(d)),
 stats AS (SELECT snapshot_ts, dir, prefix, count(*) AS files, CAST(sum(size_bytes) AS BIGINT) AS total_bytes, max(sequence) AS newest_seq,
@@ -119,7 +121,7 @@ def _listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     stays = F.explode(F.array(*[F.lit(d) for d in range(3)]))
     return table(spark, sf_dir, "events").select(
         F.concat(F.lit("d"), (F.col("user_id") % 3).cast("string")).alias("dir"),
-        F.concat(prefix, F.lpad(F.col("event_id").cast("string"), 9, "0")).alias("name"),
+        F.concat(prefix, F.lpad((F.col("event_id") % 1_000_000_000).cast("string"), 9, "0")).alias("name"),
         F.round(F.col("value") * 1048576).cast("bigint").alias("size_bytes"),
         F.col("ts").alias("mtime"),
         day.alias("day"),
@@ -247,14 +249,14 @@ LINES_SQL = f"""WITH lines AS (
 """
 
 
-def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _lines(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     kind, user, event = F.col("event_type"), F.col("user_id"), F.col("event_id")
     stamp = F.when(kind.isin("error", "signup"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z '")).otherwise("  ")
     word = F.when(kind == "error", "ERROR ").when(kind == "purchase", "stopped after ").otherwise("INFO ")
     code = F.element_at(F.array(*[F.lit(p) for p in PRINTED]), (event % len(PRINTED) + 1).cast("int"))
     process = F.when(kind == "error", F.concat(F.lit(" EXTRACT ext"), (user % 20).cast("string"), F.lit(" ABENDED"))).otherwise("")
     where = F.when(event % 3 == 0, F.concat(F.lit(" on TABLE app.t"), (user % 9).cast("string"))).otherwise("")
-    return table(spark, sf_dir, "events").select(
+    return (events if events is not None else table(spark, sf_dir, "events")).select(
         F.concat(F.lit("u"), (user % 7).cast("string"), F.lit(".log")).alias("file"),
         F.lit(0).cast("bigint").alias("block"),
         event.alias("row"),
@@ -602,10 +604,10 @@ def archive_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     o_orderstatus, o_orderpriority, n FROM (SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL)""",
 )
 def report_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sorted report of matching states first (few rows, hence one partition)."""
+    """Report rows with the matching state first, numbered in report order."""
     counts = table(spark, sf_dir, "orders").groupBy("o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
-    ordered = counts.orderBy(F.col("o_orderstatus") != "O", "o_orderpriority", "o_orderstatus").coalesce(1)
-    return ordered.select((F.monotonically_increasing_id() + 1).alias("place"), "*")
+    order = [F.asc("__other"), F.asc("o_orderpriority"), F.asc("o_orderstatus")]
+    return global_rank(counts.withColumn("__other", F.col("o_orderstatus") != "O"), order, "place").drop("__other")
 
 
 @query(
