@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidelog import small_table
-from tidelog.operators.ordered import OrderedRows, SkewGuard, estimated_bytes, global_rank
+from tidelog.operators.ordered import OrderedRows, SkewGuard, checked_broadcast, estimated_bytes, global_rank
 from tidelog.operators.state import scd2_history
 
 ALWAYS = SkewGuard(min_bytes=0, hot_rows=20, max_hot=50)
@@ -102,3 +102,21 @@ def test_global_rank_with_ties_on_the_first_column(spark):
 def test_size_estimate_follows_the_columns_read(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet")
     assert 0 < estimated_bytes(df.select("l_orderkey")) < estimated_bytes(df)
+
+
+def test_local_times_keep_their_order_in_a_zone_with_summer_time(spark, skewed):
+    expected = OrderedRows(skewed, ["k"], ORDER).following({"n": F.col("seq")}).frame().collect()
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        got = OrderedRows(skewed, ["k"], ORDER, ALWAYS).following({"n": F.col("seq")}).frame().collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert sorted(map(str, got)) == sorted(map(str, expected))
+
+
+def test_only_small_tables_are_broadcast(spark):
+    small, large = spark.range(5), spark.range(50)
+    plan = lambda side: spark.range(100).join(checked_broadcast(side, 10), "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan(small)
+    assert "strategy=broadcast" not in plan(large)
+    assert spark.range(100).join(checked_broadcast(large, 10), "id").count() == 50

@@ -10,7 +10,7 @@ Results are the same as those of the plain window.
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from functools import reduce
 from operator import and_
@@ -52,19 +52,18 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str)
     return left.join(renamed, on, how).drop(*[f"__r_{k}" for k in keys])
 
 
-def _position(c: Column, t: T.DataType) -> Column | None:
+def _position(c: Column, t: T.DataType, zone: str) -> Column | None:
     """A bigint that never decreases when the column grows; None if there is none."""
     if isinstance(t, T.IntegralType):
         return c.cast("bigint")
     if isinstance(t, T.DateType):
         return F.unix_date(c).cast("bigint")
-    if isinstance(t, (T.TimestampType, T.TimestampNTZType)):
-        # Field arithmetic: no time zone is involved for NTZ values.
+    if isinstance(t, T.TimestampType) or (isinstance(t, T.TimestampNTZType) and zone == "UTC"):
+        return F.unix_micros(c.cast("timestamp"))
+    if isinstance(t, T.TimestampNTZType):
+        # Reading local times in a zone with summer time would not keep their order.
         seconds = F.unix_date(c.cast("date")).cast("bigint") * 86400 + F.hour(c) * 3600 + F.minute(c) * 60
-        micros = (F.date_part(F.lit("SECOND"), c) * 1_000_000).cast("bigint")
-        if isinstance(t, T.TimestampType):
-            return F.unix_micros(c)
-        return seconds * 1_000_000 + micros
+        return seconds * 1_000_000 + (F.date_part(F.lit("SECOND"), c) * 1_000_000).cast("bigint")
     return None
 
 
@@ -98,13 +97,14 @@ class OrderedRows:
         then one per further column for rows that tie on all earlier ones. Without
         hot keys the first pass is the only one and nothing changes."""
         types = {f.name: f.dataType for f in self.df.schema.fields}
+        zone = self.df.sparkSession.conf.get("spark.sql.session.timeZone")
         for i, name in enumerate([self.order[0], *self.order]):
-            where = _position(F.col(name), types[name])
+            place = lambda c: _position(c, types[name], zone)
             tied = [] if i < 2 else self.order[: i - 1]
-            if where is None or not self._cut_once(name, where, tied, guard):
+            if place(F.col(name)) is None or not self._cut_once(name, place, tied, guard):
                 break
 
-    def _cut_once(self, name: str, where: Column, tied: list[str], guard: SkewGuard) -> bool:
+    def _cut_once(self, name: str, place: Callable[[Column], Column], tied: list[str], guard: SkewGuard) -> bool:
         """Cut the groups that are too large; False if there are none.
 
         Their at most ``max_hot`` cut points are fetched and put into the plan as a
@@ -118,13 +118,14 @@ class OrderedRows:
             rows.groupBy(*groups)
             .agg(
                 F.count(F.lit(1)).alias("__n"),
-                F.min(where).alias("__lo"),
-                F.max(where).alias("__hi"),
+                F.min(name).alias("__lo"),
+                F.max(name).alias("__hi"),
                 reduce(and_, same, F.lit(True)).alias("__same"),
             )
             .where((F.col("__n") > guard.hot_rows) & F.col("__same"))
             .orderBy(F.desc("__n"), *groups)
             .limit(guard.max_hot)
+            .withColumns({c: place(F.col(c)) for c in ("__lo", "__hi")})
             .withColumn("__parts", F.ceil(F.col("__n") * 2 / guard.hot_rows))
             .withColumn("__width", F.ceil((F.col("__hi") - F.col("__lo") + 1) / F.col("__parts")))
             .select(*groups, "__lo", "__width")
@@ -137,7 +138,7 @@ class OrderedRows:
         joined = join_null_safe(self.df, F.broadcast(hot), groups, "left")
         is_hot = F.col("__width").isNotNull()
         # Null positions sort first, as nulls do in an ascending window.
-        at = F.coalesce(F.floor((where - F.col("__lo")) / F.col("__width")), F.lit(-1))
+        at = F.coalesce(F.floor((place(F.col(name)) - F.col("__lo")) / F.col("__width")), F.lit(-1))
         df = joined.withColumn(piece, F.when(is_hot, at).otherwise(F.lit(0)).cast("bigint"))
         if not self.pieces:
             df = df.withColumn("__hot", is_hot)
