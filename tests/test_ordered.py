@@ -55,6 +55,15 @@ def test_hot_keys_are_cut_into_bounded_pieces(skewed):
     assert ends.withColumn("next", F.lead("lo").over(w)).where("next <= hi").count() == 0
 
 
+def test_the_number_of_pieces_is_bounded(skewed):
+    guard = SkewGuard(min_bytes=0, hot_rows=2, max_hot=3, max_pieces=10)
+    cut = OrderedRows(skewed, ["k"], ORDER, guard)
+    per_level = 2 * guard.max_pieces + guard.max_hot
+    assert cut.df.where("__hot").groupBy("k", *cut.pieces).count().count() <= len(cut.pieces) * per_level
+    columns = {"t": F.col("op_ts"), "n": F.col("v")}
+    same(OrderedRows(skewed, ["k"], ORDER).following(columns).frame(), cut.following(columns).frame())
+
+
 def test_small_inputs_are_left_whole(skewed):
     assert OrderedRows(skewed, ["k"], ORDER).pieces == []
 

@@ -64,9 +64,9 @@ class Rule:
     def label(self) -> str:
         return f"{self.pattern}: {self.description}"
 
-    def matches(self, text: Column) -> Column:
+    def matches(self, text: Column, lowered: Column) -> Column:
         if self.literal:
-            return F.contains(F.lower(text), F.lit(self.pattern.lower()))
+            return F.contains(lowered, F.lit(self.pattern.lower()))
         return text.rlike(f"(?i){self.pattern}")
 
 
@@ -79,11 +79,16 @@ def default_rules() -> list[Rule]:
     ]
 
 
-def first_rule(text: Column, rules: list[Rule]) -> Column:
-    """Position of the first rule that matches; the number of rules if none does."""
+def first_rule(text: Column, rules: list[Rule], lowered: Column | None = None) -> Column:
+    """Position of the first rule that matches; the number of rules if none does.
+
+    ``lowered`` may name a column that holds the text in lower case already, which
+    saves doing that once per rule.
+    """
+    low = F.lower(text) if lowered is None else lowered
     found = F
     for i, rule in enumerate(rules):
-        found = found.when(rule.matches(text), i)
+        found = found.when(rule.matches(text, low), i)
     return F.lit(len(rules)) if found is F else found.otherwise(len(rules))
 
 

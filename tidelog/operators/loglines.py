@@ -91,6 +91,19 @@ def report_details(reports: DataFrame, n: int = EVENT_TAIL, by: str = "process_n
     )
 
 
+def with_rule(df: DataFrame, text: str, rule_list: list[rules.Rule], name: str) -> DataFrame:
+    """Add the position of the first rule that matches a text column."""
+    lowered = df.withColumn("__low", F.lower(text))
+    return lowered.withColumn(name, rules.first_rule(F.col(text), rule_list, F.col("__low"))).drop("__low")
+
+
+def classified(df: DataFrame, text: str = "value", rule_list: list[rules.Rule] | None = None) -> DataFrame:
+    """Add error_class and error_pattern of a text column. Works on streams too."""
+    chosen = rules.default_rules() if rule_list is None else rule_list
+    found = with_rule(df, text, chosen, "__rule").withColumn("__c", rules.rule_result(F.col("__rule"), chosen))
+    return found.select("*", "__c.*").drop("__c", "__rule")
+
+
 def enrich_events(events: DataFrame, reports: DataFrame, n: int = RECOVERY_TAIL, rule_list: list[rules.Rule] | None = None) -> DataFrame:
     """Events with report details and the failure class of line and report.
 
@@ -98,10 +111,11 @@ def enrich_events(events: DataFrame, reports: DataFrame, n: int = RECOVERY_TAIL,
     the rule that comes first in the list wins.
     """
     chosen = rules.default_rules() if rule_list is None else rule_list
-    details = report_details(reports, n).withColumn("__in_report", rules.first_rule(F.col("excerpt"), chosen))
-    joined = named_events(events).join(details, "process_name", "left")
-    position = F.least(rules.first_rule(F.col("value"), chosen), F.col("__in_report"))
-    return joined.withColumn("__c", rules.rule_result(position, chosen)).select("*", "__c.*").drop("__c", "__in_report")
+    details = with_rule(report_details(reports, n), "excerpt", chosen, "__in_report")
+    lines = with_rule(named_events(events), "value", chosen, "__in_line")
+    joined = lines.join(details, "process_name", "left")
+    position = F.least("__in_line", "__in_report")
+    return joined.withColumn("__c", rules.rule_result(position, chosen)).select("*", "__c.*").drop("__c", "__in_line", "__in_report")
 
 
 def process_status(lines: DataFrame, order: list[str] = LINE_ORDER) -> DataFrame:

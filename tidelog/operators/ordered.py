@@ -28,15 +28,17 @@ class SkewGuard:
     key can be larger than its input. ``hot_rows``: keys with more rows are cut
     into pieces of about half that many. ``max_hot``: at most this many keys are
     cut per level (the largest ones); any other key then has fewer than
-    N / max_hot rows, so the rest stays spread too.
+    N / max_hot rows, so the rest stays spread too. ``max_pieces``: pieces grow
+    instead of becoming more than about this many per level.
 
-    The broadcast tables are bounded by these numbers: ``max_hot`` rows for the
-    cut points and about 2 N / hot_rows + max_hot rows per level for summaries.
+    The broadcast tables are bounded by these numbers, not by the data: ``max_hot``
+    rows of cut points and 2 max_pieces + max_hot summary rows per level.
     """
 
     min_bytes: int = 256 << 20
     hot_rows: int = 4_000_000
     max_hot: int = 4096
+    max_pieces: int = 100_000
 
 
 def estimated_bytes(df: DataFrame) -> int:
@@ -125,15 +127,16 @@ class OrderedRows:
             .where((F.col("__n") > guard.hot_rows) & F.col("__same"))
             .orderBy(F.desc("__n"), *groups)
             .limit(guard.max_hot)
-            .withColumns({c: place(F.col(c)) for c in ("__lo", "__hi")})
-            .withColumn("__parts", F.ceil(F.col("__n") * 2 / guard.hot_rows))
-            .withColumn("__width", F.ceil((F.col("__hi") - F.col("__lo") + 1) / F.col("__parts")))
-            .select(*groups, "__lo", "__width")
+            .select(*groups, "__n", place(F.col("__lo")).alias("__lo"), place(F.col("__hi")).alias("__hi"))
         )
         found = large.toArrow()
         if not found.num_rows:
             return False
-        hot = self.df.sparkSession.createDataFrame(found, large.schema)
+        rows_per_piece = max(guard.hot_rows, sum(found["__n"].to_pylist()) // guard.max_pieces)
+        parts = F.ceil(F.col("__n") * 2 / rows_per_piece)
+        hot = self.df.sparkSession.createDataFrame(found, large.schema).select(
+            *groups, "__lo", F.ceil((F.col("__hi") - F.col("__lo") + 1) / parts).alias("__width")
+        )
         piece = f"__piece{len(self.pieces)}"
         joined = join_null_safe(self.df, F.broadcast(hot), groups, "left")
         is_hot = F.col("__width").isNotNull()

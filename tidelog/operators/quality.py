@@ -33,7 +33,7 @@ def key_quality(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def key_columns(constraints: DataFrame, constraint_columns: DataFrame) -> DataFrame:
-    """Primary-key columns per table, in key order, as one text."""
+    """Primary-key columns per table, in key order, as one text (a key has few columns)."""
     primary = constraints.where("constraint_type = 'P'").select("owner", "table_name", "constraint_name")
     joined = constraint_columns.select("owner", "constraint_name", "column_name", "position").join(
         primary, ["owner", "constraint_name"]
@@ -44,7 +44,7 @@ def key_columns(constraints: DataFrame, constraint_columns: DataFrame) -> DataFr
 
 
 def ordered_columns(columns: DataFrame) -> DataFrame:
-    """Column names of each table in declared order."""
+    """Column names of each table in declared order (databases limit them to about 1000)."""
     return columns.groupBy("owner", "table_name").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("column_id", "column_name"))), lambda c: c.column_name).alias("columns")
     )

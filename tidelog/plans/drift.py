@@ -349,9 +349,12 @@ def set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "replayed_rows_masked",
-    "SELECT o_orderkey, CAST(NULL AS DOUBLE) AS o_totalprice, o_orderstatus FROM orders WHERE o_orderkey >= 5000",
+    """SELECT o_orderkey, CAST(NULL AS DOUBLE) AS o_totalprice, o_orderstatus FROM orders
+    WHERE o_orderkey >= (SELECT arg_max(o_orderkey, (o_orderdate, o_orderkey)) FROM orders WHERE o_orderdate <= TIMESTAMP '1996-01-01')""",
 )
 def replayed_rows_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Filter and pruning reach the scan below the mask."""
-    rows = changelog.replay_from(table(spark, sf_dir, "orders"), 5000, "o_orderkey")
+    """Replay from the position of the last order up to a date, prices masked."""
+    orders = table(spark, sf_dir, "orders")
+    start = changelog.position_at(orders, F.to_timestamp_ntz(F.lit("1996-01-01 00:00:00")), "o_orderdate", "o_orderkey").scalar()
+    rows = changelog.replay_from(orders, start, "o_orderkey")
     return changelog.mask_columns(rows.select("o_orderkey", "o_totalprice", "o_orderstatus"), ["o_totalprice"])

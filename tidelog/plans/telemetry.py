@@ -320,7 +320,7 @@ EVENTS_SQL = LINES_SQL + """, found AS (
 @query("log_classify", EVENTS_SQL + f", c AS (SELECT *, {_rule_sql('value')} AS hit FROM found) SELECT row, process_name, split_part(hit, '|', 1) AS error_class, split_part(hit, '|', 2) AS error_pattern FROM c")
 def log_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = loglines.abend_events(_lines(spark, sf_dir), rules.ABEND_OR_STOP_LINE)
-    return events.withColumn("c", rules.classify(F.col("value"))).select("row", "process_name", "c.*")
+    return loglines.classified(events).select("row", "process_name", "error_class", "error_pattern")
 
 
 DETAILS_SQL = LINES_SQL + """, tail AS (SELECT 'EXT' || user_id % 20 AS process_name, row, value,

@@ -63,9 +63,7 @@ def failure_stream(lines: DataFrame) -> DataFrame:
     events = loglines.named_events(loglines.abend_events(lines, rules.ABEND_OR_STOP_LINE))
     table = F.upper(rules.last_match(F.col("value"), rules.TABLE_NAME))
     code = rules.last_match(F.col("value"), rules.ERROR_CODE)
-    return events.withColumns({"error_code": code, "failing_table": table, "__c": rules.classify(F.col("value"))}).select(
-        "*", "__c.*"
-    ).drop("__c")
+    return loglines.classified(events).withColumns({"error_code": code, "failing_table": table})
 
 
 def quarantine_stream(failures: DataFrame, overrides_path: str, checkpoint: str):
