@@ -9,16 +9,17 @@ Results are the same as those of the plain window.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidelog.session import scratch_dir
+
 
 @dataclass(frozen=True)
 class SkewGuard:
@@ -230,17 +231,11 @@ class OrderedRows:
 def shared_checkpoint(df: DataFrame) -> DataFrame:
     """Materialise in the folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only a local session may fall back to a folder of its own.
+    Where that is unset, the folder lies in the warehouse.
     """
-    spark: SparkSession = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="tidelog-checkpoint-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(scratch_dir(df.sparkSession))
     return df.checkpoint()
 
 

@@ -38,6 +38,16 @@ def build_session(app: str = "tidelog", master: str | None = None, **extra: str)
     return builder.getOrCreate()
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """The folder for intermediate tables and checkpoints, shared by driver and executors.
+
+    ``spark.checkpoint.dir`` names it. Where that is unset, it lies in the warehouse,
+    which Spark requires to be shared as well.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    return folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/_tidelog_scratch"
+
+
 def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A literal table the optimizer knows the size of (so it can be broadcast).
 
