@@ -12,13 +12,16 @@ hash space, are cut into blocks of equal width. Two documents link when
   rows that can reach into the next space take part there too.
 * Rows with more than ``e`` empty blocks in a space also give the hashes of those. Two rows
   linked through empty blocks only are both of that kind, so no link is lost.
+* A linked pair shares at least ``1 + e`` blocks less its empty ones: pairs that share fewer
+  are not formed either.
 * Candidate pairs are multiplied block by block: overlap counts accumulate, and a pair
   goes as soon as what is left cannot reach ``num * (a + b) / (num + den)``.
 
 Groups of copies. Equal rows are one class. In a block's bucket each row is first paired with
 one pivot only, so that a bucket costs as many pairs as it has rows, and buckets are
-pre-aggregated per batch of documents before the shuffle. What the pivots leave apart is then
-paired across components, in the buckets where that is possible at all. Components are
+pre-aggregated per batch of documents before the shuffle. Pairs that meet in one bucket only are
+put off, as most of those are chance. What the pivots leave apart is then paired across
+components, in the buckets where that is possible at all. Components are
 therefore those of all links, without forming all pairs of a group.
 """
 
@@ -27,6 +30,7 @@ from __future__ import annotations
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +43,7 @@ from tidelog.llm.graph import components
 from tidelog.llm.words import EMPTY, MULTIPLIER, distinct, grams, mix, word_hashes
 
 PRODUCT_BLOCKS = 8
+PRODUCT_ENTRIES = 500_000
 BLOCK_SALT, CONTENT_SALT = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -84,16 +89,17 @@ class JaccardRule:
             self._spaces[c] = d, e, np.array([(i << 64) // k for i in range(k)], np.uint64)
         return self._spaces[c]
 
-    def signatures(self, row: np.ndarray) -> np.ndarray:
-        """One hash per block of each space the row takes part in."""
+    def signatures(self, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One hash per block of each space the row takes part in, and the number of them
+        that any linked row has too, at least."""
         n = len(row)
         if not n:
-            return EMPTY
+            return EMPTY, EMPTY
         c = self._space_of(n)
         reach = n * self.den // self.num
         self._space_of(reach)
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(row ^ CONTENT_SALT), dtype=np.uint64)])
-        out = []
+        out, need = [], []
         for space in (c, c + 1) if reach >= self._starts[c + 1] else (c,):
             self._space_of(self._starts[space + 1] if space + 1 < len(self._starts) else self._starts[-1])
             d, e, starts = self._space(space)
@@ -104,8 +110,10 @@ class JaccardRule:
             number = np.arange(len(starts), dtype=np.uint64)
             hashes = mix(content * MULTIPLIER + (number + np.uint64(space << 32)) * BLOCK_SALT)
             filled = edges[1:] > edges[:-1]
-            out.append(hashes if len(starts) - filled.sum() > e else hashes[filled])
-        return np.concatenate(out) if out else EMPTY
+            empty = len(starts) - int(filled.sum())
+            out.append(hashes if empty > e else hashes[filled])
+            need.append(np.full(len(out[-1]), 1 if empty > e else 1 + e - empty, np.uint64))
+        return (np.concatenate(out), np.concatenate(need)) if out else (EMPTY, EMPTY)
 
 
 def _fields(df: DataFrame, key: str, **more: str) -> T.StructType:
@@ -128,7 +136,7 @@ def row_keys(docs: DataFrame, rule: JaccardRule, key: str, text: str) -> DataFra
 
 
 def _bucket_rows(docs: DataFrame, rule: JaccardRule, key: str, text: str) -> DataFrame:
-    """(sig, doc, pivot). Within a batch of documents each bucket has a pivot; only the
+    """(sig, doc, need, pivot). Within a batch of documents each bucket has a pivot; only the
     pivot's row goes on to the shuffle, with ``pivot`` null. Copies in a batch count once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,10 +145,12 @@ def _bucket_rows(docs: DataFrame, rule: JaccardRule, key: str, text: str) -> Dat
             for t in batch.column(1).to_pylist():
                 row = rule.row(t)
                 digest = (len(row), int(row.sum(dtype=np.uint64)), int(mix(row).sum(dtype=np.uint64)))
-                parts.append(EMPTY if digest in met else rule.signatures(row))
+                parts.append((EMPTY, EMPTY) if digest in met else rule.signatures(row))
                 met.add(digest)
-            sig = np.concatenate(parts) if parts else EMPTY
-            owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+            if not parts:
+                continue
+            sig, need = (np.concatenate(x) for x in zip(*parts, strict=True))
+            owner = np.repeat(np.arange(len(parts)), [len(p) for p, _ in parts])
             _, first, bucket = np.unique(sig, return_index=True, return_inverse=True)
             pivot = owner[first][bucket]
             is_first = np.zeros(len(sig), bool)
@@ -151,24 +161,24 @@ def _bucket_rows(docs: DataFrame, rule: JaccardRule, key: str, text: str) -> Dat
                 for lo in range(0, len(at), 100_000):
                     some = slice(lo, lo + 100_000)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(sig[at[some]].view(np.int64)), batch.column(0).take(pa.array(owner[at[some]])), batch.column(0).take(pivots[some])],
-                        names=["sig", "doc", "pivot"],
+                        [pa.array(sig[at[some]].view(np.int64)), batch.column(0).take(pa.array(owner[at[some]])), pa.array(need[at[some]].astype(np.int32)), batch.column(0).take(pivots[some])],
+                        names=["sig", "doc", "need", "pivot"],
                     )
 
     kind = docs.schema[key].dataType
-    schema = T.StructType([T.StructField("sig", T.LongType()), T.StructField("doc", kind), T.StructField("pivot", kind)])
+    schema = T.StructType([T.StructField("sig", T.LongType()), T.StructField("doc", kind), T.StructField("need", T.IntegerType()), T.StructField("pivot", kind)])
     return docs.select(key, F.col(text).cast("binary")).mapInArrow(run, schema)
 
 
 def _stars(rows: DataFrame) -> DataFrame:
-    """(sig, pivot, doc): every row of a bucket that has others, with the bucket's pivot."""
+    """(sig, pivot, doc, need): every row of a bucket that has others, with the bucket's pivot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_sig = last_pivot = None
         for batch in batches:
             table = pa.Table.from_batches([batch])
             known = table.filter(pa.compute.is_valid(table["pivot"]))
-            yield from known.select(["sig", "pivot", "doc"]).combine_chunks().to_batches()
+            yield from known.select(["sig", "pivot", "doc", "need"]).combine_chunks().to_batches()
             fresh = table.filter(pa.compute.is_null(table["pivot"])).combine_chunks()
             if not fresh.num_rows:
                 continue
@@ -182,9 +192,10 @@ def _stars(rows: DataFrame) -> DataFrame:
             pivots = pa.concat_arrays([pa.array([last_pivot], docs.type), docs]).take(pa.array(at))
             out = np.flatnonzero(~start)
             last_sig, last_pivot = sig[-1], pivots[-1].as_py()
-            yield pa.RecordBatch.from_arrays([pa.array(sig[out]), pivots.take(pa.array(out)), docs.take(pa.array(out))], names=["sig", "pivot", "doc"])
+            need = pa.array(fresh["need"].to_numpy()[out])
+            yield pa.RecordBatch.from_arrays([pa.array(sig[out]), pivots.take(pa.array(out)), docs.take(pa.array(out)), need], names=["sig", "pivot", "doc", "need"])
 
-    schema = T.StructType([rows.schema["sig"], rows.schema["pivot"], rows.schema["doc"]])
+    schema = T.StructType([rows.schema[n] for n in ("sig", "pivot", "doc", "need")])
     route = F.when(F.col("pivot").isNull(), F.col("sig")).otherwise(F.xxhash64("doc"))
     return rows.repartition(route).sortWithinPartitions("sig", "doc").mapInArrow(run, schema).where("pivot <> doc")
 
@@ -239,7 +250,11 @@ def _multiply(pairs: DataFrame, sets: DataFrame, rule: JaccardRule) -> DataFrame
                 col = batch.column(batch.schema.get_field_index(name))
                 flat, off = col.values.to_numpy().view(np.uint64), col.offsets.to_numpy()
                 rows.append([flat[off[i] : off[i + 1]] for i in range(len(col))])
-            linked = pa.array(np.flatnonzero(overlaps(*rows, rule)))
+            # Slices of about PRODUCT_ENTRIES matrix entries bound the memory.
+            entries = np.cumsum([len(x) + len(y) for x, y in zip(*rows, strict=True)]) // PRODUCT_ENTRIES
+            parts = [slice(*x) for x in pairwise([*np.unique(entries, return_index=True)[1], len(entries)])]
+            linked = np.concatenate([overlaps(rows[0][s], rows[1][s], rule) for s in parts] or [np.zeros(0, bool)])
+            linked = pa.array(np.flatnonzero(linked))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(linked), batch.column(1).take(linked)], names=["a", "b"])
 
     joined = pairs.join(sets.select(F.col("node").alias("b"), F.col("row").alias("row_b")), "b")
@@ -263,19 +278,20 @@ def jaccard_components(docs: DataFrame, rule: JaccardRule, key: str = "doc_id",
     members = written(keys.join(classes, digest).select(F.col(key).alias("doc"), "node", "n_shingles"))
 
     def in_classes(pairs: DataFrame) -> DataFrame:
-        """Pairs (pivot, doc) as pairs of classes."""
+        """Pairs (pivot, doc, often) as pairs of classes; ``often``: they met in two buckets, or one is all a link needs."""
         a = members.select(F.col("doc").alias("pivot"), F.col("node").alias("a"))
         b = members.select("doc", F.col("node").alias("b"))
         found = pairs.join(a, "pivot").join(b, "doc").where("a <> b")
-        return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "often").groupBy("a", "b").agg(F.max("often").alias("often"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         ids = written(pairs.select(F.explode(F.array("a", "b")).alias(key)).distinct())
         return _multiply(pairs, _set_rows(rows_of(docs, ids, key), rule, key, text), rule)
 
     stars = written(_stars(_bucket_rows(usable, rule, key, text)))
-    pairs = written(in_classes(stars.select("pivot", "doc").distinct()))
-    links = written(verified(pairs))
+    often = (F.count(F.lit(1)) > 1) | (F.min("need") < 2)
+    pairs = written(in_classes(stars.groupBy("pivot", "doc").agg(often.alias("often"))))
+    links = written(verified(pairs.where("often").select("a", "b")))
     parts = written(components(links))
 
     # Buckets in which a pair of different components is left.
@@ -286,7 +302,7 @@ def jaccard_components(docs: DataFrame, rule: JaccardRule, key: str = "doc_id",
     apart = apart.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
     nodes = written(apart.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     rest = written(_across(stars, members, nodes, parts, rule))
-    more = written(rest.join(pairs, ["a", "b"], "left_anti"))
+    more = written(rest.join(pairs.where("often"), ["a", "b"], "left_anti"))
     if not more.isEmpty():
         links = links.unionByName(written(verified(more)))
         parts = written(components(links))
@@ -307,14 +323,16 @@ def _across(stars: DataFrame, members: DataFrame, nodes: DataFrame, parts: DataF
     touched = stars.join(suspects, "doc", "left_semi").select("sig")
     touched = touched.unionByName(stars.join(suspects.withColumnRenamed("doc", "pivot"), "pivot", "left_semi").select("sig")).distinct()
     inside = stars.join(touched, "sig", "left_semi")
-    inside = inside.select("sig", "doc").unionByName(inside.select("sig", F.col("pivot").alias("doc")))
-    component = F.coalesce("component", "node")
-    inside = inside.join(members, "doc").join(parts, "node", "left").select("sig", "node", "n_shingles", component.alias("c")).distinct()
-    inside = written(inside)
+    inside = inside.select("sig", "doc", "need").unionByName(inside.select("sig", F.col("pivot").alias("doc"), F.lit(1).alias("need")))
+    inside = inside.join(members, "doc").join(parts, "node", "left").withColumn("c", F.coalesce("component", "node"))
+    inside = written(inside.groupBy("sig", "node", "n_shingles", "c").agg(F.max("need").alias("need")))
     sizes = inside.groupBy("sig", "c").agg(F.count(F.lit(1)).alias("n"))
     ranked = sizes.withColumn("place", F.row_number().over(Window.partitionBy("sig").orderBy(F.desc("n"), "c")))
-    minor = inside.join(ranked.where("place > 1").select("sig", "c"), ["sig", "c"])
-    b = inside.select("sig", F.col("node").alias("node_b"), F.col("n_shingles").alias("n_b"), F.col("c").alias("c_b"))
-    fits = (F.least("n_shingles", "n_b") * rule.den >= F.greatest("n_shingles", "n_b") * rule.num) & (F.col("c") != F.col("c_b"))
-    met = minor.join(b, "sig").where(fits)
-    return met.select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")).distinct()
+    minor = inside.join(ranked.where("place > 1").select("sig", "c"), ["sig", "c"]).withColumn("minor", F.lit(True))
+    left = minor.select("sig", "node", "n_shingles", "c", "need")
+    right = inside.join(minor.select("sig", "node", "minor"), ["sig", "node"], "left").select("sig", *[F.col(n).alias(f"{n}_b") for n in ("node", "n_shingles", "c", "need")], F.col("minor").alias("both"))
+    fits = (F.least("n_shingles", "n_shingles_b") * rule.den >= F.greatest("n_shingles", "n_shingles_b") * rule.num) & (F.col("c") != F.col("c_b"))
+    met = left.join(right, "sig").where(fits & (F.col("both").isNull() | (F.col("node") < F.col("node_b"))))
+    pair = met.groupBy(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b"))
+    shared = pair.agg(F.count(F.lit(1)).alias("shared"), F.max(F.greatest("need", "need_b")).alias("need"))
+    return shared.where("shared >= need").select("a", "b")
