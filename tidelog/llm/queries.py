@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidelog.llm.common import table
 from tidelog.llm.jaccard import JaccardRule, jaccard_components
+from tidelog.llm.repeats import WindowRule, remove_repeats
 from tidelog.plans.base import Registry
 
 REGISTRY = Registry()
@@ -15,3 +17,9 @@ query = REGISTRY.add
 @query("op1_ngram_jaccard_join")
 def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), JaccardRule(width=4, num=85, den=100))
+
+
+@query("op4_substring_dedup")
+def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeats(table(spark, sf_dir, "documents"), WindowRule(words=35))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
