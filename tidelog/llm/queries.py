@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm.common import table
+from tidelog.llm.decontaminate import WinnowRule, contamination
 from tidelog.llm.jaccard import JaccardRule, jaccard_components
 from tidelog.llm.repeats import WindowRule, remove_repeats
 from tidelog.plans.base import Registry
@@ -14,12 +15,70 @@ REGISTRY = Registry()
 query = REGISTRY.add
 
 
-@query("op1_ngram_jaccard_join")
+WORDS_SQL = "list_filter(regexp_split_to_array({text}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+LOWER_SQL = "translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+JACCARD_SQL = f"""WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce({WORDS_SQL.format(text=LOWER_SQL.format(text="text"))}, []) AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS g
+  FROM d, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS u(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (
+  SELECT o.a, o.b FROM o JOIN n x ON x.doc_id = o.a JOIN n y ON y.doc_id = o.b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+r(doc_id, node) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.node)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(node) AS component_id FROM r GROUP BY doc_id) c USING (doc_id)"""
+
+
+@query("op1_ngram_jaccard_join", JACCARD_SQL)
 def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), JaccardRule(width=4, num=85, den=100))
 
 
-@query("op4_substring_dedup")
+REPEATS_SQL = f"""WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, coalesce({WORDS_SQL.format(text="text")}, []) AS w FROM documents),
+s AS (SELECT row, i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM d, unnest(range(1, len(w) - 33)) AS u(i)),
+c AS (SELECT row, i, count(*) OVER (PARTITION BY h) AS n FROM s),
+hit AS (SELECT DISTINCT row, j FROM c, unnest(range(i, i + 35)) AS u(j) WHERE n > 1),
+kept AS (
+  SELECT row, string_agg(w[k], ' ' ORDER BY k) AS t, count(*) AS n
+  FROM (SELECT row, w, unnest(range(1, len(w) + 1)) AS k FROM d) x
+  WHERE NOT EXISTS (SELECT 1 FROM hit WHERE hit.row = x.row AND hit.j = x.k) GROUP BY row)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(kept.n, 0) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (row)"""
+
+
+@query("op4_substring_dedup", REPEATS_SQL)
 def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(table(spark, sf_dir, "documents"), WindowRule(words=35))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SHARED_SQL = f"""WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, coalesce(list_filter(regexp_split_to_array({LOWER_SQL.format(text="text")}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> ''), []) AS w
+  FROM documents),
+b AS (
+  SELECT item_id, list_filter(regexp_split_to_array({LOWER_SQL.format(text="text")}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
+i AS (
+  SELECT DISTINCT item_id, least(10, len(w)) AS m, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS g
+  FROM b, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS u(i) WHERE len(w) > 0),
+g AS (
+  SELECT row, i, m, array_to_string(w[i:i + m - 1], ' ') AS g
+  FROM d, (SELECT DISTINCT m FROM i), unnest(range(1, len(w) - m + 2)) AS u(i)),
+h AS (SELECT row, g.i, g.m, item_id FROM g JOIN i ON i.m = g.m AND i.g = g.g),
+p AS (SELECT row, count(DISTINCT j) AS n_hit FROM h, unnest(range(i, i + m)) AS u(j) GROUP BY row),
+t AS (
+  SELECT row, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS items
+  FROM (SELECT DISTINCT row, CAST(item_id AS VARCHAR) AS x FROM h) GROUP BY row)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN p USING (row) LEFT JOIN t USING (row)"""
+
+
+@query("op10_benchmark_decontamination", SHARED_SQL)
+def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), WinnowRule(words=10, gram=5))
+    digest = F.sha2(F.concat_ws(",", "item_list"), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated")
