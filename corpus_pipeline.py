@@ -1,9 +1,93 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again.
+
+Each stage takes (spark, docs, sf_dir) and returns the columns of ``docs``, with fewer rows or changed
+texts; the last one adds the sampled pieces. Stages use the operators of ``tidelog.llm`` with the
+parameters below. Extra columns pass through, whatever their names.
+"""
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidelog.llm.common import rows_of, rows_without, table, written
+from tidelog.llm.decontaminate import WinnowRule, contamination
+from tidelog.llm.fertility import QualityRules, quality_rules
+from tidelog.llm.jaccard import JaccardRule, jaccard_components
+from tidelog.llm.repeats import WindowRule, remove_repeats
+from tidelog.llm.sampling import SamplingRule, sampled_pieces
 from tidelog.plans.base import Registry
+from tidelog.session import scratch_dir
 
-REGISTRY = Registry()
-STAGES = []
+NEAR_DUPLICATES = JaccardRule(width=5, num=80, den=100)
+REPEATS = WindowRule(words=50)
+LEAKS = WinnowRule(words=10, gram=5)
+
+
+def rule_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep. Null and empty texts go."""
+    packed = docs.select(F.struct("*").alias("row"), "text", "lang")
+    return quality_rules(packed, QualityRules(), key="row").where("kept").select("row.*")
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each component. Rows without an id stay; rows that
+    are equal in id and text are one."""
+    found = written(jaccard_components(docs, NEAR_DUPLICATES))
+    extra = found.where("component_id <> doc_id").select("doc_id").distinct()
+    left = rows_without(docs, written(extra), "doc_id")
+    again = written(found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if again.isEmpty():
+        return left
+    return rows_without(left, again, "doc_id").unionByName(rows_of(left, again, "doc_id").dropDuplicates(["doc_id", "text"]))
+
+
+def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that repeat; those of which nothing is left go, others stay as they are."""
+    others = [c for c in docs.columns if c not in ("text", "n_chars")]
+    packed = docs.select(F.struct(*others).alias("row"), "text")
+    cut = remove_repeats(packed, REPEATS, key="row", as_is=True).where("n_words > n_removed")
+    text = F.col("kept").cast("string")
+    new = {"text": text, "n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)}
+    return cut.select(*[new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
+def leak_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of a benchmark item."""
+    name = f"row_{uuid.uuid4().hex}"
+    known = docs.withColumn(name, F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text"))
+    hit = contamination(known, table(spark, sf_dir, "benchmark"), LEAKS, key=name).where("contaminated").select(name).distinct()
+    return rows_without(known, written(hit), name).select(*docs.columns)
+
+
+def piece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their sampled pieces."""
+    packed = docs.select(F.struct("*").alias("row"), "doc_id", "text")
+    return sampled_pieces(packed, SamplingRule(), keep=["row"]).select("row.*", "n_tokens", "token_ids", "lossless")
+
+
+STAGES = [
+    ("quality_rules", rule_stage),
+    ("ngram_jaccard_join", near_duplicate_stage),
+    ("substring_dedup", repeat_stage),
+    ("benchmark_decontamination", leak_stage),
+    ("sentencepiece_encoding", piece_stage),
+]
+# Tokenizers and sampling are beyond SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what lies between is written to the shared folder."""
+    docs = table(spark, sf_dir, "documents")
+    home = f"{scratch_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{home}/{name}")
+        docs = spark.read.parquet(f"{home}/{name}")
+    return docs
+
+
+REGISTRY = Registry()
+REGISTRY.add("pipeline", ORACLE_SQL)(run)

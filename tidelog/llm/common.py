@@ -34,3 +34,9 @@ def rows_of(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """
     small = ids.count() <= BROADCAST_IDS
     return docs.join(F.broadcast(ids) if small else ids, key, "left_semi")
+
+
+def rows_without(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows of ``docs`` whose ``key`` is not in ``ids`` (as for ``rows_of``); null keys stay."""
+    small = ids.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if small else ids, key, "left_anti")

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from tidelog.llm.common import table
 from tidelog.llm.decontaminate import WinnowRule, contamination
+from tidelog.llm.fertility import QualityRules, quality_rules
 from tidelog.llm.jaccard import JaccardRule, jaccard_components
 from tidelog.llm.repeats import WindowRule, remove_repeats
+from tidelog.llm.sampling import SamplingRule, sampled_pieces
+from tidelog.llm.token_counts import token_counts
 from tidelog.plans.base import Registry
 
 REGISTRY = Registry()
@@ -82,3 +85,18 @@ def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), WinnowRule(words=10, gram=5))
     digest = F.sha2(F.concat_ws(",", "item_list"), 256).alias("items_sha256")
     return found.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated")
+
+
+@query("op3_quality_rules")
+def fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"), QualityRules()).drop("lang")
+
+
+@query("op5_token_counts")
+def unigram_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
+@query("op7_sampled_segmentation")
+def sampled_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampled_pieces(table(spark, sf_dir, "documents"), SamplingRule())

@@ -210,7 +210,7 @@ def _repeated_windows(rows: DataFrame) -> DataFrame:
     return rows.repartition(route).sortWithinPartitions(*order).mapInArrow(run, "id long, start long")
 
 
-def _cut(docs: DataFrame, rule: WindowRule, key: str, schema: str) -> DataFrame:
+def _cut(docs: DataFrame, rule: WindowRule, key: str, schema: str, as_is: bool) -> DataFrame:
     """n_words, n_removed and the kept words of rows (key, id, text, places)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,14 +228,15 @@ def _cut(docs: DataFrame, rule: WindowRule, key: str, schema: str) -> DataFrame:
                     keep = [words[i] for i in np.flatnonzero(np.cumsum(turn[:-1]) == 0)]
                 n_words.append(len(words))
                 n_removed.append(len(words) - len(keep))
-                kept.append(b" ".join(keep))
+                kept.append(text if as_is and keep is words else b" ".join(keep))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary())], names=[key, "n_words", "n_removed", "kept"])
 
     return docs.mapInArrow(run, schema)
 
 
-def remove_repeats(docs: DataFrame, rule: WindowRule, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: key, n_words, n_removed, kept (binary, the words left joined by one space).
+def remove_repeats(docs: DataFrame, rule: WindowRule, key: str = "doc_id", text: str = "text", as_is: bool = False) -> DataFrame:
+    """One row per row of ``docs``: key, n_words, n_removed, kept (binary, the words left joined by one space;
+    with ``as_is``, texts that lose nothing come back unchanged).
 
     Null and empty texts have no words. Null keys and keys that occur twice are no hindrance: every row
     is a document of its own, so of two equal rows of enough words all words go. Windows are compared by 64-bit
@@ -254,5 +255,5 @@ def remove_repeats(docs: DataFrame, rule: WindowRule, key: str = "doc_id", text:
     windows = _repeated_windows(_window_rows(with_places(ranges.where("open"), "inner"), rule))
     single = F.shiftleft("start", LENGTH_BITS) + 1
     cut = ranges.where("not open").select("id", "place").unionByName(windows.select("id", single.alias("place")))
-    return _cut(with_places(cut, "left"), rule, key, f"`{key}` {kind}, n_words long, n_removed long, kept binary")
+    return _cut(with_places(cut, "left"), rule, key, f"`{key}` {kind}, n_words long, n_removed long, kept binary", as_is)
 
