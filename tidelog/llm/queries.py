@@ -9,9 +9,13 @@ from tidelog.llm.common import table
 from tidelog.llm.decontaminate import WinnowRule, contamination
 from tidelog.llm.fertility import QualityRules, quality_rules
 from tidelog.llm.jaccard import JaccardRule, jaccard_components
+from tidelog.llm.langid import identify, learn
+from tidelog.llm.main_text import LineBlockRule, extract_pages
 from tidelog.llm.repeats import WindowRule, remove_repeats
 from tidelog.llm.sampling import SamplingRule, sampled_pieces
+from tidelog.llm.site_quality import SiteRule, site_quality
 from tidelog.llm.token_counts import token_counts
+from tidelog.llm.url_tree import TemplateRule, url_verdicts
 from tidelog.plans.base import Registry
 
 REGISTRY = Registry()
@@ -100,3 +104,32 @@ def unigram_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_sampled_segmentation")
 def sampled_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampled_pieces(table(spark, sf_dir, "documents"), SamplingRule())
+
+
+@query("op2_site_quality")
+def hierarchical_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The source stands for a document's host, source and language for its path."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return site_quality(docs, labels, F.col("source"), F.col("lang"), SiteRule())
+
+
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+@query("op6_url_filters")
+def url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_verdicts(table(spark, sf_dir, "pages"), URL_RULES, TemplateRule())
+
+
+@query("op8_language_id")
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    known = docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
+    found = identify(docs.select("doc_id", "text"), *learn(known))
+    return found.withColumn("held_out", held_out)
+
+
+@query("op9_main_text")
+def main_text_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"), LineBlockRule())
