@@ -9,7 +9,7 @@ the levels of a tree per host, and the rest is one last level. Level by level
 
 What remains are templates. Pages that a rule decides are the labels. A template's purity, the share of blocked pages
 among its labelled ones, is smoothed towards that of its host, and that towards the
-share over all pages; templates above ``reject`` are blocked.
+share over all pages; templates above ``reject`` are blocked. A template without labels is allowed.
 
 Everything after the first aggregate works on distinct shapes with counts, and every grouping is a
 sum that is partly made before the shuffle, so a hot host is a matter of few rows.
@@ -94,9 +94,10 @@ def template_verdicts(pages: DataFrame, rule: TemplateRule) -> DataFrame:
     overall = F.lit(float((top.bad_top or 0) / top.known_top) if top.known_top else 0.0)
     host_share = (F.col("bad_host") + rule.prior * overall) / (F.col("known_host") + rule.prior)
     purity = (F.col("bad") + rule.prior * host_share) / (F.col("known") + rule.prior)
-    judged = found.join(hosts, "host").select("host", "template", purity.alias("purity"))
+    judged = found.join(hosts, "host").select("host", "template", "known", purity.alias("purity"))
     out = tree.select("host", "levels", "template").join(judged, ["host", "template"])
-    return out.withColumn("verdict", F.when(F.col("purity") > rule.reject, "block").otherwise("allow"))
+    bad = (F.col("known") > 0) & (F.col("purity") > rule.reject)
+    return out.withColumn("verdict", F.when(bad, "block").otherwise("allow")).drop("known")
 
 
 def url_verdicts(pages: DataFrame, rules: list[tuple[str, str]], tree: TemplateRule = TemplateRule(), key: str = "page_id", url: str = "url") -> DataFrame:
