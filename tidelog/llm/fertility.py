@@ -16,12 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.llm.common import in_parts
 from tidelog.llm.pieces import MODEL, Numbering, processor
 from tidelog.llm.words import grams, word_hashes
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
-MOST_WORDS = 200_000
+MOST_WORDS = 150_000
 
 
 @dataclass(frozen=True)
@@ -127,7 +128,7 @@ def text_measures(docs: DataFrame, rules: QualityRules, key: str = "doc_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fertility = Fertility(rules.model)
-        for batch in batches:
+        for batch in in_parts(batches, 2):
             texts = batch.column(2).to_pylist()
             lo = 0
             while lo < len(texts):

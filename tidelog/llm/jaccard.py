@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.common import rows_of, written
+from tidelog.llm.common import in_parts, rows_of, written
 from tidelog.llm.graph import components
 from tidelog.llm.words import EMPTY, MULTIPLIER, distinct, grams, mix, word_hashes
 
@@ -125,7 +125,7 @@ def row_keys(docs: DataFrame, rule: JaccardRule, key: str, text: str) -> DataFra
     """(key, n_shingles, s1, s2): size and a 128-bit digest of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches, 1):
             n, s1, s2 = (np.zeros(batch.num_rows, np.uint64) for _ in range(3))
             for i, t in enumerate(batch.column(1).to_pylist()):
                 row = rule.row(t)
@@ -140,7 +140,7 @@ def _bucket_rows(docs: DataFrame, rule: JaccardRule, key: str, text: str) -> Dat
     pivot's row goes on to the shuffle, with ``pivot`` null. Copies in a batch count once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches, 1):
             parts, met = [], set()
             for t in batch.column(1).to_pylist():
                 row = rule.row(t)
@@ -204,7 +204,7 @@ def _set_rows(docs: DataFrame, rule: JaccardRule, key: str, text: str) -> DataFr
     """(node, row): the sorted hashes of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches, 1):
             rows = [rule.row(t).view(np.int64) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int64()))], names=["node", "row"])
 

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.llm.common import in_parts
 from tidelog.llm.pieces import AT_ONCE, MARK, MODEL, Edges, Numbering, Vocabulary, edges_of, vocabulary
 
 MOST_LANGUAGES = 200
@@ -27,7 +28,7 @@ MOST_LANGUAGES = 200
 PRIOR = 1000.0
 # Runs of letters are scored in parts of this length, which keeps sums above the smallest double.
 LONGEST = 32
-MOST_WORDS, MOST_AT_ONCE = 200_000, 200_000
+MOST_WORDS, MOST_AT_ONCE = 60_000, 200_000
 UNKNOWN = 1e-9
 RUN = re.compile(r"[^\W\d_]+")
 LETTER = re.compile(r"[^\W\d_]")
@@ -80,12 +81,20 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", model: str =
     """Languages and piece probabilities (a column per language) from rows with text and language."""
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            count: Counter = Counter()
+        count: Counter = Counter()
+
+        def flush() -> pa.RecordBatch:
+            keys = list(count)
+            columns = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([count[k] for k in keys], pa.int64())]
+            count.clear()
+            return pa.RecordBatch.from_arrays(columns, names=["lang", "word", "n"])
+
+        for batch in in_parts(batches, 1):
             for name, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 count.update((name, w) for w in letter_words(t.as_py()))
-            keys = list(count)
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([count[k] for k in keys], pa.int64())], names=["lang", "word", "n"])
+            if len(count) > MOST_WORDS:
+                yield flush()
+        yield flush()
 
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, total = vocabulary(model), {}
@@ -126,7 +135,7 @@ def identify(docs: DataFrame, langs: list[str], p: np.ndarray, key: str = "doc_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, p = vocabulary(model), spread.value
         known, logs = Numbering(), np.zeros((0, len(langs)))
-        for batch in batches:
+        for batch in in_parts(batches, 1):
             texts, preds, scores, lo = batch.column(1), [], [], 0
             while lo < len(texts):
                 words, sizes, letters = [], [], []

@@ -18,7 +18,7 @@ import sentencepiece
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 # Tokens kept between batches, and tokens worked on at once.
-MOST_TOKENS, AT_ONCE = 100_000, 20_000
+MOST_TOKENS, AT_ONCE = 60_000, 8_000
 # Below the rarest piece by this much (natural log) for a character without a piece of its own.
 UNKNOWN_PENALTY = 10.0
 PIECE_BITS = 32

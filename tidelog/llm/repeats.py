@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import written
+from tidelog.llm.common import in_parts, written
 from tidelog.llm.words import grams, long_grams, mix, word_hashes
 
 # What is known of a range or window when its batch is done.
@@ -77,7 +77,7 @@ def _anchor_rows(docs: DataFrame, rule: WindowRule) -> DataFrame:
     """(anchor, content, id, place, state) of ranges; see ``_settle_ranges``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches, 1):
             parts = []
             for row_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = word_hashes(text.split()) if text else np.zeros(0, np.uint64)
@@ -157,7 +157,7 @@ def _window_rows(docs: DataFrame, rule: WindowRule) -> DataFrame:
     """(window, id, start, state) for the windows of open ranges (column ``places``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches, 2):
             parts = []
             for row_id, text, places in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
                 windows = long_grams(word_hashes(text.split()), rule.words)
@@ -214,7 +214,7 @@ def _cut(docs: DataFrame, rule: WindowRule, key: str, schema: str, as_is: bool)
     """n_words, n_removed and the kept words of rows (key, id, text, places)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches, 2):
             n_words, n_removed, kept = [], [], []
             for text, places in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 words = text.split() if text else []

@@ -22,12 +22,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.llm.common import in_parts
 from tidelog.llm.pieces import AT_ONCE, MARK, MODEL, MOST_TOKENS, Numbering, Vocabulary, edges_of, vocabulary
 from tidelog.llm.words import MULTIPLIER, mix
 
 DRAW_BITS = 32
 # Words drawn at once; texts of more are drawn in parts.
-MOST_DRAWS = 200_000
+MOST_DRAWS = 60_000
 
 
 @dataclass(frozen=True)
@@ -184,16 +185,14 @@ def sampled_pieces(docs: DataFrame, rule: SamplingRule = SamplingRule(), key: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler(rule)
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
-                texts = part.column(1).to_pylist()
-                ids = sampler.encode(texts, part.column(0).to_pylist())
-                same = [not t or sampler.decode(x) == t for t, x in zip(texts, ids, strict=True)]
-                rows = pa.array([None if t is None else x.astype(np.int32) for t, x in zip(texts, ids, strict=True)], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns[2:], pa.array([len(x) for x in ids], pa.int64()), rows, pa.array(same)], names=[*keep, "n_tokens", "token_ids", "lossless"]
-                )
+        for batch in in_parts(batches, 1):
+            texts = batch.column(1).to_pylist()
+            ids = sampler.encode(texts, batch.column(0).to_pylist())
+            same = [not t or sampler.decode(x) == t for t, x in zip(texts, ids, strict=True)]
+            rows = pa.array([None if t is None else x.astype(np.int32) for t, x in zip(texts, ids, strict=True)], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[2:], pa.array([len(x) for x in ids], pa.int64()), rows, pa.array(same, pa.bool_())], names=[*keep, "n_tokens", "token_ids", "lossless"]
+            )
 
     types = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
     schema = ", ".join([*types, "n_tokens long", "token_ids array<int>", "lossless boolean"])

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import BROADCAST_IDS, written
+from tidelog.llm.common import BROADCAST_IDS, in_parts, written
 from tidelog.llm.words import distinct, word_hashes
 
 BUCKETS = 1 << 15
@@ -54,7 +54,7 @@ def _learn(rows: DataFrame, rule: SiteRule) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.zeros((2, BUCKETS + 1), np.int64)
-        for batch in batches:
+        for batch in in_parts(batches, 0):
             for text, good in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 count[good, word_buckets(text)] += 1
                 count[good, BUCKETS] += 1
@@ -75,7 +75,7 @@ def _scored(docs: DataFrame, odds: np.ndarray, keep: list[str], text: str) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = spread.value
-        for batch in batches:
+        for batch in in_parts(batches, len(keep)):
             buckets = [word_buckets(t) for t in batch.column(len(keep)).to_pylist()]
             mean = np.array([weights[b].mean() if len(b) else 0.0 for b in buckets])
             bins = np.clip(np.floor(mean / WIDTH) + BINS // 2, 0, BINS - 1).astype(np.int32)

@@ -18,11 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.llm.common import in_parts
 from tidelog.llm.pieces import AT_ONCE, MODEL, Numbering, Vocabulary, edges_of, tokens_of, vocabulary
 
-MOST_TOKENS = 300_000
+MOST_TOKENS = 150_000
 # Texts are gathered up to this many tokens.
-MOST_AT_ONCE = 200_000
+MOST_AT_ONCE = 60_000
 
 
 def piece_counts(tokens: list[str], v: Vocabulary) -> np.ndarray:
@@ -52,7 +53,7 @@ def token_counts(docs: DataFrame, model: str = MODEL, key: str = "doc_id", text:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model)
         known, counts = Numbering(), np.zeros(0, np.int64)
-        for batch in batches:
+        for batch in in_parts(batches, 1):
             texts, out, lo = batch.column(1), [], 0
             while lo < len(texts):
                 tokens, sizes = [], []
