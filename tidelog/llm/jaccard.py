@@ -12,8 +12,8 @@ hash space, are cut into blocks of equal width. Two documents link when
   rows that can reach into the next space take part there too.
 * Rows with more than ``e`` empty blocks in a space also give the hashes of those. Two rows
   linked through empty blocks only are both of that kind, so no link is lost.
-* A linked pair shares at least ``1 + e`` blocks less its empty ones: pairs that share fewer
-  are not formed either.
+* A linked pair shares at least ``1 + e`` blocks less its empty ones, which lets most pairs that share
+  a block by chance go unformed.
 * Candidate pairs are multiplied block by block: overlap counts accumulate, and a pair
   goes as soon as what is left cannot reach ``num * (a + b) / (num + den)``.
 
@@ -317,22 +317,33 @@ def _across(stars: DataFrame, members: DataFrame, nodes: DataFrame, parts: DataF
     """Pairs (a, b) of classes in one bucket, of different components and of sizes that allow a link.
 
     A bucket's most frequent component is not paired with itself, so a large group of
-    copies meets only the few rows of its buckets that stayed apart from it.
+    copies meets only the few rows of its buckets that stayed apart from it. A row that needs ``r`` shared
+    buckets out of its ``m`` is paired in its ``m - r + 1`` smallest ones only: two rows that
+    share enough meet there (prefix filter), and the large buckets of common passages are left out.
     """
     suspects = members.join(nodes, "node", "left_semi").select("doc")
     touched = stars.join(suspects, "doc", "left_semi").select("sig")
     touched = touched.unionByName(stars.join(suspects.withColumnRenamed("doc", "pivot"), "pivot", "left_semi").select("sig")).distinct()
     inside = stars.join(touched, "sig", "left_semi")
-    inside = inside.select("sig", "doc", "need").unionByName(inside.select("sig", F.col("pivot").alias("doc"), F.lit(1).alias("need")))
+    pivots = inside.select("sig", F.col("pivot").alias("doc"), F.lit(None).cast("int").alias("need"))
+    inside = inside.select("sig", "doc", "need").unionByName(pivots)
     inside = inside.join(members, "doc").join(parts, "node", "left").withColumn("c", F.coalesce("component", "node"))
     inside = written(inside.groupBy("sig", "node", "n_shingles", "c").agg(F.max("need").alias("need")))
+    buckets = inside.groupBy("sig").agg(F.count(F.lit(1)).alias("rows"), F.min("c").alias("lowest"), F.max("c").alias("highest"))
+    # The blocks of one document are one window.
+    own = Window.partitionBy("node")
+    mixed = inside.join(buckets, "sig").withColumns({
+        "m": F.count(F.lit(1)).over(own),
+        "least": F.coalesce(F.min("need").over(own), F.lit(1)),
+        "at": F.row_number().over(own.orderBy("rows", "sig")),
+    })
+    prefix = mixed.where((F.col("at") <= F.col("m") - F.col("least") + 1) & (F.col("lowest") < F.col("highest")))
+    inside = written(prefix.select("sig", "node", "n_shingles", "c"))
     sizes = inside.groupBy("sig", "c").agg(F.count(F.lit(1)).alias("n"))
     ranked = sizes.withColumn("place", F.row_number().over(Window.partitionBy("sig").orderBy(F.desc("n"), "c")))
     minor = inside.join(ranked.where("place > 1").select("sig", "c"), ["sig", "c"]).withColumn("minor", F.lit(True))
-    left = minor.select("sig", "node", "n_shingles", "c", "need")
-    right = inside.join(minor.select("sig", "node", "minor"), ["sig", "node"], "left").select("sig", *[F.col(n).alias(f"{n}_b") for n in ("node", "n_shingles", "c", "need")], F.col("minor").alias("both"))
+    left = minor.select("sig", "node", "n_shingles", "c")
+    right = inside.join(minor.select("sig", "node", "minor"), ["sig", "node"], "left").select("sig", *[F.col(n).alias(f"{n}_b") for n in ("node", "n_shingles", "c")], F.col("minor").alias("both"))
     fits = (F.least("n_shingles", "n_shingles_b") * rule.den >= F.greatest("n_shingles", "n_shingles_b") * rule.num) & (F.col("c") != F.col("c_b"))
     met = left.join(right, "sig").where(fits & (F.col("both").isNull() | (F.col("node") < F.col("node_b"))))
-    pair = met.groupBy(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b"))
-    shared = pair.agg(F.count(F.lit(1)).alias("shared"), F.max(F.greatest("need", "need_b")).alias("need"))
-    return shared.where("shared >= need").select("a", "b")
+    return met.select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")).distinct()
