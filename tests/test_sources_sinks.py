@@ -145,6 +145,8 @@ def test_growth_check_rates_scan_after_scan(spark, tmp_path):
     second = check(2)
     assert (second[where].growth_mb_min, second[where].hours_to_fill, second[where].trend) == (1.0, 1.0, "GROWING")
     assert second["file:/gone"].exists is False
+    (folder / "e1000000003").write_bytes(b"x" * 4 * 1024 * 1024)
+    assert check(2 + 48 * 60)[where].growth_mb_min > 0  # the scan before is two days old
 
 
 def test_tables_by_catalog_and_filters(spark, tmp_path):
@@ -207,4 +209,5 @@ def test_archive_takes_each_row_once(spark, tmp_path):
         rows, str(tmp_path / "m"), str(tmp_path / "a"), ["id"], "ts", F.lit(T0 + datetime.timedelta(hours=hours)), name
     ).count()
     assert (run(4, "r1"), run(6, "r2"), run(6, "r3")) == (4, 2, 0)
+    assert (run(4, "r1"), run(6, "r2")) == (4, 2)  # repeated after they succeeded
     assert spark.read.parquet(str(tmp_path / "a")).count() == 6

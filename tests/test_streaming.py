@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidelog import small_table
 from tidelog.operators import retry, routes, state
+from tidelog.plans import streams
 from tidelog.sinks.mirror import Mirror
 from tidelog.sinks.reports import stream_alerts
 from tidelog.sources import changelog, logs
@@ -67,26 +68,26 @@ def test_mirror_batches(spark, tmp_path):
     frame = lambda *rows: small_table(spark, [(k, s, after(s), op, int(op == "D"), f"{op}{s}") for k, s, op in rows], SCHEMA)
     mirror = Mirror(spark, str(tmp_path / "m"), ["k"], frame((1, 1, "I")).schema, buckets=4)
     assert mirror.version() == -1 and mirror.state().count() == 0
-    mirror.apply(frame((1, 1, "I"), (2, 2, "I"), (3, 3, "I")), 0)
-    mirror.apply(frame((1, 5, "D"), (2, 4, "U")), 1)
+    mirror.apply(frame((1, 1, "I"), (2, 2, "I"), (3, 3, "I")))
+    mirror.apply(frame((1, 5, "D"), (2, 4, "U")))
     expected = [(2, 4, "U4"), (3, 3, "I3")]
     assert current(mirror.state()) == expected
-    mirror.apply(frame((9, 9, "I")), 1)  # a repeated batch id
-    mirror.apply(frame((1, 2, "U"), (2, 1, "U")), 2)  # late changes
+    mirror.apply(frame((1, 5, "D"), (2, 4, "U")))  # a repeated batch
+    mirror.apply(frame((1, 2, "U"), (2, 1, "U")))  # late changes
     assert current(mirror.state()) == expected
     assert current(mirror.state(tombstones=True)) == [(1, 5, "D5"), *expected]
-    assert mirror.vacuum(keep=1) == 2
+    assert mirror.vacuum(keep=1) == 3  # each batch made a version
     assert current(mirror.state()) == expected
 
 
 def test_unfinished_batch_is_invisible_and_repeatable(spark, tmp_path):
     row = lambda s, v: small_table(spark, [(1, s, after(s), "U", 0, v)], SCHEMA)
     mirror = Mirror(spark, str(tmp_path / "m"), ["k"], row(1, "").schema, buckets=2)
-    mirror.apply(row(1, "first"), 0)
+    mirror.apply(row(1, "first"))
     # Data of batch 1 was written, its manifest was not.
     row(2, "half").withColumn("bucket", F.pmod(F.xxhash64("k"), F.lit(2))).write.partitionBy("bucket").parquet(str(tmp_path / "m/data/version=1"))
     assert current(mirror.state()) == [(1, 1, "first")]
-    mirror.apply(row(3, "whole"), 1)
+    mirror.apply(row(3, "whole"))
     assert current(mirror.state()) == [(1, 3, "whole")]
 
 
@@ -164,3 +165,21 @@ def test_failures_are_quarantined_and_routing_stops(spark, log_dir, tmp_path):
     out = spark.read.parquet(str(tmp_path / "out"))
     assert {(r.target, r.target_schema, r.table_name) for r in out.select("target", "target_schema", "table_name").distinct().collect()} == {("rds", "M", "T2")}
     assert out.count() == spark.read.parquet(log_dir).where("k % 2 = 1").count()
+
+
+def test_mirror_takes_changes_of_a_new_checkpoint(spark, tmp_path):
+    frame = lambda *rows: small_table(spark, [(k, s, after(s), op, int(op == "D"), f"{op}{s}") for k, s, op in rows], SCHEMA)
+    log = str(tmp_path / "log")
+    mirror = Mirror(spark, str(tmp_path / "m"), ["k"], frame((1, 1, "I")).schema, buckets=4)
+    for i, rows in enumerate([[(1, 1, "I"), (2, 2, "I")], [(1, 3, "U")]]):
+        frame(*rows).write.mode("append").parquet(log)
+        finish(ingest.mirror_stream(follow(spark, log), mirror, str(tmp_path / "c1")))
+    frame((9, 9, "I")).write.mode("append").parquet(log)
+    finish(ingest.mirror_stream(follow(spark, log), mirror, str(tmp_path / "c2")))
+    assert current(mirror.state()) == [(1, 3, "U3"), (2, 2, "I2"), (9, 9, "I9")]
+
+
+def test_streams_read_tables_stored_as_folders(spark, tmp_path):
+    rows = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    rows.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    assert streams.stream_append_all(spark, str(tmp_path)).count() == rows.count() > 0

@@ -49,13 +49,13 @@ def deal_owners(rows: DataFrame, owner: str, cost: str, buckets: int) -> DataFra
 
 
 def deal_rounds(
-    dealt: DataFrame, buckets: DataFrame, ids: list[str], cost: str, n: int, rounds: int = 5
+    dealt: DataFrame, buckets: DataFrame, ids: list[str], cost: str, n: int, rounds: int = 5, rest: bool = False
 ) -> DataFrame:
     """Each round hands the next n rows, costliest first, to the buckets in order
     of their cost so far.
 
-    ``dealt`` comes from ``ranked``; rows beyond n * rounds are not assigned here
-    (see ``assign_groups``). ``buckets`` has n rows (group_id, total_cost). One row
+    ``dealt`` comes from ``ranked``; rows beyond n * rounds are left out (``assign_groups`` has
+    its own use for them) or, with ``rest``, dealt in snake order to the buckets in order of their cost after the rounds. ``buckets`` has n rows (group_id, total_cost). One row
     per bucket goes through all rounds and collects what it gets, so the window
     that orders buckets is bounded by n and the plan grows by one join a round.
     """
@@ -73,7 +73,15 @@ def deal_rounds(
         grown = F.col("total_cost") + F.coalesce(F.col(got).getField(cost).cast("double"), F.lit(0.0))
         held = placed.withColumn("total_cost", grown).drop("__place")
     rows = held.select("group_id", F.explode(F.array_compact(F.array(*taken))).alias("__row"))
-    return rows.select("__row.*", "group_id")
+    out = rows.select("__row.*", "group_id")
+    if not rest:
+        return out
+    later = F.col("rank") - n * rounds - 1
+    step = later % n
+    turn = F.when(F.floor(later / n) % 2 == 0, step + 1).otherwise(n - step)
+    places = held.select("group_id", F.row_number().over(cheapest_first).alias("__place"))
+    light = dealt.where(F.col("rank") > n * rounds).select(*ids, cost, "rank", turn.cast("int").alias("__place"))
+    return out.unionByName(light.join(F.broadcast(places), "__place").select(*out.columns))  # places: n rows
 
 
 def assign_groups(

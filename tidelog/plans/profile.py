@@ -206,16 +206,21 @@ for _r in range(ROUNDS):
     g{_r} AS (SELECT s_suppkey, cost, rank, group_id FROM ranked JOIN p{_r} ON rank = {_r * ROUND_BUCKETS} + place),
     t{_r + 1} AS (SELECT group_id, sum(total) AS total FROM
       (SELECT group_id, total FROM t{_r} UNION ALL SELECT group_id, cost FROM g{_r}) GROUP BY group_id)"""
+_LATER = f"(rank - {ROUNDS * ROUND_BUCKETS + 1})"
+_REST_SQL = f"""UNION ALL SELECT s_suppkey, cost, rank, group_id FROM ranked
+  JOIN (SELECT group_id, row_number() OVER (ORDER BY total, group_id) AS place FROM t{ROUNDS})
+  ON place = CASE WHEN {_LATER} // {ROUND_BUCKETS} % 2 = 0 THEN {_LATER} % {ROUND_BUCKETS} + 1 ELSE {ROUND_BUCKETS} - {_LATER} % {ROUND_BUCKETS} END
+  WHERE rank > {ROUNDS * ROUND_BUCKETS}"""
 
 
 @query(
     "balance_rounds",
-    SUPPLIER_SQL + _ROUND_SQL + " " + " UNION ALL ".join(f"SELECT * FROM g{r}" for r in range(ROUNDS)),
+    SUPPLIER_SQL + _ROUND_SQL + " " + " UNION ALL ".join(f"SELECT * FROM g{r}" for r in range(ROUNDS)) + " " + _REST_SQL,
 )
 def balance_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     buckets = spark.range(1, ROUND_BUCKETS + 1).select(F.col("id").alias("group_id"), F.lit(0.0).alias("total_cost"))
     dealt = balance.ranked(_supplier_costs(spark, sf_dir), ["s_suppkey"], "cost")
-    return balance.deal_rounds(dealt, buckets, ["s_suppkey"], "cost", ROUND_BUCKETS, ROUNDS)
+    return balance.deal_rounds(dealt, buckets, ["s_suppkey"], "cost", ROUND_BUCKETS, ROUNDS, rest=True)
 
 
 def _customer_costs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +14,7 @@ from tidelog.plans.cdc import LOG_COLUMNS, ROUTES_SQL, STATE_SQL, route_table
 from tidelog.plans.telemetry import EVENTS_SQL, LAG_SQL, NOW, RETRY_SQL, THROUGHPUT_SQL, _lines, _rule_sql
 from tidelog.sinks.mirror import Mirror
 from tidelog.sinks.reports import stream_alerts
+from tidelog.session import scratch_dir
 from tidelog.streaming import ingest, monitor, recovery
 
 REGISTRY = Registry()
@@ -23,17 +23,16 @@ query = REGISTRY.add
 
 def workspace(spark: SparkSession) -> str:
     """A new folder below the cluster's shared checkpoint folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        shared = tempfile.mkdtemp(prefix="tidelog-")
-    return f"{shared}/stream-{uuid.uuid4().hex}"
+    return f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    schema = table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    """A table as a stream: the files of its folder, or the one file it is."""
+    rows = table(spark, sf_dir, name)
+    stream = spark.readStream.schema(rows.schema)
+    if all(f.endswith(f"/{name}.parquet") for f in rows.inputFiles()):
+        return stream.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return stream.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

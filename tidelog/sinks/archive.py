@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def due_for_archive(rows: DataFrame, manifest: DataFrame, keys: list[str], ts: str, cutoff: Column) -> DataFrame:
@@ -15,12 +16,14 @@ def archive(rows: DataFrame, manifest_path: str, archive_path: str, keys: list[s
     """Append due rows to the archive, then list their keys in the manifest.
 
     The source is not touched. Rows and manifest entries go to a folder per run,
-    so repeating a run that failed half-way replaces its own output only.
+    so repeating a run, whether it failed half-way or succeeded, replaces its own output only: what
+    the run itself has listed counts as not yet archived.
     """
     spark = rows.sparkSession
     empty = spark.createDataFrame([], rows.select(*keys).schema)
     try:
-        listed = spark.read.schema(empty.schema).parquet(manifest_path + "/run=*")
+        schema = StructType([*empty.schema.fields, StructField("run", StringType())])
+        listed = spark.read.schema(schema).parquet(manifest_path).where(F.col("run") != run_id)
     except Exception as problem:  # nothing archived so far
         if "PATH_NOT_FOUND" not in str(problem):
             raise

@@ -66,15 +66,14 @@ class Mirror:
         rows = self._read(self._pointers(self.version()))
         return rows if tombstones else rows.where("is_deleted = 0")
 
-    def apply(self, changes: DataFrame, batch_id: int) -> None:
-        """Fold one batch in. Batch ids grow; one already applied is skipped.
+    def apply(self, changes: DataFrame) -> None:
+        """Fold one batch in, as a new version.
 
-        At-least-once delivery and late changes are safe: a change older than the
-        stored row loses, and tombstones keep deleted keys deleted.
+        Folding is idempotent, so repeated batches, replays through a new checkpoint and late changes are
+        safe: a change older than the stored row loses, and tombstones keep deleted keys deleted.
         """
         current = self.version()
-        if batch_id <= current:
-            return
+        new = current + 1
         pointers = self._pointers(current)
         spot = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets))
         newest = latest_change(changes.select(*self.schema.fieldNames()), self.keys, list(self.order)).persist()
@@ -84,13 +83,13 @@ class Mirror:
                 old = self._read({b: v for b, v in pointers.items() if b in set(touched)})
                 merged = fold(old, newest, self.keys, list(self.order)).withColumn("bucket", spot)
                 merged.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(
-                    f"{self.path}/data/version={batch_id}"
+                    f"{self.path}/data/version={new}"
                 )
-            pointers.update({b: batch_id for b in touched})
+            pointers.update({b: new for b in touched})
             rows = [(int(b), int(v)) for b, v in sorted(pointers.items())]
             # One file, so that the manifest appears in one step.
             small_table(self.spark, rows, MANIFEST_SCHEMA).coalesce(1).write.mode("overwrite").parquet(
-                f"{self.path}/manifest/version={batch_id}"
+                f"{self.path}/manifest/version={new}"
             )
         finally:
             newest.unpersist()

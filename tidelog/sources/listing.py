@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidelog.operators import telemetry
@@ -29,7 +29,7 @@ def keep_snapshot(listing: DataFrame, path: str) -> None:
     listing.write.mode("append").parquet(path)
 
 
-def growth_check(spark: SparkSession, directory: str, scans_path: str, disk: DataFrame, snapshot_ts: Column | None = None, hours: int = 24) -> DataFrame:
+def growth_check(spark: SparkSession, directory: str, scans_path: str, disk: DataFrame, snapshot_ts: Column | None = None) -> DataFrame:
     """One round of the periodic growth monitor: scan, keep the scan, rate it
     against the previous one, forecast.
 
@@ -39,7 +39,10 @@ def growth_check(spark: SparkSession, directory: str, scans_path: str, disk: Dat
     keep_snapshot(list_files(spark, directory, snapshot_ts), scans_path)
     scans = spark.read.parquet(scans_path)
     newest = scans.agg(F.max("snapshot_ts").alias("t")).scalar()
-    recent = scans.where(F.col("snapshot_ts") >= newest - F.make_interval(hours=F.lit(hours)))
+    # The last two scans of each directory, however long ago they were.
+    marks = scans.select("dir", "snapshot_ts").distinct()
+    place = F.row_number().over(Window.partitionBy("dir").orderBy(F.desc("snapshot_ts")))
+    recent = scans.join(marks.withColumn("__place", place).where("__place <= 2").drop("__place"), ["dir", "snapshot_ts"], "left_semi")
     files = telemetry.parse_listing(recent)
     stats = telemetry.prefix_stats(files)
     rates = telemetry.file_rates(stats, recent.select("dir", "snapshot_ts"))

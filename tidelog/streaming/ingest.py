@@ -21,10 +21,10 @@ def append_stream(changes: DataFrame, path: str, checkpoint: str, partition_by:
 
 
 def mirror_stream(changes: DataFrame, mirror: Mirror, checkpoint: str, keep_versions: int | None = 2) -> DataStreamWriter:
-    """Keep a mirror current. Batch ids make repeated batches harmless."""
+    """Keep a mirror current. A repeated batch changes nothing."""
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        mirror.apply(batch, batch_id)
+        mirror.apply(batch)
         if keep_versions:
             mirror.vacuum(keep_versions)
 
