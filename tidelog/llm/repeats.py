@@ -14,8 +14,7 @@ same words also start at any other place of the input, in the same document or a
 Rows of one anchor or window met in the same batch of documents are settled there, and only
 one of them goes on, so a hot passage costs a shuffle one row per batch.
 
-The suffix automata of ``tidelog.llm.automaton`` find spans of a given reference; see the
-README on why the corpus as its own reference is compared by fingerprints.
+The README says why the corpus, being its own reference, is compared by fingerprints and not by suffix automata.
 """
 
 from __future__ import annotations
