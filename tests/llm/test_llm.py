@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidelog.llm import langid, pieces, sampling, token_counts
+from tidelog.llm import jaccard, langid, pieces, sampling, token_counts
 from tidelog.llm.common import table
 from tidelog.llm.decontaminate import WinnowRule, contamination
 from tidelog.llm.fertility import QualityRules, quality_rules, repeated_words
@@ -64,8 +64,10 @@ def test_components_of_a_long_chain(spark):
     assert components(edges.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("small", [1, jaccard.SMALL_BUCKET])
 @pytest.mark.parametrize("rule", [(4, 85, 100), (5, 80, 100), (1, 50, 100)])
-def test_jaccard_components(docs, rows, rule):
+def test_jaccard_components(docs, rows, rule, small, monkeypatch):
+    monkeypatch.setattr(jaccard, "SMALL_BUCKET", small)
     width, num, den = rule
     sets = {}
     for i, t, *_ in rows:

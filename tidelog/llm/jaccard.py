@@ -21,7 +21,8 @@ Groups of copies. Equal rows are one class. In a block's bucket each row is firs
 one pivot only, so that a bucket costs as many pairs as it has rows, and buckets are
 pre-aggregated per batch of documents before the shuffle. Pairs that meet in one bucket only are
 put off, as most of those are chance. What the pivots leave apart is then paired across
-components, in the buckets where that is possible at all. Components are
+components: row by row in small buckets; in large ones through the columns in which rows differ from
+the bucket's hub, since two rows that link without both linking to the hub share such differences. Components are
 therefore those of all links, without forming all pairs of a group.
 """
 
@@ -34,7 +35,7 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,6 +45,8 @@ from tidelog.llm.words import EMPTY, MULTIPLIER, distinct, grams, mix, word_hash
 
 PRODUCT_BLOCKS = 8
 PRODUCT_ENTRIES = 500_000
+# Buckets of so many rows or fewer are paired row by row, larger ones around a hub.
+SMALL_BUCKET = 8
 BLOCK_SALT, CONTENT_SALT = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -240,26 +243,52 @@ def overlaps(a: list[np.ndarray], b: list[np.ndarray], rule: JaccardRule) -> np.
     return linked
 
 
+def _paired_rows(batch: pa.RecordBatch) -> Iterator[tuple[slice, list[np.ndarray], list[np.ndarray]]]:
+    """Rows ``row_a`` and ``row_b`` of a batch, in slices of about ``PRODUCT_ENTRIES`` matrix entries, which bound the memory."""
+    rows = []
+    for name in ("row_a", "row_b"):
+        col = batch.column(batch.schema.get_field_index(name))
+        flat, off = col.values.to_numpy().view(np.uint64), col.offsets.to_numpy()
+        rows.append([flat[off[i] : off[i + 1]] for i in range(len(col))])
+    entries = np.cumsum([len(x) + len(y) for x, y in zip(*rows, strict=True)]) // PRODUCT_ENTRIES
+    for lo, hi in pairwise([*np.unique(entries, return_index=True)[1], len(entries)]):
+        yield slice(lo, hi), rows[0][lo:hi], rows[1][lo:hi]
+
+
+def _with_rows(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) with their matrix rows."""
+    joined = pairs.join(sets.select(F.col("node").alias("b"), F.col("row").alias("row_b")), "b")
+    joined = joined.join(sets.select(F.col("node").alias("a"), F.col("row").alias("row_a")), "a")
+    return joined.select("a", "b", "row_a", "row_b")
+
+
 def _multiply(pairs: DataFrame, sets: DataFrame, rule: JaccardRule) -> DataFrame:
     """Those of ``pairs`` (a, b) that link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for name in ("row_a", "row_b"):
-                col = batch.column(batch.schema.get_field_index(name))
-                flat, off = col.values.to_numpy().view(np.uint64), col.offsets.to_numpy()
-                rows.append([flat[off[i] : off[i + 1]] for i in range(len(col))])
-            # Slices of about PRODUCT_ENTRIES matrix entries bound the memory.
-            entries = np.cumsum([len(x) + len(y) for x, y in zip(*rows, strict=True)]) // PRODUCT_ENTRIES
-            parts = [slice(*x) for x in pairwise([*np.unique(entries, return_index=True)[1], len(entries)])]
-            linked = np.concatenate([overlaps(rows[0][s], rows[1][s], rule) for s in parts] or [np.zeros(0, bool)])
+            linked = np.concatenate([overlaps(a, b, rule) for _, a, b in _paired_rows(batch)] or [np.zeros(0, bool)])
             linked = pa.array(np.flatnonzero(linked))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(linked), batch.column(1).take(linked)], names=["a", "b"])
 
-    joined = pairs.join(sets.select(F.col("node").alias("b"), F.col("row").alias("row_b")), "b")
-    joined = joined.join(sets.select(F.col("node").alias("a"), F.col("row").alias("row_a")), "a")
-    return joined.select("a", "b", "row_a", "row_b").mapInArrow(run, pairs.select("a", "b").schema)
+    return _with_rows(pairs, sets).mapInArrow(run, pairs.select("a", "b").schema)
+
+
+def _differences(pairs: DataFrame, sets: DataFrame, rule: JaccardRule) -> DataFrame:
+    """(hub, node, size, linked, columns): the columns in which ``node`` (b) differs from its ``hub`` (a)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, hubs, rows in _paired_rows(batch):
+                columns = [np.setxor1d(x, y, assume_unique=True).view(np.int64) for x, y in zip(hubs, rows, strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0)[at], batch.column(1)[at], pa.array([len(y) for y in rows], pa.int64()), pa.array(overlaps(hubs, rows, rule)), pa.array(columns, pa.list_(pa.int64()))],
+                    names=["hub", "node", "size", "linked", "columns"],
+                )
+
+    kind = pairs.schema["a"].dataType
+    schema = T.StructType([T.StructField("hub", kind), T.StructField("node", kind), T.StructField("size", T.LongType()), T.StructField("linked", T.BooleanType()), T.StructField("columns", T.ArrayType(T.LongType()))])
+    return _with_rows(pairs, sets).mapInArrow(run, schema)
 
 
 def jaccard_components(docs: DataFrame, rule: JaccardRule, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -284,9 +313,12 @@ def jaccard_components(docs: DataFrame, rule: JaccardRule, key: str = "doc_id",
         found = pairs.join(a, "pivot").join(b, "doc").where("a <> b")
         return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "often").groupBy("a", "b").agg(F.max("often").alias("often"))
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def sets_of(pairs: DataFrame) -> DataFrame:
         ids = written(pairs.select(F.explode(F.array("a", "b")).alias(key)).distinct())
-        return _multiply(pairs, _set_rows(rows_of(docs, ids, key), rule, key, text), rule)
+        return _set_rows(rows_of(docs, ids, key), rule, key, text)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return _multiply(pairs, sets_of(pairs), rule)
 
     stars = written(_stars(_bucket_rows(usable, rule, key, text)))
     often = (F.count(F.lit(1)) > 1) | (F.min("need") < 2)
@@ -301,11 +333,16 @@ def jaccard_components(docs: DataFrame, rule: JaccardRule, key: str = "doc_id",
     apart = pairs.join(component_of("a", "ca"), "a", "left").join(component_of("b", "cb"), "b", "left")
     apart = apart.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
     nodes = written(apart.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    rest = written(_across(stars, members, nodes, parts, rule))
-    more = written(rest.join(pairs.where("often"), ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        links = links.unionByName(written(verified(more)))
-        parts = written(components(links))
+    mixed = _mixed_buckets(stars, members, nodes, parts)
+    spokes = written(mixed.where((F.col("rows") > SMALL_BUCKET) & (F.col("hub") != F.col("node"))).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
+    rest = _within(mixed.where(F.col("rows") <= SMALL_BUCKET), rule)
+    if not spokes.isEmpty():
+        apart = written(_differences(spokes, sets_of(spokes), rule))
+        links = links.unionByName(apart.where("linked").select(F.col("hub").alias("a"), F.col("node").alias("b")))
+        rest = rest.unionByName(_around_hubs(apart, parts, rule))
+    more = written(rest.distinct().join(pairs.where("often"), ["a", "b"], "left_anti"))
+    links = written(links.unionByName(verified(more)))
+    parts = written(components(links))
 
     named = classes.join(parts, "node", "left").select(*digest, F.coalesce("component", "node").alias("component_id"))
     own = F.when(F.col("n_shingles") == 0, F.col(key))
@@ -313,13 +350,12 @@ def jaccard_components(docs: DataFrame, rule: JaccardRule, key: str = "doc_id",
     return out.select(key, "n_shingles", F.when(F.col(key).isNotNull(), F.coalesce("component_id", own)).alias("component_id"))
 
 
-def _across(stars: DataFrame, members: DataFrame, nodes: DataFrame, parts: DataFrame, rule: JaccardRule) -> DataFrame:
-    """Pairs (a, b) of classes in one bucket, of different components and of sizes that allow a link.
+def _mixed_buckets(stars: DataFrame, members: DataFrame, nodes: DataFrame, parts: DataFrame) -> DataFrame:
+    """(sig, node, n_shingles, c, rows, hub): the classes of buckets that hold several components ``c``.
 
-    A bucket's most frequent component is not paired with itself, so a large group of
-    copies meets only the few rows of its buckets that stayed apart from it. A row that needs ``r`` shared
-    buckets out of its ``m`` is paired in its ``m - r + 1`` smallest ones only: two rows that
-    share enough meet there (prefix filter), and the large buckets of common passages are left out.
+    A row that needs ``r`` shared buckets out of its ``m`` stays in its ``m - r + 1`` smallest ones only: two rows that
+    share enough meet there (prefix filter), and the large buckets of common passages are left out. ``rows`` counts what stays.
+    A bucket's ``hub`` is the class whose buckets are largest in sum, that is, the one with most in common with others.
     """
     suspects = members.join(nodes, "node", "left_semi").select("doc")
     touched = stars.join(suspects, "doc", "left_semi").select("sig")
@@ -329,21 +365,58 @@ def _across(stars: DataFrame, members: DataFrame, nodes: DataFrame, parts: DataF
     inside = inside.select("sig", "doc", "need").unionByName(pivots)
     inside = inside.join(members, "doc").join(parts, "node", "left").withColumn("c", F.coalesce("component", "node"))
     inside = written(inside.groupBy("sig", "node", "n_shingles", "c").agg(F.max("need").alias("need")))
-    buckets = inside.groupBy("sig").agg(F.count(F.lit(1)).alias("rows"), F.min("c").alias("lowest"), F.max("c").alias("highest"))
+    buckets = inside.groupBy("sig").agg(F.count(F.lit(1)).alias("all"), F.min("c").alias("lowest"), F.max("c").alias("highest"))
     # The blocks of one document are one window.
     own = Window.partitionBy("node")
-    mixed = inside.join(buckets, "sig").withColumns({
+    ranked = inside.join(buckets, "sig").withColumns({
         "m": F.count(F.lit(1)).over(own),
         "least": F.coalesce(F.min("need").over(own), F.lit(1)),
-        "at": F.row_number().over(own.orderBy("rows", "sig")),
+        "at": F.row_number().over(own.orderBy("all", "sig")),
+        "weight": F.sum("all").over(own),
+    })
+    ranked = written(ranked.where("lowest < highest").select("sig", "node", "n_shingles", "c", "weight", (F.col("at") <= F.col("m") - F.col("least") + 1).alias("stays")))
+    shape = ranked.groupBy("sig").agg(F.count_if("stays").alias("rows"), F.max(F.struct("weight", "node"))["node"].alias("hub"))
+    return written(ranked.where("stays").select("sig", "node", "n_shingles", "c").join(shape.where("rows > 1"), "sig"))
+
+
+def _fits(rule: JaccardRule, a: str, b: str) -> Column:
+    return F.least(a, b) * rule.den >= F.greatest(a, b) * rule.num
+
+
+def _within(buckets: DataFrame, rule: JaccardRule) -> DataFrame:
+    """Pairs (a, b) of different components in one bucket, of sizes that allow a link. For buckets of bounded size."""
+    left = buckets.select("sig", F.col("node").alias("a"), "n_shingles", "c")
+    right = buckets.select("sig", F.col("node").alias("b"), F.col("n_shingles").alias("n_b"), F.col("c").alias("c_b"))
+    met = left.join(right, "sig").where((F.col("a") < F.col("b")) & (F.col("c") != F.col("c_b")) & _fits(rule, "n_shingles", "n_b"))
+    return met.select("a", "b").distinct()
+
+
+def _around_hubs(apart: DataFrame, parts: DataFrame, rule: JaccardRule) -> DataFrame:
+    """Pairs (a, b) around one hub that may link although one of them does not link to the hub.
+
+    Let ``v`` and ``w`` differ from their hub in the column sets V and W. They differ from each other in
+    ``|V| + |W| - 2 |V & W|`` columns. If V and W are disjoint and ``v`` and ``w`` link, both link to the hub, for
+    ``|v| - |hub| <= |V|``. So where ``w`` does not, V and W meet, in more than ``|V| num / (num + den)`` columns.
+    As ``|v - w|`` is at most ``D = |w| (den - num) / num``, they also meet in ``|W| - D`` and in ``(|W| + 1 - D) / 2``.
+    Sets that meet in ``k`` columns meet in the rarest ``|V| - k + 1`` and ``|W| - k + 1``. Around a hub, the rare columns are a
+    copy's own; edits apart from each other give no pair.
+    """
+    cells = apart.select("hub", "node", "size", "linked", F.size("columns").alias("d"), F.explode("columns").alias("column"))
+    common = cells.groupBy("hub", "column").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Columns of one row only (``n`` null) come first and meet nothing: they count in the ranks, but need not be joined.
+    order = Window.partitionBy("hub", "node").orderBy(F.coalesce("n", F.lit(1)), "column")
+    most = F.floor(F.col("size") * (rule.den - rule.num) / F.lit(rule.num))
+    least = F.greatest(F.ceil((F.col("d") + 1 - most) / 2), F.col("d") - most, F.lit(1))
+    ranked = cells.join(common, ["hub", "column"], "left").withColumns({
+        "at": F.row_number().over(order),
+        "near": F.col("d") - F.floor(F.col("d") * rule.num / F.lit(rule.num + rule.den)),
+        "far": F.col("d") - least + 1,
     })
-    prefix = mixed.where((F.col("at") <= F.col("m") - F.col("least") + 1) & (F.col("lowest") < F.col("highest")))
-    inside = written(prefix.select("sig", "node", "n_shingles", "c"))
-    sizes = inside.groupBy("sig", "c").agg(F.count(F.lit(1)).alias("n"))
-    ranked = sizes.withColumn("place", F.row_number().over(Window.partitionBy("sig").orderBy(F.desc("n"), "c")))
-    minor = inside.join(ranked.where("place > 1").select("sig", "c"), ["sig", "c"]).withColumn("minor", F.lit(True))
-    left = minor.select("sig", "node", "n_shingles", "c")
-    right = inside.join(minor.select("sig", "node", "minor"), ["sig", "node"], "left").select("sig", *[F.col(n).alias(f"{n}_b") for n in ("node", "n_shingles", "c")], F.col("minor").alias("both"))
-    fits = (F.least("n_shingles", "n_shingles_b") * rule.den >= F.greatest("n_shingles", "n_shingles_b") * rule.num) & (F.col("c") != F.col("c_b"))
-    met = left.join(right, "sig").where(fits & (F.col("both").isNull() | (F.col("node") < F.col("node_b"))))
+    ranked = ranked.where((F.col("at") <= F.greatest("near", "far")) & F.col("n").isNotNull())
+    ranked = ranked.join(parts, "node", "left").withColumn("c", F.coalesce("component", "node"))
+    ranked = written(ranked.select("hub", "column", "node", "size", "c", "linked", "at", "near", "far"))
+    right = ranked.where("at <= near").select("hub", "column", *[F.col(n).alias(f"{n}_b") for n in ("node", "size", "c", "linked")])
+    reach = F.when(F.col("linked_b"), F.col("far")).otherwise(F.col("near"))
+    once = F.col("linked_b") | (F.col("node") < F.col("node_b"))
+    met = ranked.where("not linked").join(right, ["hub", "column"]).where((F.col("c") != F.col("c_b")) & once & (F.col("at") <= reach) & _fits(rule, "size", "size_b"))
     return met.select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")).distinct()
