@@ -355,7 +355,8 @@ def _mixed_buckets(stars: DataFrame, members: DataFrame, nodes: DataFrame, parts
 
     A row that needs ``r`` shared buckets out of its ``m`` stays in its ``m - r + 1`` smallest ones only: two rows that
     share enough meet there (prefix filter), and the large buckets of common passages are left out. ``rows`` counts what stays.
-    A bucket's ``hub`` is the class whose buckets are largest in sum, that is, the one with most in common with others.
+    A bucket's ``hub`` is the class whose buckets are largest in sum, that is, the one with most in common with others. Where
+    most of that class's buckets have another hub, it is that one, so that a group of near copies has few of them.
     """
     suspects = members.join(nodes, "node", "left_semi").select("doc")
     touched = stars.join(suspects, "doc", "left_semi").select("sig")
@@ -375,7 +376,12 @@ def _mixed_buckets(stars: DataFrame, members: DataFrame, nodes: DataFrame, parts
         "weight": F.sum("all").over(own),
     })
     ranked = written(ranked.where("lowest < highest").select("sig", "node", "n_shingles", "c", "weight", (F.col("at") <= F.col("m") - F.col("least") + 1).alias("stays")))
-    shape = ranked.groupBy("sig").agg(F.count_if("stays").alias("rows"), F.max(F.struct("weight", "node"))["node"].alias("hub"))
+    shape = ranked.groupBy("sig").agg(F.count_if("stays").alias("rows"), F.max(F.struct("weight", "node")).alias("top"))
+    shape = written(shape.select("sig", "rows", F.col("top.node").alias("first"), "top.weight"))
+    ways = shape.select("sig", F.col("first").alias("hub"), "weight").join(ranked.select("sig", F.col("node").alias("first")), "sig")
+    ways = ways.join(shape.select("first").distinct(), "first", "left_semi").groupBy("first", "hub").agg(F.count(F.lit(1)).alias("times"), F.max("weight").alias("weight"))
+    hubs = ways.groupBy("first").agg(F.max(F.struct("times", "weight", "hub"))["hub"].alias("hub"))
+    shape = shape.join(hubs, "first").select("sig", "rows", "hub")
     return written(ranked.where("stays").select("sig", "node", "n_shingles", "c").join(shape.where("rows > 1"), "sig"))
 
 
@@ -397,9 +403,10 @@ def _around_hubs(apart: DataFrame, parts: DataFrame, rule: JaccardRule) -> DataF
     Let ``v`` and ``w`` differ from their hub in the column sets V and W. They differ from each other in
     ``|V| + |W| - 2 |V & W|`` columns. If V and W are disjoint and ``v`` and ``w`` link, both link to the hub, for
     ``|v| - |hub| <= |V|``. So where ``w`` does not, V and W meet, in more than ``|V| num / (num + den)`` columns.
-    As ``|v - w|`` is at most ``D = |w| (den - num) / num``, they also meet in ``|W| - D`` and in ``(|W| + 1 - D) / 2``.
-    Sets that meet in ``k`` columns meet in the rarest ``|V| - k + 1`` and ``|W| - k + 1``. Around a hub, the rare columns are a
-    copy's own; edits apart from each other give no pair.
+    As ``v`` and ``w`` differ in at most ``D = |w| (den - num) / num``, they also meet in ``|W| - D`` and in ``(|W| + 1 - D) / 2``.
+    Sets that meet in ``k`` columns meet in the rarest ``|V| - k + 1`` and ``|W| - k + 1``. These bounds choose the columns
+    to join by; once both sizes are known, the exact ``k`` is held against the places of the column met. Around a hub,
+    the rare columns are a copy's own; edits apart from each other give no pair.
     """
     cells = apart.select("hub", "node", "size", "linked", F.size("columns").alias("d"), F.explode("columns").alias("column"))
     common = cells.groupBy("hub", "column").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -414,9 +421,11 @@ def _around_hubs(apart: DataFrame, parts: DataFrame, rule: JaccardRule) -> DataF
     })
     ranked = ranked.where((F.col("at") <= F.greatest("near", "far")) & F.col("n").isNotNull())
     ranked = ranked.join(parts, "node", "left").withColumn("c", F.coalesce("component", "node"))
-    ranked = written(ranked.select("hub", "column", "node", "size", "c", "linked", "at", "near", "far"))
-    right = ranked.where("at <= near").select("hub", "column", *[F.col(n).alias(f"{n}_b") for n in ("node", "size", "c", "linked")])
-    reach = F.when(F.col("linked_b"), F.col("far")).otherwise(F.col("near"))
+    ranked = written(ranked.select("hub", "column", "node", "size", "c", "linked", "d", "at", "near"))
+    right = ranked.where("at <= near").select("hub", "column", *[F.col(n).alias(f"{n}_b") for n in ("node", "size", "c", "linked", "d", "at")])
     once = F.col("linked_b") | (F.col("node") < F.col("node_b"))
-    met = ranked.where("not linked").join(right, ["hub", "column"]).where((F.col("c") != F.col("c_b")) & once & (F.col("at") <= reach) & _fits(rule, "size", "size_b"))
+    allowed = F.floor((F.col("size") + F.col("size_b")) * (rule.den - rule.num) / F.lit(rule.num + rule.den))
+    shared = F.ceil((F.col("d") + F.col("d_b") - allowed) / 2)
+    early = F.greatest(F.col("at") - F.col("d"), F.col("at_b") - F.col("d_b")) <= 1 - shared
+    met = ranked.where("not linked").join(right, ["hub", "column"]).where((F.col("c") != F.col("c_b")) & once & early & _fits(rule, "size", "size_b"))
     return met.select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")).distinct()
