@@ -69,6 +69,12 @@ def test_digest_sees_a_key_that_came_twice_more(spark):
     assert drift.drifted_buckets(once, thrice, ["id"], buckets=8).count() == 1
 
 
+def test_digests_differ_in_their_low_bits(spark):
+    one_bucket = spark.range(20_000).where(F.pmod(F.xxhash64("id"), F.lit(64)) == 5)
+    hashes = one_bucket.select(drift._hashed(["id"]).alias("h"))
+    assert hashes.select(F.pmod("h", F.lit(64))).distinct().count() == 64
+
+
 def test_conform(spark):
     raw = small_table(spark, [("1", "1.5"), ("x", "2"), (None, "y"), ("123456", None)], "a string, b string")
     good, bad = drift.conform(raw, [("a", "NUMBER", 5, 0), ("b", "NUMBER", 5, 1)])
@@ -80,7 +86,9 @@ def test_conform(spark):
 def test_evolve(spark):
     old = small_table(spark, [(1, 2)], "a int, gone int")
     new = small_table(spark, [("7", "n"), ("x", "m")], "a string, fresh string")
-    rows, clashes = drift.evolve(old, new)
+    rows, rejects, clashes = drift.evolve(old, new)
+    assert [tuple(r) for r in rejects.collect()] == [("x", "m", "cast failed: a")]
+    assert drift.evolve(old, old)[1].count() == 0
     assert clashes == [("a", "int", "string")]
     assert {tuple(r) for r in rows.select("a", "gone", "fresh").collect()} == {(1, 2, None), (7, None, "n"), (None, None, "m")}
 

@@ -91,13 +91,32 @@ def test_counts_without_delete_flag(spark):
     assert (row.total_count, row.active_count, row.deleted_count) == (4, 4, 0)
 
 
-def test_sampled_count_stays_within_its_error(spark):
-    n = 400_000
-    totals_ = recon.sampled_totals({("S", "BIG"): (spark.range(n), 10**9), ("S", "SMALL"): (spark.range(10), 10)}, fraction=0.1)
-    got = {r.table_name: r for r in totals_.collect()}
-    assert abs(got["BIG"].row_count - n) / n < 0.05
-    assert got["BIG"].method == "SAMPLE" and got["BIG"].sample_pct == 10.0
-    assert (got["SMALL"].row_count, got["SMALL"].method) == (10, "EXACT")
+def test_sampled_count_is_repeatable_and_opt_in(spark):
+    tables = {("S", "BIG"): spark.range(400_000), ("S", "SMALL"): spark.range(10)}
+    got = {r.table_name: tuple(r)[2:] for r in recon.sampled_totals(tables, {("S", "BIG"): (F.expr("id % 10 = 3"), 0.1)}).collect()}
+    assert got == {"BIG": (400_000, "SAMPLE", 10.0), "SMALL": (10, "EXACT", 100.0)}
+
+
+def test_damaged_file_is_a_row(spark, tmp_path):
+    for name in ("a", "bad", "c"):
+        spark.range(3).coalesce(1).write.parquet(str(tmp_path / name))
+    schema = spark.range(1).schema
+    for part in (tmp_path / "bad").glob("*.parquet"):
+        part.write_bytes(b"PAR1 damaged PAR1")
+    for crc in (tmp_path / "bad").glob(".*.crc"):
+        crc.unlink()
+    tables = {("S", n): (lambda n=n: spark.read.schema(schema).parquet(str(tmp_path / n))) for n in ("a", "bad", "c")}
+    got = {r.table_name: (r.row_count, r.error is None) for r in recon.control_totals(spark, tables).collect()}
+    assert got == {"a": (3, True), "bad": (None, False), "c": (3, True)}
+
+
+def test_keys_compare_in_upper_case_and_once(spark):
+    source = totals(spark, [("emp", 5, None), ("EMP", 7, None), ("Dep", 1, None)])
+    target = totals(spark, [("Emp", 7, None), ("DEP", 1, None)])
+    assert {(r.table_name, r.status) for r in recon.reconcile(source, target).collect()} == {("EMP", "OK"), ("DEP", "OK")}
+    runs = [df.withColumn("run", F.col("row_count") * -1) for df in (source, target)]
+    got = {r.table_name: r.delta for r in recon.reconcile(*runs, newest="run").collect()}
+    assert got == {"EMP": -2, "DEP": 0}
 
 
 def test_schema_names_are_mapped_before_comparing(spark):

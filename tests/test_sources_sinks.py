@@ -154,7 +154,6 @@ def test_tables_by_catalog_and_filters(spark, tmp_path):
     for name in ("b", "a", "c"):
         spark.range(1).write.mode("overwrite").saveAsTable(f"tide_db.{name}")
     assert tables.list_tables(spark, "tide_db") == ["a", "b", "c"]
-    assert tables.list_tables(spark, "tide_db", 2) == ["a", "b"]
     spark.sql("DROP DATABASE tide_db CASCADE")
     rows = small_table(spark, [("hr", "emp"), ("hr", "dep"), ("fin", "led")], "owner string, table_name string")
     listed = small_table(spark, [("HR.EMP",), ("FIN.LED",)], "fqn string")

@@ -101,11 +101,12 @@ def declared_diff(metadata: DataFrame, stored: T.StructType) -> DataFrame:
     return both.select("column_name", F.when(F.col("__stored").isNull(), "ADD").otherwise("DROP").alias("change"))
 
 
-def evolve(old: DataFrame, new: DataFrame) -> tuple[DataFrame, list[tuple[str, str, str]]]:
+def evolve(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame, list[tuple[str, str, str]]]:
     """Union where new columns become typed nulls in old rows and nothing is dropped.
 
     Columns whose types differ keep the old type; values that do not fit become
-    null. The clashes (column, old type, new type) are returned for review.
+    null. Returns (union, rejects, clashes): the new rows with such values, raw, with a
+    ``reason``, and the clashes (column, old type, new type) for review.
     """
     types = {f.name: f.dataType for f in old.schema.fields}
     clashes = [
@@ -113,9 +114,17 @@ def evolve(old: DataFrame, new: DataFrame) -> tuple[DataFrame, list[tuple[str, s
         for f in new.schema.fields
         if f.name in types and types[f.name] != f.dataType
     ]
-    clashing = {c for c, _, _ in clashes}
-    fitted = new.select(*[F.col(c).try_cast(types[c]).alias(c) if c in clashing else F.col(c) for c in new.columns])
-    return old.unionByName(fitted, allowMissingColumns=True), clashes
+    cast = {c: F.col(c).try_cast(types[c]) for c, _, _ in clashes}
+    fitted = new.select(*[cast[c].alias(c) if c in cast else F.col(c) for c in new.columns])
+    union = old.unionByName(fitted, allowMissingColumns=True)
+    return union, _cast_failures(new, cast).where("reason IS NOT NULL"), clashes
+
+
+def _cast_failures(rows: DataFrame, cast: dict[str, Column]) -> DataFrame:
+    """``rows`` with a ``reason`` naming the columns whose cast fails; null if none does."""
+    failing = [F.when(F.col(n).isNotNull() & c.isNull(), F.lit(n)) for n, c in cast.items()]
+    names = F.concat_ws(",", *failing) if failing else F.lit("")
+    return rows.withColumn("reason", F.when(names != "", F.concat(F.lit("cast failed: "), names)))
 
 
 def conform(rows: DataFrame, columns: list[tuple[str, str, int | None, int | None]]) -> tuple[DataFrame, DataFrame]:
@@ -125,17 +134,14 @@ def conform(rows: DataFrame, columns: list[tuple[str, str, int | None, int | Non
     bad rows keep their raw values and name the failing columns.
     """
     cast = {n: F.col(n).try_cast(spark_type(t, p, s)) for n, t, p, s in columns}
-    failing = F.array_compact(
-        F.array(*[F.when(F.col(n).isNotNull() & c.isNull(), F.lit(n)) for n, c in cast.items()])
-    )
-    marked = rows.withColumn("__bad", failing)
-    good = marked.where(F.size("__bad") == 0).select(*[c.alias(n) for n, c in cast.items()])
-    bad = marked.where(F.size("__bad") > 0).withColumn("reason", F.concat(F.lit("cast failed: "), F.array_join("__bad", ",")))
-    return good, bad.drop("__bad")
+    marked = _cast_failures(rows, cast)
+    good = marked.where("reason IS NULL").select(*[c.alias(n) for n, c in cast.items()])
+    return good, marked.where("reason IS NOT NULL")
 
 
 def _hashed(keys: list[str]) -> Column:
-    return F.xxhash64(*keys)
+    """Salted: the hash that chooses the bucket has the same low bits in all of it."""
+    return F.xxhash64(F.lit("digest"), *keys)
 
 
 def bucket_digests(
@@ -147,11 +153,11 @@ def bucket_digests(
 ) -> DataFrame:
     """Row count and order-free digest of the keys per bucket (at most ``buckets`` rows).
 
-    Sums of hashes, unlike xor, also see keys that occur an even number of times.
+    Sums of hashes, unlike xor, also see keys that occur an even number of times. All 64 bits are summed, without overflow.
     """
     spot = bucket(keys) if bucket else F.pmod(F.xxhash64(*keys), F.lit(buckets))
     return rows.groupBy(spot.cast("bigint").alias("bucket")).agg(
-        F.count(F.lit(1)).alias("keys"), F.sum((hashed(keys) % (1 << 31)).cast("bigint")).alias("digest")
+        F.count(F.lit(1)).alias("keys"), F.sum(hashed(keys).cast("decimal(20,0)")).alias("digest")
     )
 
 

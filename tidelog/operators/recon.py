@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from functools import reduce
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tidelog.operators.ordered import global_rank
 from tidelog.operators.state import ORDER, current_state
 from tidelog.session import small_table
 
@@ -25,19 +28,31 @@ def _named(df: DataFrame, name: TableName) -> DataFrame:
 
 
 def control_totals(spark: SparkSession, tables: Mapping[TableName, Callable[[], DataFrame]]) -> DataFrame:
-    """Exact row count per table as one job; a table that cannot be opened
-    becomes an error row instead of failing the run."""
-    counts, failed = [], []
+    """Exact row count per table, counted at once in one job.
+
+    A table that cannot be opened, or fails while it is read, becomes an error row
+    instead of failing the run: after a failure the tables are counted in halves.
+    """
+    opened, rows = [], []
     for name, open_table in tables.items():
         try:
-            total = open_table().agg(F.count(F.lit(1)).alias("row_count"))
+            opened.append((name, _named(open_table().agg(F.count(F.lit(1)).alias("row_count")), name)))
         except AnalysisException as problem:
-            failed.append((*name, None, str(problem).splitlines()[0]))
-            continue
-        counts.append(_named(total, name).withColumn("error", F.lit(None).cast("string")))
-    if failed:
-        counts.append(small_table(spark, failed, TOTALS_SCHEMA))
-    return union_all(counts)
+            rows.append((*name, None, str(problem).splitlines()[0]))
+    return small_table(spark, _counted(opened) + rows, TOTALS_SCHEMA)
+
+
+def _counted(opened: list[tuple[TableName, DataFrame]]) -> list[tuple]:
+    """One row per table; a failure is narrowed down to the tables that cause it."""
+    if not opened:
+        return []
+    try:
+        return [(*r, None) for r in union_all([df for _, df in opened]).collect()]
+    except (PySparkException, Py4JJavaError) as problem:
+        if len(opened) == 1:
+            return [(*opened[0][0], None, str(problem).splitlines()[0])]
+    half = len(opened) // 2
+    return _counted(opened[:half]) + _counted(opened[half:])
 
 
 def totals_summary(totals: DataFrame) -> DataFrame:
@@ -72,23 +87,19 @@ def change_counts_by_table(logs: Mapping[TableName, DataFrame]) -> DataFrame:
     return union_all([_named(change_counts(log), name) for name, log in logs.items()])
 
 
-def sampled_totals(
-    tables: Mapping[TableName, tuple[DataFrame, int]], above: int = 100_000_000, fraction: float = 0.01, seed: int = 7
-) -> DataFrame:
-    """Counts where tables known to exceed ``above`` rows are sampled and scaled.
+def sampled_totals(tables: Mapping[TableName, DataFrame], samples: Mapping[TableName, tuple[Column, float]]) -> DataFrame:
+    """Counts where the tables named in ``samples`` are estimated, all others exact.
 
-    Each table comes with its known row count (catalog or last run's totals).
+    A sample is a condition and the share of rows that meets it, so it is repeatable. A condition on
+    partition or sorted columns reads fewer files; one on a key's residue saves no reading.
     """
     parts = []
-    for name, (df, known) in tables.items():
-        big = known > above
-        rows = df.sample(fraction, seed) if big else df
-        total = F.count(F.lit(1)) * (round(1 / fraction) if big else 1)
-        parts.append(
-            _named(rows.agg(total.cast("bigint").alias("row_count")), name).withColumn(
-                "method", F.lit("SAMPLE" if big else "EXACT")
-            ).withColumn("sample_pct", F.lit(fraction * 100 if big else 100.0))
-        )
+    for name, df in tables.items():
+        condition, share = samples.get(name, (F.lit(True), 1.0))
+        total = F.round(F.count(F.lit(1)) / F.lit(share)).cast("bigint")
+        counted = _named(df.where(condition).agg(total.alias("row_count")), name)
+        method = F.lit("SAMPLE" if name in samples else "EXACT").alias("method")
+        parts.append(counted.select("*", method, F.lit(share * 100).alias("sample_pct")))
     return union_all(parts)
 
 
@@ -124,16 +135,26 @@ def reconcile(
     source_name: str = "ORACLE",
     target_name: str = "SNOWFLAKE",
     show_all: bool = True,
+    newest: str | None = None,
 ) -> DataFrame:
     """Full outer comparison of two sets of totals (row_count, error per key).
 
     An error outranks a missing side, which outranks the counts. A null count
-    compares as 0. Both inputs hold one row per key.
+    compares as 0. Text keys compare in upper case. Of several rows of one key the last
+    by ``newest`` counts; without that column an error, else the largest count.
     """
     keys = list(keys)
-    side = lambda df, p: df.select(
-        *keys, F.col("row_count").alias(f"{p}_count"), F.nullif("error", F.lit("")).alias(f"{p}_error"), F.lit(True).alias(f"{p}_here")
-    )
+
+    def side(df: DataFrame, p: str) -> DataFrame:
+        named = [(F.upper(k) if isinstance(df.schema[k].dataType, T.StringType) else F.col(k)).alias(k) for k in keys]
+        error = F.nullif("error", F.lit(""))
+        rank = [F.col(newest).alias("newest")] if newest else []
+        value = F.struct(*rank, error.isNotNull().alias("failed"), F.col("row_count").alias("n"), error.alias("error"))
+        last = df.select(*named, value.alias("__value")).groupBy(*keys).agg(F.max("__value").alias("__value"))
+        return last.select(
+            *keys, F.col("__value.n").alias(f"{p}_count"), F.col("__value.error").alias(f"{p}_error"), F.lit(True).alias(f"{p}_here")
+        )
+
     both = side(source, "source").join(side(target, "target"), keys, "full_outer")
     s_count, t_count = (F.coalesce(f"{p}_count", F.lit(0)) for p in ("source", "target"))
     status = (
@@ -202,6 +223,8 @@ def reconcile_threshold(
     )
 
 
-def report_order(result: DataFrame, keys: list[str]) -> DataFrame:
-    """Matches first, then by name."""
-    return result.orderBy(F.col("status") != "MATCH", *keys)
+def report_order(result: DataFrame, keys: list[str], place: str | None = None) -> DataFrame:
+    """Matches first, then by name; with ``place`` the rows are numbered in that order."""
+    marked = result.withColumn("__other", F.col("status") != "MATCH")
+    order = [F.asc("__other"), *[F.asc(k) for k in keys]]
+    return (global_rank(marked, order, place) if place else marked.orderBy(*order)).drop("__other")

@@ -77,8 +77,9 @@ def bucket_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With a digest SQL can repeat (the default digest is xxhash64)."""
     source = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"))
     target = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key")).distinct()
-    squared = lambda k: (F.col(k[0]) % (1 << 31)) * (F.col(k[0]) % (1 << 31))
-    return drift.drifted_buckets(source, target, ["key"], hashed=squared, bucket=lambda k: F.col(k[0]) % 64)
+    squared = lambda k: (F.col(k[0]) % (1 << 31)) * (F.col(k[0]) % (1 << 31)) % (1 << 31)
+    found = drift.drifted_buckets(source, target, ["key"], hashed=squared, bucket=lambda k: F.col(k[0]) % 64)
+    return found.withColumns({c: F.col(c).cast("bigint") for c in ("source_digest", "target_digest")})
 
 
 @query("keys_missing_downstream", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
@@ -277,13 +278,26 @@ def conform_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM customer WHERE c_nationkey >= 12""",
 )
 def evolve_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _evolved(spark, sf_dir)[0]
+
+
+@query(
+    "evolve_rejects",
+    """SELECT c_custkey, 'n/a' AS c_acctbal, c_nationkey AS loyalty, 'cast failed: c_acctbal' AS reason
+    FROM customer WHERE c_nationkey >= 12 AND c_custkey % 9 = 0""",
+)
+def evolve_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _evolved(spark, sf_dir)[1]
+
+
+def _evolved(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The newer part lacks a column, brings one, and has one of another type."""
     customer = table(spark, sf_dir, "customer")
     old = customer.where("c_nationkey < 12").select("c_custkey", "c_name", "c_acctbal")
     text = F.when(F.col("c_custkey") % 9 == 0, "n/a").otherwise(F.col("c_custkey").cast("string"))
     new = customer.where("c_nationkey >= 12").select("c_custkey", text.alias("c_acctbal"), F.col("c_nationkey").alias("loyalty"))
-    union, _ = drift.evolve(old, new)
-    return union
+    union, rejects, _ = drift.evolve(old, new)
+    return union, rejects
 
 
 @query(

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.functions import rules, status, text
-from tidelog.operators import loglines, retry, routes, telemetry
-from tidelog.operators.ordered import SkewGuard, global_rank
+from tidelog.operators import loglines, recon, retry, routes, telemetry
+from tidelog.operators.ordered import SkewGuard
 from tidelog.plans.base import LOG_SQL, Registry, event_log, table
 from tidelog.sinks.archive import due_for_archive
 from tidelog.sources.inventory import parse_inventory
@@ -606,8 +606,8 @@ def archive_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
 def report_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Report rows with the matching state first, numbered in report order."""
     counts = table(spark, sf_dir, "orders").groupBy("o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
-    order = [F.asc("__other"), F.asc("o_orderpriority"), F.asc("o_orderstatus")]
-    return global_rank(counts.withColumn("__other", F.col("o_orderstatus") != "O"), order, "place").drop("__other")
+    rated = counts.withColumn("status", F.when(F.col("o_orderstatus") == "O", "MATCH").otherwise("MISMATCH"))
+    return recon.report_order(rated, ["o_orderpriority", "o_orderstatus"], "place").drop("status")
 
 
 @query(

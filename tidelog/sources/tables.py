@@ -24,10 +24,9 @@ def read_database(
     )
 
 
-def list_tables(spark: SparkSession, database: str, first: int | None = None) -> list[str]:
-    """Table names of a schema in order, optionally only the first ones."""
-    names = sorted(t.name for t in spark.catalog.listTables(database) if not t.isTemporary)
-    return names[:first] if first else names
+def list_tables(spark: SparkSession, database: str) -> list[str]:
+    """Table names of a schema in order."""
+    return sorted(t.name for t in spark.catalog.listTables(database) if not t.isTemporary)
 
 
 def only_schemas(rows: DataFrame, schemas: list[str] | None, tables: DataFrame | None = None) -> DataFrame:
