@@ -78,6 +78,20 @@ def test_mirror_batches(spark, tmp_path):
     assert current(mirror.state(tombstones=True)) == [(1, 5, "D5"), *expected]
     assert mirror.vacuum(keep=1) == 3  # each batch made a version
     assert current(mirror.state()) == expected
+    rows = spark.read.parquet(str(tmp_path / "m/manifest")).select("data_version", "bucket").collect()
+    folders = {tuple(int(p.partition("=")[2]) for p in f.parts[-2:]) for f in (tmp_path / "m/data").glob("version=*/bucket=*")}
+    assert folders == {tuple(r) for r in rows}
+
+
+def test_routed_batches_of_a_new_checkpoint_overwrite_nothing(spark, log_dir, tmp_path):
+    routed = small_table(spark, [("S", "T", 1, "rds", "", "M", True, "", "")],
+                         "schema string, table_name string, group_id int, target string, target_schema string, rds_target_schema string, "
+                         "enabled boolean, disabled_reason string, disabled_at string")
+    rows = spark.read.parquet(log_dir).count()
+    for run in (1, 2):
+        stream = follow(spark, log_dir).withColumn("fqn", F.lit("S.T"))
+        finish(ingest.routed_stream(stream, lambda: routes.normalise_routes(routed), lambda: None, str(tmp_path / "out"), str(tmp_path / f"c{run}")))
+        assert spark.read.parquet(str(tmp_path / "out")).count() == run * rows
 
 
 def test_unfinished_batch_is_invisible_and_repeatable(spark, tmp_path):
@@ -133,6 +147,7 @@ def test_long_transaction_stream(spark, tmp_path):
         [("other", after(1500), False)],
         [("other", after(1700), True)],
         [("slow", after(1710), True)],
+        [("slow", after(1700), False)],
         [("last", after(4000), False)],
     ]
     for rows in batches:
@@ -142,7 +157,8 @@ def test_long_transaction_stream(spark, tmp_path):
     finish(out.writeStream.format("parquet").option("path", str(tmp_path / "o")).option("checkpointLocation", str(tmp_path / "c")))
     alerts = spark.read.parquet(str(tmp_path / "o")).collect()
     assert {r.txn for r in alerts} == {"slow"}
-    assert all(r.opened_at == T0 and r.open_seconds > 900 for r in alerts)
+    # The row of 1700 came after the closing one of 1710 and opens nothing.
+    assert all(r.opened_at == T0 and 900 < r.open_seconds <= 1710 for r in alerts)
 
 
 def test_failures_are_quarantined_and_routing_stops(spark, log_dir, tmp_path):
@@ -155,7 +171,7 @@ def test_failures_are_quarantined_and_routing_stops(spark, log_dir, tmp_path):
     finish(stream_alerts(failures.select("process_name", "error_class"), str(tmp_path / "alerts"), str(tmp_path / "c2")))
     assert {tuple(r) for r in spark.read.json(str(tmp_path / "alerts")).select("process_name", "error_class").collect()} == {("EXT01", "PERMANENT"), ("REP01", "TRANSIENT")}
 
-    overrides = lambda: spark.read.parquet(str(tmp_path / "overrides")).drop("batch")
+    overrides = lambda: spark.read.parquet(str(tmp_path / "overrides")).drop("run", "batch")
     assert [r.fqn for r in overrides().collect()] == ["S.T1"]
     inventory = small_table(spark, [("S", "T1", 1, "both", "", "", True, "", ""), ("S", "T2", 1, "rds", "", "M", True, "", "")],
                             "schema string, table_name string, group_id int, target string, target_schema string, rds_target_schema string, "

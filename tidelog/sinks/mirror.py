@@ -95,19 +95,26 @@ class Mirror:
             newest.unpersist()
 
     def vacuum(self, keep: int = 2) -> int:
-        """Delete manifests older than the newest ``keep`` and data only they use."""
+        """Delete manifests older than the newest ``keep``, and the data of every bucket that no kept manifest
+        names. Data newer than the newest manifest is left to the batch that writes it."""
         manifests = self._manifests()
         if manifests is None:
             return 0
         versions = sorted((r.version for r in manifests.select("version").distinct().collect()), reverse=True)
         kept, dropped = versions[:keep], versions[keep:]
-        used = {r.data_version for r in manifests.where(F.col("version").isin(kept)).select("data_version").distinct().collect()}
+        named = manifests.where(F.col("version").isin(kept)).select("data_version", "bucket").distinct()
+        used = {f"version={r.data_version}/bucket={r.bucket}" for r in named.collect()}  # at most ``keep`` x ``buckets``
         context = self.spark.sparkContext
-        root = context._jvm.org.apache.hadoop.fs.Path(self.path)
-        files = root.getFileSystem(context._jsc.hadoopConfiguration())
-        delete = lambda kind, v: files.delete(context._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}/version={v}"), True)
+        at = lambda *parts: context._jvm.org.apache.hadoop.fs.Path("/".join([self.path, *parts]))
+        files = at().getFileSystem(context._jsc.hadoopConfiguration())
+        inside = lambda *parts: [s.getPath().getName() for s in files.listStatus(at(*parts))] if files.exists(at(*parts)) else []
         for v in dropped:
-            delete("manifest", v)
-            if v not in used:
-                delete("data", v)
+            files.delete(at("manifest", f"version={v}"), True)
+        for version in inside("data"):
+            if int(version.removeprefix("version=")) > versions[0]:
+                continue
+            buckets = [b for b in inside("data", version) if b.startswith("bucket=")]
+            gone = [b for b in buckets if f"{version}/{b}" not in used]
+            for folder in [[version]] if len(gone) == len(buckets) else [[version, b] for b in gone]:
+                files.delete(at("data", *folder), True)
         return len(dropped)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
@@ -10,6 +12,13 @@ from tidelog.operators import routes as routing
 from tidelog.sinks.mirror import Mirror
 
 
+def batch_folder(batch: DataFrame, batch_id: int, path: str, checkpoint: str) -> str:
+    """Folder of a batch, below one of its checkpoint: a repeated batch finds its own, while
+    a new checkpoint, whose batches count from 0 again, overwrites nothing."""
+    known = batch.sparkSession.read.text(f"{checkpoint}/metadata").first()
+    return f"{path}/run={json.loads(known.value)['id']}/batch={batch_id}"
+
+
 def append_stream(changes: DataFrame, path: str, checkpoint: str, partition_by: tuple[str, ...] = ("op_date",)) -> DataStreamWriter:
     """Append-all sink. The file sink commits each batch once, so a restart from the
     checkpoint neither loses nor repeats changes; a new checkpoint replays."""
@@ -45,6 +54,6 @@ def routed_stream(changes: DataFrame, load_routes, load_overrides, path: str, ch
             current = routing.apply_overrides(current, overrides)
         routed = routing.route_changes(batch, current)
         by = ["target", "target_schema", "table_name"]
-        routed.hint("rebalance", *by).write.mode("overwrite").partitionBy(*by).parquet(f"{path}/batch={batch_id}")
+        routed.hint("rebalance", *by).write.mode("overwrite").partitionBy(*by).parquet(batch_folder(batch, batch_id, path, checkpoint))
 
     return changes.writeStream.foreachBatch(deliver).option("checkpointLocation", checkpoint)

@@ -50,14 +50,18 @@ OPEN_ALERT = "txn string, opened_at timestamp, changes bigint, open_seconds bigi
 def long_transaction_stream(changes: DataFrame, limit_seconds: int = 900, check_seconds: int = 300, late: str = "1 minute") -> DataFrame:
     """Alerts for transactions open beyond the limit, repeated at every check.
 
-    Needs txn, ts and closes (bool). State is one row per open transaction; the
-    closing row removes it. Time is event time, so replays behave like live runs.
+    Needs txn, ts and closes (bool). State is one row per open transaction. After the
+    closing row it holds the closing time until the watermark has passed that, so late rows do not open
+    it again; rows after the closing time are a new transaction. Time is event time, so replays behave like live runs.
     """
 
     def watch(key, batches, state: GroupState):
         name = key[0]
         if state.hasTimedOut:
-            opened, changes_so_far = state.get
+            opened, changes_so_far, _ = state.get
+            if opened is None:
+                state.remove()
+                return
             watermark = state.getCurrentWatermarkMs() // 1000
             state.setTimeoutTimestamp((watermark + check_seconds) * 1000)
             yield pd.DataFrame(
@@ -69,22 +73,24 @@ def long_transaction_stream(changes: DataFrame, limit_seconds: int = 900, check_
                 }
             )
             return
-        opened, seen = state.get if state.exists else (None, 0)
-        closed = False
+        opened, seen, closed = state.get if state.exists else (None, 0, None)
+        # Of the rows after the last closing so far; counted anew when a later closing comes.
         for pdf in batches:
-            first = int(pdf["ts"].min().value // 1000)
-            opened = first if opened is None else min(opened, first)
-            seen += len(pdf)
-            closed = closed or bool(pdf["closes"].any())
-        if closed:
-            if state.exists:
-                state.remove()
-            return
-        state.update((opened, seen))
-        due = opened // 1000 + limit_seconds * 1000
+            times = pdf["ts"].to_numpy("datetime64[us]").astype("int64")
+            ends = times[pdf["closes"].fillna(False).to_numpy(bool)]
+            if len(ends) and (closed is None or ends.max() > closed):
+                closed = int(ends.max())
+                if opened is None or opened <= closed:
+                    opened, seen = None, 0
+            later = times if closed is None else times[times > closed]
+            if len(later):
+                first = int(later.min())
+                opened, seen = first if opened is None else min(opened, first), seen + len(later)
+        state.update((opened, seen, closed))
+        due = closed // 1000 + 1 if opened is None else opened // 1000 + limit_seconds * 1000
         state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
 
     rows = as_instant(changes, "ts").withWatermark("ts", late).select("txn", "ts", "closes")
     return rows.groupBy("txn").applyInPandasWithState(
-        watch, OPEN_ALERT, "opened bigint, changes bigint", "append", GroupStateTimeout.EventTimeTimeout
+        watch, OPEN_ALERT, "opened bigint, changes bigint, closed bigint", "append", GroupStateTimeout.EventTimeTimeout
     )

@@ -11,6 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tidelog.functions import rules
 from tidelog.operators import loglines
 from tidelog.operators.retry import BASE_SECONDS, MAX_RETRIES, MAX_SECONDS, quarantine_entries
+from tidelog.streaming.ingest import batch_folder
 
 DECISION = "process_name string, ts timestamp, seq bigint, event_type string, attempt int, delay_seconds double"
 
@@ -71,6 +72,6 @@ def quarantine_stream(failures: DataFrame, overrides_path: str, checkpoint: str)
 
     def disable(batch: DataFrame, batch_id: int) -> None:
         entries = quarantine_entries(batch.where("error_class = 'PERMANENT'").withColumn("ts", F.current_timestamp()))
-        entries.write.mode("overwrite").parquet(f"{overrides_path}/batch={batch_id}")
+        entries.write.mode("overwrite").parquet(batch_folder(batch, batch_id, overrides_path, checkpoint))
 
     return failures.writeStream.foreachBatch(disable).option("checkpointLocation", checkpoint)
