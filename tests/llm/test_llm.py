@@ -248,6 +248,20 @@ def test_url_verdicts(spark):
     assert len(got) == len(urls)
 
 
+def test_url_templates_block_unruled_pages(spark):
+    urls = [f"http://bad.example.com/de/{i}" for i in range(20)] + [f"http://good.example.com/fr/{i}" for i in range(20)]
+    urls += [f"http://s{i}.farm.com/de/1" for i in range(40)] + [f"http://s{i}.fine.com/fr/1" for i in range(40)]
+    asked = ["http://bad.example.com/en/7", "http://bad.example.com/about", "http://good.example.com/en/7", "http://new.farm.com/x", "http://new.example.com/x", "http://127.0.0.1/x"]
+    pages = spark.createDataFrame(list(enumerate(asked + urls)), "page_id long, url string")
+    got = {r.page_id: r for r in url_verdicts(pages, URL_RULES, TemplateRule()).collect()}
+    assert len(got) == len(pages.collect()) and all(got[i].rule is None for i in range(len(asked)))
+    assert [got[i].verdict for i in range(len(asked))] == ["block", "block", "allow", "block", "allow", "allow"]
+    # Without labels of its own, /en/ is merged with its labelled sibling of the same form; /about is not.
+    assert [got[i].template for i in range(3)] == ["/*/#", "/about", "/*/#"]
+    # 42 labelled hosts of .com lie outside of farm.com, one of them blocked; nothing is known outside of .com.
+    assert got[3].purity == pytest.approx((40 + 10 * (1 + 10 * 0.0) / (42 + 10)) / (40 + 10))
+
+
 def test_site_quality_prefers_good_documents(spark):
     docs, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
     out = site_quality(docs, labels, F.col("source"), F.col("lang")).join(labels, "doc_id")
