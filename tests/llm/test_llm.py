@@ -235,6 +235,17 @@ def test_main_text(spark):
     assert {r.page_id: (r.text, r.n_chars) for r in extract_pages(pages).collect()} == {1: ("", 0), 2: ("", 0), 3: (want, len(want))}
 
 
+def test_main_text_beside_articles():
+    body = [f"Paragraph {i} of the body with quite a few words, enough of them to be read as text." for i in range(4)]
+    div = "<div>" + "".join(f"<p>{x}</p>" for x in body) + "</div>"
+    card = "<article><h3>Other story</h3><p>Short teaser.</p></article>"
+    for page in (card + div, div + card, div[:-6] + card + div[5:], "<main><p>" + body[0] + "</p></main>" + div):
+        assert set(body) <= set(main_text(page).split("\n"))
+    # A lone short line or a list of links does not surge because of the tag.
+    assert main_text("<article><p>Share</p></article>") == ""
+    assert main_text("<main>" + "".join(f"<p><a href=x>Link number {i} with a long title that goes on and on</a></p>" for i in range(5)) + "</main>") == ""
+
+
 def test_url_verdicts(spark):
     urls = [None, "", "nothing", "http://A.Example.ORG/es/1?x", "https://example.org/en/12", "http://x.org", "http://a.com/fr/1#y", "http://a.com/de", "http://a.com/de/9", "x://b.net/en/1"]
     urls += [f"http://c.example.org/en/1{i}/story-{i}" for i in range(30)] + [f"http://shop.com/list/{i}?p" for i in range(5)]

@@ -4,8 +4,9 @@ Markup is stripped into lines, one per block element. Lines inside menus, forms,
 and the like, and lines that are mostly links, count as empty. The distribution is the
 text length summed over a sliding window of lines: the text surges where a window rises above a
 threshold and dives where windows become empty (Chen, General web page extraction based on
-line-block distribution, 2009). Everything between a surge and its dive is main text. Where a
-page names its article, only lines in there count, and any text there surges.
+line-block distribution, 2009). Everything between a surge and its dive is main text. Lines in
+<article> or <main> weigh more by a bonus below the threshold, and text that surged in there has to surge
+anew where the element ends; else all pages and lines are decided alike.
 """
 
 from __future__ import annotations
@@ -50,11 +51,13 @@ WORD = re.compile(r"[a-z0-9]+")
 
 @dataclass(frozen=True)
 class LineBlockRule:
-    """Windows of ``window`` lines surge at ``least`` characters; a line is a menu entry with at least ``links`` of its text in links."""
+    """Windows of ``window`` lines surge at ``least`` characters; a line is a menu entry with at least ``links`` of its text in links.
+    Other lines in an article count as ``bonus`` characters more."""
 
     window: int = 3
     least: int = 80
     links: float = 0.5
+    bonus: int = 40
 
 
 def _dropped(tag: str, rest: str, in_article: bool) -> bool:
@@ -144,23 +147,19 @@ def lines_of(page: str) -> list[tuple[str, bool, bool, int]]:
 
 def main_text(page: str | None, rule: LineBlockRule = LineBlockRule()) -> str:
     lines = lines_of(page) if page else []
-    if any(article and not dropped for _, article, dropped, _ in lines):
-        lines, least = [(t, a, d or not a, 0) for t, a, d, _ in lines], 1
-    else:
-        least = rule.least
-    size = np.array([0 if dropped or linked >= rule.links * len(t) > 0 else len(t) for t, _, dropped, linked in lines], np.int64)
+    size = np.array([0 if dropped or linked >= rule.links * len(t) > 0 else len(t) + rule.bonus * article for t, article, dropped, linked in lines], np.int64)
     if not len(size):
         return ""
     total = np.concatenate([[0], np.cumsum(size)])
     stop = np.minimum(np.arange(len(size)) + rule.window, len(size))
     block = total[stop] - total[:-1]
     kept: list[str] = []
-    inside = False
-    for (text, _, dropped, _), n, own in zip(lines, block.tolist(), size.tolist(), strict=True):
-        if not inside and own and n >= least:
-            inside = True  # surge
-        elif inside and not n:
+    inside = in_article = False  # of a run of main text; it surged in an article
+    for (text, article, dropped, _), n, own in zip(lines, block.tolist(), size.tolist(), strict=True):
+        if inside and (not n or (in_article and not article)):
             inside = False  # dive
+        if not inside and own and n >= rule.least:
+            inside, in_article = True, article  # surge
         if inside and not dropped:
             kept.append(text)
     return "\n".join(kept)
