@@ -246,6 +246,15 @@ def test_main_text_beside_articles():
     assert main_text("<main>" + "".join(f"<p><a href=x>Link number {i} with a long title that goes on and on</a></p>" for i in range(5)) + "</main>") == ""
 
 
+def test_main_text_after_self_closed_and_unended_elements():
+    text = "A paragraph with quite a few words, enough of them to be read as the text of a page."
+    for tag in ('<svg class="icon"/>', "<math />", '<iframe src="x" />', "<video src=x>", "<canvas>", "<svg><path d='M0'/></svg>", "<SVG/><svg>no</SVG >"):
+        assert main_text(f"<div>{tag}</div><p>{text}</p>") == text
+        assert main_text(f"<p>{text}</p>{tag}<p>{text}</p>").split("\n") == [text, text]
+    for tag in ("<script src=x />", "<style>", "<script>var t = '<p>"):
+        assert main_text(f"<p>{text}</p>{tag}<p>{text}</p>") == text
+
+
 def test_url_verdicts(spark):
     urls = [None, "", "nothing", "http://A.Example.ORG/es/1?x", "https://example.org/en/12", "http://x.org", "http://a.com/fr/1#y", "http://a.com/de", "http://a.com/de/9", "x://b.net/en/1"]
     urls += [f"http://c.example.org/en/1{i}/story-{i}" for i in range(30)] + [f"http://shop.com/list/{i}?p" for i in range(5)]

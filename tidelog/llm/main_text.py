@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 
 # Elements and names (class, id, role) of what is no main text. Fixed values.
 DROPPED = frozenset("nav aside footer form menu dialog button label input select option datalist fieldset head title".split())
-RAW = "script|style|noscript|template|svg|math|iframe|object|canvas|textarea|audio|video|select"
+# Their content is no text. Without an end tag, that of ENDLESS reaches to the end of the page, others are tags like any.
+RAW = frozenset("script style noscript template svg math iframe object canvas textarea audio video select".split())
+ENDLESS = frozenset(["script", "style"])
 NAMES = frozenset(
     "nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar side ad ads adv advert adverts advertisement advertising sponsor sponsored"
     " promo promotion banner cookie cookies consent notice notification alert popup modal overlay newsletter subscribe subscription signup login"
@@ -41,10 +43,11 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 CLOSED_BY = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>"
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>"
     r"|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>",
     re.IGNORECASE | re.DOTALL,
 )
+RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.IGNORECASE) for tag in RAW}
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 WORD = re.compile(r"[a-z0-9]+")
 
@@ -98,7 +101,8 @@ def lines_of(page: str) -> list[tuple[str, bool, bool, int]]:
         del stack[upto:]
 
     at, in_link = 0, 0
-    for m in TOKEN.finditer(page):
+    unended: set[str] = set()  # raw elements without an end tag in the rest of the page
+    while m := TOKEN.search(page, at):
         if m.start() > at:
             text = page[at : m.start()]
             parts.append(text)
@@ -108,6 +112,12 @@ def lines_of(page: str) -> list[tuple[str, bool, bool, int]]:
         if not tag:
             continue
         tag = tag.lower()
+        if tag in RAW and not m["end"] and tag not in unended and (tag in ENDLESS or not m["rest"].endswith("/")):
+            end = RAW_END[tag].search(page, at)
+            if end or tag in ENDLESS:
+                at = end.end() if end else len(page)
+                continue
+            unended.add(tag)
         if tag == "br":
             parts.append(" ")
         if m["end"]:
