@@ -173,6 +173,25 @@ def test_token_counts_equal_a_unigram_tokenizer(docs, rows):
         assert r.n_tokens == (len(library.encode(r.text, add_special_tokens=False).ids) if r.text else 0)
 
 
+def test_token_counts_with_runs_of_spaces(spark):
+    from tokenizers import Tokenizer, models
+
+    sp = pieces.processor(pieces.MODEL)
+    names = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
+    usual = [not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)) for i in range(len(names))]
+    v = pieces.vocabulary(runs=True)
+    assert usual == (v.logp > float("-inf")).tolist() and sum(usual) == sum(pieces.vocabulary().logp > float("-inf")) + 14
+    least = float(v.logp[usual].min())
+    spelt = [(p if u or p.startswith("<0x") else f"\0{p}\0", float(x) if u else least) for p, x, u in zip(names, v.logp, usual, strict=True)]
+    # Texts go in whole, with a mark in front and for each space: no cut between tokens.
+    library = Tokenizer(models.Unigram(spelt, unk_id=0, byte_fallback=True))
+    texts = ["b", " a", "  a", "x    b", " ", " " * 40, "if x:\n    y = 1\n\tz  =  2\n        return", "a\t\t b", "name      age   town \nAnn        31   Rome   ", "\u4e2d  \U0001f642   \n   e\u0301"]
+    texts += ["word" + " " * n + "next" for n in range(1, 36)]
+    got = {r.doc_id: r.n_tokens for r in token_counts.token_counts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: len(library.encode(pieces.MARK + t.replace(" ", pieces.MARK), add_special_tokens=False).ids) for i, t in enumerate(texts)}
+    assert got[1] == 2 and got[3] - got[0] == 2
+
+
 def test_sampled_pieces(docs, spark):
     out = sampling.sampled_pieces(docs)
     assert out.where("NOT lossless").count() == 0

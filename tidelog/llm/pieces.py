@@ -1,12 +1,14 @@
 """A public piece vocabulary inside tasks: numbered words, pieces and their lattices.
 
-A text is cut before every space; a *token* is what lies between, led by the space mark.
-No piece but runs of the mark itself reaches across, so a token's pieces do not depend
-on its neighbours, and each distinct token is worked on once per batch of documents.
+A text is cut before every space, or before every run of spaces; a *token* is what lies between,
+led by the space mark or by all marks of the run. No piece has a mark behind another character, so
+with whole runs no piece reaches across, a token's pieces do not depend on its neighbours, and each
+distinct token is worked on once per batch of documents.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import chain
@@ -54,19 +56,21 @@ class Vocabulary:
     marked: np.ndarray  # pieces that start with the space mark
     byte_ids: np.ndarray
     automaton: ahocorasick.Automaton
+    runs: bool = False
 
     @property
     def unknown(self) -> float:
         return float(self.logp[np.isfinite(self.logp)].min()) - UNKNOWN_PENALTY
 
 
-@lru_cache(maxsize=2)
-def vocabulary(model: str = MODEL) -> Vocabulary:
+@lru_cache(maxsize=4)
+def vocabulary(model: str = MODEL, runs: bool = False) -> Vocabulary:
+    """``runs``: with the pieces that are runs of two or more marks, for tokens led by all spaces before a word (``tokens_of``)."""
     sp = processor(model)
     pieces = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
     usual = np.array([not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)) for i in range(len(pieces))])
-    # Runs of two or more marks would reach across tokens.
-    usual &= np.array([MARK not in p[1:] for p in pieces])
+    # Other tokens are led by one mark; runs would reach across them.
+    usual &= np.array([runs or MARK not in p[1:] for p in pieces])
     rank = np.cumsum(usual)
     total = np.log((1.0 / np.arange(1, usual.sum() + 1)).sum())
     logp = np.where(usual, -np.log(np.maximum(rank, 1)) - total, -np.inf)
@@ -75,7 +79,7 @@ def vocabulary(model: str = MODEL) -> Vocabulary:
         automaton.add_word(pieces[i], len(pieces[i]) << PIECE_BITS | int(i))
     automaton.make_automaton()
     byte_ids = np.array([sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)])
-    return Vocabulary(pieces, logp, np.array([p.startswith(MARK) for p in pieces]), byte_ids, automaton)
+    return Vocabulary(pieces, logp, np.array([p.startswith(MARK) for p in pieces]), byte_ids, automaton, runs)
 
 
 @dataclass(frozen=True)
@@ -105,8 +109,11 @@ def edges_of(tokens: list[str], v: Vocabulary) -> Edges:
     token = np.repeat(np.arange(len(tokens)), sizes + 1)[stop - 1]
     level = stop - base[token]
     start = level - size
-    # Inside one token; and a space mark that is not a token's first character is one of the text's own.
-    usual = (start >= 0) & (level <= sizes[token]) & ((start == 0) | ~v.marked[piece])
+    # Inside one token; and a space mark beyond the marks that lead a token is one of the text's own.
+    led = np.ones(len(tokens), np.int64)
+    if v.runs:
+        led = np.fromiter((len(t) - len(t.lstrip(MARK)) for t in tokens), np.int64, len(tokens))
+    usual = (start >= 0) & (level <= sizes[token]) & ((start < led[token]) | ~v.marked[piece])
     stop, size, piece, level = stop[usual], size[usual], piece[usual], level[usual]
     spelt = np.zeros(base[-1], bool)
     spelt[base[:-1]] = spelt[stop[size == 1]] = True
@@ -124,9 +131,9 @@ def edges_of(tokens: list[str], v: Vocabulary) -> Edges:
     return Edges(base, stop - size, stop, level[order], piece[order], bare)
 
 
+TOKEN = re.compile(f"{MARK}+[^{MARK}]*")
+
+
 def tokens_of(text: str) -> list[str]:
-    """Tokens of a text that starts with a space or gets one in front."""
-    marked = text.replace(" ", MARK)
-    if not marked.startswith(MARK):
-        marked = MARK + marked
-    return [MARK + t for t in marked.split(MARK)[1:]]
+    """Tokens of a text that gets a space in front; a run of spaces leads one token with the word after it."""
+    return TOKEN.findall(MARK + text.replace(" ", MARK))

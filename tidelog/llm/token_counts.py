@@ -51,7 +51,7 @@ def token_counts(docs: DataFrame, model: str = MODEL, key: str = "doc_id", text:
     """One row per row of ``docs``: key, n_tokens; 0 for null and empty texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(model)
+        v = vocabulary(model, runs=True)
         known, counts = Numbering(), np.zeros(0, np.int64)
         for batch in in_parts(batches, 1):
             texts, out, lo = batch.column(1), [], 0
