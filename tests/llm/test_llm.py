@@ -161,6 +161,15 @@ def test_quality_rules(docs, rows):
         assert not (r.base_failed and r.kept)
 
 
+def test_quality_rules_judge_short_texts(spark):
+    prose = "The people of the town went to the river and came back with water in the evening of the same day".split()
+    texts = [" ".join(prose[:12]), " ".join(prose), " ".join(f"\u16a0\u16a1\u16a2{chr(0x16A0 + i)}" for i in range(12)), " ".join(f"x{i}q#{i}zk{i}%" for i in range(20)), " ".join([*prose[:12], "\u16a0"])]
+    rows = [(i, x, "en") for i, x in enumerate(texts)]
+    got = {r.doc_id: r for r in quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string"), QualityRules()).collect()}
+    assert [got[i].kept for i in range(len(texts))] == [True, True, False, False, True]
+    assert not any(r.base_failed for r in got.values())
+
+
 def test_token_counts_equal_a_unigram_tokenizer(docs, rows):
     from tokenizers import Tokenizer, models, pre_tokenizers
 

@@ -3,7 +3,8 @@
 The words of a text are encoded with a public vocabulary, each by itself. A text that the
 vocabulary was not made for, or that is no prose, falls into many short pieces or bytes
 (few characters per token, high byte share), or repeats few tokens (low entropy).
-Bands per language say what is usual; a language without bands gets the widest ones.
+Bands per language say what is usual; a language without bands gets the widest ones. Averages over
+few words scatter more, so the bands of short texts are wider, by standard errors.
 """
 
 from __future__ import annotations
@@ -49,12 +50,16 @@ BANDS = {
 @dataclass(frozen=True)
 class QualityRules:
     """Base rules: at least ``least_words`` words, at most ``most_repeated`` percent of them in repeated windows of
-    ``window`` words. Then the bands, for texts of at least ``band_words`` words."""
+    ``window`` words. Then the bands, as they stand for texts of at least ``band_words`` words. For fewer they are wider, by
+    ``z`` times what a mean over that many words has as standard error beyond one over ``band_words``; ``spread`` are
+    the standard deviations by word of characters per token and of tokens, wide enough for labelled good texts with an address in few words."""
 
     least_words: int = 10
     window: int = 5
     most_repeated: int = 20
     band_words: int = 50
+    z: float = 3.0
+    spread: tuple[float, float] = (1.2, 8.0)
     model: str = MODEL
     bands: dict[str, Band] = field(default_factory=lambda: BANDS)
 
@@ -153,8 +158,8 @@ def text_measures(docs: DataFrame, rules: QualityRules, key: str = "doc_id", tex
 def quality_rules(docs: DataFrame, rules: QualityRules | None = None, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """One row per row of ``docs``: key, the measures, chars_per_token, tokens_per_word, byte_share, evenness, base_failed, kept.
 
-    Null and empty texts have no words and fail the base rules. Texts with fewer than ``band_words``
-    words have too few tokens for shares and pass the bands. Equal rows get equal results; a null
+    Null and empty texts have no words and fail the base rules. Bands widen for texts with fewer
+    than ``band_words`` words. Equal rows get equal results; a null
     language has the widest bands.
     """
     rules = rules or QualityRules()
@@ -168,11 +173,18 @@ def quality_rules(docs: DataFrame, rules: QualityRules | None = None, key: str =
     })
     out = out.withColumn("base_failed", (F.col("n_words") < rules.least_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * rules.most_repeated))
 
+    words = F.greatest("n_words", F.lit(1))
+    wider = F.greatest(rules.z * (1 / F.sqrt(words) - 1 / F.sqrt(F.lit(rules.band_words))), F.lit(0.0))
+    chars, pieces = (wider * x for x in rules.spread)
+
     def inside(band: Band):
-        fertile = F.col("chars_per_token").between(*band.chars_per_token) & (F.col("tokens_per_word") <= band.tokens_per_word)
-        return fertile & (F.col("byte_share") <= band.byte_share) & (F.col("evenness") >= band.evenness)
+        low, high = band.chars_per_token
+        fertile = F.col("chars_per_token").between(low - chars, high + chars) & (F.col("tokens_per_word") <= band.tokens_per_word + pieces)
+        # Byte tokens mostly come by three, as one character.
+        bytes_of = band.byte_share + wider * (3 * band.byte_share * (1 - band.byte_share)) ** 0.5
+        return fertile & (F.col("byte_share") <= bytes_of) & (F.col("evenness") >= band.evenness)
 
-    passed = F.when(F.col("n_words") < rules.band_words, True)
+    passed = F.when(F.lit(False), True)
     for name, band in rules.bands.items():
         passed = passed.when(F.col(lang) == name, inside(band))
     return out.withColumn("kept", ~F.col("base_failed") & passed.otherwise(inside(ANY)))
