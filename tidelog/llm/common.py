@@ -46,10 +46,10 @@ def rows_without(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return docs.join(F.broadcast(ids) if small else ids, key, "left_anti")
 
 
-def in_parts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
-    """Arrow batches cut so that their texts (in ``column``) come to about ``PART_BYTES``, or one text."""
+def in_parts(batches: Iterator[pa.RecordBatch], column: int, size: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut so that their texts (in ``column``) come to about ``size`` bytes, or one text."""
     for batch in batches:
-        step = max(1, batch.num_rows * PART_BYTES // max(1, batch.column(column).nbytes))
+        step = max(1, batch.num_rows * size // max(1, batch.column(column).nbytes))
         for lo in range(0, batch.num_rows, step):
             yield batch.slice(lo, step)
         pa.default_memory_pool().release_unused()

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelog.llm.byte_bpe import bpe_decode, bpe_encode, read_ranks
 from tidelog.llm.common import table
 from tidelog.llm.decontaminate import WinnowRule, contamination
 from tidelog.llm.fertility import QualityRules, quality_rules
@@ -133,3 +135,12 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_main_text")
 def main_text_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"), LineBlockRule())
+
+
+@query("op11_byte_bpe")
+def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    encoded = bpe_encode(table(spark, sf_dir, "documents"), ranks)
+    digest = F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), " "), 256)
+    with_digest = encoded.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), "token_ids")
+    return bpe_decode(with_digest, ranks).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
