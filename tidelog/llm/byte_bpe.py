@@ -30,7 +30,7 @@ from tidelog.llm.common import in_parts
 from tidelog.llm.pieces import Numbering
 
 # Texts of a part, and distinct words whose tokens are kept from part to part.
-PART_BYTES, MOST_WORDS = 16 << 20, 400_000
+PART_BYTES, MOST_WORDS = 4 << 20, 200_000
 ID_BITS = 20
 END, GONE = -1, -2
 
