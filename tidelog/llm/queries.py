@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm.byte_bpe import bpe_decode, bpe_encode, read_ranks
+from tidelog.llm.collocations import PhraseRule, collocations, phrase_counts
 from tidelog.llm.common import table
 from tidelog.llm.decontaminate import WinnowRule, contamination
 from tidelog.llm.fertility import QualityRules, quality_rules
@@ -170,3 +171,36 @@ def fill_in_middle_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fill_in_middle(table(spark, sf_dir, "documents"), FillRule(changed=90, suffix_first=20, seed=1))
     digests = [F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(F.col("form"), F.col("output")), 256).alias("restored_sha256")]
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+PHRASES_SQL = f"""WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({LOWER_SQL.format(text="text")}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents WHERE text IS NOT NULL),
+q AS (SELECT row_number() OVER () AS q, lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM p),
+t AS (SELECT q, lang, unnest(w) AS w1, generate_subscripts(w, 1) AS i FROM q),
+v AS (
+  SELECT lang, w1, lead(w1, 1) OVER z AS w2, lead(w1, 2) OVER z AS w3, lead(w1, 3) OVER z AS w4, lead(w1, 4) OVER z AS w5
+  FROM t WINDOW z AS (PARTITION BY q ORDER BY i)),
+g AS (
+  SELECT lang, phrase, m, count(*) AS f
+  FROM (SELECT lang, w1 AS phrase, 1 AS m FROM v UNION ALL SELECT lang, w1 || ' ' || w2, 2 FROM v UNION ALL SELECT lang, w1 || ' ' || w2 || ' ' || w3, 3 FROM v
+        UNION ALL SELECT lang, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4, 4 FROM v
+        UNION ALL SELECT lang, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 || ' ' || w5, 5 FROM v)
+  WHERE phrase IS NOT NULL GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM g WHERE m = 1 GROUP BY lang),
+h AS (SELECT * FROM g WHERE f >= 100),
+c AS (SELECT lang, phrase, m, f AS a, string_split(phrase, ' ') AS w FROM h WHERE m > 1),
+i AS (
+  SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS phrase, max(a) AS longer FROM c, unnest(range(2, m)) AS t(k), unnest(range(1, m - k + 2)) AS u(i) GROUP BY ALL),
+o AS (SELECT c.* FROM c LEFT JOIN i ON i.lang = c.lang AND i.phrase = c.phrase WHERE longer IS NULL OR 100 * longer < 100 * a),
+k AS (SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS first_part, array_to_string(w[k + 1:m], ' ') AS rest FROM o, unnest(range(1, m)) AS t(k)),
+s AS (
+  SELECT k.lang, k.phrase, a, l.f AS l, r.f AS r, n.n, k, CAST(CAST(1000 AS HUGEINT) * a * n.n // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
+  FROM k JOIN n ON n.lang = k.lang JOIN h l ON l.lang = k.lang AND l.phrase = first_part JOIN h r ON r.lang = k.lang AND r.phrase = rest),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM b QUALIFY rank <= 2000"""
+
+
+@query("op12_phrase_collocations", PHRASES_SQL)
+def phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(phrase_counts(table(spark, sf_dir, "documents"), PhraseRule(longest=5, least=100)), longest=5, top=2000)
