@@ -10,8 +10,8 @@ Tasks know ripe phrases by an activation table of fixed size: per slot the scan
 two slots; it is ripe after the later of them. Slots are set once, so the scan in which a phrase starts never
 changes. Phrases that share their slots by chance start without need, which costs work but changes no count: what
 starts is counted for a full circle, and the threshold is applied to exact counts. A phrase with the threshold has
-subphrases with the threshold, so none is missed. The table takes ``slots`` bytes in each worker and ``slots`` / 8
-on its way through the driver, whatever the corpus. Counts stay in a table keyed by the phrases themselves; phrases
+subphrases with the threshold, so none is missed. The table takes ``slots`` bytes in each worker (less on
+its way, compressed) and new entries ``slots`` / 8 on their way through the driver, whatever the corpus. Counts stay in a table keyed by the phrases themselves; phrases
 that end their circle below the threshold leave it.
 
 Null texts count as empty, a null group as ``und``. Repeated rows count as often as they stand. Groups (languages)
@@ -21,6 +21,7 @@ share nothing but the table. No row is needed: an empty corpus has no phrases. O
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -156,6 +157,7 @@ def counted(part: PartWords, ids: np.ndarray, ripe_after: np.ndarray, step: int,
 
 def scan(shard: DataFrame, ripe_after: np.ndarray, step: int, rule: PhraseRule) -> DataFrame:
     """Counts of all phrases under way in a shard, added up per part of a task: lang, phrase, start, n."""
+    packed = zlib.compress(ripe_after.tobytes(), 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(part: PartWords, found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -163,6 +165,7 @@ def scan(shard: DataFrame, ripe_after: np.ndarray, step: int, rule: PhraseRule)
                 columns = [pa.array(langs, pa.string()), pa.array(phrases, pa.binary()), pa.array(start, pa.int32()), pa.array(n, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "start", "n"])
 
+        ripe_after = np.frombuffer(zlib.decompress(packed), np.uint8)
         part, found, size = PartWords(), [], 0
         for batch in batches:
             for lang, text in zip(batch.column(0), batch.column(1), strict=True):
