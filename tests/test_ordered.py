@@ -11,7 +11,7 @@ from tidelog import small_table
 from tidelog.operators.ordered import OrderedRows, SkewGuard, checked_broadcast, estimated_bytes, global_rank
 from tidelog.operators.state import scd2_history
 
-ALWAYS = SkewGuard(min_bytes=0, hot_rows=20, max_hot=50)
+ALWAYS = SkewGuard(min_bytes=0, hot_rows=20)
 ORDER = ["op_ts", "seq"]
 START = datetime.datetime(2024, 1, 1)
 
@@ -55,13 +55,59 @@ def test_hot_keys_are_cut_into_bounded_pieces(skewed):
     assert ends.withColumn("next", F.lead("lo").over(w)).where("next <= hi").count() == 0
 
 
-def test_the_number_of_pieces_is_bounded(skewed):
-    guard = SkewGuard(min_bytes=0, hot_rows=2, max_hot=3, max_pieces=10)
-    cut = OrderedRows(skewed, ["k"], ORDER, guard)
-    per_level = 2 * guard.max_pieces + guard.max_hot
-    assert cut.df.where("__hot").groupBy("k", *cut.pieces).count().count() <= len(cut.pieces) * per_level
+def test_every_hot_key_is_cut(spark):
+    rows = spark.range(0, 300_000, 1, 5).select((F.col("id") % 10_000).alias("k"), "id")
+    cut = OrderedRows(rows, ["k"], ["id"], SkewGuard(min_bytes=0, hot_rows=10))
+    pieces = cut.df.groupBy("k", *cut.pieces).count()
+    assert pieces.agg(F.max("count")).first()[0] <= 20
+    assert pieces.select("k").groupBy("k").count().where("count = 1").count() == 0
+    total = cut.running_sum({"s": F.lit(1)}).frame().groupBy("k").agg(F.max("s").alias("s"))
+    assert total.where("s <> 30").count() == 0 and total.count() == 10_000
+
+
+def test_pieces_of_a_log_that_thins_out(spark):
+    # Half of the rows in the first second, half of the rest in the next one, and so on.
+    at = F.pow(F.lit(2.0), F.floor(-F.log2((F.col("id") + 1) / 100_000))) + F.col("id") / 1e6
+    rows = spark.range(0, 100_000, 1, 8).select(F.lit("k").alias("k"), at.alias("at"), "id")
+    guard = SkewGuard(min_bytes=0, hot_rows=2000, samples=200)
+    cut = OrderedRows(rows, ["k"], ["at", "id"], guard)
+    sizes = [r["count"] for r in cut.df.groupBy("k", *cut.pieces).count().collect()]
+    assert max(sizes) <= 2 * guard.hot_rows and len(sizes) > 50
+
+
+@pytest.mark.parametrize(
+    "order", ["concat('x', lpad(seq, 6, '0'))", "CAST(seq AS DECIMAL(30, 3)) / 7", "CAST(seq AS DOUBLE) - 700", "named_struct('a', seq % 3, 'b', seq)", "to_binary(lpad(seq, 6, '0'), 'utf-8')"]
+)
+def test_any_order_column_can_be_cut(skewed, order):
+    rows = skewed.withColumn("by", F.expr(order))
+    cut = OrderedRows(rows, ["k"], ["by"], ALWAYS)
+    assert cut.df.groupBy("k", *cut.pieces).count().agg(F.max("count")).first()[0] <= 2 * ALWAYS.hot_rows
     columns = {"t": F.col("op_ts"), "n": F.col("v")}
-    same(OrderedRows(skewed, ["k"], ORDER).following(columns).frame(), cut.following(columns).frame())
+    same(OrderedRows(rows, ["k"], ["by"]).following(columns).frame(), cut.following(columns).frame())
+
+
+def test_null_order_values_come_first(skewed):
+    rows = skewed.withColumn("by", F.when(F.col("seq") % 3 > 0, F.col("seq")))
+    cut = OrderedRows(rows, ["k"], ["by", "seq"], ALWAYS)
+    assert cut.pieces
+    same(OrderedRows(rows, ["k"], ["by", "seq"]).preceding({"n": F.col("v")}).frame(), cut.preceding({"n": F.col("v")}).frame())
+
+
+@pytest.mark.parametrize("resets", ["false", "op = 'D'", "v = 99"])
+def test_sum_since_a_reset(skewed, resets):
+    resets = F.expr(resets)
+    w = Window.partitionBy("k").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
+    marked = skewed.withColumn("run", F.sum(F.coalesce(resets, F.lit(False)).cast("int")).over(w))
+    added = F.when(F.coalesce(resets, F.lit(False)), 0).otherwise(F.coalesce(F.col("v"), F.lit(0)))
+    within = Window.partitionBy("k", "run").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
+    plain = marked.withColumn("s", F.sum(added.cast("long")).over(within)).drop("run")
+    same(plain, OrderedRows(skewed, ["k"], ORDER, ALWAYS).sum_since("s", F.col("v"), resets).frame())
+    same(plain, OrderedRows(skewed, ["k"], ORDER).sum_since("s", F.col("v"), resets).frame())
+
+
+def test_more_cut_points_than_are_broadcast(skewed):
+    guard = SkewGuard(min_bytes=0, hot_rows=20, broadcast_cuts=3)
+    same(OrderedRows(skewed, ["k"], ORDER, guard).preceding({"n": F.col("v")}).frame(), OrderedRows(skewed, ["k"], ORDER).preceding({"n": F.col("v")}).frame())
 
 
 def test_small_inputs_are_left_whole(skewed):

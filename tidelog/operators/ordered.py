@@ -1,22 +1,20 @@
 """Ordered per-key computations that survive a key holding a third of all rows.
 
-A window over ``partitionBy(key).orderBy(...)`` puts each key into one task.
-For inputs too large for one task, keys with many rows are cut into consecutive
-pieces of their order range. Windows then run per (key, piece), and what a piece
-must know of its neighbours travels in a small summary with one row per piece.
-Results are the same as those of the plain window.
+A window over ``partitionBy(key).orderBy(...)`` puts each key into one task. For inputs too large for one task,
+keys with many rows are cut into consecutive pieces of their order. One shuffle by (keys, piece) then feeds the
+windows, and what a piece must know of its neighbours comes as one more row of the piece, in front of the others or
+behind them: a prefix scan. Results are the same as those of the plain window.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Mapping
 from dataclasses import dataclass
 from functools import reduce
 from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidelog.session import scratch_dir
 
@@ -25,21 +23,19 @@ from tidelog.session import scratch_dir
 class SkewGuard:
     """When keys are cut, and how finely.
 
-    ``min_bytes``: inputs the optimizer sizes below this are left whole, since no
-    key can be larger than its input. ``hot_rows``: keys with more rows are cut
-    into pieces of about half that many. ``max_hot``: at most this many keys are
-    cut per level (the largest ones); any other key then has fewer than
-    N / max_hot rows, so the rest stays spread too. ``max_pieces``: pieces grow
-    instead of becoming more than about this many per level.
+    ``min_bytes``: inputs the optimizer sizes below this are left whole, since no key can be larger than its input.
+    ``hot_rows``: keys with more rows are cut into pieces of about half that many, however many such keys there are
+    and whatever the types of the order columns. ``samples``: rows looked at for each ``hot_rows`` rows; the cut
+    points are every ``samples`` / 2-th of them in the order of all rows, so pieces vary by 1 / sqrt(samples / 2).
 
-    The broadcast tables are bounded by these numbers, not by the data: ``max_hot``
-    rows of cut points and 2 max_pieces + max_hot summary rows per level.
+    There are about 2 N / hot_rows cut points for N rows. They are broadcast up to ``broadcast_cuts`` of them (some
+    64 MB); beyond, the planner joins them to the rows and splits the hot keys of that join.
     """
 
     min_bytes: int = 256 << 20
     hot_rows: int = 4_000_000
-    max_hot: int = 4096
-    max_pieces: int = 100_000
+    samples: int = 128
+    broadcast_cuts: int = 1_000_000
 
 
 def estimated_bytes(df: DataFrame) -> int:
@@ -55,21 +51,6 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str)
     return left.join(renamed, on, how).drop(*[f"__r_{k}" for k in keys])
 
 
-def _position(c: Column, t: T.DataType, zone: str) -> Column | None:
-    """A bigint that never decreases when the column grows; None if there is none."""
-    if isinstance(t, T.IntegralType):
-        return c.cast("bigint")
-    if isinstance(t, T.DateType):
-        return F.unix_date(c).cast("bigint")
-    if isinstance(t, T.TimestampType) or (isinstance(t, T.TimestampNTZType) and zone == "UTC"):
-        return F.unix_micros(c.cast("timestamp"))
-    if isinstance(t, T.TimestampNTZType):
-        # Reading local times in a zone with summer time would not keep their order.
-        seconds = F.unix_date(c.cast("date")).cast("bigint") * 86400 + F.hour(c) * 3600 + F.minute(c) * 60
-        return seconds * 1_000_000 + (F.date_part(F.lit("SECOND"), c) * 1_000_000).cast("bigint")
-    return None
-
-
 def checked_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """Broadcast a dimension if it has at most ``max_rows`` rows, else leave the
     join to the planner. Nothing beyond that number is ever fetched."""
@@ -80,7 +61,7 @@ def checked_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
 
 
 class OrderedRows:
-    """Rows of ``df`` ordered by ``order`` (ascending) within ``keys``.
+    """Rows of ``df`` ordered by ``order`` (ascending, nulls first) within ``keys``.
 
     ``order`` must be total within a key. Each method adds columns and returns a
     new object; ``frame()`` gives the DataFrame back.
@@ -96,133 +77,139 @@ class OrderedRows:
     # -- cutting -----------------------------------------------------------
 
     def _cut(self, guard: SkewGuard) -> None:
-        """Up to two passes over the leading order column (bursts are cut again),
-        then one per further column for rows that tie on all earlier ones. Without
-        hot keys the first pass is the only one and nothing changes."""
-        types = {f.name: f.dataType for f in self.df.schema.fields}
-        zone = self.df.sparkSession.conf.get("spark.sql.session.timeZone")
-        for i, name in enumerate([self.order[0], *self.order]):
-            place = lambda c: _position(c, types[name], zone)
-            tied = [] if i < 2 else self.order[: i - 1]
-            if place(F.col(name)) is None or not self._cut_once(name, place, tied, guard):
-                break
-
-    def _cut_once(self, name: str, place: Callable[[Column], Column], tied: list[str], guard: SkewGuard) -> bool:
-        """Cut the groups that are too large; False if there are none.
-
-        Their at most ``max_hot`` cut points are fetched and put into the plan as a
-        literal table, so that every later use sees the same ones without another
-        pass over the data.
+        """Number the pieces of keys that are too large; nothing changes if there are none.
+
+        A sample is ranked in the order of (keys, order columns) over all rows, and every n-th row of it is a cut
+        point. Keys with two or more are hot. A row's piece is the number of cut points of its key up to it, found
+        by binary search. The ranked sample is checkpointed, so all uses see the same cut points.
         """
-        groups = self.keys + self.pieces
-        rows = self.df.where("__hot") if self.pieces else self.df
-        same = [F.min(c).eqNullSafe(F.max(c)) for c in tied]
-        large = (
-            rows.groupBy(*groups)
-            .agg(
-                F.count(F.lit(1)).alias("__n"),
-                F.min(name).alias("__lo"),
-                F.max(name).alias("__hi"),
-                reduce(and_, same, F.lit(True)).alias("__same"),
-            )
-            .where((F.col("__n") > guard.hot_rows) & F.col("__same"))
-            .orderBy(F.desc("__n"), *groups)
-            .limit(guard.max_hot)
-            .select(*groups, "__n", place(F.col("__lo")).alias("__lo"), place(F.col("__hi")).alias("__hi"))
-        )
-        found = large.toArrow()
-        if not found.num_rows:
-            return False
-        rows_per_piece = max(guard.hot_rows, sum(found["__n"].to_pylist()) // guard.max_pieces)
-        parts = F.ceil(F.col("__n") * 2 / rows_per_piece)
-        hot = self.df.sparkSession.createDataFrame(found, large.schema).select(
-            *groups, "__lo", F.ceil((F.col("__hi") - F.col("__lo") + 1) / parts).alias("__width")
+        columns = [F.col(k).alias(f"__k{i}") for i, k in enumerate(self.keys)] + [F.struct(*self.order).alias("__at")]
+        rows = self.df.select(*columns)
+        share = guard.samples / guard.hot_rows
+        sample = rows.sample(share, seed=len(self.keys)) if share < 1 else rows
+        every = max(1, min(guard.samples, guard.hot_rows) // 2)
+        named = [f"__k{i}" for i in range(len(self.keys))]
+        ranked = global_rank(sample, [F.asc(c) for c in [*named, "__at"]], "__rank")
+        cuts = ranked.where(F.col("__rank") % every == 0).groupBy(*named).agg(F.array_sort(F.array_distinct(F.collect_list("__at"))).alias("__cuts"))
+        hot = cuts.where(F.size("__cuts") > 1).withColumnsRenamed(dict(zip(named, self.keys, strict=True)))
+        found = hot.agg(F.sum(F.size("__cuts")).alias("n"), F.max(F.size("__cuts")).alias("most")).first()
+        if not found.n:
+            return
+        joined = join_null_safe(self.df, F.broadcast(hot) if found.n <= guard.broadcast_cuts else hot, self.keys, "left")
+        at, point = F.struct(*self.order), F.col("__cuts")
+        half = lambda s: F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        narrowed = lambda s: F.when(
+            F.get(point, half(s)) <= at, F.struct((half(s) + 1).alias("lo"), s["hi"].alias("hi"))
+        ).otherwise(F.struct(s["lo"].alias("lo"), half(s).alias("hi")))
+        place = F.aggregate(
+            F.sequence(F.lit(1), F.lit(int(found.most).bit_length())),
+            F.struct(F.lit(0).alias("lo"), F.size(point).alias("hi")),
+            lambda s, _: F.when(s["lo"] < s["hi"], narrowed(s)).otherwise(s),
+            lambda s: s["lo"],
         )
-        piece = f"__piece{len(self.pieces)}"
-        joined = join_null_safe(self.df, F.broadcast(hot), groups, "left")
-        is_hot = F.col("__width").isNotNull()
-        # Null positions sort first, as nulls do in an ascending window.
-        at = F.coalesce(F.floor((place(F.col(name)) - F.col("__lo")) / F.col("__width")), F.lit(-1))
-        df = joined.withColumn(piece, F.when(is_hot, at).otherwise(F.lit(0)).cast("bigint"))
-        if not self.pieces:
-            df = df.withColumn("__hot", is_hot)
-        self.df = df.drop("__lo", "__width")
-        self.pieces.append(piece)
-        return True
+        is_hot = point.isNotNull()
+        self.df = joined.withColumns({"__hot": is_hot, "__piece": F.when(is_hot, place).otherwise(0)}).drop("__cuts")
+        self.pieces = ["__piece"]
 
     # -- building blocks ---------------------------------------------------
 
-    def window(self) -> Window:
-        return Window.partitionBy(*self.keys, *self.pieces).orderBy(*self.order)
-
     def _with(self, df: DataFrame) -> OrderedRows:
         new = object.__new__(OrderedRows)
         new.keys, new.order, new.pieces, new.df = self.keys, self.order, self.pieces, df
         return new
 
-    def _summary(self, *aggregates: Column) -> tuple[DataFrame, Window]:
-        """One row per piece of a cut key, and the window over a key's pieces."""
-        per_piece = self.df.where("__hot").groupBy(*self.keys, *self.pieces).agg(*aggregates)
-        return per_piece, Window.partitionBy(*self.keys).orderBy(*self.pieces)
+    def window(self, *first: str) -> Window:
+        return Window.partitionBy(*self.keys, *self.pieces).orderBy(*first, *self.order)
 
-    def _attach(self, df: DataFrame, summary: DataFrame, names: list[str]) -> DataFrame:
+    def _with_carry(self, per_piece: DataFrame, carried: Mapping[str, Column], place: int) -> DataFrame:
+        """The rows (``__place`` 1) and one more per piece that has neighbours, with what these hand over in ``carried``
+        (columns over a window of the pieces of a key). It stands in front (0) or behind (2)."""
         groups = self.keys + self.pieces
-        return join_null_safe(df, F.broadcast(summary.select(*groups, *names)), groups, "left")
-
-    # -- operations --------------------------------------------------------
+        handed = per_piece.withColumns(dict(carried)).select(*groups, *carried, F.lit(True).alias("__hot"), F.lit(place).alias("__place"))
+        return self.df.withColumn("__place", F.lit(1)).unionByName(handed, allowMissingColumns=True)
+
+    def _scan(self, values: Mapping[str, Column], summary, carry, step, place: int = 0, types: Mapping[str, str] | None = None) -> OrderedRows:
+        """One column per value: ``step(column, window)`` over the rows of a key. ``summary(column)`` is what a piece
+        tells its neighbours, ``carry(column, pieces)`` what one gets from the others."""
+        inner = {n: f"__v{i}" for i, n in enumerate(values)}
+        rows = self._with(self.df.withColumns({inner[n]: c for n, c in values.items()}))
+        df = rows.df
+        if self.pieces:
+            # One row per piece of a hot key, hence a window over the pieces of a key.
+            across = Window.partitionBy(*self.keys).orderBy(*self.pieces)
+            per_piece = df.where("__hot").groupBy(*self.keys, *self.pieces).agg(*[summary(F.col(v)).alias(v) for v in inner.values()])
+            df = rows._with_carry(per_piece, {v: carry(F.col(v), across) for v in inner.values()}, place)
+        over = self.window(*(["__place"] if self.pieces else []))
+        out = {n: step(F.col(v), over) for n, v in inner.items()}
+        if types:
+            out = {n: c.cast(types[n]) for n, c in out.items()}
+        df = df.withColumns({f"__o_{n}": c for n, c in out.items()})
+        if self.pieces:
+            df = df.where("__place = 1").drop("__place")
+        replaced = [n for n in values if n in df.columns]
+        return self._with(df.drop(*replaced, *inner.values()).withColumnsRenamed({f"__o_{n}": n for n in values}))
 
-    def _neighbour(self, columns: Mapping[str, Column], step, pick) -> OrderedRows:
+    def _neighbour(self, columns: Mapping[str, Column], step, pick, place: int) -> OrderedRows:
         row = F.struct(*[c.alias(n) for n, c in columns.items()])
-        df = self.df.withColumn("__near", step(row).over(self.window()))
-        near = F.col("__near")
-        if self.pieces:
-            per_piece, across = self._summary(pick(row, F.struct(*self.order)).alias("__edge"))
-            carried = per_piece.withColumn("__carry", step(F.col("__edge")).over(across))
-            df = self._attach(df, carried, ["__carry"])
-            near = F.coalesce(near, F.col("__carry"))
-        df = df.withColumn("__near", near)
-        return self._with(
-            df.withColumns({n: F.col("__near").getField(n) for n in columns}).drop("__near", "__carry")
-        )
+        at = F.struct(*self.order)
+        found = self._scan({"__near": row}, lambda c: pick(c, at), lambda c, w: step(c).over(w), lambda c, w: step(c).over(w), place)
+        near = {n: F.col("__near").getField(n) for n in columns}
+        return self._with(found.df.withColumns(near).drop("__near"))
+
+    # -- operations --------------------------------------------------------
 
     def following(self, columns: Mapping[str, Column]) -> OrderedRows:
         """Values of the next row of the key; null on the last row."""
-        return self._neighbour(columns, F.lead, F.min_by)
+        return self._neighbour(columns, F.lead, F.min_by, 2)
 
     def preceding(self, columns: Mapping[str, Column]) -> OrderedRows:
         """Values of the previous row of the key; null on the first row."""
-        return self._neighbour(columns, F.lag, F.max_by)
+        return self._neighbour(columns, F.lag, F.max_by, 0)
 
     def running_sum(self, columns: Mapping[str, Column]) -> OrderedRows:
         """Sums from the key's first row up to and including the current one."""
-        upto = self.window().rowsBetween(Window.unboundedPreceding, 0)
-        df = self.df.withColumns({n: F.sum(c).over(upto) for n, c in columns.items()})
-        if self.pieces:
-            per_piece, across = self._summary(*[F.sum(c).alias(f"__c_{n}") for n, c in columns.items()])
-            before = across.rowsBetween(Window.unboundedPreceding, -1)
-            carried = per_piece.withColumns({f"__c_{n}": F.sum(f"__c_{n}").over(before) for n in columns})
-            df = self._attach(df, carried, [f"__c_{n}" for n in columns])
-            df = df.withColumns({n: F.col(n) + F.coalesce(F.col(f"__c_{n}"), F.lit(0)) for n in columns})
-            df = df.drop(*[f"__c_{n}" for n in columns])
-        return self._with(df)
+        types = {f.name: f.dataType for f in self.df.select(*[F.sum(c).alias(n) for n, c in columns.items()]).schema.fields}
+        before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+        upto = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
+        return self._scan(columns, F.sum, lambda c, w: F.sum(c).over(before(w)), lambda c, w: F.sum(c).over(upto(w)), types=types)
 
     def last_known(self, columns: Mapping[str, Column]) -> OrderedRows:
         """The latest non-null value up to and including the current row."""
-        upto = self.window().rowsBetween(Window.unboundedPreceding, 0)
-        df = self.df.withColumns({n: F.last(c, ignorenulls=True).over(upto) for n, c in columns.items()})
+        at = F.struct(*self.order)
+        last = lambda c, w, stop: F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, stop))
+        newest = lambda c: F.max_by(c, F.when(c.isNotNull(), at))
+        return self._scan(columns, newest, lambda c, w: last(c, w, -1), lambda c, w: last(c, w, 0))
+
+    def sum_since(self, name: str, added: Column, reset: Column) -> OrderedRows:
+        """Sum of ``added`` over the rows after the key's last ``reset`` row, the current one included; 0 on such a row.
+
+        Pieces hand over their own last sum, which goes on through pieces without a reset.
+        """
+        df = self.df.withColumns({"__add": F.coalesce(added, F.lit(0)).cast("long"), "__reset": F.coalesce(reset, F.lit(False))})
+        df = df.withColumn("__add", F.when(F.col("__reset"), 0).otherwise(F.col("__add")))
+
+        def summed(rows: DataFrame, over: Window) -> DataFrame:
+            upto = over.rowsBetween(Window.unboundedPreceding, 0)
+            total = rows.withColumn("__total", F.sum("__add").over(upto))
+            at_reset = F.last(F.when(F.col("__reset"), F.col("__total")), ignorenulls=True).over(upto)
+            return total.withColumn("__sum", F.col("__total") - F.coalesce(at_reset, F.lit(0))).drop("__total")
+
+        rows = self._with(df)
+        over = self.window()
+        if self.pieces:
+            groups = self.keys + self.pieces
+            narrow = summed(df.where("__hot").select(*dict.fromkeys([*groups, *self.order, "__add", "__reset"])), over)
+            per_piece = narrow.groupBy(*groups).agg(F.max_by("__sum", F.struct(*self.order)).alias("__sum"), F.max(F.col("__reset").cast("int")).alias("__resets"))
+            across = Window.partitionBy(*self.keys).orderBy(*self.pieces)
+            per_piece = per_piece.withColumn("__run", F.sum("__resets").over(across))
+            within = Window.partitionBy(*self.keys, "__run").orderBy(*self.pieces).rowsBetween(Window.unboundedPreceding, 0)
+            per_piece = per_piece.withColumn("__sum", F.sum("__sum").over(within))
+            carried = {"__add": F.coalesce(F.lag("__sum").over(across), F.lit(0)), "__reset": F.lit(False)}
+            df, over = rows._with_carry(per_piece, carried, 0), self.window("__place")
+        df = summed(df, over).drop("__add", "__reset")
         if self.pieces:
-            at = F.struct(*self.order)
-            per_piece, across = self._summary(
-                *[F.max_by(c, F.when(c.isNotNull(), at)).alias(f"__c_{n}") for n, c in columns.items()]
-            )
-            before = across.rowsBetween(Window.unboundedPreceding, -1)
-            carried = per_piece.withColumns(
-                {f"__c_{n}": F.last(f"__c_{n}", ignorenulls=True).over(before) for n in columns}
-            )
-            df = self._attach(df, carried, [f"__c_{n}" for n in columns])
-            df = df.withColumns({n: F.coalesce(F.col(n), F.col(f"__c_{n}")) for n in columns})
-            df = df.drop(*[f"__c_{n}" for n in columns])
-        return self._with(df)
+            df = df.where("__place = 1").drop("__place")
+        return self._with(df.drop(name).withColumnRenamed("__sum", name))
 
     def frame(self) -> DataFrame:
         return self.df.drop("__hot", *self.pieces)

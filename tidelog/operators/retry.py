@@ -34,20 +34,10 @@ def retry_plan(
     base: float = BASE_SECONDS,
     guard: SkewGuard = SkewGuard(),
 ) -> DataFrame:
-    """One decision per transient failure; a success starts the count again.
-
-    Failures in a row = failures so far minus failures up to the last success.
-    """
+    """One decision per transient failure; a success starts the count again."""
     rows = OrderedRows(outcomes.where(failed | succeeded), keys, order, guard)
-    rows = rows.running_sum({"__failures": failed.cast("bigint")})
-    rows = rows.last_known({"__at_success": F.when(succeeded, F.col("__failures"))})
-    in_row = F.col("__failures") - F.coalesce(F.col("__at_success"), F.lit(0))
-    return (
-        rows.frame()
-        .where(failed)
-        .withColumns(retry_columns(in_row, max_retries, base))
-        .drop("__failures", "__at_success")
-    )
+    rows = rows.sum_since("__in_row", failed.cast("bigint"), succeeded)
+    return rows.frame().where(failed).withColumns(retry_columns(F.col("__in_row"), max_retries, base)).drop("__in_row")
 
 
 # Fields of a recovery log entry, in order.
