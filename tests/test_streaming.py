@@ -2,6 +2,7 @@
 
 import datetime
 import random
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -53,7 +54,7 @@ def current(df):
 
 def test_two_consumers_of_one_log(spark, log_dir, tmp_path):
     log = spark.read.parquet(log_dir)
-    mirror = Mirror(spark, str(tmp_path / "mirror"), ["k"], log.schema, buckets=8)
+    mirror = Mirror(spark, str(tmp_path / "mirror"), ["k"], log.schema)
     finish(ingest.mirror_stream(follow(spark, log_dir), mirror, str(tmp_path / "c1")))
     finish(ingest.append_stream(follow(spark, log_dir), str(tmp_path / "copy"), str(tmp_path / "c2")))
     assert current(mirror.state()) == current(state.current_state(log, ["k"]))
@@ -61,12 +62,12 @@ def test_two_consumers_of_one_log(spark, log_dir, tmp_path):
     # Restarting from the checkpoint finds nothing new.
     finish(ingest.append_stream(follow(spark, log_dir), str(tmp_path / "copy"), str(tmp_path / "c2")))
     assert spark.read.parquet(str(tmp_path / "copy")).count() == log.count()
-    assert mirror.version() == 5
+    assert mirror.version() == 6  # six batches and a compaction
 
 
 def test_mirror_batches(spark, tmp_path):
     frame = lambda *rows: small_table(spark, [(k, s, after(s), op, int(op == "D"), f"{op}{s}") for k, s, op in rows], SCHEMA)
-    mirror = Mirror(spark, str(tmp_path / "m"), ["k"], frame((1, 1, "I")).schema, buckets=4)
+    mirror = Mirror(spark, str(tmp_path / "m"), ["k"], frame((1, 1, "I")).schema)
     assert mirror.version() == -1 and mirror.state().count() == 0
     mirror.apply(frame((1, 1, "I"), (2, 2, "I"), (3, 3, "I")))
     mirror.apply(frame((1, 5, "D"), (2, 4, "U")))
@@ -78,9 +79,48 @@ def test_mirror_batches(spark, tmp_path):
     assert current(mirror.state(tombstones=True)) == [(1, 5, "D5"), *expected]
     assert mirror.vacuum(keep=1) == 3  # each batch made a version
     assert current(mirror.state()) == expected
-    rows = spark.read.parquet(str(tmp_path / "m/manifest")).select("data_version", "bucket").collect()
-    folders = {tuple(int(p.partition("=")[2]) for p in f.parts[-2:]) for f in (tmp_path / "m/data").glob("version=*/bucket=*")}
-    assert folders == {tuple(r) for r in rows}
+    assert {f.name for f in (tmp_path / "m/data").iterdir()} == {r.folder for r in mirror.runs()}
+
+
+def test_mirror_runs_stay_few_and_rewriting_is_rare(spark, tmp_path):
+    frame = lambda lo: small_table(spark, [(k, k, after(k), "I", 0, str(k)) for k in range(lo, lo + 10)], SCHEMA)
+    mirror = Mirror(spark, str(tmp_path / "m"), ["k"], frame(0).schema)
+    written = 0
+    for i in range(24):
+        mirror.apply(frame(10 * i))
+        while mirror.compact():
+            written += mirror.runs()[-1].rows
+        mirror.vacuum(1)
+        assert len(mirror.runs()) <= 8
+    assert mirror.state().count() == 240 and written <= 240 * 4
+    assert mirror.compact(whole=True) and len(mirror.runs()) == 1
+    assert not mirror.compact(whole=True)
+    assert current(mirror.state()) == [(k, k, str(k)) for k in range(240)]
+
+
+def test_two_writers_lose_nothing(spark, tmp_path):
+    frame = lambda *rows: small_table(spark, [(k, s, after(s), "U", 0, str(s)) for k, s in rows], SCHEMA)
+    one = Mirror(spark, str(tmp_path / "m"), ["k"], frame((1, 1)).schema)
+    two = Mirror(spark, str(tmp_path / "m"), ["k"], frame((1, 1)).schema)
+    # Both have written their run on top of the same version before either publishes.
+    first, second = one._write(frame((1, 1), (2, 5))), two._write(frame((1, 9), (3, 3)))
+    assert two._publish(second, []) and one._publish(first, [])
+    assert one.version() == 1
+    assert current(two.state()) == [(1, 9, "9"), (2, 5, "5"), (3, 3, "3")]
+    # Of two compactions of the same runs one is given up; a batch in between stays.
+    runs = one.runs()
+    mine, other = one._write(one._read(runs)), two._write(two._read(runs))
+    one.apply(frame((4, 4)))
+    assert two._publish(other, runs) and not one._publish(mine, runs)
+    assert current(one.state()) == [(1, 9, "9"), (2, 5, "5"), (3, 3, "3"), (4, 4, "4")]
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda i: Mirror(spark, one.path, ["k"], one.schema).apply(frame((10 + i, i))), range(8)))
+    assert one.version() == 11 and one.state().count() == 12
+    # What was written but never published goes once it is old.
+    assert one.vacuum(1) == 11 and len(list((tmp_path / "m/data").iterdir())) == len(one.runs()) + 1
+    one.vacuum(1, orphans_after_hours=0)
+    assert {f.name for f in (tmp_path / "m/data").iterdir()} == {r.folder for r in one.runs()}
+    assert one.state().count() == 12
 
 
 def test_routed_batches_of_a_new_checkpoint_overwrite_nothing(spark, log_dir, tmp_path):
@@ -96,10 +136,10 @@ def test_routed_batches_of_a_new_checkpoint_overwrite_nothing(spark, log_dir, tm
 
 def test_unfinished_batch_is_invisible_and_repeatable(spark, tmp_path):
     row = lambda s, v: small_table(spark, [(1, s, after(s), "U", 0, v)], SCHEMA)
-    mirror = Mirror(spark, str(tmp_path / "m"), ["k"], row(1, "").schema, buckets=2)
+    mirror = Mirror(spark, str(tmp_path / "m"), ["k"], row(1, "").schema)
     mirror.apply(row(1, "first"))
     # Data of batch 1 was written, its manifest was not.
-    row(2, "half").withColumn("bucket", F.pmod(F.xxhash64("k"), F.lit(2))).write.partitionBy("bucket").parquet(str(tmp_path / "m/data/version=1"))
+    mirror._write(row(2, "half"))
     assert current(mirror.state()) == [(1, 1, "first")]
     mirror.apply(row(3, "whole"))
     assert current(mirror.state()) == [(1, 3, "whole")]
@@ -186,7 +226,7 @@ def test_failures_are_quarantined_and_routing_stops(spark, log_dir, tmp_path):
 def test_mirror_takes_changes_of_a_new_checkpoint(spark, tmp_path):
     frame = lambda *rows: small_table(spark, [(k, s, after(s), op, int(op == "D"), f"{op}{s}") for k, s, op in rows], SCHEMA)
     log = str(tmp_path / "log")
-    mirror = Mirror(spark, str(tmp_path / "m"), ["k"], frame((1, 1, "I")).schema, buckets=4)
+    mirror = Mirror(spark, str(tmp_path / "m"), ["k"], frame((1, 1, "I")).schema)
     for i, rows in enumerate([[(1, 1, "I"), (2, 2, "I")], [(1, 3, "U")]]):
         frame(*rows).write.mode("append").parquet(log)
         finish(ingest.mirror_stream(follow(spark, log), mirror, str(tmp_path / "c1")))

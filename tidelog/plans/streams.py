@@ -55,7 +55,7 @@ def stream_append_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_mirror(spark: SparkSession, sf_dir: str) -> DataFrame:
     home = workspace(spark)
     rows = _event_stream(spark, sf_dir).select(*LOG_COLUMNS, "is_deleted")
-    mirror = Mirror(spark, f"{home}/mirror", ["k"], rows.schema, buckets=16)
+    mirror = Mirror(spark, f"{home}/mirror", ["k"], rows.schema)
     finish(ingest.mirror_stream(rows, mirror, f"{home}/checkpoint"))
     return mirror.state().select(*LOG_COLUMNS)
 

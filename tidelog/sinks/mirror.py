@@ -1,27 +1,35 @@
-"""A live mirror on plain parquet: current rows, kept up by batches of changes.
-
-Rows are spread over buckets by key hash. A batch folds its changes into the
-buckets it touches and writes these as a new version; a manifest then says which
-version of each bucket counts. Readers use the newest manifest, so a batch is
-visible as a whole or not at all, and repeating a batch changes nothing.
-
-Every touched bucket is rewritten. With frequent small batches over many keys
-prefer longer trigger intervals, or read ``current_state`` of the log instead.
+"""A live mirror on plain parquet: current rows, kept up by batches of changes, as a log-structured table.
+
+A batch is written as one more *run*: its newest change per key, sorted by key. Nothing older is read or rewritten,
+so a batch costs what it holds. A manifest per version names the runs that make up the table; readers fold these, so a
+batch is visible as a whole or not at all. When small runs have gathered, they are folded into one: a run takes part
+once those smaller than it hold ``growth`` times its rows together. Sizes therefore stay in a geometric row, a
+table of N rows has some log N runs, and a row is rewritten some log N times.
+
+Folding takes the newest change per key in whatever order runs came, so repeated batches, replays through a new
+checkpoint and late changes are safe, and tombstones keep deleted keys deleted. Two writers may work at once: a version
+is created exclusively, and who comes second adds its run to what the first has published. A compaction that
+finds one of its inputs gone is given up; another has done that work.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.operators.state import ORDER, fold, latest_change
-from tidelog.session import small_table
+from tidelog.operators.state import ORDER, latest_change
+from tidelog.sinks.store import Store
+
 
-MANIFEST_SCHEMA = "bucket bigint, data_version bigint"
+@dataclass(frozen=True)
+class Run:
+    folder: str
+    rows: int
 
 
 @dataclass
@@ -30,91 +38,91 @@ class Mirror:
     path: str
     keys: list[str]
     schema: T.StructType
-    buckets: int = 256
     order: tuple[str, ...] = tuple(ORDER)
+    growth: float = 1.0
+    most_small: int = 4
+
+    @property
+    def _store(self) -> Store:
+        return Store(self.spark, self.path)
+
+    # -- reading -----------------------------------------------------------
 
-    def _manifests(self) -> DataFrame | None:
-        try:
-            return self.spark.read.schema(MANIFEST_SCHEMA + ", version bigint").parquet(f"{self.path}/manifest")
-        except AnalysisException as problem:
-            if "PATH_NOT_FOUND" in str(problem):
-                return None
-            raise
+    def _versions(self) -> list[int]:
+        return sorted(int(n.removesuffix(".json")) for n in self._store.names("manifest") if n[0] != ".")
 
     def version(self) -> int:
-        """Newest complete batch, -1 before the first."""
-        manifests = self._manifests()
-        if manifests is None:
-            return -1
-        newest = manifests.agg(F.max("version")).first()[0]
-        return -1 if newest is None else newest
-
-    def _pointers(self, version: int) -> dict[int, int]:
-        """Bucket -> data version; at most ``buckets`` entries."""
-        if version < 0:
-            return {}
-        rows = self._manifests().where(F.col("version") == version).select("bucket", "data_version").collect()
-        return {r.bucket: r.data_version for r in rows}
-
-    def _read(self, pointers: dict[int, int]) -> DataFrame:
-        if not pointers:
+        """Newest complete batch or compaction, -1 before the first."""
+        return max(self._versions(), default=-1)
+
+    def runs(self, version: int | None = None) -> list[Run]:
+        """Runs of a version, the newest by default. Some log N of them."""
+        version = self.version() if version is None else version
+        return [] if version < 0 else [Run(**r) for r in json.loads(self._store.read(f"manifest/{version:012d}.json"))["runs"]]
+
+    def _read(self, runs: list[Run]) -> DataFrame:
+        """Newest change per key of some runs. One run has each key once."""
+        if not runs:
             return self.spark.createDataFrame([], self.schema)
-        folders = [f"{self.path}/data/version={v}/bucket={b}" for b, v in sorted(pointers.items())]
-        return self.spark.read.schema(self.schema).parquet(*folders)
+        rows = self.spark.read.schema(self.schema).parquet(*[f"{self.path}/data/{r.folder}" for r in runs])
+        return rows if len(runs) == 1 else latest_change(rows, self.keys, list(self.order))
 
     def state(self, tombstones: bool = False) -> DataFrame:
-        rows = self._read(self._pointers(self.version()))
+        rows = self._read(self.runs())
         return rows if tombstones else rows.where("is_deleted = 0")
 
-    def apply(self, changes: DataFrame) -> None:
-        """Fold one batch in, as a new version.
+    # -- writing -----------------------------------------------------------
+
+    def _write(self, rows: DataFrame) -> Run:
+        """A run of rows with one per key. The window that made them so has sorted them by key."""
+        folder, seen = f"run-{uuid.uuid4().hex}", Observation()
+        rows.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(f"{self.path}/data/{folder}")
+        return Run(folder, seen.get["rows"])
+
+    def _publish(self, added: Run, replaced: list[Run]) -> bool:
+        """Make the next version; False if a run to be replaced is no longer there."""
+        while True:
+            version = self.version()
+            runs = self.runs(version)
+            if not set(replaced) <= set(runs):
+                return False
+            entries = [vars(r) for r in [*[r for r in runs if r not in replaced], added]]
+            if self._store.create(f"manifest/{version + 1:012d}.json", json.dumps({"runs": entries})):
+                return True
 
-        Folding is idempotent, so repeated batches, replays through a new checkpoint and late changes are
-        safe: a change older than the stored row loses, and tombstones keep deleted keys deleted.
+    def apply(self, changes: DataFrame) -> None:
+        """Add one batch. One shuffle: each task ships its newest row per key."""
+        newest = latest_change(changes.select(*self.schema.fieldNames()), self.keys, list(self.order))
+        self._publish(self._write(newest), [])
+
+    def compact(self, whole: bool = False) -> bool:
+        """Fold the small runs into one, if there are enough of them (``whole``: all runs); True if that was done."""
+        runs = sorted(self.runs(), key=lambda r: r.rows)
+        due = len(runs) if whole else 0
+        smaller = sum(r.rows for r in runs)
+        for n in range(len(runs), self.most_small - 1, -1):
+            smaller -= runs[n - 1].rows
+            if not due and runs[n - 1].rows <= self.growth * smaller:
+                due = n
+        if due < 2:
+            return False
+        return self._publish(self._write(self._read(runs[:due])), runs[:due])
+
+    def vacuum(self, keep: int = 2, orphans_after_hours: float | None = None) -> int:
+        """Delete all manifests but the newest ``keep``, and the runs that only those named.
+
+        What a writer has not published yet is in no manifest and stays. Runs of writers that died are
+        deleted if they are in no manifest and older than ``orphans_after_hours``.
         """
-        current = self.version()
-        new = current + 1
-        pointers = self._pointers(current)
-        spot = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets))
-        newest = latest_change(changes.select(*self.schema.fieldNames()), self.keys, list(self.order)).persist()
-        try:
-            touched = [r.bucket for r in newest.select(spot.alias("bucket")).distinct().collect()]
-            if touched:
-                old = self._read({b: v for b, v in pointers.items() if b in set(touched)})
-                merged = fold(old, newest, self.keys, list(self.order)).withColumn("bucket", spot)
-                merged.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(
-                    f"{self.path}/data/version={new}"
-                )
-            pointers.update({b: new for b in touched})
-            rows = [(int(b), int(v)) for b, v in sorted(pointers.items())]
-            # One file, so that the manifest appears in one step.
-            small_table(self.spark, rows, MANIFEST_SCHEMA).coalesce(1).write.mode("overwrite").parquet(
-                f"{self.path}/manifest/version={new}"
-            )
-        finally:
-            newest.unpersist()
-
-    def vacuum(self, keep: int = 2) -> int:
-        """Delete manifests older than the newest ``keep``, and the data of every bucket that no kept manifest
-        names. Data newer than the newest manifest is left to the batch that writes it."""
-        manifests = self._manifests()
-        if manifests is None:
-            return 0
-        versions = sorted((r.version for r in manifests.select("version").distinct().collect()), reverse=True)
-        kept, dropped = versions[:keep], versions[keep:]
-        named = manifests.where(F.col("version").isin(kept)).select("data_version", "bucket").distinct()
-        used = {f"version={r.data_version}/bucket={r.bucket}" for r in named.collect()}  # at most ``keep`` x ``buckets``
-        context = self.spark.sparkContext
-        at = lambda *parts: context._jvm.org.apache.hadoop.fs.Path("/".join([self.path, *parts]))
-        files = at().getFileSystem(context._jsc.hadoopConfiguration())
-        inside = lambda *parts: [s.getPath().getName() for s in files.listStatus(at(*parts))] if files.exists(at(*parts)) else []
+        versions, store = self._versions(), self._store
+        dropped, kept = versions[:-keep], versions[-keep:]
+        used = {r.folder for v in kept for r in self.runs(v)}
+        gone = {r.folder for v in dropped for r in self.runs(v)} - used
+        if orphans_after_hours is not None:
+            others = (n for n in store.names("data") if n not in used | gone)
+            gone |= {n for n in others if store.age_seconds(f"data/{n}") > 3600 * orphans_after_hours}
+        for folder in gone:
+            store.delete(f"data/{folder}")
         for v in dropped:
-            files.delete(at("manifest", f"version={v}"), True)
-        for version in inside("data"):
-            if int(version.removeprefix("version=")) > versions[0]:
-                continue
-            buckets = [b for b in inside("data", version) if b.startswith("bucket=")]
-            gone = [b for b in buckets if f"{version}/{b}" not in used]
-            for folder in [[version]] if len(gone) == len(buckets) else [[version, b] for b in gone]:
-                files.delete(at("data", *folder), True)
+            store.delete(f"manifest/{v:012d}.json")
         return len(dropped)

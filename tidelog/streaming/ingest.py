@@ -30,10 +30,11 @@ def append_stream(changes: DataFrame, path: str, checkpoint: str, partition_by:
 
 
 def mirror_stream(changes: DataFrame, mirror: Mirror, checkpoint: str, keep_versions: int | None = 2) -> DataStreamWriter:
-    """Keep a mirror current. A repeated batch changes nothing."""
+    """Keep a mirror current. A repeated batch changes nothing. Runs are folded between batches, as their sizes ask for."""
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         mirror.apply(batch)
+        mirror.compact()
         if keep_versions:
             mirror.vacuum(keep_versions)
 
