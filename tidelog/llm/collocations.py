@@ -1,6 +1,6 @@
 """Phrases of words that occur together more often than apart, by dynamic itemset counting.
 
-The texts are dealt into shards, which are scanned one after the other in a circle. All words are counted from the
+The texts are numbered word by word, once, and dealt into shards, which are scanned one after the other in a circle. All words are counted from the
 first scan on. Once a phrase has the threshold in what was scanned so far it is *ripe*, and a longer phrase is
 counted from the scan after that in which both of its subphrases (without its last word, without its first) became
 ripe, for one full circle: each shard once, so its count is exact. All lengths are under way at the same time, and
@@ -28,15 +28,17 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.llm.common import written
+from tidelog.llm.pieces import Numbering
 from tidelog.llm.words import MULTIPLIER, mix
 from tidelog.session import scratch_dir
 
-# Words of the texts that are counted together in a task.
-PART_WORDS = 2_500_000
+# Words that are counted together.
+PART_WORDS = 1_500_000
 NEVER = 255
 # No byte of UTF-8; stands between the pieces of a text.
 BREAK = b"\xff"
@@ -52,7 +54,7 @@ class PhraseRule:
 
     longest: int = 5
     least: int = 100
-    shards: int = 4
+    shards: int = 3
     slots: int = 1 << 24
 
     def __post_init__(self):
@@ -61,8 +63,8 @@ class PhraseRule:
 
 
 def words_of(text: bytes) -> list[bytes]:
-    """Words of a text, with ``BREAK`` between its pieces. A-Z are lower-cased; only space and tab part words."""
-    return text.translate(FOLD).replace(BREAK, b" \xff ").split(b" ")
+    """Words of a text, with ``BREAK`` after each of its pieces. A-Z are lower-cased; only space and tab part words."""
+    return text.translate(FOLD).replace(BREAK, b" \xff ").split() + [BREAK]
 
 
 def word_hash(lang: str, word: bytes) -> int:
@@ -85,52 +87,68 @@ def slots_of(h: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
     return (h & np.uint64(slots - 1)).astype(np.int64), (h >> np.uint64(32) & np.uint64(slots - 1)).astype(np.int64)
 
 
-class PartWords:
-    """Numbers for the words of each language, 1 first; 0 is a break."""
+@dataclass(frozen=True)
+class Part:
+    """Some texts of a language as numbers of its words, each text and piece ended by 0. Word 0 is the break."""
+
+    lang: str
+    words: list[bytes]
+    hashes: np.ndarray
+    ids: np.ndarray
 
-    def __init__(self):
-        self.words, self.langs, self.known = [BREAK], [""], {}
 
-    def of(self, lang: str, words: list[bytes]) -> np.ndarray:
-        if lang not in self.known:
-            self.known[lang] = _Numbers(self, lang)
-        return np.fromiter(map(self.known[lang].__getitem__, words), np.int64, len(words))
+PART = "shard int, lang string, words binary, hashes binary, ids binary"
 
 
-class _Numbers(dict):
-    def __init__(self, part: PartWords, lang: str):
-        super().__init__({BREAK: 0, b"": -1})
-        self.part, self.lang = part, lang
+def in_shards(docs: DataFrame, rule: PhraseRule, text: str, lang: str) -> DataFrame:
+    """The texts as parts, dealt into shards (see ``Part``; words are ended by line feeds)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = TaskContext.get().partitionId()
+
+        def flush(number: dict[str, Numbering], found: dict[str, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            nonlocal shard
+            for own, numbers in number.items():
+                hashes = np.fromiter((word_hash(own, w) for w in numbers), np.uint64, len(numbers)).tobytes()
+                row = [shard % rule.shards, own, b"\n".join(numbers), hashes, np.concatenate(found[own]).tobytes()]
+                yield pa.RecordBatch.from_pydict({f.name: pa.array([v], f.type) for f, v in zip(schema, row, strict=True)}, schema=schema)
+            shard += 1
+
+        schema = pa.schema([("shard", pa.int32()), ("lang", pa.string()), ("words", pa.binary()), ("hashes", pa.binary()), ("ids", pa.binary())])
+        number, found, size = {}, {}, 0
+        for batch in batches:
+            for own, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if own not in number:
+                    number[own], found[own] = Numbering({BREAK: 0}), []
+                words = words_of(body.as_py())
+                found[own].append(number[own].of(words).astype(np.int32))
+                size += len(words)
+                if size > PART_WORDS:
+                    yield from flush(number, found)
+                    number, found, size = {}, {}, 0
+        yield from flush(number, found)
 
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self.part.words)
-        self.part.words.append(word)
-        self.part.langs.append(self.lang)
-        return n
+    body = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).cast("binary").alias("text"))
+    return body.where("text IS NOT NULL").mapInArrow(run, PART)
 
 
-def counted(part: PartWords, ids: np.ndarray, ripe_after: np.ndarray, step: int, rule: PhraseRule) -> Iterator[tuple[list, list, list, np.ndarray]]:
-    """What a scan finds in one part: languages, phrases, first scans and counts, length by length."""
-    ids = ids[ids >= 0]
-    numbers = np.bincount(ids, minlength=len(part.words))
-    numbers[0] = 0
+def counted(part: Part, ripe_after: np.ndarray, step: int, rule: PhraseRule) -> Iterator[tuple[list, list, np.ndarray]]:
+    """What a scan finds in one part: phrases, first scans and counts, length by length."""
+    ids, h = part.ids, part.hashes
     if step < rule.shards:
-        here = np.flatnonzero(numbers).tolist()
-        yield [part.langs[i] for i in here], [part.words[i] for i in here], [0] * len(here), numbers[here]
-        for lang in part.known:  # the words of a language, all together, stand under the empty phrase
-            own = np.fromiter((i for i in part.known[lang].values() if i > 0), np.int64)
-            yield [lang], [b""], [0], np.array([numbers[own].sum()])
+        numbers = np.bincount(ids, minlength=len(part.words))
+        # All words together stand under the empty phrase.
+        yield [b"", *part.words[1:]], [0] * len(part.words), np.append(numbers[1:].sum(), numbers[1:])
 
     def ripe(h: np.ndarray) -> np.ndarray:
         one, two = slots_of(h, len(ripe_after))
         return np.maximum(ripe_after[one], ripe_after[two]).astype(np.int64)
 
-    h = np.fromiter(map(word_hash, part.langs, part.words), np.uint64, len(part.words))
     after = ripe(h)
     after[0] = NEVER
     # Places where a ripe phrase starts, and its number.
     places = np.flatnonzero(after[ids] < step)
-    phrases = ids[places]
+    phrases = ids[places].astype(np.int64)
     for size in range(2, rule.longest + 1):
         both = np.flatnonzero(places[1:] == places[:-1] + 1)
         left, right = phrases[both], phrases[both + 1]
@@ -144,12 +162,12 @@ def counted(part: PartWords, ids: np.ndarray, ripe_after: np.ndarray, step: int,
         pairs, first, phrases, numbers = np.unique(left << 32 | right, return_index=True, return_inverse=True, return_counts=True)
         left, right = left[first], right[first]
         start = np.maximum(after[left], after[right]) + 1
-        h, after = joined(h[left], h[right]), None
+        h = joined(h[left], h[right])
         due = np.flatnonzero(step < start + rule.shards)
         if len(due):
             at = places[first[due]]
             spelt = [[part.words[i] for i in ids[at + j].tolist()] for j in range(size)]
-            yield [part.langs[i] for i in ids[at].tolist()], list(map(b" ".join, zip(*spelt, strict=True))), start[due].tolist(), numbers[due]
+            yield list(map(b" ".join, zip(*spelt, strict=True))), start[due].tolist(), numbers[due]
         after = ripe(h)
         grown = after[phrases] < step
         places, phrases = places[grown], phrases[grown]
@@ -160,22 +178,13 @@ def scan(shard: DataFrame, ripe_after: np.ndarray, step: int, rule: PhraseRule)
     packed = zlib.compress(ripe_after.tobytes(), 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(part: PartWords, found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            for langs, phrases, start, n in counted(part, np.concatenate(found), ripe_after, step, rule):
-                columns = [pa.array(langs, pa.string()), pa.array(phrases, pa.binary()), pa.array(start, pa.int32()), pa.array(n, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "start", "n"])
-
         ripe_after = np.frombuffer(zlib.decompress(packed), np.uint8)
-        part, found, size = PartWords(), [], 0
         for batch in batches:
-            for lang, text in zip(batch.column(0), batch.column(1), strict=True):
-                found += [part.of(lang.as_py(), words_of(text.as_py())), np.zeros(1, np.int64)]
-                size += len(found[-2])
-                if size > PART_WORDS:
-                    yield from flush(part, found)
-                    part, found, size = PartWords(), [], 0
-        if found:
-            yield from flush(part, found)
+            for lang, words, hashes, ids in zip(*batch.columns, strict=True):
+                part = Part(lang.as_py(), words.as_py().split(b"\n"), np.frombuffer(hashes.as_buffer(), np.uint64), np.frombuffer(ids.as_buffer(), np.int32))
+                for phrases, start, n in counted(part, ripe_after, step, rule):
+                    columns = [pa.array([part.lang] * len(n), pa.string()), pa.array(phrases, pa.binary()), pa.array(start, pa.int32()), pa.array(n, pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "start", "n"])
 
     return shard.mapInArrow(run, "lang string, phrase binary, start int, n long")
 
@@ -202,14 +211,12 @@ def phrase_counts(docs: DataFrame, rule: PhraseRule = PhraseRule(), text: str =
     a language, and an empty phrase with the number of all words of the language."""
     spark = docs.sparkSession
     home = f"{scratch_dir(spark)}/shards-{uuid.uuid4().hex}"
-    dealt = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).cast("binary").alias("text"))
-    dealt = dealt.where("text IS NOT NULL").withColumn("shard", (F.monotonically_increasing_id() % rule.shards).cast("int"))
-    dealt.write.partitionBy("shard").parquet(home)
-    shards = spark.read.schema("lang string, text binary, shard int").parquet(home)
+    in_shards(docs, rule, text, lang).write.partitionBy("shard").parquet(home)
+    shards = spark.read.schema(PART).parquet(home)
     ripe_after = np.full(rule.slots, NEVER, np.uint8)
     state, step, last = None, 0, 0
     while step < rule.shards or step <= last + rule.shards:
-        found = scan(shards.where(F.col("shard") == step % rule.shards).select("lang", "text"), ripe_after, step, rule).withColumn("before", F.lit(0).cast("long"))
+        found = scan(shards.where(F.col("shard") == step % rule.shards).drop("shard"), ripe_after, step, rule).withColumn("before", F.lit(0).cast("long"))
         if state is not None:
             found = found.unionByName(state.select("lang", "phrase", "start", "n", F.col("n").alias("before")))
         sums = found.groupBy("lang", "phrase").agg(F.min("start").alias("start"), F.sum("n").alias("n"), F.sum("before").alias("before"))
