@@ -145,20 +145,72 @@ def test_unfinished_batch_is_invisible_and_repeatable(spark, tmp_path):
     assert current(mirror.state()) == [(1, 3, "whole")]
 
 
-def test_retry_stream_equals_batch(spark, tmp_path):
+RETRY_ROWS = "process_name string, ts timestamp_ntz, seq bigint, failed boolean"
+
+
+def in_files(spark, folder, batches, schema):
+    for rows in batches:
+        small_table(spark, rows, schema).coalesce(1).write.mode("append").parquet(folder)
+    return changelog.follow_log(spark, folder, spark.read.parquet(folder).schema, 1)
+
+
+def collected(spark, out, tmp_path, name="out"):
+    finish(out.writeStream.format("parquet").option("path", str(tmp_path / name)).option("checkpointLocation", str(tmp_path / f"c-{name}")))
+    return spark.read.schema(out.schema).parquet(str(tmp_path / name))
+
+
+def test_retry_stream_equals_batch_in_whatever_order_rows_come(spark, tmp_path):
     rng = random.Random(8)
-    rows = [(f"P{rng.randrange(4)}", after(i), i, rng.random() < 0.85) for i in range(400)]
-    schema = "process_name string, ts timestamp_ntz, seq bigint, failed boolean"
-    for part in range(5):
-        chunk = rows[part * 80 : (part + 1) * 80]
-        rng.shuffle(chunk)
-        small_table(spark, chunk, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = changelog.follow_log(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema, 1)
-    out = recovery.retry_stream(stream)
-    finish(out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")))
-    batch = retry.retry_plan(small_table(spark, rows, schema), ["process_name"], ["ts", "seq"], F.col("failed"), ~F.col("failed"))
-    columns = ["process_name", "seq", "event_type", "attempt", "delay_seconds"]
-    assert sorted(map(str, spark.read.parquet(str(tmp_path / "out")).select(*columns).collect())) == sorted(map(str, batch.select(*columns).collect()))
+    rows = [(f"P{rng.randrange(4)}", after(30 * i), i, rng.random() < 0.85) for i in range(400)]
+    mixed = rng.sample(rows, len(rows))
+    batches = [*[mixed[i : i + 80] for i in range(0, 400, 80)], [(None, after(90 * 86400), 0, False)]]
+    stream = in_files(spark, str(tmp_path / "in"), batches, RETRY_ROWS)
+    got = collected(spark, recovery.retry_stream(stream, late="10 days", slot_seconds=600), tmp_path)
+    batch = retry.retry_plan(small_table(spark, rows, RETRY_ROWS), ["process_name"], ["ts", "seq"], F.col("failed"), ~F.col("failed"))
+    columns = ["process_name", "ts", "seq", "event_type", "attempt", "delay_seconds"]
+    got = got.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    assert sorted(map(str, got.select(*columns).collect())) == sorted(map(str, batch.select(*columns).collect()))
+
+
+def test_retry_stream_gives_out_what_the_watermark_has_passed_and_drops_late_rows(spark, tmp_path):
+    batches = [
+        [("p", after(300), 3, True), ("p", after(100), 1, True), ("p", after(100), 0, False)],
+        [("q", after(2000), 9, True)],
+        [("p", after(200), 2, False), ("p", after(1995), 4, True)],  # 200 is late by now: 300 has been decided on
+        [("q", after(4000), 10, True), ("p", None, 11, True)],
+    ]
+    out = recovery.retry_stream(in_files(spark, str(tmp_path / "in"), batches, RETRY_ROWS), late="1 minute", slot_seconds=60)
+    got = sorted((r.process_name, r.seq, r.attempt) for r in collected(spark, out, tmp_path).collect())
+    assert got == [("p", 1, 1), ("p", 3, 2), ("p", 4, 3), ("q", 9, 1)]
+
+
+def test_silent_paths_are_reported_without_input(spark, tmp_path):
+    schema = "path string, incoming_heartbeat_ts timestamp_ntz"
+    beats = [("dead", 0), ("dead", 50), ("slow", 0), ("slow", 400), ("slow", 500), ("live", 0)] + [("live", 60 * i) for i in range(1, 60)] + [("slow", 3550), ("gone", 2400), ("live", 9000)]
+    rng = random.Random(1)
+    rng.shuffle(beats)
+    ordered = sorted(beats, key=lambda b: b[1] // 600)
+    batches = [[(p, after(s)) for p, s in ordered[i : i + 20]] for i in range(0, len(ordered), 20)]
+    stream = in_files(spark, str(tmp_path / "in"), batches, schema)
+    out = monitor.silent_path_stream(stream, "path", limit_seconds=120, late="10 minutes")
+    got = sorted((r.path, r.last_beat, r.due, r.severity) for r in collected(spark, out, tmp_path).collect())
+    expected = [("dead", 50), ("gone", 2400), ("live", 3540), ("slow", 0), ("slow", 500), ("slow", 3550)]
+    assert got == [(p, after(s), after(s + 120), "CRITICAL") for p, s in expected]
+
+
+def test_escalations_and_reports_disable_tables(spark, tmp_path):
+    (tmp_path / "logs").mkdir()
+    (tmp_path / "logs/a.log").write_text("2024-01-01T00:00:09Z EXTRACT ext01 ABENDED\nREPLICAT rep02 ABENDED\n")
+    reports = small_table(
+        spark,
+        [("EXT01", 0, 1, "OGG-01028 no key"), ("EXT01", 0, 2, "on TABLE hr.emp"), ("REP02", 0, 1, "OGG-00868 timeout TABLE hr.dept")],
+        "process_name string, block bigint, row bigint, value string",
+    )
+    failures = recovery.failure_stream(logs.follow_lines(spark, str(tmp_path / "logs")))
+    finish(recovery.quarantine_stream(failures, str(tmp_path / "off"), str(tmp_path / "c1"), lambda: reports))
+    rows = spark.read.parquet(str(tmp_path / "off")).collect()
+    assert [(r.fqn, r.enabled, r.changed_at) for r in rows] == [("HR.EMP", False, after(9))]
+    assert rows[0].reason.startswith("Auto-recovery: OGG-01028")
 
 
 def test_throughput_stream_emits_closed_windows(spark, log_dir, tmp_path):

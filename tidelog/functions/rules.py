@@ -115,3 +115,8 @@ def last_match(text: Column, pattern: str) -> Column:
 def process_name(line: Column) -> Column:
     """Upper-cased process named in a log line, null when none is."""
     return F.nullif(F.upper(F.regexp_extract(line, PROCESS_NAME, 1)), F.lit(""))
+
+
+def stamped_at(line: Column) -> Column:
+    """The time a log line starts with, null for lines without one."""
+    return F.try_to_timestamp(F.substring(line, 1, 19), F.lit("yyyy-MM-dd'T'HH:mm:ss")).cast("timestamp_ntz")

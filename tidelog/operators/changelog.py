@@ -73,10 +73,20 @@ def replay_from(log: DataFrame, start: int | Column, seq: str = "seq") -> DataFr
     return log.where(F.col(seq) >= start)
 
 
+def subscribe(groups: DataFrame, log: DataFrame, group: str, seq: str = "seq") -> DataFrame:
+    """Start positions of groups at the moment of subscribing: (group, start_seq).
+
+    ``groups`` holds (group, start_seq); a group without a position starts "from now", after the last change that ``log``
+    holds. Keep the result: read anew later, "now" would be another one.
+    """
+    now = log.agg(F.coalesce(F.max(seq) + 1, F.lit(0)).cast("bigint").alias("__now"))
+    return groups.crossJoin(F.broadcast(now)).select(group, F.coalesce("start_seq", "__now").alias("start_seq"))  # one row
+
+
 def replay_groups(log: DataFrame, starts: DataFrame, group: str, seq: str = "seq") -> DataFrame:
-    """Per-group start positions; groups without one start after what exists now.
+    """Changes of each group from its start position on (batch or stream); other groups get none.
 
-    ``starts`` holds (group, start_seq), one row per group.
+    ``starts`` holds (group, start_seq), one row per group, as ``subscribe`` makes it.
     """
     joined = log.join(checked_broadcast(starts.select(group, "start_seq")), group)
     return joined.where(F.col(seq) >= F.col("start_seq")).drop("start_seq")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidelog.functions import status
+from tidelog.streaming.inorder import InOrder, in_order
 
 
 def as_instant(df: DataFrame, ts: str) -> DataFrame:
@@ -34,6 +36,52 @@ def missing_beats(beats: DataFrame, keys: list[str], now: Column, cadence_second
     return beats.groupBy(*keys).agg(F.max(ts).alias("last_beat")).where(F.col("last_beat") < since)
 
 
+SILENT = "path string, last_beat timestamp, due timestamp, severity string"
+
+
+class Beats(InOrder):
+    """Holds the last beat of a path and whether its silence has been reported."""
+
+    def __init__(self, limit_seconds: int, slot_seconds: int):
+        super().__init__(slot_seconds)
+        self.limit = limit_seconds * 1_000_000
+
+    def init(self, handle) -> None:
+        super().init(handle)
+        self.last = handle.getValueState("last", "beat bigint, reported boolean")
+
+    def _alerts(self, key, beats: np.ndarray) -> pd.DataFrame:
+        times = pd.to_datetime(beats, unit="us"), pd.to_datetime(beats + self.limit, unit="us")
+        return pd.DataFrame({"path": key[0], "last_beat": times[0], "due": times[1], "severity": "CRITICAL"})
+
+    def release(self, key, ts, seq, flag):
+        beats = ts
+        if self.last.exists():
+            before, reported = self.last.get()
+            beats = ts if reported else np.append(before, ts)
+        silent = beats[:-1][np.diff(beats) > self.limit]
+        self.last.update((int(beats[-1]), False))
+        self.wake_after(int(beats[-1]) + self.limit)
+        if len(silent):
+            yield self._alerts(key, silent)
+
+    def idle(self, key, until):
+        if self.last.exists():
+            beat, reported = self.last.get()
+            if not reported and beat + self.limit < until:
+                self.last.update((beat, True))
+                yield self._alerts(key, np.array([beat]))
+
+
+def silent_path_stream(
+    beats: DataFrame, path: str, ts: str = "incoming_heartbeat_ts", limit_seconds: int = 120, late: str = "1 minute", slot_seconds: int = 60
+) -> DataFrame:
+    """One CRITICAL row for each beat that none followed within the limit, also if none ever does: a timer per path
+    fires without input, as the beats of other paths move the watermark. A path is reported once per silence."""
+    rows = beats.select(F.col(path).cast("string").alias("path"), F.col(ts).alias("ts"), F.lit(0).alias("seq"), F.lit(True).alias("flag"))
+    return in_order(rows, "path", Beats(limit_seconds, slot_seconds), SILENT, late)
+
+
 def throughput_stream(changes: DataFrame, by: list[str], minutes: int = 30, ts: str = "op_ts", late: str = "10 minutes") -> DataFrame:
     """Closed windows only (append mode); the watermark drops finished windows."""
     return (
