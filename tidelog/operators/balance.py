@@ -48,40 +48,46 @@ def deal_owners(rows: DataFrame, owner: str, cost: str, buckets: int) -> DataFra
     return rows.join(dealt, owner)
 
 
+def groups_for(rows: DataFrame, max_per_group: int = 75) -> int:
+    """How many groups hold all rows."""
+    return max(1, math.ceil(rows.count() / max_per_group))
+
+
+def by_load(held: DataFrame, name: str = "__place") -> DataFrame:
+    """Buckets numbered by falling room: the cheapest so far is 1."""
+    return global_rank(held, [F.asc("total_cost"), F.asc("group_id")], name)
+
+
 def deal_rounds(
     dealt: DataFrame, buckets: DataFrame, ids: list[str], cost: str, n: int, rounds: int = 5, rest: bool = False
 ) -> DataFrame:
-    """Each round hands the next n rows, costliest first, to the buckets in order
-    of their cost so far.
+    """Longest processing time first, a round at a time: each round hands the next n rows, costliest first, to the
+    buckets in order of their cost so far.
 
     ``dealt`` comes from ``ranked``; rows beyond n * rounds are left out (``assign_groups`` has
-    its own use for them) or, with ``rest``, dealt in snake order to the buckets in order of their cost after the rounds. ``buckets`` has n rows (group_id, total_cost). One row
-    per bucket goes through all rounds and collects what it gets, so the window
-    that orders buckets is bounded by n and the plan grows by one join a round.
+    its own use for them) or, with ``rest``, dealt in snake order to the buckets in order of their cost after the rounds.
+    ``buckets`` has n rows (group_id, total_cost). Buckets are ranked by a range-partitioned sort, whose checkpoint carries
+    their costs from round to round: one small table a round, however many buckets there are.
     """
-    cheapest_first = Window.orderBy("total_cost", "group_id")
     heavy = dealt.where(F.col("rank") <= n * rounds).select(
-        (F.floor((F.col("rank") - 1) / n)).alias("__round"),
-        ((F.col("rank") - 1) % n + 1).cast("int").alias("__place"),
-        F.struct(*ids, cost, "rank").alias("__row"),
+        F.floor((F.col("rank") - 1) / n).alias("__round"), ((F.col("rank") - 1) % n + 1).alias("__place"), *ids, cost, "rank"
     )
     held = buckets.select("group_id", F.col("total_cost").cast("double").alias("total_cost"))
-    taken = [f"__got{r}" for r in range(rounds)]
-    for r, got in enumerate(taken):
-        turn = heavy.where(F.col("__round") == r).select("__place", F.col("__row").alias(got))
-        placed = held.withColumn("__place", F.row_number().over(cheapest_first)).join(turn, "__place", "left")
-        grown = F.col("total_cost") + F.coalesce(F.col(got).getField(cost).cast("double"), F.lit(0.0))
-        held = placed.withColumn("total_cost", grown).drop("__place")
-    rows = held.select("group_id", F.explode(F.array_compact(F.array(*taken))).alias("__row"))
-    out = rows.select("__row.*", "group_id")
+    out = None
+    for r in range(rounds):
+        placed = by_load(held)
+        turn = heavy.where(F.col("__round") == r).drop("__round")
+        given = placed.join(turn, "__place")
+        out = given.select(*ids, cost, "rank", "group_id") if out is None else out.unionByName(given.select(*ids, cost, "rank", "group_id"))
+        grown = placed.join(turn.select("__place", F.col(cost).cast("double").alias("__more")), "__place", "left")
+        held = grown.select("group_id", (F.col("total_cost") + F.coalesce("__more", F.lit(0.0))).alias("total_cost"))
     if not rest:
         return out
     later = F.col("rank") - n * rounds - 1
     step = later % n
     turn = F.when(F.floor(later / n) % 2 == 0, step + 1).otherwise(n - step)
-    places = held.select("group_id", F.row_number().over(cheapest_first).alias("__place"))
-    light = dealt.where(F.col("rank") > n * rounds).select(*ids, cost, "rank", turn.cast("int").alias("__place"))
-    return out.unionByName(light.join(F.broadcast(places), "__place").select(*out.columns))  # places: n rows
+    light = dealt.where(F.col("rank") > n * rounds).select(*ids, cost, "rank", turn.alias("__place"))
+    return out.unionByName(light.join(by_load(held).select("group_id", "__place"), "__place").select(*out.columns))
 
 
 def assign_groups(
@@ -99,7 +105,7 @@ def assign_groups(
     spark, everything = scored.sparkSession, scored
     # Dealt in several passes, hence written once.
     scored = shared_checkpoint(scored.select(*ids, cost, "profile"))
-    n = target_groups or max(1, math.ceil(scored.count() / max_per_group))
+    n = target_groups or groups_for(scored, max_per_group)
     is_batch, is_oltp = F.col("profile") == "BATCH_HEAVY", F.col("profile") == "OLTP_HEAVY"
 
     cap = min(max_batch_heavy, max_per_group)

@@ -103,11 +103,12 @@ def class_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.class_distribution(_scored(spark, sf_dir))
 
 
-GROUPS = 12
+PER_GROUP = 75
 SNAKE = f"CASE WHEN ((rank - 1) // {{n}}) % 2 = 0 THEN (rank - 1) % {{n}} + 1 ELSE {{n}} - (rank - 1) % {{n}} END"
 GROUPED_SQL = SCORE_SQL + f""", ranked AS (
-  SELECT *, row_number() OVER (ORDER BY extract_cost DESC, owner, table_name) AS rank FROM scored),
-grouped AS (SELECT *, {SNAKE.format(n=GROUPS)} AS group_id FROM ranked),
+  SELECT *, row_number() OVER (ORDER BY extract_cost DESC, owner, table_name) AS rank, greatest(1, (count(*) OVER () + {PER_GROUP - 1}) // {PER_GROUP}) AS groups
+  FROM scored),
+grouped AS (SELECT *, {SNAKE.format(n='groups')} AS group_id FROM ranked),
 plan AS (
   SELECT group_id, count(*) AS tables, string_agg(DISTINCT owner, ', ' ORDER BY owner) AS schemas,
     CAST(sum(extract_cost) AS BIGINT) AS total_cost, CAST(sum(byte_throughput) AS BIGINT) AS total_bytes,
@@ -123,7 +124,7 @@ flagged AS (
 def _grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = _scored(spark, sf_dir)
     ids = ["owner", "table_name"]
-    groups = balance.deal_snake(scored, ids, "extract_cost", GROUPS).select(*ids, "group_id")
+    groups = balance.deal_snake(scored, ids, "extract_cost", balance.groups_for(scored, PER_GROUP)).select(*ids, "group_id")
     return scored.join(groups, ids)
 
 
@@ -158,11 +159,40 @@ def routes_from_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routes.routes_from_profile(_grouped(spark, sf_dir), names)
 
 
-@query("assign_groups")
+# The dealing in SQL: batch-heavy entities by turns, transaction-heavy ones in five rounds, the rest over free places.
+HEAVY_ROUNDS = 5
+ASSIGN_SQL = SCORE_SQL + f""", e AS (SELECT owner, table_name, profile, extract_cost AS cost FROM scored),
+n0 AS (SELECT greatest(1, (count(*) + {PER_GROUP - 1}) // {PER_GROUP}) AS n FROM e),
+batch AS (SELECT *, row_number() OVER (ORDER BY cost DESC, owner, table_name) - 1 AS i FROM e WHERE profile = 'BATCH_HEAVY'),
+batch_groups AS (SELECT owner, table_name, cost, CASE WHEN i < 2 * n THEN i % n + 1 ELSE n + 1 + (i - 2 * n) // 2 END AS group_id FROM batch, n0),
+planned AS (SELECT n + greatest(0, (SELECT count(*) FROM batch) - 2 * n + 1) // 2 AS n FROM n0),
+ids AS (SELECT unnest(range(1, n + 1)) AS group_id FROM planned),
+oltp AS (SELECT *, row_number() OVER (ORDER BY cost DESC, owner, table_name) AS rank FROM e WHERE profile = 'OLTP_HEAVY'),
+t0 AS (SELECT group_id, coalesce(sum(cost), 0) AS total FROM ids LEFT JOIN batch_groups USING (group_id) GROUP BY group_id)"""
+for _r in range(HEAVY_ROUNDS):
+    ASSIGN_SQL += f""",
+p{_r} AS (SELECT group_id, total, row_number() OVER (ORDER BY total, group_id) AS place FROM t{_r}),
+o{_r} AS (SELECT owner, table_name, cost, group_id FROM oltp, planned JOIN p{_r} ON rank = {_r} * n + place),
+t{_r + 1} AS (SELECT group_id, total + coalesce(cost, 0) AS total FROM p{_r} LEFT JOIN o{_r} USING (group_id))"""
+ASSIGN_SQL += f""",
+placed AS (SELECT * FROM batch_groups {' '.join(f'UNION ALL SELECT owner, table_name, cost, group_id FROM o{r}' for r in range(HEAVY_ROUNDS))}),
+room AS (SELECT group_id, {PER_GROUP} - count(cost) AS free, coalesce(sum(cost), 0) AS total FROM ids LEFT JOIN placed USING (group_id) GROUP BY group_id),
+places AS (SELECT group_id, total, unnest(range(1, free + 1)) AS level FROM room),
+numbered AS (SELECT group_id, row_number() OVER (ORDER BY level, CASE WHEN level % 2 = 1 THEN total ELSE -total END, CASE WHEN level % 2 = 1 THEN group_id ELSE -group_id END) AS rank FROM places),
+ends AS (SELECT count(*) AS taken, coalesce(max(group_id), (SELECT n FROM planned)) AS top FROM numbered),
+light AS (
+  SELECT owner, table_name, row_number() OVER (ORDER BY cost DESC, owner, table_name) AS rank
+  FROM (SELECT owner, table_name, cost FROM e WHERE profile NOT IN ('BATCH_HEAVY', 'OLTP_HEAVY')
+        UNION ALL SELECT owner, table_name, cost FROM oltp, planned WHERE rank > {HEAVY_ROUNDS} * n)),
+dealt AS (SELECT owner, table_name, group_id FROM placed
+  UNION ALL SELECT owner, table_name, coalesce(group_id, top + 1 + (rank - taken - 1) // {PER_GROUP}) FROM light LEFT JOIN numbered USING (rank), ends)
+SELECT owner, table_name, profile, cost AS extract_cost, group_id FROM e JOIN dealt USING (owner, table_name)"""
+
+
+@query("assign_groups", ASSIGN_SQL)
 def assign_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole dealing: batch-heavy, transaction-heavy and light entities.
-    Sequential rules in the original; invariants are checked in the tests."""
-    dealt = balance.assign_groups(_scored(spark, sf_dir), max_per_group=75)
+    """The whole dealing: batch-heavy, transaction-heavy and light entities."""
+    dealt = balance.assign_groups(_scored(spark, sf_dir), max_per_group=PER_GROUP)
     return dealt.select("owner", "table_name", "profile", F.col("extract_cost").cast("bigint").alias("extract_cost"), "group_id")
 
 
