@@ -200,7 +200,7 @@ def slots_set(ripe: DataFrame, rule: PhraseRule) -> np.ndarray:
     slots = ripe.select("lang", "phrase").mapInArrow(run, "slot long")
     maps = slots.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
     out = [np.zeros(0, np.int64)]
-    for row in maps.toLocalIterator():
+    for row in maps.collect():
         bits = np.unpackbits(np.frombuffer(row.bits, np.uint8), bitorder="little")
         out.append((row.bucket - 1) * len(bits) + np.flatnonzero(bits))
     return np.concatenate(out)
