@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,11 +43,15 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 # A new one ends an open one of its kind: paragraphs end at any block, items at the next item.
 CLOSED_BY = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 
+# Alternatives exclude each other and give nothing back, so a tag is read in one pass: a quote that none follows is a character
+# like any, and where the rest of the page lies in quotes the tag ends at the next ">".
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>"
-    r"|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>",
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>"
+    r"|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*+)(?:(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>|(?P<open>[^>]*+)>)",
     re.IGNORECASE | re.DOTALL,
 )
+# What begins behind the last ">" of a page and is cut off by its end.
+CUT_OFF = re.compile(r"<[/!?]?(?:[a-z!-].*)?\Z", re.IGNORECASE | re.DOTALL)
 RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.IGNORECASE) for tag in RAW}
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 WORD = re.compile(r"[a-z0-9]+")
@@ -55,12 +60,14 @@ WORD = re.compile(r"[a-z0-9]+")
 @dataclass(frozen=True)
 class LineBlockRule:
     """Windows of ``window`` lines surge at ``least`` characters; a line is a menu entry with at least ``links`` of its text in links.
-    Other lines in an article count as ``bonus`` characters more."""
+    Other lines in an article count as ``bonus`` characters more. Where nothing surges, the page's own densest windows set the
+    threshold, if a line has ``words`` words: a short text is kept, a lone word is none."""
 
     window: int = 3
     least: int = 80
     links: float = 0.5
     bonus: int = 40
+    words: int = 3
 
 
 def _dropped(tag: str, rest: str, in_article: bool) -> bool:
@@ -82,6 +89,7 @@ def lines_of(page: str) -> list[tuple[str, bool, bool, int]]:
     parts: list[str] = []
     linked = 0
     stack: list[tuple[str, bool, bool]] = []  # open element, dropped inside, article inside
+    opened: Counter[str] = Counter()  # open elements by name
 
     def state() -> tuple[bool, bool]:
         return (stack[-1][1], stack[-1][2]) if stack else (False, False)
@@ -98,11 +106,13 @@ def lines_of(page: str) -> list[tuple[str, bool, bool, int]]:
     def close(upto: int) -> None:
         if any(t in BLOCKS for t, _, _ in stack[upto:]):
             end_line()
+        opened.subtract(t for t, _, _ in stack[upto:])
         del stack[upto:]
 
     at, in_link = 0, 0
     unended: set[str] = set()  # raw elements without an end tag in the rest of the page
-    while m := TOKEN.search(page, at):
+    last = page.rfind(">") + 1  # no tag ends beyond
+    while m := TOKEN.search(page, at, last):
         if m.start() > at:
             text = page[at : m.start()]
             parts.append(text)
@@ -110,9 +120,11 @@ def lines_of(page: str) -> list[tuple[str, bool, bool, int]]:
         at = m.end()
         tag = m["tag"]
         if not tag:
+            if m[0].startswith("<!--") and not m[0].endswith("-->"):
+                at = len(page)
             continue
-        tag = tag.lower()
-        if tag in RAW and not m["end"] and tag not in unended and (tag in ENDLESS or not m["rest"].endswith("/")):
+        tag, rest = tag.lower(), m["open"] if m["rest"] is None else m["rest"]
+        if tag in RAW and not m["end"] and tag not in unended and (tag in ENDLESS or not rest.endswith("/")):
             end = RAW_END[tag].search(page, at)
             if end or tag in ENDLESS:
                 at = end.end() if end else len(page)
@@ -122,13 +134,13 @@ def lines_of(page: str) -> list[tuple[str, bool, bool, int]]:
             parts.append(" ")
         if m["end"]:
             in_link -= tag == "a" and in_link > 0
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    close(i)
-                    break
-            else:
-                if tag in BLOCKS:
-                    end_line()
+            if opened[tag] > 0:
+                i = len(stack) - 1
+                while stack[i][0] != tag:
+                    i -= 1
+                close(i)
+            elif tag in BLOCKS:
+                end_line()
             continue
         if tag in BLOCKS:
             end_line()
@@ -140,17 +152,18 @@ def lines_of(page: str) -> list[tuple[str, bool, bool, int]]:
                 if kind in BLOCKS and kind not in CLOSED_BY:
                     break
         in_link += tag == "a"
-        if tag in VOID or m["rest"].endswith("/"):
+        if tag in VOID or rest.endswith("/"):
             continue
         dropped, article = state()
         article = article or tag in ARTICLE
-        inside = dropped or _dropped(tag, m["rest"], article)
+        inside = dropped or _dropped(tag, rest, article)
         # Elements inside a line matter only if they are dropped.
         if tag in BLOCKS or inside != dropped:
             if inside != dropped and tag not in BLOCKS:
                 end_line()
             stack.append((tag, inside, article))
-    parts.append(page[at:])
+            opened[tag] += 1
+    parts.append(CUT_OFF.sub("", page[at:]))
     end_line()
     return lines
 
@@ -163,12 +176,17 @@ def main_text(page: str | None, rule: LineBlockRule = LineBlockRule()) -> str:
     total = np.concatenate([[0], np.cumsum(size)])
     stop = np.minimum(np.arange(len(size)) + rule.window, len(size))
     block = total[stop] - total[:-1]
+    least = rule.least
+    if block.max() < least:
+        if not any(n and len(t.split()) >= rule.words for (t, *_), n in zip(lines, size.tolist(), strict=True)):
+            return ""
+        least = block.max()
     kept: list[str] = []
     inside = in_article = False  # of a run of main text; it surged in an article
     for (text, article, dropped, _), n, own in zip(lines, block.tolist(), size.tolist(), strict=True):
         if inside and (not n or (in_article and not article)):
             inside = False  # dive
-        if not inside and own and n >= rule.least:
+        if not inside and own and n >= least:
             inside, in_article = True, article  # surge
         if inside and not dropped:
             kept.append(text)
@@ -177,7 +195,7 @@ def main_text(page: str | None, rule: LineBlockRule = LineBlockRule()) -> str:
 
 def extract_pages(pages: DataFrame, rule: LineBlockRule = LineBlockRule(), key: str = "page_id", page: str = "html") -> DataFrame:
     """One row per row of ``pages``: its columns but ``page``, and text, n_chars. Null and empty pages have
-    the empty text. A row's own columns ``text`` and ``n_chars`` give way to the new ones."""
+    the empty text. A page may end anywhere, also inside a tag, which is then no text. A row's own columns ``text`` and ``n_chars`` give way to the new ones."""
     others = [c for c in pages.columns if c not in (page, "text", "n_chars")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
