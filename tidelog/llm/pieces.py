@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from functools import lru_cache
 from itertools import chain
 
 import ahocorasick
@@ -26,7 +25,6 @@ UNKNOWN_PENALTY = 10.0
 PIECE_BITS = 32
 
 
-@lru_cache(maxsize=4)
 def processor(model: str) -> sentencepiece.SentencePieceProcessor:
     return sentencepiece.SentencePieceProcessor(model_file=model)
 
@@ -63,7 +61,6 @@ class Vocabulary:
         return float(self.logp[np.isfinite(self.logp)].min()) - UNKNOWN_PENALTY
 
 
-@lru_cache(maxsize=4)
 def vocabulary(model: str = MODEL, runs: bool = False) -> Vocabulary:
     """``runs``: with the pieces that are runs of two or more marks, for tokens led by all spaces before a word (``tokens_of``)."""
     sp = processor(model)
