@@ -119,6 +119,31 @@ def test_events_and_enrichment(spark):
     assert got == {"EXT01": ("PERMANENT", "HR.EMP"), "REP02": ("UNKNOWN", None)}
 
 
+def test_events_see_the_report_as_it_was(spark):
+    report = [("EXT01", i, v) for i, v in [(1, "OGG-00868 timeout"), (2, "MAP hr.one"), (5, "restarted"), (7, "OGG-01028 no key TABLE hr.two")]]
+    report += [("EXT01", 10 + i, "noise") for i in range(6)]
+    lines_ = small_table(spark, report, "process_name string, row bigint, value string").withColumn("block", F.lit(0))
+    log = [("EXT01", 3, "EXT01 ABENDED"), ("EXT01", 3, "EXT01 ABENDED again"), ("EXT01", 8, "EXT01 ABENDED"), ("EXT01", 99, "EXT01 ABENDED"), ("EXT01", 0, "early"), ("REP9", 4, "no report"), (None, 4, "x")]
+    events = small_table(spark, log, "process_name string, row bigint, value string")
+    for guard in (SkewGuard(), SkewGuard(min_bytes=0, hot_rows=4)):
+        got = loglines.enrich_events_as_of(events, lines_, "row", 5, guard=guard).collect()
+        found = sorted((r.process_name, r.row, r.value, r.error_code, r.failing_table, r.error_class) for r in got)
+        assert found == [
+            ("EXT01", 0, "early", None, None, "UNKNOWN"),
+            ("EXT01", 3, "EXT01 ABENDED", "OGG-00868", "HR.ONE", "TRANSIENT"),
+            ("EXT01", 3, "EXT01 ABENDED again", "OGG-00868", "HR.ONE", "TRANSIENT"),
+            ("EXT01", 8, "EXT01 ABENDED", "OGG-01028", "HR.TWO", "PERMANENT"),
+            ("EXT01", 99, "EXT01 ABENDED", None, None, "UNKNOWN"),
+            ("REP9", 4, "no report", None, None, "UNKNOWN"),
+        ]
+
+
+def test_lines_left_out_are_counted(spark):
+    log = lines(spark, [f"2024-01-01T10:00:{i:02d}Z ERROR {i}" for i in range(20)])
+    got = loglines.recent_errors(log, F.lit("2024-01-01T10:00"), 15, count_rest=True).collect()
+    assert len(got) == 15 and {r.left_out for r in got} == {5}
+
+
 def test_process_status(spark):
     log = lines(spark, ["EXTRACT ext01 Last Started  Status RUNNING", "Extract EXT01 x Status ABENDED", "REPLICAT rdb01 since 10:30 STOPPED", "REPLICAT r2 x Status STARTING", "MANAGER up"])
     got = {r.process_name: (r.status, r.severity) for r in loglines.process_status(log).collect()}

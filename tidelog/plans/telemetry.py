@@ -296,7 +296,8 @@ def tail_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     LINES_SQL
     + """, hits AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY ts DESC, row DESC) AS rn FROM lines
       WHERE ts >= TIMESTAMP '2024-01-30 20:00:00' - INTERVAL 600 MINUTE AND regexp_matches(value, 'ERROR|ABEND|FATAL'))
-    SELECT file, count(*) AS errors, string_agg(value, ' ~ ' ORDER BY rn) FILTER (rn <= 3) AS newest FROM hits GROUP BY file""",
+    SELECT file, count(*) AS errors, string_agg(value, ' ~ ' ORDER BY rn) FILTER (rn <= 3) AS newest, CAST(greatest(count(*) - 3, 0) AS BIGINT) AS left_out
+    FROM hits GROUP BY file""",
 )
 def error_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = loglines.error_window(_lines(spark, sf_dir), F.to_timestamp_ntz(F.lit("2024-01-30 20:00:00")), 600)
@@ -344,23 +345,42 @@ def report_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loglines.report_details(_reports(spark, sf_dir), loglines.RECOVERY_TAIL)
 
 
-@query(
-    "event_enrichment",
-    DETAILS_SQL
-    + f""", found AS (SELECT row, value, upper(regexp_extract(value, '(?i)(?:EXTRACT|REPLICAT|PUMP)\\s+(\\w+)', 1)) AS process_name FROM lines
-      WHERE regexp_matches(value, '(?i)(ABEND)')),
-    texts AS (SELECT f.row, process_name, error_code, failing_table, error_message,
-      concat_ws(chr(10), f.value, excerpt, concat_ws(' ', error_code, error_message)) AS txt
-      FROM found f LEFT JOIN details USING (process_name) WHERE process_name <> ''),
-    c AS (SELECT *, {_rule_sql('txt')} AS hit FROM texts)
-    SELECT row, process_name, error_code, failing_table, error_message, split_part(hit, '|', 1) AS error_class, split_part(hit, '|', 2) AS error_pattern FROM c""",
-)
-def event_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
+AS_OF_SQL = LINES_SQL + f""", found AS (SELECT row, value, upper(regexp_extract(value, '(?i)(?:EXTRACT|REPLICAT|PUMP)\\s+(\\w+)', 1)) AS process_name FROM lines
+  WHERE regexp_matches(value, '(?i)(ABEND)')),
+numbered AS (SELECT 'EXT' || user_id % 20 AS process_name, row, value, row_number() OVER (PARTITION BY user_id % 20 ORDER BY row) AS no FROM lines),
+named AS (SELECT f.row AS event, f.value AS line, process_name, n.no AS upto FROM found f JOIN numbered n USING (process_name) WHERE n.row <= f.row AND process_name <> ''
+  QUALIFY row_number() OVER (PARTITION BY f.row ORDER BY n.row DESC) = 1),
+tail AS (
+  SELECT event, line, t.process_name, n.row, n.value, regexp_extract_all(n.value, '(OGG-[0-9]+)', 1)[-1] AS code,
+    upper(regexp_extract_all(n.value, '(?i)(?:TABLE|MAP)\\s+(\\w+\\.\\w+)', 1)[-1]) AS tab
+  FROM named t JOIN numbered n ON n.process_name = t.process_name AND n.no <= upto AND n.no > upto - 80),
+codes AS (
+  SELECT event, line, process_name, arg_max(code, row) FILTER (code IS NOT NULL) AS error_code, arg_max(tab, row) FILTER (tab IS NOT NULL) AS failing_table,
+    string_agg(value, chr(10) ORDER BY row) AS excerpt FROM tail GROUP BY ALL),
+messages AS (SELECT event, trim(arg_max(value, row)) AS error_message FROM tail JOIN codes USING (event)
+  WHERE coalesce(contains(value, error_code), false) OR contains(upper(value), 'ERROR') OR contains(upper(value), 'ABEND') GROUP BY event),
+texts AS (SELECT *, concat_ws(chr(10), line, excerpt) AS txt FROM codes LEFT JOIN messages USING (event)),
+c AS (SELECT *, {_rule_sql('txt')} AS hit FROM texts)
+SELECT event AS row, process_name, error_code, failing_table, error_message, split_part(hit, '|', 1) AS error_class, split_part(hit, '|', 2) AS error_pattern FROM c"""
+
+
+def _enriched(spark: SparkSession, sf_dir: str, guard: SkewGuard) -> DataFrame:
+    """Each event with the last 80 report lines up to it: a process that fails twice has two reports."""
     events = loglines.abend_events(_lines(spark, sf_dir)).select("row", "value", "process_name")
-    out = loglines.enrich_events(events, _reports(spark, sf_dir))
+    out = loglines.enrich_events_as_of(events, _reports(spark, sf_dir), "row", guard=guard)
     return out.select("row", "process_name", "error_code", "failing_table", "error_message", "error_class", "error_pattern")
 
 
+@query("event_enrichment", AS_OF_SQL)
+def event_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _enriched(spark, sf_dir, SkewGuard())
+
+
+@query("event_enrichment_split_keys", AS_OF_SQL)
+def event_enrichment_split_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _enriched(spark, sf_dir, SkewGuard(min_bytes=0, hot_rows=100))
+
+
 STATUS_SQL = """WITH lines AS (
   SELECT event_id AS row, user_id, CASE event_type WHEN 'click' THEN 'RUNNING' WHEN 'error' THEN 'abended' WHEN 'signup' THEN 'STOPPED' ELSE 'STARTING' END AS s
   FROM events WHERE event_type <> 'view'),
