@@ -125,8 +125,7 @@ def _threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recon.reconcile_threshold(expected, source, target, ["entity"], threshold_pct=20.0)
 
 
-@query(
-    "recon_threshold",
+THRESHOLD_SQL = (
     SIDES_SQL
     + """, pairs AS (
     SELECT o_orderkey AS entity, CASE WHEN s.error IS NOT NULL THEN -1 ELSE s.row_count END AS source_count,
@@ -140,10 +139,14 @@ def _threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM pairs),
     named AS (
     SELECT *, CASE WHEN source_count < 0 THEN 'ERROR' WHEN pct IS NULL THEN 'MISSING' WHEN pct <= 20 THEN 'MATCH' ELSE 'MISMATCH' END AS status
-    FROM rated)
-    SELECT entity, source_count, target_total, target_active, delta, round(pct, 6) AS delta_pct, status,
-      CASE WHEN status = 'MISSING' THEN CASE WHEN target_active IS NULL THEN 'target' ELSE 'source' END END AS side FROM named""",
+    FROM rated),
+    rated_rows AS (SELECT entity, source_count, target_total, target_active, delta, pct AS delta_pct, status,
+      CASE WHEN status = 'MISSING' THEN CASE WHEN target_active IS NULL THEN 'target' ELSE 'source' END END AS side FROM named)
+    """
 )
+
+
+@query("recon_threshold", THRESHOLD_SQL + "SELECT * REPLACE (round(delta_pct, 6) AS delta_pct) FROM rated_rows")
 def recon_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _threshold(spark, sf_dir).withColumn("delta_pct", F.round("delta_pct", 6))
 

@@ -31,6 +31,26 @@ def write_json_report(summary: DataFrame, tables: DataFrame, path: str, run_id:
         df.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").json(f"{path}/{name}/run={run_id}")
 
 
+def write_nested_reports(rows: DataFrame, path: str, source: str, position: str = "position") -> None:
+    """Control totals as one JSON line per run: a summary and the run's tables, in order, as an array of structs.
+
+    ``rows`` holds run, position, schema, table_name, row_count and error. A run lists the tables of one inventory.
+    """
+    entry = F.struct(position, "schema", F.col("table_name").alias("table"), "row_count", "error")
+    runs = rows.groupBy("run").agg(
+        F.array_sort(F.collect_list(entry)).alias("entries"),
+        F.array_sort(F.collect_set("schema")).alias("schemas"),
+        F.count(F.lit(1)).alias("tables_total"),
+        F.count_if(F.col("error").isNull()).alias("tables_ok"),
+        F.count_if(F.col("error").isNotNull()).alias("tables_error"),
+    )
+    summary = F.struct(
+        F.col("run").cast("string").alias("run_id"), F.lit(source).alias("source"), "schemas", "tables_total", "tables_ok", "tables_error"
+    )
+    tables = F.transform("entries", lambda e: e.dropFields(position))
+    runs.select(summary.alias("summary"), tables.alias("tables")).write.mode("append").json(path)
+
+
 def append_alerts(alerts: DataFrame, path: str) -> None:
     """Alerts are never rewritten, one JSON line each."""
     alerts.write.mode("append").json(path)

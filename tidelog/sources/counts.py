@@ -51,15 +51,18 @@ def read_target_counts(spark: SparkSession, path: str) -> DataFrame:
     return target_counts(read_delimited(spark, path))
 
 
-def read_reports(spark: SparkSession, path: str) -> DataFrame:
+def read_reports(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """All JSON control-total reports of a folder, one row per run and table.
 
-    Names are upper-cased; a table listed twice in a report counts with its last
-    entry. The file name, which carries the time, orders the runs.
+    Names are upper-cased; a table listed twice in a run counts with its last entry. A file holds one report, and its
+    name, which carries the time, orders the runs; with ``lines`` files hold a report per line, as
+    ``write_nested_reports`` makes them, and runs are those of their summaries.
     """
-    reports = spark.read.schema(REPORT_SCHEMA).json(path, multiLine=True)
+    reports = spark.read.schema(REPORT_SCHEMA).json(path, multiLine=not lines)
+    run = F.col("summary.run_id") if lines else F.regexp_extract("_metadata.file_name", r"^(.*)\.json$", 1)
+    reports = reports.withColumn("run", run)
     rows = reports.select(
-        F.regexp_extract("_metadata.file_name", r"^(.*)\.json$", 1).alias("run"), F.posexplode("tables").alias("pos", "t")
+        "run", F.posexplode("tables").alias("pos", "t")
     ).select(
         "run", "pos", F.upper("t.schema").alias("schema"), F.upper("t.table").alias("table_name"), "t.row_count", "t.error"
     )
