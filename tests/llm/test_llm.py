@@ -210,7 +210,7 @@ def test_sampled_pieces(docs, spark):
     other = {r.doc_id: r.token_ids for r in sampling.sampled_pieces(docs, sampling.SamplingRule(seed=1)).collect()}
     assert other != once and once[0] is None and once[1] == []
     # Shares of all segmentations of one word.
-    v, word, n = pieces.vocabulary(), "thinning", 20_000
+    v, word, n = pieces.vocabulary(runs=True), "thinning", 20_000
     number = {p: i for i, p in enumerate(v.pieces) if v.logp[i] > float("-inf")}
 
     def segmentations(rest):

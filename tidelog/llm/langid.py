@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -21,14 +22,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.common import in_parts
-from tidelog.llm.pieces import AT_ONCE, MARK, MODEL, Edges, Numbering, Vocabulary, edges_of, vocabulary
+from tidelog.llm.pieces import AT_ONCE, MARK, MODEL, Edges, Growing, Numbering, Vocabulary, edges_of, vocabulary
 
 MOST_LANGUAGES = 200
 # Weight of the vocabulary's own probabilities among the counts of a language.
 PRIOR = 1000.0
 # Runs of letters are scored in parts of this length, which keeps sums above the smallest double.
 LONGEST = 32
-MOST_WORDS, MOST_AT_ONCE = 60_000, 200_000
+MOST_WORDS, MOST_AT_ONCE = 200_000, 200_000
+# Scores of words (times languages) kept from text to text.
+MOST_NUMBERS = 2_000_000
 UNKNOWN = 1e-9
 RUN = re.compile(r"[^\W\d_]+")
 LETTER = re.compile(r"[^\W\d_]")
@@ -97,7 +100,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", model: str =
         yield flush()
 
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, total = vocabulary(model), {}
+        v, total = vocabulary(model, runs=True), {}
         for batch in batches:
             for lo in range(0, batch.num_rows, AT_ONCE):
                 names, part, n = (c.to_pylist() for c in batch.slice(lo, AT_ONCE).columns)
@@ -113,7 +116,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", model: str =
     rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
     counted = rows.mapInArrow(words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     sums = counted.mapInArrow(expect, "lang string, piece long, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
-    v = vocabulary(model)
+    v = vocabulary(model, runs=True)
     found = sums.limit(MOST_LANGUAGES * len(v.pieces) + 1).toArrow()
     langs = sorted(set(found["lang"].to_pylist()))
     if len(langs) > MOST_LANGUAGES:
@@ -133,8 +136,8 @@ def identify(docs: DataFrame, langs: list[str], p: np.ndarray, key: str = "doc_i
     spread = docs.sparkSession.sparkContext.broadcast(p)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, p = vocabulary(model), spread.value
-        known, logs = Numbering(), np.zeros((0, len(langs)))
+        v, p = vocabulary(model, runs=True), spread.value
+        known, logs = Numbering(), Growing(np.float64, (len(langs),))
         for batch in in_parts(batches, 1):
             texts, preds, scores, lo = batch.column(1), [], [], 0
             while lo < len(texts):
@@ -145,16 +148,16 @@ def identify(docs: DataFrame, langs: list[str], p: np.ndarray, key: str = "doc_i
                     words += own
                     sizes.append(len(own))
                     lo += 1
-                if len(known) > MOST_WORDS:
-                    known, logs = Numbering(), np.zeros((0, len(langs)))
+                if len(known) * (1 + len(langs)) > MOST_NUMBERS:
+                    known, logs = Numbering(), Growing(np.float64, (len(langs),))
                 number = known.of(words)
-                fresh = list(known)[len(logs) :] if len(known) > len(logs) else []
+                fresh = list(islice(known, logs.size, None))
                 for i in range(0, len(fresh), AT_ONCE):
                     edges = edges_of([MARK + w for w in fresh[i : i + AT_ONCE]], v)
                     alpha = forward(edges, _probabilities(v, p, edges))
-                    logs = np.concatenate([logs, np.log(alpha[edges.base[1:] - 1])])
+                    logs.append(np.log(alpha[edges.base[1:] - 1]))
                 owner = np.repeat(np.arange(len(sizes)), sizes)
-                total = np.stack([np.bincount(owner, weights=c, minlength=len(sizes)) for c in logs[number].T], axis=1) if langs else np.zeros((len(sizes), 1))
+                total = np.stack([np.bincount(owner, weights=c, minlength=len(sizes)) for c in logs.values[number].T], axis=1) if langs else np.zeros((len(sizes), 1))
                 best = total.argmax(axis=1)
                 posterior = 1.0 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
                 usable = np.array(letters) & bool(langs)

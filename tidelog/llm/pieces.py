@@ -16,10 +16,14 @@ import ahocorasick
 import numpy as np
 import sentencepiece
 
+from tidelog.llm.words import MULTIPLIER
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 # Tokens kept between batches, and tokens worked on at once.
-MOST_TOKENS, AT_ONCE = 60_000, 8_000
+MOST_TOKENS, AT_ONCE = 300_000, 16_000
+# Stands for a space mark that is a text's own. Not in any text: a surrogate, which UTF-8 has none of.
+OWN_MARK = "\udc81"
 # Below the rarest piece by this much (natural log) for a character without a piece of its own.
 UNKNOWN_PENALTY = 10.0
 PIECE_BITS = 32
@@ -40,20 +44,105 @@ class Numbering(dict):
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
+class Growing:
+    """An array that grows at its end, by doubling."""
+
+    def __init__(self, dtype: type, shape: tuple[int, ...] = ()):
+        self.data, self.size = np.zeros((1024, *shape), dtype), 0
+
+    def append(self, values: np.ndarray) -> None:
+        stop = self.size + len(values)
+        if stop > len(self.data):
+            data = np.zeros((max(stop, 2 * len(self.data)), *self.data.shape[1:]), self.data.dtype)
+            data[: self.size] = self.data[: self.size]
+            self.data = data
+        self.data[self.size : stop] = values
+        self.size = stop
+
+    @property
+    def values(self) -> np.ndarray:
+        return self.data[: self.size]
+
+
+class Trie:
+    """The pieces as a trie in a hash table of its steps: (node, character) -> node. All places of a text walk down at once."""
+
+    BITS = 21
+
+    def __init__(self, pieces: list[str], ids: np.ndarray):
+        steps, end = {}, [-1]
+        for i in ids.tolist():
+            node = 0
+            for c in pieces[i]:
+                key = node << self.BITS | ord(c)
+                node = steps.get(key, 0)
+                if not node:
+                    node = steps[key] = len(end)
+                    end.append(-1)
+            end[node] = i
+        self.end = np.array(end)
+        keys, nodes = np.array(list(steps), np.int64), np.array(list(steps.values()), np.int64)
+        self.shift = np.uint64(64 - max(4, (4 * len(keys)).bit_length()))
+        self.mask = (1 << int(64 - int(self.shift))) - 1
+        self.key, self.node = np.full(self.mask + 1, -1, np.int64), np.zeros(self.mask + 1, np.int64)
+        self.probes, left = 0, np.arange(len(keys))
+        while len(left):
+            slot = (self._slot(keys[left]) + self.probes) & self.mask
+            free = np.flatnonzero(self.key[slot] < 0)
+            slot, first = np.unique(slot[free], return_index=True)
+            put = left[free[first]]
+            self.key[slot], self.node[slot] = keys[put], nodes[put]
+            left = np.setdiff1d(left, put)
+            self.probes += 1
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * MULTIPLIER >> self.shift).astype(np.int64)
+
+    def step(self, node: np.ndarray, char: np.ndarray) -> np.ndarray:
+        """Next node of each, 0 if there is none."""
+        key = node << self.BITS | char
+        home, out, left = self._slot(key), np.zeros(len(key), np.int64), np.arange(len(key))
+        for i in range(self.probes):
+            slot = (home[left] + i) & self.mask
+            found = self.key[slot]
+            hit = found == key[left]
+            out[left[hit]] = self.node[slot[hit]]
+            left = left[~hit & (found >= 0)]
+            if not len(left):
+                break
+        return out
+
+    def matches(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Stop, size and piece of all pieces in a text."""
+        chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        place, node, size = np.arange(len(chars)), np.zeros(len(chars), np.int64), 0
+        out = [np.zeros((0, 3), np.int64)]
+        while len(place):
+            node = self.step(node, chars[place + size])
+            size += 1
+            whole = np.flatnonzero(self.end[node] >= 0)
+            out.append(np.stack([place[whole] + size, np.full(len(whole), size), self.end[node[whole]]], axis=1))
+            on = (node > 0) & (place + size < len(chars))
+            place, node = place[on], node[on]
+        return tuple(np.concatenate(out).T)
+
+
 @dataclass(frozen=True)
 class Vocabulary:
     """The pieces of a model as a unigram vocabulary.
 
     The file gives merge ranks, not probabilities. By Zipf's law the piece of rank r gets
     a probability in proportion to 1 / (r + 1). Control pieces and bytes are no words of it;
-    bytes stand for characters that no piece spells.
+    bytes stand for characters that no piece spells. Matches come from the automaton, or else from the trie.
     """
 
     pieces: list[str]
     logp: np.ndarray
     marked: np.ndarray  # pieces that start with the space mark
     byte_ids: np.ndarray
-    automaton: ahocorasick.Automaton
+    automaton: ahocorasick.Automaton | None
+    trie: Trie | None
+    token: re.Pattern
     runs: bool = False
 
     @property
@@ -61,22 +150,26 @@ class Vocabulary:
         return float(self.logp[np.isfinite(self.logp)].min()) - UNKNOWN_PENALTY
 
 
-def vocabulary(model: str = MODEL, runs: bool = False) -> Vocabulary:
+def vocabulary(model: str = MODEL, runs: bool = False, automaton: bool = False) -> Vocabulary:
     """``runs``: with the pieces that are runs of two or more marks, for tokens led by all spaces before a word (``tokens_of``)."""
     sp = processor(model)
     pieces = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
     usual = np.array([not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)) for i in range(len(pieces))])
     # Other tokens are led by one mark; runs would reach across them.
     usual &= np.array([runs or MARK not in p[1:] for p in pieces])
+    token = token_pattern([pieces[i] for i in np.flatnonzero(usual)])
     rank = np.cumsum(usual)
     total = np.log((1.0 / np.arange(1, usual.sum() + 1)).sum())
     logp = np.where(usual, -np.log(np.maximum(rank, 1)) - total, -np.inf)
-    automaton = ahocorasick.Automaton()
-    for i in np.flatnonzero(usual):
-        automaton.add_word(pieces[i], len(pieces[i]) << PIECE_BITS | int(i))
-    automaton.make_automaton()
     byte_ids = np.array([sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)])
-    return Vocabulary(pieces, logp, np.array([p.startswith(MARK) for p in pieces]), byte_ids, automaton, runs)
+    marked = np.array([p.startswith(MARK) for p in pieces])
+    if not automaton:
+        return Vocabulary(pieces, logp, marked, byte_ids, None, Trie(pieces, np.flatnonzero(usual)), token, runs)
+    searcher = ahocorasick.Automaton()
+    for i in np.flatnonzero(usual):
+        searcher.add_word(pieces[i], len(pieces[i]) << PIECE_BITS | int(i))
+    searcher.make_automaton()
+    return Vocabulary(pieces, logp, marked, byte_ids, searcher, None, token, runs)
 
 
 @dataclass(frozen=True)
@@ -98,11 +191,14 @@ class Edges:
 
 
 def edges_of(tokens: list[str], v: Vocabulary) -> Edges:
-    """The lattice of tokens. The automaton runs over all of them at once."""
+    """The lattice of tokens. Automaton or trie run over all of them at once."""
     sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
     base = np.concatenate([[0], np.cumsum(sizes + 1)])
-    found = np.fromiter(chain.from_iterable(v.automaton.iter("\n".join(tokens))), np.int64).reshape(-1, 2)
-    stop, size, piece = found[:, 0] + 1, found[:, 1] >> PIECE_BITS, found[:, 1] & ((1 << PIECE_BITS) - 1)
+    if v.trie is not None:
+        stop, size, piece = v.trie.matches("\n".join(tokens))
+    else:
+        found = np.fromiter(chain.from_iterable(v.automaton.iter("\n".join(tokens))), np.int64).reshape(-1, 2)
+        stop, size, piece = found[:, 0] + 1, found[:, 1] >> PIECE_BITS, found[:, 1] & ((1 << PIECE_BITS) - 1)
     token = np.repeat(np.arange(len(tokens)), sizes + 1)[stop - 1]
     level = stop - base[token]
     start = level - size
@@ -123,14 +219,25 @@ def edges_of(tokens: list[str], v: Vocabulary) -> Edges:
         level = np.append(level, node - base[owner])
     else:
         bare = []
-    order = np.argsort(stop * 64 - size, kind="stable")
+    order = np.argsort(stop * (int(size.max(initial=1)) + 1) - size, kind="stable")
     stop, size = stop[order], size[order]
     return Edges(base, stop - size, stop, level[order], piece[order], bare)
 
 
-TOKEN = re.compile(f"{MARK}+[^{MARK}]*")
+LETTER = "[A-Za-z\u00c0-\u024f]"
+# A run of marks with what follows it, up to a line feed; runs of line feeds; what else follows one.
+LINES = re.compile(f"{MARK}+[^{MARK}\n]*|\n+|[^{MARK}\n]+")
+# The same, cut between a Latin letter and a full stop or comma as well.
+CLAUSES = re.compile(f"(?:{MARK}+|[^{MARK}\n])(?:[^{MARK}\n.,]|(?<!{LETTER})[.,])*|\n+")
+
+
+def token_pattern(pieces: list[str]) -> re.Pattern:
+    """Where texts may be cut: no piece may reach across. Shorter tokens repeat more often."""
+    if any("\n" in p and p.strip("\n") for p in pieces):
+        raise ValueError("a piece reaches across lines")
+    return LINES if any(re.search(f"{LETTER}[.,]", p) for p in pieces) else CLAUSES
 
 
-def tokens_of(text: str) -> list[str]:
+def tokens_of(text: str, v: Vocabulary) -> list[str]:
     """Tokens of a text that gets a space in front; a run of spaces leads one token with the word after it."""
-    return TOKEN.findall(MARK + text.replace(" ", MARK))
+    return v.token.findall(MARK + text.replace(" ", MARK))

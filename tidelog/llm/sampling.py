@@ -7,14 +7,15 @@ with ``theta`` sharpening or flattening the piece probabilities).
 
 The draws of a text depend on the seed, its row key, and the token's and piece's place only: the same row gives
 the same pieces in any partition or batch. Shares are rounded to 32 bits, so that draws compare
-integers. Tokens are drawn all at once: an edge of the lattice of all tokens of a batch
-is found by one search in the sorted shares.
+integers. Tokens are drawn all at once, edge by edge. A token is a word with all spaces before it, so pieces that are
+runs of spaces take part.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.common import in_parts
-from tidelog.llm.pieces import AT_ONCE, MARK, MODEL, MOST_TOKENS, Numbering, Vocabulary, edges_of, vocabulary
+from tidelog.llm.pieces import AT_ONCE, MARK, MODEL, MOST_TOKENS, OWN_MARK, Growing, Numbering, Vocabulary, edges_of, tokens_of, vocabulary
 from tidelog.llm.words import MULTIPLIER, mix
 
 DRAW_BITS = 32
@@ -48,25 +49,20 @@ class Lattice:
         self.clear()
 
     def clear(self) -> None:
-        self.tokens = Numbering()
-        self.chars = Numbering()
-        self.last = np.zeros(0, np.int64)  # node of each token's end
+        self.tokens, self.chars = Numbering(), Numbering()
+        self.last = Growing(np.int64)  # node of each token's end
+        self.first = Growing(np.int64)  # first edge of each node
         self.nodes = 0
-        self.share, self.before, self.piece = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.share, self.before, self.piece = Growing(np.uint32), Growing(np.int32), Growing(np.int32)
 
     def number(self, tokens: list[str]) -> np.ndarray:
-        known = len(self.tokens)
         number = self.tokens.of(tokens)
-        if len(self.tokens) > known:
-            fresh = list(self.tokens)[known:]
-            parts = [self._edges(fresh[i : i + AT_ONCE]) for i in range(0, len(fresh), AT_ONCE)]
-            self.share = np.concatenate([self.share, *(p[0] for p in parts)])
-            self.before = np.concatenate([self.before, *(p[1] for p in parts)])
-            self.piece = np.concatenate([self.piece, *(p[2] for p in parts)])
-            self.last = np.concatenate([self.last, *(p[3] for p in parts)])
+        fresh = list(islice(self.tokens, self.last.size, None))
+        for i in range(0, len(fresh), AT_ONCE):
+            self._add(fresh[i : i + AT_ONCE])
         return number
 
-    def _edges(self, tokens: list[str]) -> tuple[np.ndarray, ...]:
+    def _add(self, tokens: list[str]) -> None:
         """Edges of new tokens, ordered by node."""
         edges = edges_of(tokens, self.v)
         chars = self.chars.of(edges.bare) + len(self.v.pieces)
@@ -93,21 +89,29 @@ class Lattice:
         top = np.uint64((1 << DRAW_BITS) - 1)
         upper = np.minimum((run * (1 << DRAW_BITS)).astype(np.uint64), top)
         upper[np.append(first[1:], True)[: len(node)]] = top
-        share = ((node + self.nodes).astype(np.uint64) << np.uint64(DRAW_BITS)) | upper
-        piece = np.append(np.arange(len(self.v.pieces)), chars)[edges.piece]
-        start, self.nodes = self.nodes, self.nodes + int(edges.base[-1])
-        return share, (edges.before + start).astype(np.int32), piece.astype(np.int32), edges.base[1:] - 1 + start
+        firsts = np.searchsorted(node, np.arange(edges.base[-1])) + self.share.size
+        self.first.append(firsts)
+        self.share.append(upper)
+        self.before.append(edges.before + self.nodes)
+        self.piece.append(np.append(np.arange(len(self.v.pieces)), chars)[edges.piece])
+        self.last.append(edges.base[1:] - 1 + self.nodes)
+        self.nodes += int(edges.base[-1])
 
     def draw(self, number: np.ndarray, place: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pieces of tokens (by ``number``) in order, and each one's token; draws depend on ``salt`` and ``place``."""
-        node, base = self.last[number], mix(salt + (place.astype(np.uint64) + np.uint64(1)) * MULTIPLIER)
-        starts = self.last[number] - self.sizes(number)
+        node, base = self.last.values[number], mix(salt + (place.astype(np.uint64) + np.uint64(1)) * MULTIPLIER)
+        starts = self.last.values[number] - self.sizes(number)
         live, step, out = np.arange(len(number)), 0, []
         while len(live):
             random = mix(base[live] + np.uint64(step << 40)) >> np.uint64(64 - DRAW_BITS)
-            edge = np.searchsorted(self.share, (node[live].astype(np.uint64) << np.uint64(DRAW_BITS)) | random)
-            out.append((live, np.full(len(live), step), self.piece[edge]))
-            node[live] = self.before[edge]
+            edge = self.first.values[node[live]]
+            # A node has few edges; the first whose cumulated share reaches the draw is taken.
+            short = np.flatnonzero(self.share.values[edge] < random)
+            while len(short):
+                edge[short] += 1
+                short = short[self.share.values[edge[short]] < random[short]]
+            out.append((live, np.full(len(live), step), self.piece.values[edge]))
+            node[live] = self.before.values[edge]
             live = live[node[live] > starts[live]]
             step += 1
         token, step, piece = (np.concatenate(x) for x in zip(*out, strict=True)) if out else [np.zeros(0, np.int64)] * 3
@@ -115,12 +119,12 @@ class Lattice:
         return piece[order], token[order]
 
     def sizes(self, number: np.ndarray) -> np.ndarray:
-        return np.diff(np.concatenate([[-1], self.last]))[number] - 1
+        return np.diff(self.last.values, prepend=-1)[number] - 1
 
 
 class Sampler:
     def __init__(self, rule: SamplingRule):
-        self.rule, self.v = rule, vocabulary(rule.model)
+        self.rule, self.v = rule, vocabulary(rule.model, runs=True)
         self.lattice = Lattice(self.v, rule.theta)
         self.byte_of = {int(i): b for b, i in enumerate(self.v.byte_ids)}
         self.spelling = [bytes([self.byte_of[i]]) if i in self.byte_of else p.replace(MARK, " ").encode() for i, p in enumerate(self.v.pieces)]
@@ -133,7 +137,7 @@ class Sampler:
         for i, text in enumerate(texts):
             if not text:
                 continue
-            own = [MARK + t for t in text.split(" ")]
+            own = tokens_of(text.replace(MARK, OWN_MARK), self.v)
             for lo in range(0, len(own), MOST_DRAWS):
                 part = own[lo : lo + MOST_DRAWS]
                 tokens += part
@@ -165,7 +169,7 @@ class Sampler:
         chars = list(self.lattice.chars)
         parts, last = [], 0
         for at in bare.tolist():
-            spelt = chars[piece[at] - len(self.v.pieces)].encode("utf-8")
+            spelt = chars[piece[at] - len(self.v.pieces)].replace(OWN_MARK, MARK).encode("utf-8")
             parts += [piece[last:at], self.v.byte_ids[list(spelt)]]
             last = at + 1
         return np.concatenate([*parts, piece[last:]])

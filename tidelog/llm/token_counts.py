@@ -12,6 +12,7 @@ than the rarest piece and counts as its UTF-8 bytes.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.common import in_parts
-from tidelog.llm.pieces import AT_ONCE, MODEL, Numbering, Vocabulary, edges_of, tokens_of, vocabulary
+from tidelog.llm.pieces import AT_ONCE, MODEL, Growing, Numbering, Vocabulary, edges_of, tokens_of, vocabulary
 
-MOST_TOKENS = 150_000
+MOST_TOKENS = 500_000
 # Texts are gathered up to this many tokens.
 MOST_AT_ONCE = 60_000
 
@@ -51,24 +52,25 @@ def token_counts(docs: DataFrame, model: str = MODEL, key: str = "doc_id", text:
     """One row per row of ``docs``: key, n_tokens; 0 for null and empty texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(model, runs=True)
-        known, counts = Numbering(), np.zeros(0, np.int64)
+        v = vocabulary(model, runs=True, automaton=True)
+        known, kept = Numbering(), Growing(np.int64)
         for batch in in_parts(batches, 1):
             texts, out, lo = batch.column(1), [], 0
             while lo < len(texts):
                 tokens, sizes = [], []
                 while lo < len(texts) and len(tokens) < MOST_AT_ONCE:
                     text = texts[lo].as_py()
-                    own = tokens_of(text) if text else []
+                    own = tokens_of(text, v) if text else []
                     tokens += own
                     sizes.append(len(own))
                     lo += 1
                 if len(known) > MOST_TOKENS:
-                    known, counts = Numbering(), np.zeros(0, np.int64)
+                    known, kept = Numbering(), Growing(np.int64)
                 number = known.of(tokens)
-                fresh = list(known)[len(counts) :] if len(known) > len(counts) else []
-                counts = np.concatenate([counts, *(piece_counts(fresh[i : i + AT_ONCE], v) for i in range(0, len(fresh), AT_ONCE))])
-                total = np.concatenate([[0], np.cumsum(counts[number])])
+                fresh = list(islice(known, kept.size, None))
+                for i in range(0, len(fresh), AT_ONCE):
+                    kept.append(piece_counts(fresh[i : i + AT_ONCE], v))
+                total = np.concatenate([[0], np.cumsum(kept.values[number])])
                 stops = np.cumsum([0, *sizes])
                 out.append(total[stops[1:]] - total[stops[:-1]])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out) if out else [], pa.int64())], names=[key, "n_tokens"])
