@@ -44,18 +44,49 @@ def content_words(text: str) -> Column:
     return F.coalesce(F.filter(parts, lambda w: w != ""), F.array().cast("array<string>"))
 
 
-def _grams(words: str, width: int) -> Column:
-    """Hashes of all runs of ``width`` words."""
-    last = F.size(words) - width + 1
-    runs = F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.slice(words, i, width)))
-    return F.when(last > 0, runs).otherwise(F.array().cast("array<bigint>"))
-
-
-def _fingerprints(grams: str, span: int) -> Column:
-    """Smallest hash of each window of ``span`` hashes. Naming the array twice keeps it
-    a column of its own, which is computed once per row."""
-    whole = F.transform(F.col(grams), lambda _, i: F.when(i + span <= F.size(grams), F.array_min(F.slice(grams, i + 1, span))))
-    return F.array_distinct(F.array_compact(whole))
+def _paired(left: str, right: str, ahead: int, join) -> Column:
+    """``join`` of each element of one array with that ``ahead`` places further on in the other."""
+    n = F.size(right) - ahead
+    both = F.zip_with(F.slice(left, F.lit(1), n), F.slice(right, F.lit(ahead + 1), n), join)
+    return F.when(n > 0, both).otherwise(F.array().cast("array<bigint>"))
+
+
+def _hashed(a: Column, b: Column) -> Column:
+    return F.xxhash64(a, b)
+
+
+def _smaller(a: Column, b: Column) -> Column:
+    return F.least(a, b)
+
+
+def _with_grams(df: DataFrame, widths: list[int]) -> DataFrame:
+    """Add ``g<width>``: hashes of all runs of so many words. A word is hashed once; runs of doubled width are joined.
+    Each step is a column of its own, so that it is computed once per row."""
+    df, run = df.withColumn("__r1", F.transform("words", lambda w: F.xxhash64(w))), 1
+    while 2 * run <= max(widths):
+        df = df.withColumn(f"__r{2 * run}", _paired(f"__r{run}", f"__r{run}", run, _hashed))
+        run *= 2
+    for width in widths:
+        parts = [1 << b for b in range(width.bit_length()) if width >> b & 1]
+        name, size = f"__r{parts[-1]}", parts[-1]
+        for part in reversed(parts[:-1]):
+            df = df.withColumn(f"__w{width}_{size + part}", _paired(name, f"__r{part}", size, _hashed))
+            name, size = f"__w{width}_{size + part}", size + part
+        df = df.withColumn(f"g{width}", F.col(name))
+    return df.drop(*[c for c in df.columns if c.startswith(("__r", "__w"))])
+
+
+def _with_fingerprints(df: DataFrame, grams: str, span: int) -> DataFrame:
+    """Add ``prints``: the smallest hash of each window of ``span`` hashes, once each; windows of doubled width first."""
+    name, size = grams, 1
+    while 2 * size <= span:
+        df = df.withColumn(f"__m{2 * size}", _paired(name, name, size, _smaller))
+        name, size = f"__m{2 * size}", 2 * size
+    if size < span:
+        df = df.withColumn("__m", _paired(name, name, span - size, _smaller))
+        name = "__m"
+    df = df.withColumn("prints", F.array_distinct(name))
+    return df.drop(*[c for c in df.columns if c.startswith("__m")])
 
 
 def _row_id(key: str, text: str) -> Column:
@@ -70,13 +101,13 @@ def _spans(docs: DataFrame, items: DataFrame, rule: WinnowRule) -> DataFrame:
         around = F.transform(
             F.sequence(F.lit(0), F.size("words") - width),
             lambda i: F.struct(
-                F.xxhash64(F.slice("words", i + 1, width)).alias("hash"),
+                F.get(f"g{width}", i).alias("hash"),
                 F.slice("words", i + 1, width).alias("gram"),
                 F.reverse(F.slice("words", F.greatest(i - side, F.lit(0)) + 1, F.least(i, F.lit(side)))).alias("before"),
                 F.slice("words", i + width + 1, side).alias("after"),
             ),
         )
-        rows = df.where(F.size("words") >= width).select(*columns, F.posexplode(around).alias("at", "run"))
+        rows = _with_grams(df.where(F.size("words") >= width), [width]).select(*columns, F.posexplode(around).alias("at", "run"))
         return rows.select(*columns, "at", "run.*")
 
     ours = placed(docs, "row")
@@ -105,18 +136,24 @@ def contamination(
     """
     items = benchmark.select(F.col(item).cast("string").alias("item"), content_words(item_text).alias("words"))
     items = items.where(F.col("item").isNotNull() & (F.size("words") > 0)).distinct()
-    items = items.withColumn("grams", _grams("words", rule.gram))
-    items = items.withColumn("prints", F.when(F.size("words") < rule.words, F.array(F.xxhash64("words"))).otherwise(_fingerprints("grams", rule.span)))
-    items = written(items.drop("grams"))
+    items = _with_fingerprints(_with_grams(items, list(range(1, rule.words))), f"g{rule.gram}", rule.span)
+    whole = F.coalesce(*[F.when(F.size("words") == m, F.col(f"g{m}")) for m in range(1, rule.words)], F.col("prints"))
+    items = written(items.select("item", "words", whole.alias("prints")))
     # At most ``rule.words - 1`` numbers.
     short = sorted(r.n for r in items.select(F.size("words").alias("n")).where(F.col("n") < rule.words).distinct().collect())
 
+    # One pass over the texts: each row's number of words, and those of its fingerprints that the benchmark has.
     texts = docs.select(F.col(key).alias("key"), _row_id(key, text).alias("row"), F.col(text).alias("text"))
-    parts = texts.select("row", content_words("text").alias("words"))
-    parts = parts.select("row", "words", _grams("words", rule.gram).alias("grams"))
-    prints = F.concat(_fingerprints("grams", rule.span), *[_grams("words", m) for m in short])
-    known = items.select(F.explode("prints").alias("print")).distinct()
-    met = written(parts.select("row", F.explode(prints).alias("print")).join(known, "print").select("row").distinct())
+    parts = _with_grams(texts.select("key", "row", content_words("text").alias("words")), sorted({rule.gram, *short}))
+    parts = _with_fingerprints(parts, f"g{rule.gram}", rule.span)
+    # The last of the prints stands for the row itself: its hash, so that no task gets these of all rows.
+    parts = parts.withColumn("prints", F.concat("prints", *[F.col(f"g{m}") for m in short], F.array("row")))
+    known = items.select(F.explode("prints").alias("print")).distinct().withColumn("known", F.lit(True))
+    each = parts.select("key", "row", F.size("words").cast("long").alias("n_words"), F.size("prints").alias("n"), F.posexplode("prints").alias("at", "print"))
+    seen = each.withColumn("whole", F.col("at") == F.col("n") - 1).drop("at", "n").join(known, "print", "left")
+    seen = written(seen.where("known OR whole").select("key", "row", "n_words", "whole"))
+    rows = seen.where("whole").drop("whole")
+    met = written(seen.where("NOT whole").select("row").distinct())
     suspects = rows_of(texts, met, "row").select("row", content_words("text").alias("words"))
 
     found = _spans(suspects, items, rule)
@@ -130,7 +167,7 @@ def contamination(
     covered = covered.groupBy("row").agg(F.count(F.lit(1)).alias("n_hit"))
     named = found.select("row", "item").distinct().groupBy("row").agg(F.array_sort(F.collect_list("item")).alias("item_list"))
     hits = covered.join(named, "row")
-    out = texts.select("key", "row", F.size(content_words("text")).cast("long").alias("n_words")).join(hits, "row", "left")
+    out = rows.join(hits, "row", "left")
     return out.select(
         F.col("key").alias(key),
         "n_words",
