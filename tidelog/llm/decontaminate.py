@@ -149,7 +149,7 @@ def contamination(
     # The last of the prints stands for the row itself: its hash, so that no task gets these of all rows.
     parts = parts.withColumn("prints", F.concat("prints", *[F.col(f"g{m}") for m in short], F.array("row")))
     known = items.select(F.explode("prints").alias("print")).distinct().withColumn("known", F.lit(True))
-    each = parts.select("key", "row", F.size("words").cast("long").alias("n_words"), F.size("prints").alias("n"), F.posexplode("prints").alias("at", "print"))
+    each = parts.select("key", "row", F.size("words").cast("long").alias("n_words"), F.size("prints").alias("n"), F.posexplode_outer("prints").alias("at", "print"))
     seen = each.withColumn("whole", F.col("at") == F.col("n") - 1).drop("at", "n").join(known, "print", "left")
     seen = written(seen.where("known OR whole").select("key", "row", "n_words", "whole"))
     rows = seen.where("whole").drop("whole")
