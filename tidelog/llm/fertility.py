@@ -118,8 +118,8 @@ COLUMNS = {
 }
 
 
-def text_measures(docs: DataFrame, rules: QualityRules, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """key, lang and the columns of ``COLUMNS`` for each row; all 0 for null and empty texts."""
+def text_measures(docs: DataFrame, rules: QualityRules, key: str = "doc_id", text: str = "text", lang: str = "lang", with_text: bool = False) -> DataFrame:
+    """key, lang (``with_text``: the text) and the columns of ``COLUMNS`` for each row; all 0 for null and empty texts."""
 
     def counts(text: bytes | None) -> tuple[list[bytes], tuple[int, ...]]:
         if not text:
@@ -147,23 +147,27 @@ def text_measures(docs: DataFrame, rules: QualityRules, key: str = "doc_id", tex
                 table = np.array(rows, np.int64)
                 measured = fertility.measure(words, np.repeat(np.arange(hi - lo), table[:, 0]), hi - lo)
                 columns = [*table.T, *(x.astype(np.int64) for x in measured[:2]), measured[2]]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], batch.column(1)[lo:hi], *map(pa.array, columns)], names=[key, lang, *COLUMNS])
+                yield pa.RecordBatch.from_arrays([*(c[lo:hi] for c in batch.columns[: len(own_columns)]), *map(pa.array, columns)], names=[*own_columns, *COLUMNS])
                 lo = hi
 
-    types = {c: docs.schema[c].dataType.simpleString() for c in (key, lang)} | COLUMNS
+    own_columns = [key, lang, text] if with_text else [key, lang]
+    types = {c: docs.schema[c].dataType.simpleString() for c in (key, lang)} | ({text: "binary"} if with_text else {}) | COLUMNS
     schema = ", ".join(f"`{n}` {t}" for n, t in types.items())
-    return docs.select(key, lang, F.col(text).cast("binary")).mapInArrow(run, schema)
+    out = docs.select(key, lang, F.col(text).cast("binary")).mapInArrow(run, schema)
+    return out.withColumn(text, F.col(text).cast("string")) if with_text else out
 
 
-def quality_rules(docs: DataFrame, rules: QualityRules | None = None, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """One row per row of ``docs``: key, the measures, chars_per_token, tokens_per_word, byte_share, evenness, base_failed, kept.
+def quality_rules(
+    docs: DataFrame, rules: QualityRules | None = None, key: str = "doc_id", text: str = "text", lang: str = "lang", with_text: bool = False
+) -> DataFrame:
+    """One row per row of ``docs``: key (``with_text``: and text), the measures, chars_per_token, tokens_per_word, byte_share, evenness, base_failed, kept.
 
     Null and empty texts have no words and fail the base rules. Bands widen for texts with fewer
     than ``band_words`` words. Equal rows get equal results; a null
     language has the widest bands.
     """
     rules = rules or QualityRules()
-    out = text_measures(docs, rules, key, text, lang)
+    out = text_measures(docs, rules, key, text, lang, with_text)
     tokens = F.greatest("n_tokens", F.lit(1))
     out = out.withColumns({
         "chars_per_token": F.col("word_chars") / tokens,

@@ -21,7 +21,7 @@ from tidelog.llm.words import MULTIPLIER
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 # Tokens kept between batches, and tokens worked on at once.
-MOST_TOKENS, AT_ONCE = 300_000, 16_000
+MOST_TOKENS, AT_ONCE = 200_000, 16_000
 # Stands for a space mark that is a text's own. Not in any text: a surrogate, which UTF-8 has none of.
 OWN_MARK = "\udc81"
 # Below the rarest piece by this much (natural log) for a character without a piece of its own.
@@ -64,6 +64,10 @@ class Growing:
         return self.data[: self.size]
 
 
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+
+
 class Trie:
     """The pieces as a trie in a hash table of its steps: (node, character) -> node. All places of a text walk down at once."""
 
@@ -112,9 +116,8 @@ class Trie:
                 break
         return out
 
-    def matches(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Stop, size and piece of all pieces in a text."""
-        chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    def matches(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Stop, size and piece of all pieces in a text (as code points)."""
         place, node, size = np.arange(len(chars)), np.zeros(len(chars), np.int64), 0
         out = [np.zeros((0, 3), np.int64)]
         while len(place):
@@ -194,10 +197,12 @@ def edges_of(tokens: list[str], v: Vocabulary) -> Edges:
     """The lattice of tokens. Automaton or trie run over all of them at once."""
     sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
     base = np.concatenate([[0], np.cumsum(sizes + 1)])
+    text = "\n".join(tokens)
+    chars = code_points(text)
     if v.trie is not None:
-        stop, size, piece = v.trie.matches("\n".join(tokens))
+        stop, size, piece = v.trie.matches(chars)
     else:
-        found = np.fromiter(chain.from_iterable(v.automaton.iter("\n".join(tokens))), np.int64).reshape(-1, 2)
+        found = np.fromiter(chain.from_iterable(v.automaton.iter(text)), np.int64).reshape(-1, 2)
         stop, size, piece = found[:, 0] + 1, found[:, 1] >> PIECE_BITS, found[:, 1] & ((1 << PIECE_BITS) - 1)
     token = np.repeat(np.arange(len(tokens)), sizes + 1)[stop - 1]
     level = stop - base[token]
@@ -205,7 +210,10 @@ def edges_of(tokens: list[str], v: Vocabulary) -> Edges:
     # Inside one token; and a space mark beyond the marks that lead a token is one of the text's own.
     led = np.ones(len(tokens), np.int64)
     if v.runs:
-        led = np.fromiter((len(t) - len(t.lstrip(MARK)) for t in tokens), np.int64, len(tokens))
+        others = np.cumsum(chars != ord(MARK))
+        before = np.append(0, others)[base[:-1]]
+        leading = np.flatnonzero(others == np.repeat(before, sizes + 1)[: len(chars)])
+        led = np.bincount(np.searchsorted(base, leading, side="right") - 1, minlength=len(tokens))
     usual = (start >= 0) & (level <= sizes[token]) & ((start < led[token]) | ~v.marked[piece])
     stop, size, piece, level = stop[usual], size[usual], piece[usual], level[usual]
     spelt = np.zeros(base[-1], bool)
@@ -228,7 +236,7 @@ LETTER = "[A-Za-z\u00c0-\u024f]"
 # A run of marks with what follows it, up to a line feed; runs of line feeds; what else follows one.
 LINES = re.compile(f"{MARK}+[^{MARK}\n]*|\n+|[^{MARK}\n]+")
 # The same, cut between a Latin letter and a full stop or comma as well.
-CLAUSES = re.compile(f"(?:{MARK}+|[^{MARK}\n])(?:[^{MARK}\n.,]|(?<!{LETTER})[.,])*|\n+")
+CLAUSES = re.compile(f"(?:{MARK}+|[^{MARK}\n])[^{MARK}\n.,]*+(?:(?<!{LETTER})[.,][^{MARK}\n.,]*+)*+|\n+")
 
 
 def token_pattern(pieces: list[str]) -> re.Pattern:

@@ -179,8 +179,8 @@ class Sampler:
         return spelt[1:].decode("utf-8")
 
 
-def sampled_pieces(docs: DataFrame, rule: SamplingRule = SamplingRule(), key: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """One row per row of ``docs``: key (and the columns ``keep``), n_tokens, token_ids, lossless.
+def sampled_pieces(docs: DataFrame, rule: SamplingRule = SamplingRule(), key: str = "doc_id", text: str = "text", keep: list[str] | None = None, with_text: bool = False) -> DataFrame:
+    """One row per row of ``docs``: key (or the columns ``keep``; ``with_text``: and the text), n_tokens, token_ids, lossless.
 
     ``lossless`` says that decoding the ids gives the text back; a null text has null ids, an empty one has none, and
     both count as lossless. Equal texts with equal keys get equal ids; rows with a null key are drawn as rows of one key.
@@ -195,10 +195,11 @@ def sampled_pieces(docs: DataFrame, rule: SamplingRule = SamplingRule(), key: st
             same = [not t or sampler.decode(x) == t for t, x in zip(texts, ids, strict=True)]
             rows = pa.array([None if t is None else x.astype(np.int32) for t, x in zip(texts, ids, strict=True)], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[2:], pa.array([len(x) for x in ids], pa.int64()), rows, pa.array(same, pa.bool_())], names=[*keep, "n_tokens", "token_ids", "lossless"]
+                [*batch.columns[2:], *batch.columns[1 : 1 + with_text], pa.array([len(x) for x in ids], pa.int64()), rows, pa.array(same, pa.bool_())],
+                names=[*keep, *[text] * with_text, "n_tokens", "token_ids", "lossless"],
             )
 
     types = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
-    schema = ", ".join([*types, "n_tokens long", "token_ids array<int>", "lossless boolean"])
+    schema = ", ".join([*types, *[f"`{text}` string"] * with_text, "n_tokens long", "token_ids array<int>", "lossless boolean"])
     rows = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"), *keep)
     return rows.mapInArrow(run, schema)
