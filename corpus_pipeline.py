@@ -2,14 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir) and returns the columns of ``docs``, with fewer rows or changed
 texts; the last one adds the sampled pieces. Stages use the operators of ``tidelog.llm`` with the
-parameters below. Extra columns pass through, whatever their names.
+parameters below. Extra columns pass through, whatever their names, but for those the last stage adds.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm.common import rows_of, rows_without, table, written
@@ -26,10 +26,19 @@ REPEATS = WindowRule(words=50)
 LEAKS = WinnowRule(words=10, gram=5)
 
 
+def beside_text(docs: DataFrame) -> DataFrame:
+    """The text, and all other columns as one: a text goes through Python once."""
+    return docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("row"), "text")
+
+
+def unpacked(columns: list[str]) -> list[Column]:
+    return [F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in columns]
+
+
 def rule_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep. Null and empty texts go."""
-    packed = docs.select(F.struct("*").alias("row"), "text", "lang")
-    return quality_rules(packed, QualityRules(), key="row").where("kept").select("row.*")
+    packed = beside_text(docs).withColumn("lang", F.col("row.lang"))
+    return quality_rules(packed, QualityRules(), key="row", with_text=True).where("kept").select(*unpacked(docs.columns))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,12 +55,12 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that repeat; those of which nothing is left go, others stay as they are."""
-    others = [c for c in docs.columns if c not in ("text", "n_chars")]
-    packed = docs.select(F.struct(*others).alias("row"), "text")
-    cut = remove_repeats(packed, REPEATS, key="row", as_is=True).where("n_words > n_removed")
-    text = F.col("kept").cast("string")
-    new = {"text": text, "n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)}
-    return cut.select(*[new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in docs.columns])
+    cut = remove_repeats(beside_text(docs), REPEATS, key="row", as_is=True).where("n_words > n_removed")
+    cut = cut.select("row", F.col("kept").cast("string").alias("text"))
+    kept = cut.select(*unpacked(docs.columns))
+    if "n_chars" not in docs.columns:
+        return kept
+    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def leak_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,9 +72,11 @@ def leak_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def piece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their sampled pieces."""
-    packed = docs.select(F.struct("*").alias("row"), "doc_id", "text")
-    return sampled_pieces(packed, SamplingRule(), keep=["row"]).select("row.*", "n_tokens", "token_ids", "lossless")
+    """The documents with their sampled pieces. Own columns of the names of the new ones give way."""
+    new = ["n_tokens", "token_ids", "lossless"]
+    packed = beside_text(docs).withColumn("doc_id", F.col("row.doc_id"))
+    found = sampled_pieces(packed, SamplingRule(), keep=["row"], with_text=True)
+    return found.select(*unpacked([c for c in docs.columns if c not in new]), *new)
 
 
 STAGES = [
