@@ -7,8 +7,8 @@ sides' fingerprints finds every document to look into. There each common run of
 words is extended word by word to both sides, and counts if it reaches ``words``.
 Items of fewer words are compared as a whole.
 
-The benchmark is joined without a hint: Spark broadcasts it if its size allows. Texts
-of documents are never shuffled for the search; only those that share a fingerprint are
+The benchmark's fingerprints are broadcast if they are few enough (counted first); the rest of it is joined
+without a hint. Texts of documents are never shuffled for the search; only those that share a fingerprint are
 read again for the extension.
 """
 
@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import rows_of, written
+from tidelog.llm.common import BROADCAST_IDS, rows_of, written
 
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 # Everything but digits, letters and characters beyond ASCII.
@@ -148,7 +148,8 @@ def contamination(
     parts = _with_fingerprints(parts, f"g{rule.gram}", rule.span)
     # The last of the prints stands for the row itself: its hash, so that no task gets these of all rows.
     parts = parts.withColumn("prints", F.concat("prints", *[F.col(f"g{m}") for m in short], F.array("row")))
-    known = items.select(F.explode("prints").alias("print")).distinct().withColumn("known", F.lit(True))
+    known = written(items.select(F.explode("prints").alias("print")).distinct().withColumn("known", F.lit(True)))
+    known = F.broadcast(known) if known.count() <= BROADCAST_IDS else known
     each = parts.select("key", "row", F.size("words").cast("long").alias("n_words"), F.size("prints").alias("n"), F.posexplode_outer("prints").alias("at", "print"))
     seen = each.withColumn("whole", F.col("at") == F.col("n") - 1).drop("at", "n").join(known, "print", "left")
     seen = written(seen.where("known OR whole").select("key", "row", "n_words", "whole"))
