@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tidelog import small_table
 from tidelog.operators import recon
 from tidelog.sources.counts import source_counts, target_counts
 
@@ -134,3 +135,13 @@ def test_count_exports(spark):
                                    "schema string, table_name string, total_count string, active_count string")
     got = {r.table_name: (r.total_count, r.active_count) for r in target_counts(target).collect()}
     assert got == {"EMP": (12, 10), "DEP": (7, 7), "JOB": (0, 0)}
+
+
+def test_threshold_compares_an_entity_once(spark):
+    counts = lambda rows: small_table(spark, rows, "name string, row_count bigint, method string")
+    source = counts([("a", 10, "EXACT"), ("A", 12, "EXACT"), ("b", 5, "EXACT"), ("B", -1, "ERROR: x")])
+    target = small_table(spark, [("A", 12, None), ("a", 3, 3), ("b", 5, 5)], "name string, total_count bigint, active_count bigint")
+    expected = small_table(spark, [("a",), ("A",), ("b",), ("c",)], "name string")
+    got = recon.reconcile_threshold(expected, source, target, ["name"]).collect()
+    assert sorted((r.name, r.source_count, r.target_active, r.status) for r in got if r.name != "C") == [("A", 12, 12, "MATCH"), ("B", -1, 5, "ERROR")]
+    assert [(r.status, r.side) for r in got if r.name == "C"] == [("MISSING", "target")]

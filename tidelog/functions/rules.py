@@ -50,6 +50,7 @@ PERMANENT_ERRORS = {
     "OGG-01161": "bad column mapping",
     "OGG-06439": "handler configuration error",
 }
+# Fixed value: what an error is called that no rule names.
 UNKNOWN_ERROR = "Unrecognized error pattern"
 
 

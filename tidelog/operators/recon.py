@@ -195,14 +195,20 @@ def reconcile_threshold(
 
     ``source``: keys, row_count[, method]; ``target``: keys, total_count,
     active_count. A negative count or an ERROR method is a failed count and
-    never matches. ``side`` tells which input lacks the entity.
+    never matches. ``side`` tells which input lacks the entity. Text keys compare in upper case. An entity is one row: of several
+    counts of a side a failed one outranks others, else the largest counts.
     """
     method = F.col("method") if "method" in source.columns else F.lit(None).cast("string")
-    left = source.select(*keys, F.col("row_count").alias("source_count"), method.alias("__method"))
-    right = target.select(
-        *keys, F.col("total_count").alias("target_total"), F.coalesce("active_count", "total_count").alias("target_active")
-    )
-    rows = expected.select(*keys).join(left, keys, "left").join(right, keys, "left")
+
+    def one(df: DataFrame, values: dict[str, Column]) -> DataFrame:
+        named = [(F.upper(k) if isinstance(df.schema[k].dataType, T.StringType) else F.col(k)).alias(k) for k in keys]
+        last = df.select(*named, F.struct(*[c.alias(n) for n, c in values.items()]).alias("__value")).groupBy(*keys).agg(F.max("__value").alias("__value"))
+        return last.select(*keys, "__value.*").drop("__rank")
+
+    errs = F.coalesce(method.startswith("ERROR"), F.lit(False)) | F.coalesce(F.col("row_count") < 0, F.lit(False))
+    left = one(source, {"__rank": errs, "source_count": F.col("row_count"), "__method": method})
+    right = one(target, {"target_total": F.col("total_count"), "target_active": F.coalesce("active_count", "total_count")})
+    rows = one(expected, {"__rank": F.lit(1)}).join(left, keys, "left").join(right, keys, "left")
     s, t = F.col("source_count"), F.col("target_active")
     failed = (s < 0) | F.coalesce(F.col("__method").startswith("ERROR"), F.lit(False))
     pct = F.when(s == 0, F.when(t == 0, 0.0).otherwise(100.0)).otherwise(F.abs(s - t) / s * 100)

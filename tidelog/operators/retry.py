@@ -40,11 +40,13 @@ def retry_plan(
     return rows.frame().where(failed).withColumns(retry_columns(F.col("__in_row"), max_retries, base)).drop("__in_row")
 
 
-# Fields of a recovery log entry, in order.
+# Fields of a recovery log entry, in order, and the words in them.
 RECOVERY_FIELDS = (
     "timestamp", "event_type", "process_name", "error_class", "error_pattern", "action_taken",
     "attempt", "max_retries", "failing_table", "gg_home", "success", "details",
 )
+RETRY_ACTION, ESCALATION_ACTION, PERMANENT_ACTION = "waiting_{}s_then_restart", "escalated_to_permanent", "disable_and_notify"
+ESCALATED_CLASS, OVERRIDE_REASON = "TRANSIENT->PERMANENT", "Auto-recovery:"
 
 
 def recovery_entries(decisions: DataFrame, max_retries: int = MAX_RETRIES) -> DataFrame:
@@ -53,15 +55,15 @@ def recovery_entries(decisions: DataFrame, max_retries: int = MAX_RETRIES) -> Da
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in have else F.lit("")
     retried = F.col("event_type") == "TRANSIENT_RETRY"
     action = (
-        F.when(retried, F.concat(F.lit("waiting_"), F.col("delay_seconds").cast("bigint").cast("string"), F.lit("s_then_restart")))
-        .when(F.col("event_type") == "ESCALATED", "escalated_to_permanent")
-        .otherwise("disable_and_notify")
+        F.when(retried, F.replace(F.lit(RETRY_ACTION), F.lit("{}"), F.col("delay_seconds").cast("bigint").cast("string")))
+        .when(F.col("event_type") == "ESCALATED", ESCALATION_ACTION)
+        .otherwise(PERMANENT_ACTION)
     )
     return decisions.select(
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"),
         "event_type",
         text("process_name").alias("process_name"),
-        F.when(F.col("event_type") == "ESCALATED", "TRANSIENT->PERMANENT").otherwise(text("error_class")).alias("error_class"),
+        F.when(F.col("event_type") == "ESCALATED", ESCALATED_CLASS).otherwise(text("error_class")).alias("error_class"),
         text("error_pattern").alias("error_pattern"),
         action.alias("action_taken"),
         F.coalesce(F.col("attempt"), F.lit(0)).alias("attempt"),
@@ -75,7 +77,7 @@ def recovery_entries(decisions: DataFrame, max_retries: int = MAX_RETRIES) -> Da
 
 def quarantine_entries(failures: DataFrame) -> DataFrame:
     """Override rows that disable the failing table of a permanent or escalated failure."""
-    why = F.concat_ws(" ", F.lit("Auto-recovery:"), "error_code", "error_pattern")
+    why = F.concat_ws(" ", F.lit(OVERRIDE_REASON), "error_code", "error_pattern")
     return failures.where("failing_table IS NOT NULL AND failing_table <> ''").select(
         F.col("failing_table").alias("fqn"), F.lit(False).alias("enabled"), why.alias("reason"), F.col("ts").alias("changed_at")
     )

@@ -138,6 +138,21 @@ def stream_silent_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("last_beat", "due")})
 
 
+OPEN_SQL = LOG_SQL + """, c AS (SELECT k, max((op_ts, seq)) FILTER (event_type = 'purchase') AS closed FROM log GROUP BY k),
+o AS (SELECT CAST(k AS VARCHAR) AS txn, min(op_ts) AS opened_at, count(*) AS changes FROM log JOIN c USING (k) WHERE closed IS NULL OR (op_ts, seq) > closed GROUP BY k)
+SELECT *, (epoch_us(TIMESTAMP '2024-12-01') - epoch_us(opened_at)) // 1000000 AS open_seconds FROM o"""
+
+
+@query("stream_long_open", OPEN_SQL)
+def stream_long_open(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users as transactions that a purchase closes; who then does anything and buys nothing in 40 days has one alert."""
+    home = workspace(spark)
+    rows = _event_stream(spark, sf_dir, home, "2024-12-01 00:00:00")
+    changes = rows.select(F.col("k").alias("txn"), F.col("op_ts").alias("ts"), "seq", (F.col("event_type") == "purchase").alias("closes"))
+    out = written_out(monitor.long_transaction_stream(changes, 40 * 86_400, 300, LATE, 86_400), home)
+    return out.withColumn("opened_at", F.col("opened_at").cast("timestamp_ntz"))
+
+
 @query(
     "stream_failures",
     EVENTS_SQL

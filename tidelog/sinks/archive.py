@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -24,9 +25,10 @@ def archive(rows: DataFrame, manifest_path: str, archive_path: str, keys: list[s
     try:
         schema = StructType([*empty.schema.fields, StructField("run", StringType())])
         listed = spark.read.schema(schema).parquet(manifest_path).where(F.col("run") != run_id)
-    except Exception as problem:  # nothing archived so far
-        if "PATH_NOT_FOUND" not in str(problem):
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
             raise
+        # Nothing archived so far.
         listed = empty
     due = due_for_archive(rows, listed, keys, ts, cutoff)
     target = f"{archive_path}/run={run_id}"

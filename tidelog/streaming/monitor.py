@@ -6,7 +6,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidelog.functions import status
 from tidelog.streaming.inorder import InOrder, in_order
@@ -95,50 +94,51 @@ def throughput_stream(changes: DataFrame, by: list[str], minutes: int = 30, ts:
 OPEN_ALERT = "txn string, opened_at timestamp, changes bigint, open_seconds bigint"
 
 
-def long_transaction_stream(changes: DataFrame, limit_seconds: int = 900, check_seconds: int = 300, late: str = "1 minute") -> DataFrame:
-    """Alerts for transactions open beyond the limit, repeated at every check.
+class OpenTransactions(InOrder):
+    """Holds the first change of an open transaction and the number of its changes."""
 
-    Needs txn, ts and closes (bool). State is one row per open transaction. After the
-    closing row it holds the closing time until the watermark has passed that, so late rows do not open
-    it again; rows after the closing time are a new transaction. Time is event time, so replays behave like live runs.
-    """
+    def __init__(self, limit_seconds: int, check_seconds: int, slot_seconds: int):
+        super().__init__(slot_seconds)
+        self.limit, self.check = limit_seconds * 1_000_000, check_seconds * 1_000_000
 
-    def watch(key, batches, state: GroupState):
-        name = key[0]
-        if state.hasTimedOut:
-            opened, changes_so_far, _ = state.get
+    def init(self, handle) -> None:
+        super().init(handle)
+        self.open = handle.getValueState("open", "opened bigint, changes bigint, next_check bigint")
+
+    def release(self, key, ts, seq, closes):
+        opened, changes, due = self.open.get() if self.open.exists() else (None, 0, 0)
+        if closes.any():
+            ts, opened, changes = ts[np.flatnonzero(closes)[-1] + 1 :], None, 0
+        if len(ts):
+            changes += len(ts)
             if opened is None:
-                state.remove()
-                return
-            watermark = state.getCurrentWatermarkMs() // 1000
-            state.setTimeoutTimestamp((watermark + check_seconds) * 1000)
-            yield pd.DataFrame(
-                {
-                    "txn": [name],
-                    "opened_at": [pd.Timestamp(opened, unit="us")],
-                    "changes": [changes_so_far],
-                    "open_seconds": [watermark - opened // 1_000_000],
-                }
-            )
+                opened, due = int(ts[0]), int(ts[0]) + self.limit
+        if opened is None:
+            self.open.clear()
+        else:
+            self.open.update((opened, changes, due))
+            self.wake_after(due)
+        return iter(())
+
+    def idle(self, key, until):
+        if not self.open.exists():
             return
-        opened, seen, closed = state.get if state.exists else (None, 0, None)
-        # Of the rows after the last closing so far; counted anew when a later closing comes.
-        for pdf in batches:
-            times = pdf["ts"].to_numpy("datetime64[us]").astype("int64")
-            ends = times[pdf["closes"].fillna(False).to_numpy(bool)]
-            if len(ends) and (closed is None or ends.max() > closed):
-                closed = int(ends.max())
-                if opened is None or opened <= closed:
-                    opened, seen = None, 0
-            later = times if closed is None else times[times > closed]
-            if len(later):
-                first = int(later.min())
-                opened, seen = first if opened is None else min(opened, first), seen + len(later)
-        state.update((opened, seen, closed))
-        due = closed // 1000 + 1 if opened is None else opened // 1000 + limit_seconds * 1000
-        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-
-    rows = as_instant(changes, "ts").withWatermark("ts", late).select("txn", "ts", "closes")
-    return rows.groupBy("txn").applyInPandasWithState(
-        watch, OPEN_ALERT, "opened bigint, changes bigint, closed bigint", "append", GroupStateTimeout.EventTimeTimeout
-    )
+        opened, changes, due = self.open.get()
+        if due < until:
+            now = self.watermark * 1000
+            self.open.update((opened, changes, now + self.check))
+            self._timer((now + self.check) // self.width)
+            seconds = (now - opened) // 1_000_000
+            yield pd.DataFrame({"txn": [key[0]], "opened_at": [pd.Timestamp(opened, unit="us")], "changes": [changes], "open_seconds": [seconds]})
+
+
+def long_transaction_stream(changes: DataFrame, limit_seconds: int = 900, check_seconds: int = 300, late: str = "1 minute", slot_seconds: int = 60) -> DataFrame:
+    """Alerts for transactions open beyond the limit, repeated at every check while the watermark moves on.
+
+    Needs txn, ts, closes (bool) and, where times tie, seq. Changes are taken in the order of their times, so batches and late rows within
+    the allowance change nothing; rows after the closing one are a new transaction. State is one row per open transaction beside the rows that wait.
+    Time is event time, so replays behave like live runs.
+    """
+    seq = F.col("seq") if "seq" in changes.columns else F.lit(0)
+    rows = changes.select(F.col("txn").cast("string").alias("txn"), "ts", seq.alias("seq"), F.col("closes").alias("flag"))
+    return in_order(rows, "txn", OpenTransactions(limit_seconds, check_seconds, slot_seconds), OPEN_ALERT, late)
