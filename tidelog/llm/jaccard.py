@@ -138,8 +138,11 @@ def row_keys(docs: DataFrame, rule: JaccardRule, key: str, text: str) -> DataFra
     return docs.select(key, F.col(text).cast("binary")).mapInArrow(run, _fields(docs, key, n_shingles="long", s1="long", s2="long"))
 
 
+STAR = ["sig", "doc", "need", "pivot", "pivot_need"]
+
+
 def _bucket_rows(docs: DataFrame, rule: JaccardRule, key: str, text: str) -> DataFrame:
-    """(sig, doc, need, pivot). Within a batch of documents each bucket has a pivot; only the
+    """(sig, doc, need, pivot, pivot_need). Within a batch of documents each bucket has a pivot; only the
     pivot's row goes on to the shuffle, with ``pivot`` null. Copies in a batch count once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +158,7 @@ def _bucket_rows(docs: DataFrame, rule: JaccardRule, key: str, text: str) -> Dat
             sig, need = (np.concatenate(x) for x in zip(*parts, strict=True))
             owner = np.repeat(np.arange(len(parts)), [len(p) for p, _ in parts])
             _, first, bucket = np.unique(sig, return_index=True, return_inverse=True)
-            pivot = owner[first][bucket]
+            pivot, pivot_need = owner[first][bucket], need[first][bucket].astype(np.int32)
             is_first = np.zeros(len(sig), bool)
             is_first[first] = True
             for use in (is_first, ~is_first & (pivot != owner)):
@@ -164,24 +167,24 @@ def _bucket_rows(docs: DataFrame, rule: JaccardRule, key: str, text: str) -> Dat
                 for lo in range(0, len(at), 100_000):
                     some = slice(lo, lo + 100_000)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(sig[at[some]].view(np.int64)), batch.column(0).take(pa.array(owner[at[some]])), pa.array(need[at[some]].astype(np.int32)), batch.column(0).take(pivots[some])],
-                        names=["sig", "doc", "need", "pivot"],
+                        [pa.array(sig[at[some]].view(np.int64)), batch.column(0).take(pa.array(owner[at[some]])), pa.array(need[at[some]].astype(np.int32)), batch.column(0).take(pivots[some]), pa.array(pivot_need[at[some]])],
+                        names=STAR,
                     )
 
     kind = docs.schema[key].dataType
-    schema = T.StructType([T.StructField("sig", T.LongType()), T.StructField("doc", kind), T.StructField("need", T.IntegerType()), T.StructField("pivot", kind)])
+    schema = T.StructType([T.StructField(n, t) for n, t in zip(STAR, (T.LongType(), kind, T.IntegerType(), kind, T.IntegerType()), strict=True)])
     return docs.select(key, F.col(text).cast("binary")).mapInArrow(run, schema)
 
 
 def _stars(rows: DataFrame) -> DataFrame:
-    """(sig, pivot, doc, need): every row of a bucket that has others, with the bucket's pivot."""
+    """The same columns: every row of a bucket that has others, with the bucket's pivot and what that one needs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_sig = last_pivot = None
+        last_sig = last_pivot = last_need = None
         for batch in batches:
             table = pa.Table.from_batches([batch])
             known = table.filter(pa.compute.is_valid(table["pivot"]))
-            yield from known.select(["sig", "pivot", "doc", "need"]).combine_chunks().to_batches()
+            yield from known.combine_chunks().to_batches()
             fresh = table.filter(pa.compute.is_null(table["pivot"])).combine_chunks()
             if not fresh.num_rows:
                 continue
@@ -193,12 +196,14 @@ def _stars(rows: DataFrame) -> DataFrame:
             # Position 0 stands for the pivot carried over from the batch before.
             at = np.maximum.accumulate(np.where(start, np.arange(1, len(sig) + 1), 0))
             pivots = pa.concat_arrays([pa.array([last_pivot], docs.type), docs]).take(pa.array(at))
+            needs = pa.concat_arrays([pa.array([last_need], pa.int32()), pa.array(fresh["need"].to_numpy(), pa.int32())])
+            pivot_needs = needs.take(pa.array(at))
             out = np.flatnonzero(~start)
-            last_sig, last_pivot = sig[-1], pivots[-1].as_py()
-            need = pa.array(fresh["need"].to_numpy()[out])
-            yield pa.RecordBatch.from_arrays([pa.array(sig[out]), pivots.take(pa.array(out)), docs.take(pa.array(out)), need], names=["sig", "pivot", "doc", "need"])
+            last_sig, last_pivot, last_need = sig[-1], pivots[-1].as_py(), pivot_needs[-1].as_py()
+            some = pa.array(out)
+            yield pa.RecordBatch.from_arrays([pa.array(sig[out]), docs.take(some), needs.take(pa.array(out + 1)), pivots.take(some), pivot_needs.take(some)], names=STAR)
 
-    schema = T.StructType([rows.schema[n] for n in ("sig", "pivot", "doc", "need")])
+    schema = T.StructType([rows.schema[n] for n in STAR])
     route = F.when(F.col("pivot").isNull(), F.col("sig")).otherwise(F.xxhash64("doc"))
     return rows.repartition(route).sortWithinPartitions("sig", "doc").mapInArrow(run, schema).where("pivot <> doc")
 
@@ -362,7 +367,7 @@ def _mixed_buckets(stars: DataFrame, members: DataFrame, nodes: DataFrame, parts
     touched = stars.join(suspects, "doc", "left_semi").select("sig")
     touched = touched.unionByName(stars.join(suspects.withColumnRenamed("doc", "pivot"), "pivot", "left_semi").select("sig")).distinct()
     inside = stars.join(touched, "sig", "left_semi")
-    pivots = inside.select("sig", F.col("pivot").alias("doc"), F.lit(None).cast("int").alias("need"))
+    pivots = inside.select("sig", F.col("pivot").alias("doc"), F.col("pivot_need").alias("need"))
     inside = inside.select("sig", "doc", "need").unionByName(pivots)
     inside = inside.join(members, "doc").join(parts, "node", "left").withColumn("c", F.coalesce("component", "node"))
     inside = written(inside.groupBy("sig", "node", "n_shingles", "c").agg(F.max("need").alias("need")))
@@ -371,7 +376,7 @@ def _mixed_buckets(stars: DataFrame, members: DataFrame, nodes: DataFrame, parts
     own = Window.partitionBy("node")
     ranked = inside.join(buckets, "sig").withColumns({
         "m": F.count(F.lit(1)).over(own),
-        "least": F.coalesce(F.min("need").over(own), F.lit(1)),
+        "least": F.min("need").over(own),
         "at": F.row_number().over(own.orderBy("all", "sig")),
         "weight": F.sum("all").over(own),
     })
