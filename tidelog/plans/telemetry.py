@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidelog.functions import rules, status, text
 from tidelog.operators import loglines, recon, retry, routes, telemetry
-from tidelog.operators.ordered import SkewGuard
+from tidelog.operators.ordered import SkewGuard, shared_checkpoint
 from tidelog.plans.base import LOG_SQL, Registry, event_log, table
 from tidelog.sinks.archive import due_for_archive
 from tidelog.sources.inventory import parse_inventory
@@ -165,9 +165,9 @@ rates AS (SELECT dir, snapshot_ts, total_mb, CASE WHEN sec >= 1 THEN grown / 104
 
 
 def _rates(spark: SparkSession, sf_dir: str, guard: SkewGuard = SkewGuard()) -> DataFrame:
-    files = telemetry.parse_listing(_listing(spark, sf_dir))
-    stats = telemetry.prefix_stats(files)
-    rates = telemetry.file_rates(stats, files.select("dir", "snapshot_ts"), guard=guard)
+    # A few rows per scan, used by several steps: the listing is read once.
+    stats = shared_checkpoint(telemetry.prefix_stats(telemetry.parse_listing(_listing(spark, sf_dir))))
+    rates = telemetry.file_rates(stats, stats.select("dir", "snapshot_ts"), guard=guard)
     totals = stats.groupBy("dir", "snapshot_ts").agg(F.sum("total_mb").alias("total_mb"))
     return rates.join(totals, ["dir", "snapshot_ts"])
 
