@@ -414,17 +414,19 @@ def _around_hubs(apart: DataFrame, parts: DataFrame, rule: JaccardRule) -> DataF
     the rare columns are a copy's own; edits apart from each other give no pair.
     """
     cells = apart.select("hub", "node", "size", "linked", F.size("columns").alias("d"), F.explode("columns").alias("column"))
-    common = cells.groupBy("hub", "column").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    # Columns of one row only (``n`` null) come first and meet nothing: they count in the ranks, but need not be joined.
-    order = Window.partitionBy("hub", "node").orderBy(F.coalesce("n", F.lit(1)), "column")
+    common = cells.groupBy("hub", "column").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("linked")).alias("unlinked"))
+    common = common.where("n > 1 AND unlinked > 0").drop("unlinked")
+    # A pair has a row that does not link to the hub, so other columns, and those of one row only, meet nothing. They come first: they
+    # count in the ranks, but are not joined.
+    own = Window.partitionBy("hub", "node")
     most = F.floor(F.col("size") * (rule.den - rule.num) / F.lit(rule.num))
     least = F.greatest(F.ceil((F.col("d") + 1 - most) / 2), F.col("d") - most, F.lit(1))
-    ranked = cells.join(common, ["hub", "column"], "left").withColumns({
-        "at": F.row_number().over(order),
+    ranked = cells.join(common, ["hub", "column"]).withColumns({
+        "at": F.col("d") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("n", "column")),
         "near": F.col("d") - F.floor(F.col("d") * rule.num / F.lit(rule.num + rule.den)),
         "far": F.col("d") - least + 1,
     })
-    ranked = ranked.where((F.col("at") <= F.greatest("near", "far")) & F.col("n").isNotNull())
+    ranked = ranked.where(F.col("at") <= F.greatest("near", "far"))
     ranked = ranked.join(parts, "node", "left").withColumn("c", F.coalesce("component", "node"))
     ranked = written(ranked.select("hub", "column", "node", "size", "c", "linked", "d", "at", "near"))
     right = ranked.where("at <= near").select("hub", "column", *[F.col(n).alias(f"{n}_b") for n in ("node", "size", "c", "linked", "d", "at")])
