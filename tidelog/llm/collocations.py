@@ -54,7 +54,7 @@ class PhraseRule:
 
     longest: int = 5
     least: int = 100
-    shards: int = 2
+    shards: int = 3
     slots: int = 1 << 24
 
     def __post_init__(self):
