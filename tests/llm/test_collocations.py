@@ -72,6 +72,17 @@ def test_counts_and_scores_equal_plain_counting(spark, docs, rule):
         assert got == plain_collocations(plain, rule.least, top)
 
 
+@pytest.mark.parametrize("rule", [PhraseRule(5, 10, 1, 64), PhraseRule(5, 10, 3, 64)])
+def test_shared_slots_change_no_count(spark, rule):
+    """Slots that others set early: a phrase looks ripe before its words are, and what it begins must not start before it can be met."""
+    rng = random.Random(1)
+    vocabulary = [f"w{i}" for i in range(30)]
+    weights = [1 / (i + 1) for i in range(30)]
+    rows = [(i, " ".join(rng.choices(vocabulary, weights, k=rng.randint(1, 60))), rng.choice(["en", "de", None])) for i in range(600)]
+    found = {(r.lang, r.phrase): r.n for r in phrase_counts(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(6), rule).collect()}
+    assert found == {k: v for k, v in plain_counts(rows, rule.longest).items() if v >= rule.least}
+
+
 def test_no_documents(spark, docs):
     counts = phrase_counts(docs.limit(0), PhraseRule(shards=2))
     assert counts.count() == 0

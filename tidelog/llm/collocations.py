@@ -7,9 +7,9 @@ ripe, for one full circle: each shard once, so its count is exact. All lengths a
 the last circle ends ``shards`` scans after the last phrase became ripe.
 
 Tasks know ripe phrases by an activation table of fixed size: per slot the scan after which it was set. A phrase has
-two slots; it is ripe after the later of them. Slots are set once, so the scan in which a phrase starts never
+two slots; it is ripe after the later of them, but not before its own first scan. Slots are set once, so the scan in which a phrase starts never
 changes. Phrases that share their slots by chance start without need, which costs work but changes no count: what
-starts is counted for a full circle, and the threshold is applied to exact counts. A phrase with the threshold has
+starts is counted for a full circle, in which each scan reaches it, and the threshold is applied to exact counts. A phrase with the threshold has
 subphrases with the threshold, so none is missed. The table takes ``slots`` bytes in each worker (less on
 its way, compressed) and new entries ``slots`` / 8 on their way through the driver, whatever the corpus. Counts stay in a table keyed by the phrases themselves; phrases
 that end their circle below the threshold leave it.
@@ -168,7 +168,8 @@ def counted(part: Part, ripe_after: np.ndarray, step: int, rule: PhraseRule) ->
             at = places[first[due]]
             spelt = [[part.words[i] for i in ids[at + j].tolist()] for j in range(size)]
             yield list(map(b" ".join, zip(*spelt, strict=True))), start[due].tolist(), numbers[due]
-        after = ripe(h)
+        # Slots may have been set by others before the phrase was counted at all.
+        after = np.maximum(ripe(h), start)
         grown = after[phrases] < step
         places, phrases = places[grown], phrases[grown]
 
@@ -224,9 +225,8 @@ def phrase_counts(docs: DataFrame, rule: PhraseRule = PhraseRule(), text: str =
         ripe = (F.col("n") >= rule.least) & (F.col("before") < rule.least) & (F.col("phrase") != F.lit(b""))
         state = written(sums.where(under_way).withColumn("ripe", ripe).drop("before"))
         slots = slots_set(state.where("ripe").where(F.size(F.split(F.col("phrase").cast("string"), " ")) < rule.longest), rule)
-        fresh = slots[ripe_after[slots] == NEVER]
-        ripe_after[fresh] = step
-        last = step if len(fresh) else last
+        ripe_after[slots[ripe_after[slots] == NEVER]] = step
+        last = step if len(slots) else last
         step += 1
     kept = state.where((F.col("n") >= rule.least) | (F.col("phrase") == F.lit(b"")))
     return kept.select("lang", F.col("phrase").cast("string").alias("phrase"), "n")
