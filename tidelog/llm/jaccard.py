@@ -280,19 +280,17 @@ def _multiply(pairs: DataFrame, sets: DataFrame, rule: JaccardRule) -> DataFrame
 
 
 def _differences(pairs: DataFrame, sets: DataFrame, rule: JaccardRule) -> DataFrame:
-    """(hub, node, size, linked, columns): the columns in which ``node`` (b) differs from its ``hub`` (a)."""
+    """(hub, node, size, linked, own, lacking): the columns that only ``node`` (b) has, and those that only its ``hub`` (a) has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, hubs, rows in _paired_rows(batch):
-                columns = [np.setxor1d(x, y, assume_unique=True).view(np.int64) for x, y in zip(hubs, rows, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[at], batch.column(1)[at], pa.array([len(y) for y in rows], pa.int64()), pa.array(overlaps(hubs, rows, rule)), pa.array(columns, pa.list_(pa.int64()))],
-                    names=["hub", "node", "size", "linked", "columns"],
-                )
-
-    kind = pairs.schema["a"].dataType
-    schema = T.StructType([T.StructField("hub", kind), T.StructField("node", kind), T.StructField("size", T.LongType()), T.StructField("linked", T.BooleanType()), T.StructField("columns", T.ArrayType(T.LongType()))])
+                own, lacking = ([np.setdiff1d(x, y, assume_unique=True).view(np.int64) for x, y in zip(*sides, strict=True)] for sides in ((rows, hubs), (hubs, rows)))
+                columns = [pa.array([len(y) for y in rows], pa.int64()), pa.array(overlaps(hubs, rows, rule)), pa.array(own, pa.list_(pa.int64())), pa.array(lacking, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[at], batch.column(1)[at], *columns], names=["hub", "node", "size", "linked", "own", "lacking"])
+
+    kind, columns = pairs.schema["a"].dataType, T.ArrayType(T.LongType())
+    schema = T.StructType([T.StructField("hub", kind), T.StructField("node", kind), T.StructField("size", T.LongType()), T.StructField("linked", T.BooleanType()), T.StructField("own", columns), T.StructField("lacking", columns)])
     return _with_rows(pairs, sets).mapInArrow(run, schema)
 
 
@@ -402,37 +400,75 @@ def _within(buckets: DataFrame, rule: JaccardRule) -> DataFrame:
     return met.select("a", "b").distinct()
 
 
+def _ranked(rows: DataFrame) -> DataFrame:
+    """The ``columns`` of ``rows`` as a row each, with their number ``d`` and place ``at`` by rarity around the hub.
+
+    A pair has a row that is ``odd``, so other columns, and those of one row only, meet nothing. They come first: they
+    count in the places, but are not given. Hubs without odd rows are left out.
+    """
+    hubs = rows.where("odd").select("hub").distinct()
+    cells = rows.join(hubs, "hub", "left_semi").withColumn("d", F.size("columns")).withColumn("column", F.explode("columns")).drop("columns")
+    common = cells.groupBy("hub", "column").agg(F.count(F.lit(1)).alias("n"), F.count_if("odd").alias("some"))
+    common = common.where("n > 1 AND some > 0").drop("some")
+    own = Window.partitionBy("hub", "node")
+    at = F.col("d") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("n", "column"))
+    return cells.join(common, ["hub", "column"]).withColumn("at", at).drop("n")
+
+
+def _may_meet(rows: DataFrame, reach: Column) -> DataFrame:
+    """Those of ``rows`` that share a column of their first ``reach`` ones, in the order of hashes, with another, one of the two being odd.
+
+    That needs no counts, so only the first columns become rows of a table; all columns of what is left are then put in order of rarity.
+    """
+    hubs = rows.where("odd").select("hub").distinct()
+    first = rows.join(hubs, "hub", "left_semi").select("hub", "node", "odd", F.explode(F.slice("columns", F.lit(1), reach.cast("int"))).alias("column"))
+    first = written(first)
+    common = first.groupBy("hub", "column").agg(F.count(F.lit(1)).alias("n"), F.count_if("odd").alias("some")).where("n > 1 AND some > 0")
+    return rows.join(written(first.join(common, ["hub", "column"], "left_semi").select("hub", "node").distinct()), ["hub", "node"], "left_semi")
+
+
+def _met(left: DataFrame, right: DataFrame, shared: Column, rule: JaccardRule) -> DataFrame:
+    """Pairs (a, b) of an odd row and any other of ``_ranked`` that have the same column among those that may be the rarest of ``shared`` ones."""
+    right = right.select("hub", "column", *[F.col(n).alias(f"{n}_b") for n in ("node", "size", "c", "odd", "d", "at")])
+    once = ~F.col("odd_b") | (F.col("node") < F.col("node_b"))
+    early = F.greatest(F.col("at") - F.col("d"), F.col("at_b") - F.col("d_b")) <= 1 - shared
+    met = left.where("odd").join(right, ["hub", "column"]).where((F.col("c") != F.col("c_b")) & once & early & _fits(rule, "size", "size_b"))
+    return met.select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b"))
+
+
 def _around_hubs(apart: DataFrame, parts: DataFrame, rule: JaccardRule) -> DataFrame:
     """Pairs (a, b) around one hub that may link although one of them does not link to the hub.
 
-    Let ``v`` and ``w`` differ from their hub in the column sets V and W. They differ from each other in
+    A row ``w`` of a linked pair has at most ``S = |w| (den - num) / den`` columns that the other lacks. Where ``w`` has more columns
+    than that beside its hub's, it is *far*: it does not link to the hub, and any row it links with shares all but ``S`` of those.
+    So far rows meet others in columns beside the hub's alone, in the first ``S + 1`` of either row by any order, of hashes or of rarity.
+    The hub's columns that rows lack, most of them the same ones around a common passage, are not looked at.
+
+    Other pairs are of rows that are not far. Let ``v`` and ``w`` differ from their hub in the column sets V and W. They differ from each other in
     ``|V| + |W| - 2 |V & W|`` columns. If V and W are disjoint and ``v`` and ``w`` link, both link to the hub, for
     ``|v| - |hub| <= |V|``. So where ``w`` does not, V and W meet, in more than ``|V| num / (num + den)`` columns.
     As ``v`` and ``w`` differ in at most ``D = |w| (den - num) / num``, they also meet in ``|W| - D`` and in ``(|W| + 1 - D) / 2``.
-    Sets that meet in ``k`` columns meet in the rarest ``|V| - k + 1`` and ``|W| - k + 1``. These bounds choose the columns
-    to join by; once both sizes are known, the exact ``k`` is held against the places of the column met. Around a hub,
-    the rare columns are a copy's own; edits apart from each other give no pair.
+    Sets that meet in ``k`` columns meet in the rarest ``|V| - k + 1`` and ``|W| - k + 1``.
+
+    These bounds choose the columns to join by; once both sizes are known, the exact ``k`` is held against the places of the
+    column met. Around a hub, the rare columns are a copy's own; edits apart from each other give no pair.
     """
-    cells = apart.select("hub", "node", "size", "linked", F.size("columns").alias("d"), F.explode("columns").alias("column"))
-    common = cells.groupBy("hub", "column").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("linked")).alias("unlinked"))
-    common = common.where("n > 1 AND unlinked > 0").drop("unlinked")
-    # A pair has a row that does not link to the hub, so other columns, and those of one row only, meet nothing. They come first: they
-    # count in the ranks, but are not joined.
-    own = Window.partitionBy("hub", "node")
-    most = F.floor(F.col("size") * (rule.den - rule.num) / F.lit(rule.num))
+    part = lambda n, d: F.floor(n * (rule.den - rule.num) / F.lit(d))
+    both = F.col("size") + F.col("size_b")
+    rows = apart.join(parts, "node", "left").withColumn("c", F.coalesce("component", "node"))
+    rows = rows.withColumn("far", F.size("own") > part(F.col("size"), rule.den))
+
+    reach = part(F.col("size"), rule.den) + 1
+    beside = rows.select("hub", "node", "size", "c", F.col("far").alias("odd"), F.col("own").alias("columns"))
+    beside = written(_ranked(_may_meet(beside, reach)).where(F.col("at") <= reach))
+    overlap = F.ceil(both * rule.num / F.lit(rule.num + rule.den))
+    shared = F.greatest(overlap - F.least(F.col("size") - F.col("d"), F.col("size_b") - F.col("d_b")), F.lit(1))
+    met = _met(beside, beside, shared, rule)
+
+    close = rows.where("not far").select("hub", "node", "size", "c", (~F.col("linked")).alias("odd"), F.concat("own", "lacking").alias("columns"))
+    most = part(F.col("size"), rule.num)
     least = F.greatest(F.ceil((F.col("d") + 1 - most) / 2), F.col("d") - most, F.lit(1))
-    ranked = cells.join(common, ["hub", "column"]).withColumns({
-        "at": F.col("d") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("n", "column")),
-        "near": F.col("d") - F.floor(F.col("d") * rule.num / F.lit(rule.num + rule.den)),
-        "far": F.col("d") - least + 1,
-    })
-    ranked = ranked.where(F.col("at") <= F.greatest("near", "far"))
-    ranked = ranked.join(parts, "node", "left").withColumn("c", F.coalesce("component", "node"))
-    ranked = written(ranked.select("hub", "column", "node", "size", "c", "linked", "d", "at", "near"))
-    right = ranked.where("at <= near").select("hub", "column", *[F.col(n).alias(f"{n}_b") for n in ("node", "size", "c", "linked", "d", "at")])
-    once = F.col("linked_b") | (F.col("node") < F.col("node_b"))
-    allowed = F.floor((F.col("size") + F.col("size_b")) * (rule.den - rule.num) / F.lit(rule.num + rule.den))
-    shared = F.ceil((F.col("d") + F.col("d_b") - allowed) / 2)
-    early = F.greatest(F.col("at") - F.col("d"), F.col("at_b") - F.col("d_b")) <= 1 - shared
-    met = ranked.where("not linked").join(right, ["hub", "column"]).where((F.col("c") != F.col("c_b")) & once & early & _fits(rule, "size", "size_b"))
-    return met.select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")).distinct()
+    ranked = _ranked(close).withColumns({"near": F.col("d") - F.floor(F.col("d") * rule.num / F.lit(rule.num + rule.den)), "last": F.col("d") - least + 1})
+    ranked = written(ranked.where(F.col("at") <= F.greatest("near", "last")))
+    shared = F.ceil((F.col("d") + F.col("d_b") - part(both, rule.num + rule.den)) / 2)
+    return met.unionByName(_met(ranked, ranked.where("at <= near"), shared, rule)).distinct()
