@@ -8,11 +8,13 @@ parameters below. Extra columns pass through, whatever their names, but for thos
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import rows_of, rows_without, table, written
+from tidelog.llm.common import PART_BYTES, rows_of, rows_without, table, written
 from tidelog.llm.decontaminate import WinnowRule, contamination
 from tidelog.llm.fertility import QualityRules, quality_rules
 from tidelog.llm.jaccard import JaccardRule, jaccard_components
@@ -24,6 +26,22 @@ from tidelog.session import scratch_dir
 NEAR_DUPLICATES = JaccardRule(width=5, num=80, den=100)
 REPEATS = WindowRule(words=50)
 LEAKS = WinnowRule(words=10, gram=5)
+# Operators work on texts in parts of ``PART_BYTES``. An Arrow batch is closed by the row that passes its limit; this one leaves room for that row.
+BATCH_BYTES = PART_BYTES * 7 // 8
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def in_small_batches(stage: Stage) -> Stage:
+    """``stage`` with Arrow batches of about ``BATCH_BYTES``. By number of rows alone a batch of texts takes ten times that, which
+    every task holds outside the heap, twice while a buffer grows, and once more in its Python worker."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+        return stage(spark, docs, sf_dir)
+
+    return run
 
 
 def beside_text(docs: DataFrame) -> DataFrame:
@@ -35,12 +53,14 @@ def unpacked(columns: list[str]) -> list[Column]:
     return [F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in columns]
 
 
+@in_small_batches
 def rule_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep. Null and empty texts go."""
     packed = beside_text(docs).withColumn("lang", F.col("row.lang"))
     return quality_rules(packed, QualityRules(), key="row", with_text=True).where("kept").select(*unpacked(docs.columns))
 
 
+@in_small_batches
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each component. Rows without an id stay; rows that
     are equal in id and text are one."""
@@ -53,6 +73,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return rows_without(left, again, "doc_id").unionByName(rows_of(left, again, "doc_id").dropDuplicates(["doc_id", "text"]))
 
 
+@in_small_batches
 def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that repeat; those of which nothing is left go, others stay as they are."""
     cut = remove_repeats(beside_text(docs), REPEATS, key="row", as_is=True).where("n_words > n_removed")
@@ -63,6 +84,7 @@ def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
+@in_small_batches
 def leak_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of a benchmark item."""
     name = f"row_{uuid.uuid4().hex}"
@@ -71,6 +93,7 @@ def leak_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows_without(known, written(hit), name).select(*docs.columns)
 
 
+@in_small_batches
 def piece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their sampled pieces. Own columns of the names of the new ones give way."""
     new = ["n_tokens", "token_ids", "lossless"]
