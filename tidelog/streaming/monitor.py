@@ -39,37 +39,39 @@ SILENT = "path string, last_beat timestamp, due timestamp, severity string"
 
 
 class Beats(InOrder):
-    """Holds the last beat of a path and whether its silence has been reported."""
+    """Keeps the last beat of a path until its silence has been reported."""
+
+    FRESH = {"beat": 0, "awaited": False}
 
     def __init__(self, limit_seconds: int, slot_seconds: int):
         super().__init__(slot_seconds)
         self.limit = limit_seconds * 1_000_000
 
-    def init(self, handle) -> None:
-        super().init(handle)
-        self.last = handle.getValueState("last", "beat bigint, reported boolean")
-
-    def _alerts(self, key, beats: np.ndarray) -> pd.DataFrame:
+    def _alerts(self, paths: np.ndarray, beats: np.ndarray) -> pd.DataFrame:
         times = pd.to_datetime(beats, unit="us"), pd.to_datetime(beats + self.limit, unit="us")
-        return pd.DataFrame({"path": key[0], "last_beat": times[0], "due": times[1], "severity": "CRITICAL"})
-
-    def release(self, key, ts, seq, flag):
-        beats = ts
-        if self.last.exists():
-            before, reported = self.last.get()
-            beats = ts if reported else np.append(before, ts)
-        silent = beats[:-1][np.diff(beats) > self.limit]
-        self.last.update((int(beats[-1]), False))
-        self.wake_after(int(beats[-1]) + self.limit)
+        return pd.DataFrame({"path": paths, "last_beat": times[0], "due": times[1], "severity": "CRITICAL"})
+
+    def release(self, kept, key, ts, seq, flag, starts):
+        paths = key[starts]
+        before = np.append(0, ts[:-1])
+        before[starts] = np.where(kept["awaited"][paths], kept["beat"][paths], ts[starts])
+        silent = ts - before > self.limit
+        kept["beat"][paths] = ts[np.append(starts[1:], len(ts)) - 1]
+        kept["awaited"][paths] = True
+        if silent.any():
+            yield self._alerts(kept.names(key[silent]), before[silent])
+
+    def idle(self, kept, until):
+        silent = np.flatnonzero(kept["awaited"] & (kept["beat"] + self.limit < until))
         if len(silent):
-            yield self._alerts(key, silent)
+            kept["awaited"][silent] = False
+            yield self._alerts(kept.names(silent), kept["beat"][silent])
+
+    def live(self, kept):
+        return kept["awaited"]
 
-    def idle(self, key, until):
-        if self.last.exists():
-            beat, reported = self.last.get()
-            if not reported and beat + self.limit < until:
-                self.last.update((beat, True))
-                yield self._alerts(key, np.array([beat]))
+    def wakes(self, kept):
+        return kept["beat"][kept["awaited"]] + self.limit
 
 
 def silent_path_stream(
@@ -95,41 +97,39 @@ OPEN_ALERT = "txn string, opened_at timestamp, changes bigint, open_seconds bigi
 
 
 class OpenTransactions(InOrder):
-    """Holds the first change of an open transaction and the number of its changes."""
+    """Keeps the first change of an open transaction, the number of its changes and the time of its next check."""
+
+    FRESH = {"opened": 0, "changes": 0, "due": 0, "open": False}
 
     def __init__(self, limit_seconds: int, check_seconds: int, slot_seconds: int):
         super().__init__(slot_seconds)
         self.limit, self.check = limit_seconds * 1_000_000, check_seconds * 1_000_000
 
-    def init(self, handle) -> None:
-        super().init(handle)
-        self.open = handle.getValueState("open", "opened bigint, changes bigint, next_check bigint")
-
-    def release(self, key, ts, seq, closes):
-        opened, changes, due = self.open.get() if self.open.exists() else (None, 0, 0)
-        if closes.any():
-            ts, opened, changes = ts[np.flatnonzero(closes)[-1] + 1 :], None, 0
-        if len(ts):
-            changes += len(ts)
-            if opened is None:
-                opened, due = int(ts[0]), int(ts[0]) + self.limit
-        if opened is None:
-            self.open.clear()
-        else:
-            self.open.update((opened, changes, due))
-            self.wake_after(due)
+    def release(self, kept, key, ts, seq, closes, starts):
+        txns, ends = key[starts], np.append(starts[1:], len(key))
+        closed = np.maximum.reduceat(np.where(closes, np.arange(len(key)), -1), starts)
+        first = np.maximum(closed + 1, starts)
+        still = kept["open"][txns] & (closed < 0)
+        opens = ~still & (first < ends)
+        kept["changes"][txns] = np.where(still, kept["changes"][txns], 0) + ends - first
+        kept["opened"][txns[opens]] = ts[first[opens]]
+        kept["due"][txns[opens]] = ts[first[opens]] + self.limit
+        kept["open"][txns] = still | opens
         return iter(())
 
-    def idle(self, key, until):
-        if not self.open.exists():
-            return
-        opened, changes, due = self.open.get()
-        if due < until:
-            now = self.watermark * 1000
-            self.open.update((opened, changes, now + self.check))
-            self._timer((now + self.check) // self.width)
-            seconds = (now - opened) // 1_000_000
-            yield pd.DataFrame({"txn": [key[0]], "opened_at": [pd.Timestamp(opened, unit="us")], "changes": [changes], "open_seconds": [seconds]})
+    def idle(self, kept, until):
+        due = np.flatnonzero(kept["open"] & (kept["due"] < until))
+        if len(due):
+            now, opened = self.watermark * 1000, kept["opened"][due]
+            kept["due"][due] = now + self.check
+            columns = {"txn": kept.names(due), "opened_at": pd.to_datetime(opened, unit="us"), "changes": kept["changes"][due]}
+            yield pd.DataFrame({**columns, "open_seconds": (now - opened) // 1_000_000})
+
+    def live(self, kept):
+        return kept["open"]
+
+    def wakes(self, kept):
+        return kept["due"][kept["open"]]
 
 
 def long_transaction_stream(changes: DataFrame, limit_seconds: int = 900, check_seconds: int = 300, late: str = "1 minute", slot_seconds: int = 60) -> DataFrame:

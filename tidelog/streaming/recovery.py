@@ -16,28 +16,29 @@ from tidelog.streaming.inorder import InOrder, in_order
 DECISION = "process_name string, ts timestamp, seq bigint, event_type string, attempt int, delay_seconds double"
 
 
-def failures_in_row(failed: np.ndarray, before: int) -> np.ndarray:
-    """For each row in order: failures since the last success, given those before."""
-    so_far = np.cumsum(failed) + before
-    at_success = np.maximum.accumulate(np.where(failed, 0, so_far))
-    return so_far - at_success
+def failures_in_row(failed: np.ndarray, starts: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """For each row in order: failures since the last success of its process, given those before. ``starts``: first rows of processes."""
+    so_far = np.cumsum(failed)
+    since = np.where(failed, 0, so_far)
+    since[starts] = so_far[starts] - np.where(failed[starts], before + 1, 0)
+    resets = ~failed
+    resets[starts] = True
+    return so_far - since[np.maximum.accumulate(np.where(resets, np.arange(len(failed)), 0))]
 
 
 class Retries(InOrder):
-    """The state beside the waiting rows is one number per process: its failures since the last success."""
+    """Keeps one number per process: its failures since the last success."""
+
+    FRESH = {"failures": 0}
 
     def __init__(self, max_retries: int, base: float, slot_seconds: int):
         super().__init__(slot_seconds)
         self.max_retries, self.base = max_retries, base
 
-    def init(self, handle) -> None:
-        super().init(handle)
-        self.failures = handle.getValueState("failures", "n bigint")
-
-    def release(self, key, ts, seq, failed):
-        counts = failures_in_row(failed, self.failures.get()[0] if self.failures.exists() else 0)
+    def release(self, kept, key, ts, seq, failed, starts):
+        counts = failures_in_row(failed, starts, kept["failures"][key[starts]])
         # A full cycle starts over, so the number kept stays small.
-        self.failures.update((int(counts[-1] % (self.max_retries + 1)),))
+        kept["failures"][key[starts]] = counts[np.append(starts[1:], len(key)) - 1] % (self.max_retries + 1)
         place = (counts[failed] - 1) % (self.max_retries + 1)
         attempt = np.minimum(place + 1, self.max_retries)
         delay = np.minimum(self.base * np.power(2.0, attempt), MAX_SECONDS)
@@ -45,7 +46,7 @@ class Retries(InOrder):
         if len(place):
             yield pd.DataFrame(
                 {
-                    "process_name": key[0],
+                    "process_name": kept.names(key[failed]),
                     "ts": pd.to_datetime(ts[failed], unit="us"),
                     "seq": seq[failed],
                     "event_type": np.where(retried, "TRANSIENT_RETRY", "ESCALATED"),
@@ -54,6 +55,9 @@ class Retries(InOrder):
                 }
             )
 
+    def live(self, kept):
+        return kept["failures"] > 0
+
 
 def retry_stream(
     outcomes: DataFrame, max_retries: int = MAX_RETRIES, base: float = BASE_SECONDS, late: str = "10 minutes", slot_seconds: int = 60
