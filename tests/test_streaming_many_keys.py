@@ -76,6 +76,17 @@ def test_a_transaction_closed_after_its_limit_is_reported_once(spark, tmp_path,
     assert got == [("late", after(0), 1, 30 * DAY), ("late", after(9 * DAY + 5), 1, 21 * DAY - 5)]
 
 
+def test_many_silent_paths(spark, tmp_path, few_buckets):
+    rng = random.Random(2)
+    beats = {k: sorted(rng.randrange(9 * DAY) for _ in range(3)) for k in KEYS}
+    beats["k7"] = [0, DAY, 2 * DAY]  # a beat at the limit ends no silence
+    expected = [(str(k), after(a), after(a + DAY)) for k, at in beats.items() for a, b in zip(at, [*at[1:], 10**9]) if b - a > DAY and a + DAY < 30 * DAY]
+    stream = batched(spark, str(tmp_path / "in"), [(k, after(s)) for k, at in beats.items() for s in at], "path string, incoming_heartbeat_ts timestamp_ntz")
+    out = monitor.silent_path_stream(stream, "path", limit_seconds=DAY, late="10 days", slot_seconds=3 * DAY)
+    got = [(str(r.path), r.last_beat, r.due) for r in collected(spark, out, tmp_path).collect()]
+    assert sorted(got) == sorted(expected) and len(expected) > 1500
+
+
 RETRY_ROWS = "process_name string, ts timestamp_ntz, seq bigint, failed boolean"
 
 
