@@ -95,6 +95,16 @@ def outcomes():
     return [(k, after(rng.randrange(2 * DAY)), i * 20 + j, rng.random() < 0.9) for i, k in enumerate(KEYS) for j in range(10)]
 
 
+def test_many_escalations(spark, tmp_path, few_buckets):
+    rows = outcomes()
+    decisions = recovery.retry_stream(batched(spark, str(tmp_path / "in"), rows, RETRY_ROWS), late="10 days", slot_seconds=DAY // 2)
+    failures = small_table(spark, [(k, seq, "OGG-1", f"S.T{seq}") for k, _, seq, failed in rows if failed], "process_name string, seq bigint, error_code string, failing_table string")
+    run(recovery.escalation_stream(decisions, lambda: failures, str(tmp_path / "off"), str(tmp_path / "c")), str(tmp_path / "c"))
+    batch = retry.retry_plan(small_table(spark, rows, RETRY_ROWS), ["process_name"], ["ts", "seq"], F.col("failed"), ~F.col("failed"))
+    expected = {f"S.T{r.seq}" for r in batch.where("event_type = 'ESCALATED' AND process_name IS NOT NULL").collect()}
+    assert {r.fqn for r in spark.read.parquet(str(tmp_path / "off")).collect()} == expected != set()
+
+
 def test_failures_in_a_row_of_several_processes():
     rng = np.random.default_rng(4)
     failed, starts, before = rng.random(300) < 0.8, np.array([0, 1, 5, 6, 120, 299]), np.array([5, 0, 3, 1, 4, 2])
@@ -104,3 +114,17 @@ def test_failures_in_a_row_of_several_processes():
         n = n + 1 if f else 0
         expected.append(n)
     assert recovery.failures_in_row(failed, starts, before).tolist() == expected
+
+
+def test_batches_of_several_files_hold_every_row_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(streams, "FILE_BYTES", 300)
+    rows = spark.range(1000).withColumn("ts", F.timestamp_seconds("id").cast("timestamp_ntz"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    stream = streams.micro_batches(spark, rows, str(tmp_path), streams.closing(rows, "ts", "2024-01-01 00:00:00"))
+    query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    counts = [p["numInputRows"] for p in query.recentProgress if p["numInputRows"]]
+    assert len(counts) == streams.BATCHES + 1 and counts[-1] == 1 and sum(counts) == 1001
+    assert len(list(tmp_path.glob("in-*/*.parquet"))) > streams.BATCHES + 1
+    assert spark.read.parquet(str(tmp_path / "out")).where("id IS NOT NULL").distinct().count() == 1000

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidelog import small_table
 from tidelog.operators.changelog import replay_groups, subscribe
+from tidelog.operators.ordered import estimated_bytes
 from tidelog.operators.state import latest_change
 from tidelog.plans.base import LOG_SQL, Registry, event_log, table
 from tidelog.plans.cdc import LOG_COLUMNS, ROUTES_SQL, STATE_SQL, route_table
@@ -32,17 +33,20 @@ def workspace(spark: SparkSession) -> str:
 
 # The registered streams run over so many micro-batches at least.
 BATCHES = 5
+# A batch has a file for so many bytes of the table, since a file is read by one task.
+FILE_BYTES = 4 << 20
 # A last row moves the watermark to its time less this, beyond which no row of the tables lies.
 LATE, LATE_DAYS = "400 days", 400
 
 
 def micro_batches(spark: SparkSession, rows: DataFrame, home: str, last: DataFrame | None = None) -> DataFrame:
-    """Rows as a stream of several files in no order of time, one file a batch; ``last`` comes in a batch of its own."""
+    """Rows as a stream of several batches in no order of time, each of one file or more; ``last`` comes in a batch of its own."""
     folder = f"{home}/in-{uuid.uuid4().hex}"
-    rows.repartition(BATCHES).write.parquet(folder)
+    files = max(1, math.ceil(estimated_bytes(rows) / (BATCHES * FILE_BYTES)))
+    rows.repartition(BATCHES * files).write.parquet(folder)
     if last is not None:
         last.select(*rows.columns).coalesce(1).write.mode("append").parquet(folder)
-    return follow_log(spark, folder, rows.schema, 1)
+    return follow_log(spark, folder, rows.schema, files)
 
 
 def stream_of(spark: SparkSession, sf_dir: str, name: str, home: str) -> DataFrame:
