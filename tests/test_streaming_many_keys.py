@@ -95,6 +95,15 @@ def outcomes():
     return [(k, after(rng.randrange(2 * DAY)), i * 20 + j, rng.random() < 0.9) for i, k in enumerate(KEYS) for j in range(10)]
 
 
+def test_many_retries(spark, tmp_path, few_buckets):
+    rows = outcomes()
+    stream = batched(spark, str(tmp_path / "in"), rows, RETRY_ROWS)
+    got = collected(spark, recovery.retry_stream(stream, late="10 days", slot_seconds=DAY // 2), tmp_path).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    batch = retry.retry_plan(small_table(spark, rows, RETRY_ROWS), ["process_name"], ["ts", "seq"], F.col("failed"), ~F.col("failed"))
+    columns = ["process_name", "ts", "seq", "event_type", "attempt", "delay_seconds"]
+    assert sorted(map(str, got.select(*columns).collect())) == sorted(map(str, batch.select(*columns).collect()))
+
+
 def test_many_escalations(spark, tmp_path, few_buckets):
     rows = outcomes()
     decisions = recovery.retry_stream(batched(spark, str(tmp_path / "in"), rows, RETRY_ROWS), late="10 days", slot_seconds=DAY // 2)
