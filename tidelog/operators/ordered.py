@@ -18,6 +18,11 @@ from pyspark.sql import functions as F
 
 from tidelog.session import scratch_dir
 
+# monotonically_increasing_id: partition number above, row number below.
+OFFSET_BITS = 33
+# Cut points that a row meets at once.
+FAN_OUT = 64
+
 
 @dataclass(frozen=True)
 class SkewGuard:
@@ -29,7 +34,7 @@ class SkewGuard:
     points are every ``samples`` / 2-th of them in the order of all rows, so pieces vary by 1 / sqrt(samples / 2).
 
     There are about 2 N / hot_rows cut points for N rows. They are broadcast up to ``broadcast_cuts`` of them (some
-    64 MB); beyond, the planner joins them to the rows and splits the hot keys of that join.
+    64 MB); beyond, the planner joins them to the rows.
     """
 
     min_bytes: int = 256 << 20
@@ -79,9 +84,10 @@ class OrderedRows:
     def _cut(self, guard: SkewGuard) -> None:
         """Number the pieces of keys that are too large; nothing changes if there are none.
 
-        A sample is ranked in the order of (keys, order columns) over all rows, and every n-th row of it is a cut
-        point. Keys with two or more are hot. A row's piece is the number of cut points of its key up to it, found
-        by binary search. The ranked sample is checkpointed, so all uses see the same cut points.
+        A sample is sorted by (keys, order columns) over all rows, and every n-th row of a sorted partition, from its
+        first on, is a cut point. Keys with two or more are hot. A row's piece is the number of cut points of its key up
+        to it. These form a tree of ``FAN_OUT`` points a node, and a row goes down from the root, so it meets a few nodes
+        and never all cut points of its key. The cut points are checkpointed, so all uses see the same ones.
         """
         columns = [F.col(k).alias(f"__k{i}") for i, k in enumerate(self.keys)] + [F.struct(*self.order).alias("__at")]
         rows = self.df.select(*columns)
@@ -89,26 +95,34 @@ class OrderedRows:
         sample = rows.sample(share, seed=len(self.keys)) if share < 1 else rows
         every = max(1, min(guard.samples, guard.hot_rows) // 2)
         named = [f"__k{i}" for i in range(len(self.keys))]
-        ranked = global_rank(sample, [F.asc(c) for c in [*named, "__at"]], "__rank")
-        cuts = ranked.where(F.col("__rank") % every == 0).groupBy(*named).agg(F.array_sort(F.array_distinct(F.collect_list("__at"))).alias("__cuts"))
-        hot = cuts.where(F.size("__cuts") > 1).withColumnsRenamed(dict(zip(named, self.keys, strict=True)))
-        found = hot.agg(F.sum(F.size("__cuts")).alias("n"), F.max(F.size("__cuts")).alias("most")).first()
+        ranked = sample.orderBy(*named, "__at").withColumn("__id", F.monotonically_increasing_id())
+        points = ranked.where(F.col("__id").bitwiseAND(F.lit((1 << OFFSET_BITS) - 1)) % every == 0).drop("__id").distinct()
+        of_key = Window.partitionBy(*named)
+        points = points.withColumns({"__no": (F.row_number().over(of_key.orderBy("__at")) - 1).cast("bigint"), "__of": F.count(F.lit(1)).over(of_key)})
+        hot = shared_checkpoint(points.where("__of > 1").withColumnsRenamed(dict(zip(named, self.keys, strict=True))))
+        found = hot.agg(F.count(F.lit(1)).alias("n"), F.max("__of").alias("most")).first()
         if not found.n:
             return
-        joined = join_null_safe(self.df, F.broadcast(hot) if found.n <= guard.broadcast_cuts else hot, self.keys, "left")
+        depth = 1
+        while FAN_OUT**depth < found.most:
+            depth += 1
         at, point = F.struct(*self.order), F.col("__cuts")
-        half = lambda s: F.floor((s["lo"] + s["hi"]) / 2).cast("int")
-        narrowed = lambda s: F.when(
-            F.get(point, half(s)) <= at, F.struct((half(s) + 1).alias("lo"), s["hi"].alias("hi"))
-        ).otherwise(F.struct(s["lo"].alias("lo"), half(s).alias("hi")))
-        place = F.aggregate(
-            F.sequence(F.lit(1), F.lit(int(found.most).bit_length())),
-            F.struct(F.lit(0).alias("lo"), F.size(point).alias("hi")),
-            lambda s, _: F.when(s["lo"] < s["hi"], narrowed(s)).otherwise(s),
-            lambda s: s["lo"],
-        )
-        is_hot = point.isNotNull()
-        self.df = joined.withColumns({"__hot": is_hot, "__piece": F.when(is_hot, place).otherwise(0)}).drop("__cuts")
+        df = self.df.withColumn("__piece", F.lit(0).cast("bigint"))
+        for level in reversed(range(depth)):
+            # Each entry of a node is the first cut point of a node below; before the first of a key is the first node, too.
+            entries = hot.where(F.col("__no") % FAN_OUT**level == 0).withColumn("__piece", F.floor(F.col("__no") / FAN_OUT ** (level + 1)))
+            nodes = entries.groupBy(*self.keys, "__piece").agg(F.array_sort(F.collect_list("__at")).alias("__cuts"))
+            fits = found.n <= guard.broadcast_cuts * FAN_OUT**level
+            df = join_null_safe(df, F.broadcast(nodes) if fits else nodes, [*self.keys, "__piece"], "left")
+            # Binary search, a projection a step: nested in one expression, or in a function of arrays, it would be evaluated again and again or node by node.
+            df, n, step = df.withColumn("__n", F.lit(0)), F.col("__n"), FAN_OUT
+            while step:
+                df = df.withColumn("__n", F.when(F.get(point, n + (step - 1)) <= at, n + step).otherwise(n))
+                step //= 2
+            below = n if level == 0 else F.greatest(n - 1, F.lit(0))
+            hit = point.isNotNull()
+            df = df.withColumns({"__hot": hit, "__piece": F.when(hit, F.col("__piece") * FAN_OUT + below).otherwise(0)}).drop("__cuts", "__n")
+        self.df = df
         self.pieces = ["__piece"]
 
     # -- building blocks ---------------------------------------------------
@@ -234,16 +248,15 @@ def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataF
     The sorted rows are checkpointed, because both steps must see the same
     partition borders and a second evaluation could sample others.
     """
-    offset_bits = 33  # monotonically_increasing_id: partition number above, row number below
     placed = shared_checkpoint(df.orderBy(*order).withColumn("__id", F.monotonically_increasing_id()))
-    partition = F.shiftright("__id", offset_bits)
+    partition = F.shiftright("__id", OFFSET_BITS)
     earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         placed.groupBy(partition.alias("__part"))
         .agg(F.count(F.lit(1)).alias("__n"))
         .select("__part", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__start"))
     )
-    row = F.col("__id").bitwiseAND(F.lit((1 << offset_bits) - 1))
+    row = F.col("__id").bitwiseAND(F.lit((1 << OFFSET_BITS) - 1))
     return (
         placed.withColumn("__part", partition)
         .join(F.broadcast(starts), "__part")
